@@ -1,7 +1,8 @@
 """Column expressions used by more than one operator. All stay in generated JVM code."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditweave import schema as S
 
@@ -69,7 +70,8 @@ def render_binary(c: Column) -> Column:
     """Bytes as text, or base64 when a control byte other than tab, LF, CR occurs."""
     text = c.cast("string")
     control = text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
-    return F.when(control, F.base64(c)).otherwise(F.make_valid_utf8(text))
+    unbroken = F.replace(F.base64(c), F.lit("\r\n"), F.lit(""))  # Spark breaks base64 lines at 76 characters
+    return F.when(control, unbroken).otherwise(F.make_valid_utf8(text))
 
 
 def json_safe(payload: Column) -> Column:
@@ -85,6 +87,29 @@ def json_string(c: Column) -> Column:
     return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
 
 
+def parse_json(df: DataFrame, text: str, schema: T.StructType | str, prefix: str = "") -> DataFrame:
+    """Add one column per schema field, and ``{prefix}bad_json`` for text that does not fit the schema.
+
+    The parse sits in a generator, which Catalyst neither repeats per field nor moves filters into.
+    """
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    full = T.StructType([*wanted.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json(F.col(text), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    names = [prefix + f for f in wanted.fieldNames()]
+    out = df.select("*", F.inline(F.array(parsed)).alias(*names, prefix + "bad_json"))
+    return out.withColumn(prefix + "bad_json", F.col(text).isNull() | F.col(prefix + "bad_json").isNotNull())
+
+
+def json_member_text(document: Column, key: str, text: Column) -> Column:
+    """JSON text of a member that was read as a string: the quotes are put back if it was a JSON string.
+
+    Only documents in which the key seems to be followed by a quote are looked at twice.
+    """
+    suspect = document.rlike(f'"{key}"\\s*:\\s*"')
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(document), f"$.{key}", "variant"))
+    return F.when(suspect & (kind == "STRING"), json_string(text)).otherwise(text)
+
+
 def raw_json(**parts: Column) -> Column:
     """JSON object from already encoded values, keys in alphabetical order.
 

@@ -216,7 +216,11 @@ def select_events(
     if isinstance(k, int) and k == 0:
         return events.limit(0)
     kept = events if shown is None else suppress(events, shown)
-    return STRATEGIES[strategy](with_group(kept, by), k, k_max=k_max, **options).drop(GROUP)
+    # by-columns travel inside the group column only, so that branches shuffle the same columns
+    kernel = {"event_id", "source_id", "timestamp"}
+    inner = with_group(kept, by).drop(*[c for c in by if c not in kernel])
+    picked = STRATEGIES[strategy](inner, k, k_max=k_max, **options)
+    return picked.select(*[F.col(f"{GROUP}.{c}").alias(c) if c in by else F.col(c) for c in kept.columns])
 
 
 def select_latest(events, k, by=(), **kw):

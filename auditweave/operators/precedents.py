@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditweave import schema as S
-from auditweave.functions.columns import normalize_tenant, present
+from auditweave.functions.columns import normalize_tenant, parse_json, present
 from auditweave.functions.ranking import top_n
 
 _DECISION_PAYLOAD = (
@@ -21,28 +21,29 @@ PRECEDENT_FIELDS = [
 
 def passed_decisions(audit: DataFrame) -> DataFrame:
     """Decisions that passed the guardrails, decoded from the chain (tenant = chain)."""
-    p = F.from_json("payload", _DECISION_PAYLOAD)
-    rows = audit.where(F.col("kind").isin(S.DECISION_KINDS)).withColumn("_p", p).where(F.col("_p").isNotNull())
-    status = F.coalesce(F.col("_p.guardrails_status"), F.lit(""))
+    stored = audit.where(F.col("kind").isin(S.DECISION_KINDS)).select(
+        F.col("tenant").alias("chain"), F.col("hash").alias("decision_hash"), F.col("sequence").alias("decision_seq"), "payload"
+    )
+    rows = parse_json(stored, "payload", _DECISION_PAYLOAD).where(~F.col("bad_json"))
+    status = F.coalesce(F.col("guardrails_status"), F.lit(""))
     return rows.where(status.isin("", "pass")).select(
-        F.col("tenant").alias("chain"), F.col("hash").alias("decision_hash"), F.col("sequence").alias("decision_seq"),
-        F.col("_p.event_id").alias("event_id"), F.col("_p.event_type").alias("event_type"),
-        F.col("_p.source_id").alias("source_id"), F.col("_p.severity").alias("severity"),
-        normalize_tenant(F.col("_p.tenant")).alias("tenant"),
-        F.coalesce("_p.response.classification", F.lit("")).alias("classification"),
-        F.coalesce("_p.response.suggestion", F.lit("")).alias("suggestion"),
+        "chain", "decision_hash", "decision_seq", "event_id", "event_type", "source_id", "severity",
+        normalize_tenant(F.col("tenant")).alias("tenant"),
+        F.coalesce("response.classification", F.lit("")).alias("classification"),
+        F.coalesce("response.suggestion", F.lit("")).alias("suggestion"),
     )
 
 
 def operator_actions(audit: DataFrame) -> DataFrame:
     """Operator actions that name a decision, decoded from the chain."""
-    p = F.from_json("payload", _ACTION_PAYLOAD)
-    rows = audit.where(F.col("kind") == "operator_action").withColumn("_p", p).where(present(F.col("_p.decision_id")))
+    stored = audit.where(F.col("kind") == "operator_action").select(
+        F.col("tenant").alias("chain"), F.col("hash").alias("operator_audit_hash"), F.col("sequence").alias("action_seq"),
+        F.col("timestamp").alias("acted_at"), "payload",
+    )
+    rows = parse_json(stored, "payload", _ACTION_PAYLOAD).where(~F.col("bad_json") & present(F.col("decision_id")))
     return rows.select(
-        F.col("tenant").alias("chain"), F.col("_p.decision_id").alias("decision_hash"),
-        F.col("_p.action").alias("operator_action"), F.coalesce("_p.annotation", F.lit("")).alias("annotation"),
-        F.col("_p.operator_id").alias("operator_id"), F.col("hash").alias("operator_audit_hash"),
-        F.col("sequence").alias("action_seq"), F.col("timestamp").alias("acted_at"),
+        "chain", F.col("decision_id").alias("decision_hash"), F.col("action").alias("operator_action"),
+        F.coalesce("annotation", F.lit("")).alias("annotation"), "operator_id", "operator_audit_hash", "action_seq", "acted_at",
     )
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from auditweave.plans import curation  # noqa: F401
+from auditweave.plans import curation, ingest  # noqa: F401
 from auditweave.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

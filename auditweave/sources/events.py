@@ -6,12 +6,11 @@ streaming frames use the same decoders.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from auditweave import schema as S
-from auditweave.functions.columns import blank_to_null
+from auditweave.functions.columns import blank_to_null, json_member_text, parse_json
 from auditweave.operators.validate import event_failure
 
 
@@ -27,27 +26,12 @@ def read_messages(spark: SparkSession, fmt: str, stream: bool = False, path: str
     return df.select(key.alias("key"), F.col("value").cast("string").alias("value"))
 
 
-def _decode(messages: DataFrame, schema: T.StructType) -> DataFrame:
-    body = F.from_json(F.col("value"), schema, {"mode": "PERMISSIVE"})
-    return messages.withColumn("_m", body)
-
-
-def _raw_payload(value: Column, path: str) -> Column:
-    """Payload text as sent, whatever its JSON type."""
-    return F.get_json_object(value, path)
-
-
 def decode_events(messages: DataFrame) -> DataFrame:
     """Events of raw messages with ``reason`` set for undecodable or invalid ones."""
-    fields = S.EVENT.fieldNames()
-    flat = _decode(messages, S.EVENT).select(
-        "value",
-        F.try_parse_json("value").isNotNull().alias("_json"),
-        *[F.col(f"_m.{f}").alias(f) for f in fields if f != "payload"],
-        _raw_payload(F.col("value"), "$.payload").alias("payload"),
-    )
-    reason = F.when(~F.col("_json"), F.lit("bad json")).otherwise(event_failure())
-    return flat.withColumn("reason", reason).select(*fields, "reason", "value")
+    parsed = parse_json(messages.select("value"), "value", S.EVENT)
+    typed = parsed.withColumn("payload", json_member_text(F.col("value"), "payload", F.col("payload")))
+    reason = F.when(F.col("bad_json"), F.lit("bad json")).otherwise(event_failure())
+    return typed.withColumn("reason", reason).select(*S.EVENT.fieldNames(), "reason", "value")
 
 
 def read_events(messages: DataFrame) -> DataFrame:
@@ -56,21 +40,23 @@ def read_events(messages: DataFrame) -> DataFrame:
 
 
 def read_digests(messages: DataFrame) -> DataFrame:
-    """Digest messages; rows that are not JSON objects are skipped."""
-    rows = _decode(messages, S.DIGEST).where(F.try_parse_json("value").isNotNull())
-    return rows.select("_m.*")
+    """Digest messages; undecodable ones are skipped."""
+    return parse_json(messages.select("value"), "value", S.DIGEST).where(~F.col("bad_json")).drop("value", "bad_json")
 
 
 def read_decisions(messages: DataFrame) -> DataFrame:
-    rows = _decode(messages, S.DECISION).where(F.try_parse_json("value").isNotNull())
-    return rows.select("_m.*")
+    """Decision messages; undecodable ones are skipped."""
+    return parse_json(messages.select("value"), "value", S.DECISION).where(~F.col("bad_json")).drop("value", "bad_json")
 
 
 def read_audit_inputs(messages: DataFrame) -> DataFrame:
     """(kind, payload text) of audit inputs; a missing or empty kind becomes ``unknown``."""
-    ok = messages.where(F.try_parse_json("value").isNotNull())
-    kind = F.coalesce(blank_to_null(F.get_json_object("value", "$.kind")), F.lit("unknown"))
-    return ok.select(kind.alias("kind"), F.coalesce(_raw_payload(F.col("value"), "$.payload"), F.lit("null")).alias("payload"))
+    rows = parse_json(messages.select("value"), "value", "kind string, payload string").where(~F.col("bad_json"))
+    payload = json_member_text(F.col("value"), "payload", F.col("payload"))
+    return rows.select(
+        F.coalesce(blank_to_null(F.col("kind")), F.lit("unknown")).alias("kind"),
+        F.coalesce(payload, F.lit("null")).alias("payload"),
+    )
 
 
 def read_audit(audit: DataFrame, tenant: str) -> DataFrame:

@@ -11,13 +11,13 @@ def event_json() -> Column:
     """Canonical event as JSON; the payload is spliced in as stored text."""
     meta = F.to_json(F.struct("metadata.trace_id", "metadata.ingestion_pod", "metadata.schema_version", "metadata.tenant_id"))
     q = lambda name: json_string(F.col(name))
+    time = lambda name: F.coalesce(F.concat(F.lit(f',"{name}":"'), rfc3339(F.col(name)), F.lit('"')), F.lit(""))
     return F.concat(
         F.lit('{"event_id":'), q("event_id"), F.lit(',"source_id":'), q("source_id"),
         F.lit(',"source_type":'), q("source_type"), F.lit(',"event_type":'), q("event_type"),
         F.lit(',"severity":'), q("severity"),
-        F.lit(',"timestamp":"'), rfc3339(F.col("timestamp")),
-        F.lit('","ingested_at":"'), rfc3339(F.col("ingested_at")),
-        F.lit('","payload":'), F.coalesce("payload", F.lit("null")),
+        time("timestamp"), time("ingested_at"),
+        F.lit(',"payload":'), F.coalesce("payload", F.lit("null")),
         F.lit(',"metadata":'), meta, F.lit("}"),
     )
 
