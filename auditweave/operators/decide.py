@@ -221,16 +221,24 @@ def decide(
         .when(F.col("_out").isNotNull(), "rejected_output")
         .otherwise("pass")
     )
-    answered = F.col("guardrails").isin("pass", "rejected_output")
-    return (
-        scored.withColumn("_out", out_reason)
-        .withColumn("guardrails", status)
-        .withColumn("reason", F.coalesce("_refused", "provider_error", "_out"))
-        .withColumn("response", F.when(answered, F.col("response")))
-        .withColumn("operator_review", F.when(F.col("guardrails") == "pass", F.coalesce(F.col("response.requires_review"), F.lit(False))).otherwise(True))
-        .withColumn("provider", F.lit(provider.name)).withColumn("model_id", F.lit(provider.model_id))
-        .drop("_refused", "_out", "provider_error", "context", "instruction")
+    # The outcome is produced by a generator: a later filter on it is then evaluated on its result
+    # instead of being rewritten, checks, hashes and all, into every plan node below.
+    outcome = F.struct(
+        F.when(F.col("_status").isin("pass", "rejected_output"), F.col("response")).alias("response"),
+        F.col("_status").alias("guardrails"),
+        F.coalesce("_refused", "provider_error", "_out").alias("reason"),
+        F.when(F.col("_status") == "pass", F.coalesce(F.col("response.requires_review"), F.lit(False))).otherwise(True)
+        .alias("operator_review"),
     )
+    judged = scored.withColumn("_out", out_reason).withColumn("_status", status)
+    kept = [c for c in judged.columns if c not in _SCRATCH]
+    return judged.select(
+        *kept, F.inline(F.array(outcome)).alias("response", "guardrails", "reason", "operator_review"),
+        F.lit(provider.name).alias("provider"), F.lit(provider.model_id).alias("model_id"),
+    )
+
+
+_SCRATCH = {"_refused", "_out", "_status", "response", "provider_error", "context", "instruction"}
 
 
 def _response_json() -> Column:
