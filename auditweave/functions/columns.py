@@ -45,21 +45,12 @@ def resolve_tenant(event_tenant: Column, fallback: str | Column = "") -> Column:
 def rfc3339(ts: Column) -> Column:
     """UTC text with the fraction's trailing zeros dropped (``2024-01-01T00:00:07.5Z``).
 
-    Built from epoch microseconds, so the text (and any hash over it) does not depend on the session's zone.
+    Goes through a zone-free timestamp, so the text (and any hash over it) does not depend on the
+    session's zone.
     """
-    us = micros(ts)
-    day = F.floor(us / 86_400_000_000)
-    rest = us - day * 86_400_000_000
-
-    def two(x):
-        return F.lpad(F.floor(x).cast("string"), 2, "0")
-
-    fraction = F.rtrim(F.lpad((rest % 1_000_000).cast("string"), 6, "0"), F.lit("0"))
-    return F.concat(
-        F.date_from_unix_date(day.cast("int")).cast("string"), F.lit("T"),
-        two(rest / 3_600_000_000), F.lit(":"), two(rest / 60_000_000 % 60), F.lit(":"), two(rest / 1_000_000 % 60),
-        F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z"),
-    )
+    epoch = F.lit("1970-01-01").cast("date").cast("timestamp_ntz")
+    utc = F.timestamp_add("MICROSECOND", micros(ts), epoch).cast("string")
+    return F.concat(F.translate(utc, " ", "T"), F.lit("Z"))
 
 
 # Timestamps in JSON messages keep microseconds.
@@ -110,16 +101,17 @@ def json_member_text(document: Column, key: str, text: Column) -> Column:
     return F.when(suspect & (kind == "STRING"), json_string(text)).otherwise(text)
 
 
-def raw_json(**parts: Column) -> Column:
-    """JSON object from already encoded values, keys in alphabetical order.
+def splice_json(before: Column, key: str, raw: Column, after: Column | None = None) -> Column:
+    """JSON object with an already encoded member between the members of two structs.
 
-    Payloads are spliced in as stored text, never parsed and written again, so a hash
-    over the result depends on nothing but the stored bytes.
+    The member is spliced in as stored text, never parsed and written again, so a hash over the result
+    depends on nothing but the stored bytes. Each struct needs at least one field that is not null.
     """
-    pieces = [F.lit("{")]
-    for i, key in enumerate(sorted(parts)):
-        pieces += [F.lit(("," if i else "") + f'"{key}":'), parts[key]]
-    return F.concat(*pieces, F.lit("}"))
+    head = F.to_json(before)
+    parts = [F.substring(head, F.lit(1), F.length(head) - 1), F.lit(f',"{key}":'), raw]
+    if after is None:
+        return F.concat(*parts, F.lit("}"))
+    return F.concat(*parts, F.lit(","), F.substring(F.to_json(after), 2, 2**31 - 1))
 
 
 def record_prefix(sequence: Column, timestamp: Column, kind: Column, payload: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditweave import schema as S
 from auditweave.functions.columns import (
-    blank_to_null, first_failure, json_string, micros, present, prompt_hash, raw_json, resolve_tenant, rfc3339, trimmed,
+    blank_to_null, first_failure, micros, present, prompt_hash, resolve_tenant, rfc3339, splice_json, trimmed,
 )
 from auditweave.functions.ranking import positions, time_cell
 from auditweave.operators.precedents import PRECEDENT_FIELDS, with_precedents
@@ -34,12 +34,10 @@ class Guardrails:
 
     def input_failure(self, text: Column) -> Column:
         """Reason the text may not be sent to a model, null when it may."""
-        hit = F.lit(False)
-        for p in self.patterns:
-            hit = hit | F.lower(text).rlike(f"(?iu){p}")
+        patterns = [(~text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in self.patterns)), "prompt-injection pattern detected")]
         return first_failure([
             (F.octet_length(text) <= self.max_input_bytes, "input exceeds max bytes"),
-            (~hit, "prompt-injection pattern detected"),
+            *(patterns if self.patterns else []),
             *[(check(text), why) for why, check in self.input_validators],
         ])
 
@@ -170,15 +168,11 @@ def precedents_json() -> Column:
 
 def decision_context(with_precedent_list: bool = False) -> Column:
     """JSON handed to the model, keys in alphabetical order, payload as stored."""
-    parts = dict(
-        event_id=json_string(F.col("event_id")), event_type=json_string(F.col("event_type")),
-        payload=F.coalesce(F.col("payload"), F.lit("null")), severity=json_string(F.col("severity")),
-        source_id=json_string(F.col("source_id")),
-        timestamp=F.concat(F.lit('"'), rfc3339(F.col("timestamp")), F.lit('"')),
-    )
+    head, tail = F.struct("event_id", "event_type"), F.struct("severity", "source_id", rfc3339(F.col("timestamp")).alias("timestamp"))
+    payload = F.coalesce(F.col("payload"), F.lit("null"))
     if with_precedent_list:
-        parts["precedents"] = precedents_json()
-    return raw_json(**parts)
+        payload = F.concat(payload, F.lit(',"precedents":'), precedents_json())
+    return splice_json(head, "payload", payload, tail)
 
 
 def resolve_instruction(requested: Column, pack: Column | None = None, default: str = S.DEFAULT_INSTRUCTION) -> Column:

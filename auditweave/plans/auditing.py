@@ -7,8 +7,8 @@ from auditweave.operators import alerts as A
 from auditweave.operators import chain as H
 from auditweave.operators import curate as C
 from auditweave.operators import reports as R
-from auditweave.plans.base import events, query, r9, rfc_sql, us, with_ev
-from auditweave.plans.curation import latest_sql, scores_sql, seeds_sql, fill_sql, top_sql
+from auditweave.plans.base import events, query, rfc_sql, stored, us, with_ev
+from auditweave.plans.curation import fill_sql, latest_sql, seeds_sql, top_sql
 from auditweave.plans.decisions import ACTS, DEC, LOG, decided, operator_acts, stored_log
 from auditweave.sources import sinks
 
@@ -53,10 +53,15 @@ def _(spark, sf):
     return log.select("tenant", "sequence", h.alias("record_hash"))
 
 
+def stored_chain(spark, sf):
+    """The chained ingest records of all events, stored."""
+    return stored(spark, sf, "ingest_chain", lambda: H.append_chain(ingest_rows(spark, sf)))
+
+
 def tampered(spark, sf):
     """The ingest chain with the payloads of critical events changed and the records of warnings removed."""
     ev = events(spark, sf).select("event_id", F.col("severity").alias("_sev"))
-    records = H.append_chain(ingest_rows(spark, sf)).join(ev, F.col("row_id") == F.col("event_id")).drop("event_id")
+    records = stored_chain(spark, sf).join(ev, F.col("row_id") == F.col("event_id")).drop("event_id")
     return records.where(F.col("_sev") != "warn").withColumn(
         "payload", F.when(F.col("_sev") == "critical", '{"event_id":"x"}').otherwise(F.col("payload")))
 
@@ -80,7 +85,7 @@ def _(spark, sf):
 @query("verify_chain_intact", with_ev(NUMBERED, CHAIN, """SELECT c.tenant, TRUE AS valid, CAST(NULL AS BIGINT) AS first_bad, count(*) AS length,
     arg_max(c.hash, c.sequence) AS head_hash FROM chain c GROUP BY c.tenant""", recursive=True))
 def _(spark, sf):
-    return H.verify_chain(H.append_chain(ingest_rows(spark, sf)).drop("row_id"))
+    return H.verify_chain(stored_chain(spark, sf))
 
 
 @query("verify_since", with_ev(NUMBERED, BROKEN, "cut AS (SELECT tenant, max(sequence) AS s FROM numbered WHERE severity = 'critical' GROUP BY tenant)",
@@ -97,7 +102,7 @@ def _(spark, sf):
 @query("chain_predecessor", with_ev(NUMBERED, CHAIN, """SELECT tenant, sequence, lag(hash) OVER (PARTITION BY tenant ORDER BY sequence) AS pred_hash,
     1::BIGINT AS copies, TRUE AS self_ok FROM chain""", recursive=True))
 def _(spark, sf):
-    linked = H.link_records(H.append_chain(ingest_rows(spark, sf)))
+    linked = H.link_records(stored_chain(spark, sf))
     return linked.select("tenant", "sequence", "pred_hash", "copies", "self_ok")
 
 
@@ -131,7 +136,7 @@ def _(spark, sf):
     "SELECT tenant, TRUE AS valid, CAST(NULL AS BIGINT) AS first_bad, count(*) AS length FROM kept GROUP BY tenant"))
 def _(spark, sf):
     """Chains without the records older than ten days still verify from the cut."""
-    records = H.append_chain(ingest_rows(spark, sf))
+    records = stored_chain(spark, sf)
     kept, cut = H.audit_retention(records, F.timestamp_micros(F.lit(1706659200000000)), 10)
     return H.verify_since(kept, cut).drop("head_hash")
 
@@ -299,8 +304,8 @@ def _(spark, sf):
 
 @query("live_events", with_ev(f"""SELECT 'event' AS type, sha256('{{"event_id":"' || event_id || '","source_id":"' || source_id ||
     '","source_type":"synthetic","event_type":"' || event_type || '","severity":"' || severity || '","timestamp":"' || {rfc_sql('us')} ||
-    '","ingested_at":"' || {rfc_sql('ingested_us')} || '","payload":' || payload || ',"metadata":{{"ingestion_pod":"' || pod ||
-    '","schema_version":"1.0.0","tenant_id":"' || tenant || '"}}}}') AS data_hash FROM ev"""))
+    '","ingested_at":"' || {rfc_sql('ingested_us')} || '","metadata":{{"ingestion_pod":"' || pod ||
+    '","schema_version":"1.0.0","tenant_id":"' || tenant || '"}},"payload":' || payload || '}}') AS data_hash FROM ev"""))
 def _(spark, sf):
     return sinks.live_envelope(events(spark, sf), "event", sinks.event_json()).select("type", F.sha2("data", 256).alias("data_hash"))
 

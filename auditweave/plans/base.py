@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditweave.functions.columns import micros, resolve_tenant
 from auditweave.operators.validate import metadata
-from auditweave.session import configure
+from auditweave.session import configure, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table written once per session to the shared folder, as audit logs are stored in practice."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = shared_folder(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from auditweave.operators import decide as D
 from auditweave.operators import precedents as P
 from auditweave.operators import reports as R
 from auditweave.operators.decide import ColumnProvider, CyclingProvider, Guardrails
-from auditweave.plans.base import events, query, rfc_sql, table, us, with_ev
+from auditweave.plans.base import events, query, rfc_sql, stored, table, us, with_ev
 from auditweave.sources import events as E
 from auditweave.sources import sinks
 
@@ -209,6 +209,10 @@ def operator_acts(spark, sf):
 
 
 def stored_log(spark, sf):
+    return stored(spark, sf, "decision_log", lambda: build_log(spark, sf))
+
+
+def build_log(spark, sf):
     """Decision and action records of all events; hashes name the records (links are not needed here)."""
     made = decided(spark, sf)
     d = D.decision_audit_rows(made).withColumn("sequence", F.col("row_id").cast("long") * 2).withColumn(

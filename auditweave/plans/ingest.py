@@ -91,8 +91,8 @@ def _(spark, sf):
 
 @query("write_events", with_ev(f"""SELECT source_id AS key, '{{"event_id":"' || event_id || '","source_id":"' || source_id ||
     '","source_type":"synthetic","event_type":"' || event_type || '","severity":"' || severity || '","timestamp":"' || {rfc_sql('us')} ||
-    '","ingested_at":"' || {rfc_sql('ingested_us')} || '","payload":' || payload || ',"metadata":{{"ingestion_pod":"' || pod ||
-    '","schema_version":"1.0.0","tenant_id":"' || tenant || '"}}}}' AS value FROM ev"""))
+    '","ingested_at":"' || {rfc_sql('ingested_us')} || '","metadata":{{"ingestion_pod":"' || pod ||
+    '","schema_version":"1.0.0","tenant_id":"' || tenant || '"}},"payload":' || payload || '}}' AS value FROM ev"""))
 def _(spark, sf):
     return sinks.event_messages(events(spark, sf))
 

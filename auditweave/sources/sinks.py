@@ -4,22 +4,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave import schema as S
-from auditweave.functions.columns import JSON_OPTIONS, json_string, raw_json, resolve_tenant, rfc3339
+from auditweave.functions.columns import JSON_OPTIONS, resolve_tenant, rfc3339, splice_json
 
 
 def event_json() -> Column:
     """Canonical event as JSON; the payload is spliced in as stored text."""
-    meta = F.to_json(F.struct("metadata.trace_id", "metadata.ingestion_pod", "metadata.schema_version", "metadata.tenant_id"))
-    q = lambda name: json_string(F.col(name))
-    time = lambda name: F.coalesce(F.concat(F.lit(f',"{name}":"'), rfc3339(F.col(name)), F.lit('"')), F.lit(""))
-    return F.concat(
-        F.lit('{"event_id":'), q("event_id"), F.lit(',"source_id":'), q("source_id"),
-        F.lit(',"source_type":'), q("source_type"), F.lit(',"event_type":'), q("event_type"),
-        F.lit(',"severity":'), q("severity"),
-        time("timestamp"), time("ingested_at"),
-        F.lit(',"payload":'), F.coalesce("payload", F.lit("null")),
-        F.lit(',"metadata":'), meta, F.lit("}"),
+    fields = F.struct(
+        "event_id", "source_id", "source_type", "event_type", "severity", rfc3339(F.col("timestamp")).alias("timestamp"),
+        rfc3339(F.col("ingested_at")).alias("ingested_at"),
+        F.struct("metadata.trace_id", "metadata.ingestion_pod", "metadata.schema_version", "metadata.tenant_id").alias("metadata"),
     )
+    return splice_json(fields, "payload", F.coalesce("payload", F.lit("null")))
 
 
 def event_messages(events: DataFrame) -> DataFrame:
@@ -94,7 +89,7 @@ def live_feed(events: DataFrame, digests: DataFrame, decisions: DataFrame, alert
 
 def ingest_payload() -> Column:
     """Audit payload of an accepted event."""
-    return raw_json(event_id=json_string(F.col("event_id")), source_id=json_string(F.col("source_id")))
+    return F.to_json(F.struct("event_id", "source_id"))
 
 
 def ingest_audit_rows(events: DataFrame, fallback_tenant: str = "") -> DataFrame:
