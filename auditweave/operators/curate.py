@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from auditweave import schema as S
 from auditweave.functions.columns import content_fingerprint, micros, severity_rank
 from auditweave.functions.ranking import (
-    GROUP, expand_group, hash_cell, rank_band, time_cell, top_n, with_group,
+    GROUP, bounded_broadcast, expand_group, hash_cell, rank_band, time_cell, top_n, with_group,
 )
+from auditweave.session import shared_folder
 
 LATEST, LATEST_PER_SOURCE, HYBRID, MIN_DIVERSITY, MIN_DIVERSITY_RANDOM, PREFERRED = range(1, 7)
 
@@ -206,9 +207,16 @@ def register_strategy(name: int | str, fn: Callable[..., DataFrame]) -> None:
 
 def select_events(
     events: DataFrame, strategy: int | str, k: Limit, by: Sequence[str] = (), shown: DataFrame | None = None,
-    k_max: int | None = None, **options,
+    k_max: int | None = None, late: bool = False, **options,
 ) -> DataFrame:
-    """Selected events per group; columns of ``events`` unchanged."""
+    """Selected events per group; columns of ``events`` unchanged.
+
+    With ``late`` the selection runs on ids, sources and times only and the chosen rows are fetched
+    afterwards: the right choice for a wide stored table, whose payloads are then never shuffled.
+    """
+    if late:
+        narrow = events.select(*dict.fromkeys(["event_id", "source_id", "timestamp", *by]))
+        return fetch_events(events, select_events(narrow, strategy, k, by, shown, k_max, **options))
     if isinstance(k, int) and k < 0:
         raise ValueError("k must be non-negative")
     if strategy not in STRATEGIES:
@@ -223,6 +231,21 @@ def select_events(
     return picked.select(*[F.col(f"{GROUP}.{c}").alias(c) if c in by else F.col(c) for c in kept.columns])
 
 
+def fetch_events(events: DataFrame, picked: DataFrame, max_broadcast: int = 500_000) -> DataFrame:
+    """Full rows of selected ids.
+
+    The ids are first written to the shared folder, so that their number is known: up to
+    ``max_broadcast`` they are broadcast and the wide table is only filtered, beyond that they are joined
+    by shuffle.
+    """
+    spark = events.sparkSession
+    path = shared_folder(spark, "picked")
+    picked.select("event_id").distinct().write.parquet(path)
+    chosen = spark.read.parquet(path)
+    chosen = F.broadcast(chosen) if chosen.count() <= max_broadcast else chosen
+    return events.join(chosen, "event_id", "left_semi").select(*events.columns)
+
+
 def select_latest(events, k, by=(), **kw):
     return select_events(events, LATEST, k, by, **kw)
 
@@ -276,23 +299,23 @@ def digest_scores(
     """
     stats = group_stats(events, by, shown, as_of)
     chosen = with_group(selected, by).select(GROUP, "source_id", micros(F.col("timestamp")).alias("_us"))
-    aged = chosen.join(stats.select(GROUP, "ref_us"), GROUP)
-    per = aged.groupBy(GROUP).agg(
-        F.count(F.lit(1)).alias("selected_n"),
+    return expand_group(_scored(stats, chosen, [GROUP]), by)
+
+
+def _scored(stats: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Scores of the chosen rows (at most k per key) against their group's statistics, which are read once."""
+    known = ["input_n", "removed_n", "input_sources", "ref_us", "max_age_us"]
+    per = stats.join(chosen, list(keys), "left").groupBy(*keys, *known).agg(
+        F.count("_us").alias("selected_n"),
         F.sum(F.greatest(F.col("ref_us") - F.col("_us"), F.lit(0).cast("long"))).alias("_age_us"),
         F.size(F.collect_set("source_id")).alias("_sources"),
     )
-    n = F.coalesce(F.col("selected_n"), F.lit(0).cast("long"))
-    mean_age_share = F.col("_age_us") / (n * F.col("max_age_us"))
-    out = stats.join(per, GROUP, "left").select(
-        GROUP,
-        n.alias("selected_n"),
-        F.when(n == 0, 0.0).when(F.col("max_age_us") == 0, 1.0).otherwise(1.0 - mean_age_share).alias("freshness"),
-        F.coalesce(F.col("_sources") / F.col("input_sources"), F.lit(0.0)).alias("diversity"),
-        (F.col("removed_n") / F.col("input_n")).alias("redundancy"),
-        "input_n",
+    n, max_age = F.col("selected_n"), F.col("max_age_us")
+    fresh = F.when(n == 0, 0.0).when(max_age == 0, 1.0).otherwise(1.0 - F.col("_age_us") / (n * max_age))
+    return per.select(
+        *keys, n, fresh.alias("freshness"), (F.col("_sources") / F.col("input_sources")).alias("diversity"),
+        (F.col("removed_n") / F.col("input_n")).alias("redundancy"), "input_n",
     )
-    return expand_group(out, by)
 
 
 def digest_records(
@@ -337,23 +360,9 @@ def compare_strategies(
     for s in strategies:
         one = select_events(events, s, k, by, shown, **options).withColumn("strategy", F.lit(s))
         picked = one if picked is None else picked.unionByName(one)
-    stats = group_stats(events, by, shown, as_of)
     chosen = with_group(picked, by).select(GROUP, "strategy", "source_id", micros(F.col("timestamp")).alias("_us"))
-    per = chosen.join(stats.select(GROUP, "ref_us"), GROUP).groupBy(GROUP, "strategy").agg(
-        F.count(F.lit(1)).alias("selected_n"),
-        F.sum(F.greatest(F.col("ref_us") - F.col("_us"), F.lit(0).cast("long"))).alias("_age_us"),
-        F.size(F.collect_set("source_id")).alias("_sources"),
-    )
-    grid = stats.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies])))
-    n = F.coalesce(F.col("selected_n"), F.lit(0).cast("long"))
-    mean_age_share = F.col("_age_us") / (n * F.col("max_age_us"))
-    out = grid.join(per, [GROUP, "strategy"], "left").select(
-        GROUP, "strategy", n.alias("selected_n"),
-        F.when(n == 0, 0.0).when(F.col("max_age_us") == 0, 1.0).otherwise(1.0 - mean_age_share).alias("freshness"),
-        F.coalesce(F.col("_sources") / F.col("input_sources"), F.lit(0.0)).alias("diversity"),
-        (F.col("removed_n") / F.col("input_n")).alias("redundancy"),
-    )
-    return expand_group(out, by)
+    grid = group_stats(events, by, shown, as_of).withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies])))
+    return expand_group(_scored(grid, chosen, [GROUP, "strategy"]), by)
 
 
 def digest_objective(scores: DataFrame, fresh: float = 1.0, diverse: float = 1.0, redundant: float = 1.0) -> DataFrame:
@@ -373,6 +382,7 @@ def mark_repeats(events: DataFrame, curated: DataFrame, last_n: int) -> DataFram
     """Flag events whose content equals one of the last ``last_n`` curated events."""
     recent = fingerprinted(curated).orderBy(*newest_first()).limit(last_n).select("fingerprint").distinct()
     recent = recent.withColumn("_hit", F.lit(1))
+    recent = F.broadcast(recent) if last_n <= 100_000 else recent  # at most last_n rows
     return (
         fingerprinted(events).join(recent, "fingerprint", "left")
         .withColumn("is_repeat", F.coalesce("_hit", F.lit(0))).drop("_hit")
@@ -398,7 +408,7 @@ def weighted_digest(events: DataFrame, weights: DataFrame, k: int, by: Sequence[
             weights.where(F.col("dimension") == dim).groupBy(F.col("value").alias(dim))
             .agg(F.sum("weight").alias(f"_w_{dim}"))
         )
-        weighted = weighted.join(w, dim, "left")
+        weighted = weighted.join(bounded_broadcast(w), dim, "left")
         total = total + F.coalesce(F.col(f"_w_{dim}"), F.lit(0.0))
     weighted = with_group(weighted.withColumn("weight", total), by)
     weighted = weighted.drop("_w_event_type", "_w_source_id", "_w_severity")
@@ -436,13 +446,14 @@ def curate_roles(events: DataFrame, roles: DataFrame, by: Sequence[str] = (), ma
 
     At most one pass per strategy in use, whatever the number of roles.
     """
-    config = roles.select("curation_strategy", "digest_size").limit(max_roles + 1).collect()
+    config = roles.limit(max_roles + 1).collect()
     if len(config) > max_roles:
         raise ValueError(f"more than {max_roles} roles")
     if not config:
         return role_events(events, roles).limit(0)
     k_max = max(r.digest_size for r in config)
-    small = F.broadcast(roles)  # at most max_roles rows, checked above
+    # the checked table as literal rows, so that its own plan is not run again for every strategy
+    small = F.broadcast(events.sparkSession.createDataFrame(config, roles.schema))
     out = None
     for s in sorted({r.curation_strategy for r in config}):
         mine = role_events(events, small.where(F.col("curation_strategy") == s))

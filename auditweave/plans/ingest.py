@@ -97,7 +97,18 @@ def _(spark, sf):
     return sinks.event_messages(events(spark, sf))
 
 
-@query("write_digests", with_ev(top_sql(20), scores_sql(),
+@query("write_digests", with_ev(top_sql(20), "ends AS (SELECT day, max(us) AS end_us FROM ev GROUP BY day)", f"""SELECT strftime(make_timestamp(e.end_us),
+    '%Y-%m-%dT%H:%M:%S.%fZ') AS window_end, '1' AS strategy, CAST(count(*) AS INTEGER) AS selected_n, arg_max(p.event_id, p.us) AS first_id
+    FROM picked p JOIN ends e ON e.day = p.day GROUP BY e.end_us"""))
+def _(spark, sf):
+    messages = sinks.digest_messages(daily_digests(spark, sf))
+    member = lambda path: F.get_json_object("value", path)
+    return messages.select(
+        member("$.window_end").alias("window_end"), member("$.strategy").alias("strategy"),
+        F.json_array_length(member("$.selected_events")).alias("selected_n"), member("$.selected_events[0].event_id").alias("first_id"))
+
+
+@query("read_digests", with_ev(top_sql(20), scores_sql(),
     """ends AS (SELECT day, max(us) AS end_us FROM ev GROUP BY day)""",
     "SELECT e.end_us, s.freshness, s.diversity, s.redundancy, p.event_id, p.us FROM picked p JOIN scores s ON p.day = s.day JOIN ends e ON e.day = p.day"))
 def _(spark, sf):

@@ -7,6 +7,8 @@ from auditweave.functions.columns import micros
 from auditweave.operators import alerts as A
 from auditweave.operators import chain as H
 from auditweave.operators import curate as C
+from auditweave.operators import decide as D
+from auditweave.operators import validate as V
 from auditweave.plans.auditing import CHAIN, NUMBERED, greedy_sql
 from auditweave.plans.base import EVENT_COLUMNS, map_events, query, table, us, with_ev
 from auditweave.plans.curation import fill_sql, latest_sql, seeds_sql, top_sql
@@ -14,7 +16,7 @@ from auditweave.plans.decisions import CTX
 from auditweave.plans.ingest import BAD_EV, REASON, daily_digests, faulty_events, raw_messages
 from auditweave.session import shared_folder
 from auditweave.sources import sinks
-from auditweave.sources.events import read_messages
+from auditweave.sources.events import read_audit_inputs, read_decisions, read_digests, read_messages
 from auditweave.streaming import jobs
 
 
@@ -86,7 +88,6 @@ def _(spark, sf):
     tenant = F.when(F.col("event_type") != "view", F.col("tenant"))
     body = F.to_json(F.struct(F.lit("note").alias("kind"), F.struct("event_id", tenant.alias("tenant")).alias("payload")))
     ev.select(body.alias("value")).write.text(f"{out}/in")
-    from auditweave.sources.events import read_audit_inputs
     inputs = read_audit_inputs(read_messages(spark, "text", stream=True, path=f"{out}/in"))
     finish(jobs.stream_audit(jobs.audit_inputs(inputs), f"{out}/data", f"{out}/checkpoint"))
     return H.verify_chain(jobs.read_chain(spark, f"{out}/data")).drop("head_hash")
@@ -96,8 +97,6 @@ def _(spark, sf):
     sha256({CTX} || chr(0) || 'Classify.') AS prompt_hash, TRUE AS chained FROM picked"""))
 def _(spark, sf):
     """Digests landed as messages, decided by the stream, decisions read back from its messages."""
-    from auditweave.operators import decide as D
-    from auditweave.sources.events import read_decisions, read_digests
     out = shared_folder(spark, "decide")
     sinks.write_messages(sinks.digest_messages(daily_digests(spark, sf)).select("value"), "text", f"{out}/in")
     digests = read_digests(read_messages(spark, "text", stream=True, path=f"{out}/in"))
@@ -173,7 +172,6 @@ def _(spark, sf):
 
 @query("write_dead_letter", with_ev(BAD_EV, f"SELECT n, {REASON} AS reason FROM bad WHERE ({REASON}) IS NOT NULL"))
 def _(spark, sf):
-    from auditweave.operators import validate as V
     out = shared_folder(spark, "rejects")
     _good, rejected = V.split_rejects(V.validate_events(faulty_events(spark, sf)))
     sinks.write_dead_letter(rejected, out)

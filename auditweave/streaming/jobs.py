@@ -22,6 +22,8 @@ from auditweave.sources import sinks
 from auditweave.sources.events import decode_events
 
 
+AUDIT_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.AUDIT)
+
 # --- Plumbing ------------------------------------------------------------------
 
 
@@ -46,12 +48,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def read_batches(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
-    """Rows of all batches, or of batches before one (so a rerun does not see its own output)."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0))
-    rows = spark.read.schema(schema).option("basePath", path).parquet(path)
-    return rows if before is None else rows.where(F.col("batch_id") < before)
+def read_state(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """State left by the batch before; empty for the first batch.
+
+    Every batch writes its whole (bounded) state, so one small directory is read whatever the age of the
+    stream, and a rerun starts from the same state.
+    """
+    before = batch_dir(path, batch_id - 1)
+    if batch_id == 0 or not path_exists(spark, before):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(before)
 
 
 # --- Curate ------------------------------------------------------------------------
@@ -70,32 +76,33 @@ def curate_batch(
     """Batch function: one digest per group of the micro-batch, none for an empty batch.
 
     ``window`` (for example ``"5 seconds"``) also groups by event-time window; without it the
-    micro-batch itself is the window. Selected ids are kept under ``{out}/shown`` and suppressed in later
-    batches; digests go to ``{out}/digests``.
+    micro-batch itself is the window. The ``limit`` newest selected ids are kept under ``{out}/shown`` and
+    suppressed in later batches; digests go to ``{out}/digests``.
     """
     shown_schema = "event_id string, shown_at timestamp"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        try:
-            keys = list(by)
-            if window:
-                batch = batch.withColumn("window_end", F.window("timestamp", window)["end"])
-                keys.append("window_end")
-            if batch.isEmpty():
-                return
-            shown = newest_shown(read_batches(spark, f"{out}/shown", shown_schema, batch_id).drop("batch_id"), limit)
-            # the suppressed selection is used three times: digest, scores and the new shown ids
-            picked = curate.select_events(batch, strategy, k, keys, shown, **options).persist()
-            scores = curate.digest_scores(picked, batch, keys, shown)
-            end = F.col("window_end") if window else F.current_timestamp()
-            write_batch(curate.digest_records(picked, scores, strategy, keys, end), f"{out}/digests", batch_id)
-            at = F.col("window_end") if window else F.current_timestamp()
-            write_batch(picked.select("event_id", at.alias("shown_at")), f"{out}/shown", batch_id)
-            picked.unpersist()
-        finally:
+        keys = list(by)
+        if window:
+            batch = batch.withColumn("window_end", F.window("timestamp", window)["end"])
+            keys.append("window_end")
+        shown = read_state(spark, f"{out}/shown", shown_schema, batch_id)
+        if batch.isEmpty():
+            write_batch(shown, f"{out}/shown", batch_id)
             batch.unpersist()
+            return
+        small = F.broadcast(shown) if limit <= 100_000 else shown  # at most limit rows
+        # the selection feeds the digest, its scores and the new shown ids
+        picked = curate.select_events(batch, strategy, k, keys, small, **options).persist()
+        scores = curate.digest_scores(picked, batch, keys, small)
+        end = F.col("window_end") if window else F.current_timestamp()
+        write_batch(curate.digest_records(picked, scores, strategy, keys, end), f"{out}/digests", batch_id)
+        both = shown.unionByName(picked.select("event_id", end.alias("shown_at")))
+        write_batch(newest_shown(both, limit), f"{out}/shown", batch_id)
+        picked.unpersist()
+        batch.unpersist()
 
     return apply
 
@@ -122,17 +129,17 @@ def split_late(events: DataFrame, newest_us: Column, delay_seconds: float = 30.0
 def late_split_batch(out: str, delay_seconds: float = 30.0) -> Callable[[DataFrame, int], None]:
     """Batch function: rows on time to ``{out}/events``, late ones to ``{out}/late``.
 
-    The newest time of earlier batches is kept per batch under ``{out}/newest``.
+    The newest time seen so far is kept under ``{out}/newest``.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = read_batches(spark, f"{out}/newest", "newest_us long", batch_id)
+        seen = read_state(spark, f"{out}/newest", "newest_us long", batch_id)
         newest = seen.agg(F.max("newest_us")).first()[0]
         batch = batch.persist()
         on_time, late = split_late(batch, F.lit(newest).cast("long"), delay_seconds)
         write_batch(on_time, f"{out}/events", batch_id)
         write_batch(late, f"{out}/late", batch_id)
-        top = batch.agg(F.max(micros(F.col("timestamp"))).alias("newest_us"))
+        top = batch.select(micros(F.col("timestamp")).alias("newest_us")).unionByName(seen).agg(F.max("newest_us").alias("newest_us"))
         write_batch(top, f"{out}/newest", batch_id)
         batch.unpersist()
 
@@ -189,26 +196,25 @@ def stream_alerts(events: DataFrame, seconds: float = S.THROTTLE_SECONDS) -> Dat
 def audit_batch(out: str) -> Callable[[DataFrame, int], None]:
     """Batch function: append (tenant, timestamp, kind, payload, row_id) rows to the chains under ``out``.
 
-    Heads are kept per batch under ``{out}/heads``, so appending reads one small row per tenant, not the
-    log. A rerun of a batch continues from the same heads and writes the same records.
+    The heads of all tenants are kept under ``{out}/heads``, so appending reads one small row per tenant,
+    not the log. A rerun of a batch continues from the same heads and writes the same records.
     """
     head_schema = "tenant string, next_sequence long, head_hash string"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        heads = read_batches(spark, f"{out}/heads", head_schema, batch_id).groupBy("tenant").agg(
-            F.max("next_sequence").alias("next_sequence"), F.max_by("head_hash", "next_sequence").alias("head_hash")
-        )
+        heads = read_state(spark, f"{out}/heads", head_schema, batch_id)
         write_batch(chain.append_chain(batch, heads), f"{out}/records", batch_id)
-        written = spark.read.parquet(batch_dir(f"{out}/records", batch_id))
+        written = spark.read.schema(AUDIT_DDL).parquet(batch_dir(f"{out}/records", batch_id))
         new_heads = chain.chain_stats(written).select("tenant", "next_sequence", "head_hash")
-        write_batch(new_heads, f"{out}/heads", batch_id)
+        untouched = heads.join(new_heads, "tenant", "left_anti")
+        write_batch(new_heads.unionByName(untouched), f"{out}/heads", batch_id)
 
     return apply
 
 
 def read_chain(spark: SparkSession, out: str) -> DataFrame:
-    return read_batches(spark, f"{out}/records", S.AUDIT.simpleString()[7:-1].replace(":", " ")).select(*S.AUDIT.fieldNames())
+    return spark.read.schema(AUDIT_DDL).parquet(f"{out}/records").select(*S.AUDIT.fieldNames())
 
 
 def audit_inputs(inputs: DataFrame, tenant: str = "default", at: Column | None = None) -> DataFrame:
@@ -278,7 +284,7 @@ def _liveness(stalled_ms: int):
 def source_liveness(events: DataFrame, stalled_seconds: float = 90.0, delay: str = "30 seconds") -> DataFrame:
     """Per source: ``alive`` on every batch with events, ``stalled`` once when none came for the given event time.
 
-    Rows are thinned to one per source, second and batch partition of the stream before the state.
+    A source's rows of one batch are read as a stream of Arrow chunks, so a busy source needs no memory.
     """
     rows = events.withWatermark("timestamp", delay).select("source_id", "timestamp", micros(F.col("timestamp")).alias("us"))
     return rows.groupBy("source_id").applyInPandasWithState(

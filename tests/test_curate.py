@@ -141,6 +141,14 @@ def test_strategies_equal_the_model(spark, strategy, case):
     assert found == {g: sorted(r[0] for r in model(rs, strategy, k, d, preferred)) for g, rs in groups.items()}
 
 
+@pytest.mark.parametrize("bound", [500_000, 1])
+def test_late_fetch_returns_the_same_rows(spark, small, monkeypatch, bound):
+    monkeypatch.setattr(C.fetch_events, "__defaults__", (bound,))
+    late = C.select_min_diversity(small, 8, 80, by=["event_type"], late=True)
+    assert late.columns == small.columns
+    assert sorted(late.collect()) == sorted(C.select_min_diversity(small, 8, 80, by=["event_type"]).collect())
+
+
 def test_truncation_uses_double_arithmetic(spark):
     """5 sources at 80 percent drop 0, because 5 * (1 - 0.8) is just under 1."""
     ev = make_events(spark, [event(i, f"s{i}", i) for i in range(5)])
