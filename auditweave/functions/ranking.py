@@ -98,9 +98,17 @@ def rank_band(
     )
 
 
-def positions(df: DataFrame, keys: Sequence[str], cell: str, order: Sequence[Column], name: str) -> DataFrame:
-    """0-based position of every row within its key, exact and without one task per key."""
+def positions(
+    df: DataFrame, keys: Sequence[str], cell: str, order: Sequence[Column], name: str, per_key: DataFrame | None = None
+) -> DataFrame:
+    """0-based position of every row within its key, exact and without one task per key.
+
+    Columns of ``per_key`` (one row per key, not all keys needed) are attached on the way: they join the
+    small table of cells, not the rows.
+    """
     offsets = cell_offsets(df, keys, cell).select(*keys, cell, "_before")
+    if per_key is not None:
+        offsets = offsets.join(per_key, list(keys), "left")
     w = Window.partitionBy(*keys, cell).orderBy(*order)
     out = df.join(offsets, [*keys, cell]).withColumn(name, F.col("_before") + F.row_number().over(w) - 1)
     return out.drop("_before")

@@ -198,7 +198,7 @@ def _throttle_few(rows: DataFrame, gap: int) -> DataFrame:
 
 def _throttle_many(rows: DataFrame, gap: int, block: int) -> DataFrame:
     """Block-wise exact throttle for keys with many alerts; returns kept (key, us)."""
-    cut = rows.select("key", "us", F.floor(F.col("us") / block).cast("long").alias("block")).distinct()
+    cut = rows.select("key", "us", "block").distinct()
     summary = cut.groupBy("key", "block").applyInPandas(
         _block_summary(gap, block), "key string, block long, upto array<bigint>, exits array<bigint>"
     )
@@ -220,8 +220,11 @@ def throttle_alerts(
     gap = int(seconds * 1_000_000)
     block = max(int((block_seconds or 64 * seconds) * 1_000_000), gap, 1)
     keyed = alerts.withColumn("key", throttle_key() if key is None else key).withColumn("us", micros(F.col("created_at")))
-    times = keyed.select("key", "us")
-    sized = times.join(times.groupBy("key").agg(F.count(F.lit(1)).alias("_n")), "key")
+    times = keyed.select("key", "us", F.floor(F.col("us") / block).cast("long").alias("block"))
+    # totals per key from the small table of blocks, so that no join is on the key alone
+    blocks = times.groupBy("key", "block").agg(F.count(F.lit(1)).alias("_in"))
+    blocks = blocks.withColumn("_n", F.sum("_in").over(Window.partitionBy("key"))).drop("_in")
+    sized = times.join(blocks, ["key", "block"])
     kept = _throttle_few(sized.where(F.col("_n") <= few), gap).unionByName(
         _throttle_many(sized.where(F.col("_n") > few), gap, block)
     )

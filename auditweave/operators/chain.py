@@ -20,17 +20,20 @@ from pyspark.sql import functions as F
 
 from auditweave import schema as S
 from auditweave.functions.columns import RECORD_SUFFIX, micros, present, record_hash, record_prefix
-from auditweave.functions.ranking import positions, time_cell
+from auditweave.functions.ranking import bounded_broadcast, positions, time_cell
+from auditweave.session import shared_folder
 
 COLUMNS = S.AUDIT.fieldNames()
+MAX_TENANTS_BROADCAST = 200_000  # checkpoint rows of about 100 bytes
 
 
 # --- Verify ------------------------------------------------------------------
 
 
-def link_records(audit: DataFrame) -> DataFrame:
+def link_records(audit: DataFrame, trusted: DataFrame | None = None) -> DataFrame:
     """Every record with its stored predecessor's hash (null when there is none).
 
+    ``trusted`` (tenant, sequence, hash) are records outside the table that may be predecessors too.
     Columns: tenant, sequence, hash, prev_hash, self_ok (stored hash fits the record's own fields),
     pred_hash, copies (records sharing the sequence).
     """
@@ -41,30 +44,33 @@ def link_records(audit: DataFrame) -> DataFrame:
         "tenant", "sequence", (F.col("sequence") - 1).alias("_at"), "hash", "prev_hash",
         F.coalesce(self_ok, F.lit(False)).alias("self_ok"),
     )
-    before = audit.groupBy("tenant", F.col("sequence").alias("_at")).agg(F.max("hash").alias("pred_hash"))
+    known = audit.select("tenant", "sequence", "hash")
+    if trusted is not None:
+        known = known.unionByName(trusted.select("tenant", "sequence", "hash"))
+    before = known.groupBy("tenant", F.col("sequence").alias("_at")).agg(F.max("hash").alias("pred_hash"))
     # sequence - 1 identifies the sequence, so counting copies reuses the join's partitioning
     copies = F.count(F.lit(1)).over(Window.partitionBy("tenant", "_at"))
     return records.join(before, ["tenant", "_at"], "left").withColumn("copies", copies).drop("_at")
 
 
+def after_checkpoints(audit: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Records above their tenant's checkpoint; tenants without one are kept whole."""
+    cuts = bounded_broadcast(checkpoints.select("tenant", F.col("sequence").alias("_from")), MAX_TENANTS_BROADCAST)
+    return (
+        audit.join(cuts, "tenant", "left")
+        .where(F.col("_from").isNull() | (F.col("sequence") > F.col("_from"))).drop("_from")
+    )
+
+
 def bad_records(audit: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame:
     """Records that break their chain, with ``reason``.
 
-    ``checkpoints`` (tenant, sequence, hash) are trusted records a chain may continue from; without
-    one, a chain must start at sequence 0 with an empty previous hash.
+    ``checkpoints`` (tenant, sequence, hash) are trusted records a chain may continue from; records up
+    to them are not looked at. A tenant without one must start at sequence 0 with an empty previous hash.
     """
-    linked = link_records(audit)
-    if checkpoints is None:
-        linked = linked.withColumn("_cp_seq", F.lit(-1).cast("long")).withColumn("_cp_hash", F.lit(""))
-    else:
-        cp = checkpoints.select("tenant", F.col("sequence").alias("_cp_seq"), F.col("hash").alias("_cp_hash"))
-        linked = (
-            linked.join(cp, "tenant", "left")
-            .withColumn("_cp_hash", F.when(F.col("_cp_seq").isNull(), "").otherwise(F.col("_cp_hash")))
-            .withColumn("_cp_seq", F.coalesce("_cp_seq", F.lit(-1).cast("long")))
-            .where(F.col("sequence") > F.col("_cp_seq"))
-        )
-    expected = F.when(F.col("sequence") == F.col("_cp_seq") + 1, F.col("_cp_hash")).otherwise(F.col("pred_hash"))
+    newer = audit if checkpoints is None else after_checkpoints(audit, checkpoints)
+    linked = link_records(newer, checkpoints)
+    expected = F.when(F.col("sequence") == 0, "").otherwise(F.col("pred_hash"))
     reason = (
         F.when(F.col("copies") > 1, "duplicate sequence")
         .when(~F.col("self_ok"), "hash does not fit the record")
@@ -83,25 +89,26 @@ def chain_stats(audit: DataFrame) -> DataFrame:
     )
 
 
-def verify_chain(audit: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame:
-    """Per tenant: valid, first bad sequence, length, head hash."""
-    bad = bad_records(audit, checkpoints).groupBy("tenant").agg(F.min("sequence").alias("first_bad"))
+def _verdict(audit: DataFrame, first_bad: DataFrame) -> DataFrame:
     return (
-        chain_stats(audit).join(bad, "tenant", "left")
+        chain_stats(audit).join(first_bad, "tenant", "left")
         .select("tenant", F.col("first_bad").isNull().alias("valid"), "first_bad", "length", "head_hash")
     )
 
 
+def verify_chain(audit: DataFrame) -> DataFrame:
+    """Per tenant: valid, first bad sequence, length, head hash."""
+    return _verdict(audit, bad_records(audit).groupBy("tenant").agg(F.min("sequence").alias("first_bad")))
+
+
 def verify_since(audit: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Incremental verification: only records above each tenant's checkpoint (tenant, sequence, hash).
 
     Tenants without a checkpoint are verified from the start.
     """
-    newer = (
-        audit.join(checkpoints.select("tenant", F.col("sequence").alias("_from")), "tenant", "left")
-        .where(F.col("_from").isNull() | (F.col("sequence") > F.col("_from"))).drop("_from")
-    )
-    return verify_chain(newer, checkpoints)
+    newer = after_checkpoints(audit, checkpoints)
+    bad = bad_records(audit, checkpoints).groupBy("tenant").agg(F.min("sequence").alias("first_bad"))
+    return _verdict(newer, bad)
 
 
 def anchor_heads(audit: DataFrame, at: Column) -> DataFrame:
@@ -155,15 +162,14 @@ def assign_sequence(rows: DataFrame, heads: DataFrame | None = None, cell_micros
     """
     cells = rows.withColumn("_cell", time_cell(micros(F.col("timestamp")), cell_micros))
     order = [F.col("timestamp").asc(), F.col("row_id").asc()]
-    numbered = positions(cells, ["tenant"], "_cell", order, "_pos").drop("_cell")
+    start = None
+    if heads is not None:
+        start = heads.select("tenant", F.col("next_sequence").alias("_next"), F.col("head_hash").alias("_head"))
+    numbered = positions(cells, ["tenant"], "_cell", order, "_pos", start).drop("_cell")
     if heads is None:
-        return numbered.withColumn("sequence", F.col("_pos").cast("long")).withColumn("_head", F.lit("")).drop("_pos")
-    h = heads.select("tenant", "next_sequence", F.col("head_hash").alias("_head"))
-    return (
-        numbered.join(h, "tenant", "left")
-        .withColumn("sequence", (F.col("_pos") + F.coalesce("next_sequence", F.lit(0))).cast("long"))
-        .withColumn("_head", F.coalesce("_head", F.lit(""))).drop("_pos", "next_sequence")
-    )
+        numbered = numbered.withColumn("_next", F.lit(0)).withColumn("_head", F.lit(""))
+    sequence = (F.col("_pos") + F.coalesce("_next", F.lit(0))).cast("long")
+    return numbered.withColumn("sequence", sequence).withColumn("_head", F.coalesce("_head", F.lit(""))).drop("_pos", "_next")
 
 
 def check_kinds(rows: DataFrame) -> DataFrame:
@@ -256,8 +262,8 @@ def audit_retention(audit: DataFrame, as_of: Column, keep_days: int = 7 * 365) -
     cut = audit.where(old).groupBy("tenant").agg(
         F.max("sequence").alias("sequence"), F.max_by("hash", "sequence").alias("hash")
     )
-    kept = (
-        audit.join(cut.select("tenant", F.col("sequence").alias("_cut")), "tenant", "left")
-        .where(F.col("_cut").isNull() | (F.col("sequence") > F.col("_cut"))).drop("_cut")
-    )
-    return kept, cut
+    spark = audit.sparkSession
+    path = shared_folder(spark, "retention")
+    cut.write.parquet(path)  # one row per tenant, needed again to verify what is kept
+    cut = spark.read.parquet(path)
+    return after_checkpoints(audit, cut), cut
