@@ -219,17 +219,21 @@ def throttle_alerts(
     """
     gap = int(seconds * 1_000_000)
     block = max(int((block_seconds or 64 * seconds) * 1_000_000), gap, 1)
-    keyed = alerts.withColumn("key", throttle_key() if key is None else key).withColumn("us", micros(F.col("created_at")))
-    times = keyed.select("key", "us", F.floor(F.col("us") / block).cast("long").alias("block"))
+    keyed = (
+        alerts.withColumn("key", throttle_key() if key is None else key)
+        .withColumn("us", micros(F.col("created_at"))).withColumn("block", F.floor(F.col("us") / block).cast("long"))
+    )
     # totals per key from the small table of blocks, so that no join is on the key alone
-    blocks = times.groupBy("key", "block").agg(F.count(F.lit(1)).alias("_in"))
+    blocks = keyed.groupBy("key", "block").agg(F.count(F.lit(1)).alias("_in"))
     blocks = blocks.withColumn("_n", F.sum("_in").over(Window.partitionBy("key"))).drop("_in")
-    sized = times.join(blocks, ["key", "block"])
-    kept = _throttle_few(sized.where(F.col("_n") <= few), gap).unionByName(
-        _throttle_many(sized.where(F.col("_n") > few), gap, block)
+    sized = keyed.join(blocks, ["key", "block"])
+    single, several = sized.where(F.col("_n") == 1), sized.where(F.col("_n") > 1)
+    times = several.select("key", "us", "block", "_n")
+    kept = _throttle_few(times.where(F.col("_n") <= few), gap).unionByName(
+        _throttle_many(times.where(F.col("_n") > few), gap, block)
     )
-    out = keyed.join(kept, ["key", "us"], "left_semi")
-    return top_n(out, ["key", "us"], [F.col("id").asc()], 1, salt_by="id").drop("key", "us")
+    first = top_n(several.join(kept, ["key", "us"], "left_semi"), ["key", "us"], [F.col("id").asc()], 1, salt_by="id")
+    return single.unionByName(first.select(single.columns)).select(*alerts.columns)
 
 
 def alerts_newest_first(alerts: DataFrame, n: int = S.RECENT_ALERTS) -> DataFrame:

@@ -14,7 +14,8 @@ chained in turn.
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,27 +132,36 @@ def check_anchors(audit: DataFrame, anchors: DataFrame) -> DataFrame:
 # --- Append ------------------------------------------------------------------
 
 
-def fold_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chain hashes over rows sorted by (chain, position); keeps only the running hash between batches."""
-    chain, prev = None, ""
-    for pdf in batches:
+def fold_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chain hashes over rows sorted by (chain, sequence); keeps only the running hash between batches.
+
+    Only the key and body columns become Python objects; all others are passed on as they are.
+    """
+    chain, prev, suffix = None, b"", RECORD_SUFFIX.encode()
+    for batch in batches:
         prevs, hashes = [], []
-        for key, start, body in zip(pdf["_chain"], pdf["_start"], pdf["_body"]):
-            if key != chain:
-                chain, prev = key, start
-            prevs.append(prev)
-            prev = hashlib.sha256((body + prev + RECORD_SUFFIX).encode("utf-8")).hexdigest()
-            hashes.append(prev)
-        yield pdf.assign(prev_hash=prevs, hash=hashes).drop(columns=["_chain", "_start", "_body"])
+        keys = batch.column("_chain").to_numpy(zero_copy_only=False)
+        bodies = batch.column("_body").to_pandas().tolist()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for begin, end in zip(edges, edges[1:]):  # one run per chain
+            if begin < end and keys[begin] != chain:
+                chain, prev = keys[begin], batch.column("_start")[begin].as_py().encode()
+            for body in bodies[begin:end]:
+                prevs.append(prev)
+                prev = hashlib.sha256(body + prev + suffix).hexdigest().encode()
+                hashes.append(prev)
+        kept = [c for c in batch.schema.names if c not in ("_chain", "_start", "_body")]
+        columns = [batch.column(c) for c in kept] + [pa.array(c, pa.binary()).cast(pa.string()) for c in (prevs, hashes)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*kept, "prev_hash", "hash"])
 
 
 def _fold(rows: DataFrame, chain: Column, start: Column) -> DataFrame:
     """Add prev_hash and hash to sequenced rows; one ordered stream per chain key."""
-    body = record_prefix(F.col("sequence"), F.col("timestamp"), F.col("kind"), F.col("payload"))
+    body = record_prefix(F.col("sequence"), F.col("timestamp"), F.col("kind"), F.col("payload")).cast("binary")
     keyed = rows.select("*", chain.alias("_chain"), start.alias("_start"), body.alias("_body"))
     ordered = keyed.repartition("_chain").sortWithinPartitions("_chain", "sequence")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return ordered.mapInPandas(fold_hashes, f"{out}, prev_hash string, hash string")
+    return ordered.mapInArrow(fold_hashes, f"{out}, prev_hash string, hash string")
 
 
 def assign_sequence(rows: DataFrame, heads: DataFrame | None = None, cell_micros: int = 1_000_000) -> DataFrame:
