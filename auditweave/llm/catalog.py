@@ -1,6 +1,6 @@
 """All training-data queries."""
 
-from auditweave.llm import mixing, quality  # noqa: F401
+from auditweave.llm import bpe, mixing, quality  # noqa: F401
 from auditweave.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
