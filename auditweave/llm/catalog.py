@@ -1,6 +1,6 @@
 """All training-data queries."""
 
-from auditweave.llm import bpe, mixing, packing, quality, toxicity  # noqa: F401
+from auditweave.llm import bpe, minmax, mixing, packing, quality, toxicity  # noqa: F401
 from auditweave.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
