@@ -1,6 +1,6 @@
 """All training-data queries."""
 
-from auditweave.llm import bpe, minmax, mixing, neighbours, packing, quality, suffixes, toxicity  # noqa: F401
+from auditweave.llm import bpe, chaining, minmax, mixing, neighbours, packing, quality, suffixes, toxicity  # noqa: F401
 from auditweave.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

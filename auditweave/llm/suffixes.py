@@ -410,23 +410,23 @@ def _first_of_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _span_batch(doc[later], place[later], np.ones(int(later.sum()), dtype=np.int32))
 
 
-def _rows_of(docs: DataFrame) -> DataFrame:
+def rows_of(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"),
         F.pmod(F.xxhash64(text), F.lit(1 << TAG_BITS)).alias("tag"), text.alias("text"))
 
 
-def _tag(place: Column) -> Column:
+def tag_of(place: Column) -> Column:
     return F.shiftright(place, OFFSET_BITS)
 
 
-def _offset(place: Column) -> Column:
+def offset_of(place: Column) -> Column:
     return place.bitwiseAND(F.lit((1 << OFFSET_BITS) - 1))
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, tag, spans): per document of ``_rows_of`` with any, the first start and number of removed strings."""
+    """(doc, tag, spans): per document of ``rows_of`` with any, the first start and number of removed strings."""
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = [], 0
@@ -440,20 +440,20 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         if block:
             yield from _emit_classes(block, length, gram)
 
-    rows = _rows_of(docs)
+    rows = rows_of(docs)
     emitted = rows.select("doc", "tag", F.col("text").cast("binary").alias("data")).mapInArrow(classes, _ROWS_DDL)
     # Marks before classes: a gram that is common anywhere is dealt everywhere.
     met = emitted.repartition("key").sortWithinPartitions("key", "kind", "whole", "doc", "place").mapInArrow(_meet, _ROWS_DDL)
     found = cut(met, "suffix-classes")
-    open_ = found.where(f"kind <> {REMOVED}").select("key", "doc", "place", "number", "kind", _tag(F.col("place")).alias("tag"))
-    piece = F.substring(F.col("text").cast("binary"), (_offset(F.col("place")) + 1).cast("int"), F.col("number") + (length - 1))
+    open_ = found.where(f"kind <> {REMOVED}").select("key", "doc", "place", "number", "kind", tag_of(F.col("place")).alias("tag"))
+    piece = F.substring(F.col("text").cast("binary"), (offset_of(F.col("place")) + 1).cast("int"), F.col("number") + (length - 1))
     pieces = open_.join(rows, ["doc", "tag"]).select("key", "doc", "place", "kind", piece.alias("piece"))
     sorted_out = pieces.where(f"kind = {CLASS}").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_classes(length), _SPANS)
     dealt = pieces.where(f"kind = {DEALT}").mapInArrow(_deal(length), "x long, y long, doc long, place long, gone boolean")
     dealt = dealt.repartition("x", "y").sortWithinPartitions("x", "y", "doc", "place").mapInArrow(_first_of_dealt, _SPANS)
     spans = found.where(f"kind = {REMOVED}").select("doc", "place", "number").unionByName(sorted_out).unionByName(dealt)
-    return spans.groupBy("doc", _tag(F.col("place")).alias("tag")).agg(
-        F.collect_list(F.struct(_offset(F.col("place")).alias("start"), "number")).alias("spans"))
+    return spans.groupBy("doc", tag_of(F.col("place")).alias("tag")).agg(
+        F.collect_list(F.struct(offset_of(F.col("place")).alias("start"), "number")).alias("spans"))
 
 
 def removed_runs(spans: list, length: int) -> list[tuple[int, int]]:
@@ -469,7 +469,7 @@ def removed_runs(spans: list, length: int) -> list[tuple[int, int]]:
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, the remaining bytes, the removed ranges, n_bytes."""
-    rows = _rows_of(docs)
+    rows = rows_of(docs)
     spans = removed_spans(docs, length, gram)
     schema = pa.schema([("doc_id", pa.int64()), ("data", pa.binary()), ("runs", pa.list_(pa.list_(pa.int64()))), ("n_bytes", pa.int64())])
 
