@@ -27,9 +27,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(
     r"\S", r"\P{White_Space}")
 #: Longest text that a worker remembers, and its numbers of matches and of chunks.
-LONGEST, MATCHES, CHUNKS = 48, 400_000, 200_000
-_NONE = 1 << 62
-_PLACE = (1 << 40) - 1
+LONGEST, MATCHES, CHUNKS = 48, 500_000, 500_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], longest: int = 1 << 30) -> list[int]:
@@ -40,44 +38,48 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int = 1 << 30) -> list
     n = len(piece)
     if n < 2:
         return [ranks[piece]] if n else []
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
     find = ranks.get
-    # A leaf holds rank and position in one number, so the least is the leftmost of the least rank.
-    tree = [_NONE] * (2 * size)
+    # A leaf holds rank and position in one number, so the least is the leftmost of the least rank. Numbers of short
+    # matches stay below 2^30, which Python handles fastest.
+    shift = n.bit_length()
+    place = (1 << shift) - 1
+    none = 1 << 29 if shift <= 10 else 1 << shift + 32
+    size = 1 << (n - 2).bit_length()
+    leaves = [none] * size
     for i in range(n - 1):
         rank = find(piece[i:i + 2])
         if rank is not None:
-            tree[size + i] = rank << 40 | i
+            leaves[i] = rank << shift | i
+    tree = [none] * size + leaves
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-    after = list(range(1, n + 1))  # the next live position
+    after = list(range(1, n + 2))  # the next live position
     before = list(range(-1, n))
     least = tree[1]
-    while least != _NONE:
-        at = least & _PLACE
+    while least != none:
+        at = least & place
         gone = after[at]
         after[at] = end = after[gone]
         before[end] = at
-        # Leaves that change: the pair that starts here, the one before, the position that died (unless it is the last).
-        if end < n and after[end] - at <= longest:
-            rank = find(piece[at:after[end]])
-            tree[size + at] = _NONE if rank is None else rank << 40 | at
-        else:
-            tree[size + at] = _NONE
-        stale = [at]
-        left = before[at]
-        if left >= 0:
-            rank = find(piece[left:end]) if end - left <= longest else None
-            tree[size + left] = _NONE if rank is None else rank << 40 | left
-            if left >> 1 != at >> 1:
-                stale.append(left)
-        if gone < n - 1:
-            tree[size + gone] = _NONE
-            if gone >> 1 != at >> 1:
-                stale.append(gone)
-        for k in stale:
-            k = size + k >> 1
+        # The pair that starts here.
+        rank = find(piece[at:after[end]]) if end < n and after[end] - at <= longest else None
+        k = size + at
+        tree[k] = none if rank is None else rank << shift | at
+        k >>= 1
+        while k:
+            a, b = tree[2 * k], tree[2 * k + 1]
+            if b < a:
+                a = b
+            if tree[k] == a:
+                break
+            tree[k] = a
+            k >>= 1
+        # The position that died, unless it started no pair.
+        k = size + gone
+        if gone < n - 1 and tree[k] != none:
+            tree[k] = none
+            k >>= 1
             while k:
                 a, b = tree[2 * k], tree[2 * k + 1]
                 if b < a:
@@ -86,6 +88,23 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int = 1 << 30) -> list
                     break
                 tree[k] = a
                 k >>= 1
+        # The pair before.
+        left = before[at]
+        if left >= 0:
+            rank = find(piece[left:end]) if end - left <= longest else None
+            k = size + left
+            value = none if rank is None else rank << shift | left
+            if tree[k] != value:
+                tree[k] = value
+                k >>= 1
+                while k:
+                    a, b = tree[2 * k], tree[2 * k + 1]
+                    if b < a:
+                        a = b
+                    if tree[k] == a:
+                        break
+                    tree[k] = a
+                    k >>= 1
         least = tree[1]
     ids, at = [], 0
     while at < n:
