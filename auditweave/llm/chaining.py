@@ -137,17 +137,30 @@ def common_words(a: list, b: list) -> int:
     return n + row[-1]
 
 
-def _grow(a: list, b: list) -> tuple[int, int]:
-    """(words, equal words) that continue both sides: one point for an equal pair, two off for another, stop 6 below."""
-    best, taken, equal, score, same = 0, 0, 0, 0, 0
-    for i, (v, w) in enumerate(zip(a, b), 1):
-        same += v == w
-        score += 1 if v == w else -2
-        if score > best:
-            best, taken, equal = score, i, same
-        if score < best - 6:
+#: Places where two texts may meet again behind a difference, nearest first.
+_DETOURS = sorted(((i, j) for i in range(4) for j in range(4) if i or j), key=lambda d: (d[0] + d[1], max(d)))
+
+
+def _grow(a: list, b: list) -> tuple[int, int, int]:
+    """(words, words of the longer side, equal words) that continue both sides.
+
+    Equal words give a point each; where they differ, two equal words at most three words on go on, for two points a
+    word passed. The best end counts; 6 points below it the search stops.
+    """
+    best, out, score, i, j, equal, longer = 0, (0, 0, 0), 0, 0, 0, 0, 0
+    while i < len(a) and j < len(b) and score >= best - 6:
+        if a[i] == b[j]:
+            i, j, equal, longer, score = i + 1, j + 1, equal + 1, longer + 1, score + 1
+            if score > best:
+                best, out = score, (i, longer, equal)
+            continue
+        for x, y in _DETOURS:
+            if a[i + x:i + x + 2] == b[j + y:j + y + 2] and len(a[i + x:i + x + 2]) == 2:
+                i, j, longer, score = i + x, j + y, longer + max(x, y), score - 2 * max(x, y)
+                break
+        else:
             break
-    return taken, equal
+    return out
 
 
 def align(raw: bytes, other: bytes, xs: list[int], ys: list[int], k: int = K, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
@@ -167,13 +180,13 @@ def align(raw: bytes, other: bytes, xs: list[int], ys: list[int], k: int = K, pe
         return []
     steps = []  # (first word, words, words of the longer side, equal words)
     (x0, y0), (x1, y1) = seeds_[0], seeds_[-1]
-    taken, equal = _grow(a[:x0][::-1], b[:y0][::-1])
+    taken, longer, equal = _grow(a[:x0][::-1], b[:y0][::-1])
     if taken:
-        steps.append((x0 - taken, taken, taken, equal))
+        steps.append((x0 - taken, taken, longer, equal))
     for (x, y), (u, v) in zip(seeds_, seeds_[1:]):
         steps.append((x, u - x, max(u - x, v - y), common_words(a[x:u], b[y:v])))
-    taken, equal = _grow(a[x1:], b[y1:])
-    steps.append((x1, taken, taken, equal))
+    taken, longer, equal = _grow(a[x1:], b[y1:])
+    steps.append((x1, taken, longer, equal))
     out = []
 
     def best_stretches(lo: int, hi: int) -> None:
