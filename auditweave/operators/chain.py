@@ -21,11 +21,10 @@ from pyspark.sql import functions as F
 
 from auditweave import schema as S
 from auditweave.functions.columns import RECORD_SUFFIX, micros, present, record_hash, record_prefix
-from auditweave.functions.ranking import bounded_broadcast, positions, time_cell
+from auditweave.functions.ranking import positions, time_cell
 from auditweave.session import shared_folder
 
 COLUMNS = S.AUDIT.fieldNames()
-MAX_TENANTS_BROADCAST = 200_000  # checkpoint rows of about 100 bytes
 
 
 # --- Verify ------------------------------------------------------------------
@@ -56,7 +55,7 @@ def link_records(audit: DataFrame, trusted: DataFrame | None = None) -> DataFram
 
 def after_checkpoints(audit: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Records above their tenant's checkpoint; tenants without one are kept whole."""
-    cuts = bounded_broadcast(checkpoints.select("tenant", F.col("sequence").alias("_from")), MAX_TENANTS_BROADCAST)
+    cuts = checkpoints.select("tenant", F.col("sequence").alias("_from"))
     return (
         audit.join(cuts, "tenant", "left")
         .where(F.col("_from").isNull() | (F.col("sequence") > F.col("_from"))).drop("_from")
@@ -105,11 +104,16 @@ def verify_chain(audit: DataFrame) -> DataFrame:
 def verify_since(audit: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Incremental verification: only records above each tenant's checkpoint (tenant, sequence, hash).
 
-    Tenants without a checkpoint are verified from the start.
+    Tenants without a checkpoint are verified from the start. A tenant with nothing above its checkpoint has its row
+    too: length 0 and the checkpoint's hash as head, so a chain that was cut back is not passed over.
     """
     newer = after_checkpoints(audit, checkpoints)
     bad = bad_records(audit, checkpoints).groupBy("tenant").agg(F.min("sequence").alias("first_bad"))
-    return _verdict(newer, bad)
+    trusted = checkpoints.select("tenant", F.col("hash").alias("_trusted"))
+    return _verdict(newer, bad).join(trusted, "tenant", "full").select(
+        "tenant", F.coalesce("valid", F.lit(True)).alias("valid"), "first_bad",
+        F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("head_hash", "_trusted").alias("head_hash"),
+    )
 
 
 def anchor_heads(audit: DataFrame, at: Column) -> DataFrame:
@@ -167,8 +171,7 @@ def _fold(rows: DataFrame, chain: Column, start: Column) -> DataFrame:
 def assign_sequence(rows: DataFrame, heads: DataFrame | None = None, cell_micros: int = 1_000_000) -> DataFrame:
     """Number (tenant, timestamp, kind, payload, row_id) rows per tenant by (timestamp, row_id).
 
-    Continues after ``heads`` (tenant, next_sequence, head_hash). Rows without a kind are refused by
-    ``check_kinds`` before this step.
+    Continues after ``heads`` (tenant, next_sequence, head_hash).
     """
     cells = rows.withColumn("_cell", time_cell(micros(F.col("timestamp")), cell_micros))
     order = [F.col("timestamp").asc(), F.col("row_id").asc()]
@@ -187,9 +190,21 @@ def check_kinds(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", F.when(~F.coalesce(present(F.col("kind")), F.lit(False)), F.lit("kind required")))
 
 
+def refused_rows(rows: DataFrame) -> DataFrame:
+    """Rows that cannot be chained, with ``reason``."""
+    return check_kinds(rows).where(F.col("reason").isNotNull())
+
+
+def _with_kind(rows: DataFrame) -> DataFrame:
+    return check_kinds(rows).where(F.col("reason").isNull()).drop("reason")
+
+
 def append_chain(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """Audit records for new rows (tenant, timestamp, kind, payload, row_id), one chain per tenant."""
-    numbered = assign_sequence(rows, heads).select(
+    """Audit records for new rows (tenant, timestamp, kind, payload, row_id), one chain per tenant.
+
+    Rows without a kind are refused: they get no record. ``refused_rows`` gives them with their reason.
+    """
+    numbered = assign_sequence(_with_kind(rows), heads).select(
         "tenant", "sequence", "timestamp", "kind", "payload", "row_id", "_head"
     )
     return _fold(numbered, F.col("tenant"), F.col("_head")).select(*COLUMNS, "row_id")
@@ -203,7 +218,7 @@ def segment_chain(rows: DataFrame, segment_rows: int = 100_000) -> tuple[DataFra
     second chain per tenant, so altering any record changes a head, and altering a head breaks the
     head chain.
     """
-    numbered = assign_sequence(rows).select("tenant", "sequence", "timestamp", "kind", "payload", "row_id")
+    numbered = assign_sequence(_with_kind(rows)).select("tenant", "sequence", "timestamp", "kind", "payload", "row_id")
     numbered = numbered.withColumn("segment", F.floor(F.col("sequence") / segment_rows).cast("long"))
     records = _fold(numbered, F.struct("tenant", "segment").cast("string"), F.lit(""))
     return records, _fold(segment_heads(records), F.col("tenant"), F.lit(""))
@@ -265,13 +280,15 @@ def retention_tiers(df: DataFrame, as_of: Column, hot_days: int = 30, archive_da
 def audit_retention(audit: DataFrame, as_of: Column, keep_days: int = 7 * 365) -> tuple[DataFrame, DataFrame]:
     """(kept records, checkpoints at the cut).
 
-    A tenant loses the prefix up to its last record older than ``keep_days``; the checkpoint there
-    lets ``verify_since`` verify what is kept.
+    A tenant loses the records before its first one that is younger than ``keep_days``, whatever times come later: a
+    chain can only be cut at its start, and a late-stamped old record must not take young ones with it. A record without
+    a time counts as young. The checkpoint at the cut lets ``verify_since`` verify what is kept.
     """
-    old = (micros(as_of) - micros(F.col("timestamp"))) >= keep_days * 86_400_000_000
-    cut = audit.where(old).groupBy("tenant").agg(
-        F.max("sequence").alias("sequence"), F.max_by("hash", "sequence").alias("hash")
+    old = F.coalesce((micros(as_of) - micros(F.col("timestamp"))) >= keep_days * 86_400_000_000, F.lit(False))
+    ends = audit.groupBy("tenant").agg(
+        F.coalesce(F.min(F.when(~old, F.col("sequence"))) - 1, F.max("sequence")).alias("sequence")
     )
+    cut = audit.select("tenant", "sequence", "hash").join(ends, ["tenant", "sequence"])
     spark = audit.sparkSession
     path = shared_folder(spark, "retention")
     cut.write.parquet(path)  # one row per tenant, needed again to verify what is kept

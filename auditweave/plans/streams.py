@@ -28,19 +28,39 @@ def event_stream(spark, sf):
     return map_events(raw)
 
 
+def batched_stream(spark, sf, out, batch, n):
+    """The event table as a stream of ``n`` batches; ``batch`` is the number of each row's batch."""
+    raw = table(spark, sf, "events")
+    numbered = map_events(raw).select(F.col("n").alias("event_id"), batch.alias("_batch"))
+    rows = raw.join(numbered, "event_id").select(*raw.columns, "_batch")
+    for i in range(n):  # one write each: files are taken in the order of their times
+        rows.where(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(out)
+    return map_events(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(out))
+
+
+def slices(column, n):
+    """Number of the row's slice of January 2024 in ``n`` equal slices of time, whatever the days' borders."""
+    slice_ = F.floor((micros(F.col(column)) - 1704067200000000) * n / (31 * 86_400_000_000)).cast("int")
+    return F.greatest(F.lit(0), F.least(slice_, F.lit(n - 1)))
+
+
 def finish(q):
     q.awaitTermination()
 
 
-@query("stream_curate", with_ev(latest_sql(), seeds_sql(20, 80), fill_sql(20), "SELECT day, event_id, us FROM picked"))
+@query("stream_curate", with_ev(latest_sql(), seeds_sql(20, 80), fill_sql(20), "SELECT day, event_id, us, 1::BIGINT AS digests FROM picked"))
 def _(spark, sf):
+    """Batches that end within days: every day still gets one digest over all its events."""
     out = shared_folder(spark, "curate")
-    ev = event_stream(spark, sf).select(*EVENT_COLUMNS)
-    finish(jobs.stream_curate(ev, f"{out}/data", f"{out}/checkpoint", strategy=C.MIN_DIVERSITY, k=20, diversity=80, window="1 day"))
+    options = dict(strategy=C.MIN_DIVERSITY, k=20, diversity=80, window="1 day")
+    ev = batched_stream(spark, sf, f"{out}/in", slices("timestamp", 4), 4).select(*EVENT_COLUMNS)
+    finish(jobs.stream_curate(ev, f"{out}/data", f"{out}/checkpoint", **options))
+    jobs.flush_windows(spark, map_events(table(spark, sf, "events")).select(*EVENT_COLUMNS), f"{out}/data", **options)
     digests = spark.read.parquet(f"{out}/data/digests")
-    rows = digests.select("window_end", F.inline("selected_events"))
+    once = digests.groupBy("window_end").agg(F.count(F.lit(1)).alias("digests"))
+    rows = digests.select("window_end", F.inline("selected_events")).join(once, "window_end")
     day = F.date_sub(F.to_date("window_end"), 1).cast("string").alias("day")
-    return rows.select(day, "event_id", us("timestamp"))
+    return rows.select(day, "event_id", us("timestamp"), "digests")
 
 
 @query("stream_dedup", with_ev("SELECT event_id, us FROM ev"))
@@ -74,8 +94,10 @@ def _(spark, sf):
 
 @query("stream_audit", with_ev(NUMBERED, CHAIN, "SELECT tenant, sequence, prev_hash, hash FROM chain", recursive=True))
 def _(spark, sf):
+    """Four batches in the order of time make the same chains as one."""
     out = shared_folder(spark, "audit")
-    finish(jobs.stream_audit(sinks.ingest_audit_rows(event_stream(spark, sf)), f"{out}/data", f"{out}/checkpoint"))
+    ev = batched_stream(spark, sf, f"{out}/in", slices("ingested_at", 4), 4)
+    finish(jobs.stream_audit(sinks.ingest_audit_rows(ev), f"{out}/data", f"{out}/checkpoint"))
     return jobs.read_chain(spark, f"{out}/data").select("tenant", "sequence", "prev_hash", "hash")
 
 
@@ -136,14 +158,16 @@ def _(spark, sf):
     return spark.read.parquet(f"{out}/data").select("source_id", "status", "last_us", "events")
 
 
-@query("stream_late_split", with_ev("SELECT 'on time' AS part, count(*) AS n FROM ev"))
+@query("stream_late_split", with_ev("""SELECT event_id, CASE WHEN n % 7 = 0 AND us < (SELECT max(us) FROM ev WHERE n % 7 <> 0) - 30000000 THEN 'late'
+    ELSE 'on time' END AS part FROM ev"""))
 def _(spark, sf):
-    """Nothing is late in a first batch; later batches are covered by tests."""
+    """Two batches in the order of time, then one with every seventh event of the month."""
     out = shared_folder(spark, "late")
-    finish(jobs.run(event_stream(spark, sf).select(*EVENT_COLUMNS), jobs.late_split_batch(f"{out}/data"), f"{out}/checkpoint"))
-    on_time = spark.read.parquet(f"{out}/data/events").select(F.lit("on time").alias("part"))
-    late = spark.read.parquet(f"{out}/data/late").select(F.lit("late").alias("part"))
-    return on_time.unionByName(late).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    batch = F.when(F.col("n") % 7 == 0, 2).otherwise(slices("timestamp", 2))
+    ev = batched_stream(spark, sf, f"{out}/in", batch, 3).select(*EVENT_COLUMNS)
+    finish(jobs.run(ev, jobs.late_split_batch(f"{out}/data"), f"{out}/checkpoint"))
+    part = lambda name, folder: spark.read.parquet(f"{out}/data/{folder}").select("event_id", F.lit(name).alias("part"))
+    return part("on time", "events").unionByName(part("late", "late"))
 
 
 @query("write_hot_events", with_ev("SELECT day, tenant, count(*) AS events, min(us) AS first_us, max(us) AS last_us FROM ev GROUP BY 1, 2"))

@@ -32,7 +32,7 @@ DEFAULT_MAX_PRECEDENTS = 5
 RECENT_EVENTS = 5000
 RECENT_ALERTS = 400
 RECENT_DECISIONS = 500
-SUPPRESSION_LIMIT = 10000
+SUPPRESSION_SECONDS = 86400
 
 EXPORT_SLICE = "ingest_digest_ai_operator_export"
 

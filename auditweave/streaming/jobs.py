@@ -38,75 +38,163 @@ def batch_dir(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
     """Write one batch's rows; a rerun of the batch replaces them."""
-    df.write.mode("overwrite").parquet(batch_dir(path, batch_id))
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(batch_dir(path, batch_id))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+def written_batches(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the batches that were committed under ``path`` (a finished write leaves its marker)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root)]
+    done = [p for p in found if p.getName().startswith("batch_id=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("batch_id=")) for p in done)
 
 
 def read_state(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """State left by the batch before; empty for the first batch.
+    """State left by the newest batch before this one; empty for the first batch.
 
     Every batch writes its whole (bounded) state, so one small directory is read whatever the age of the
-    stream, and a rerun starts from the same state.
+    stream, and a rerun starts from the same state. State that does not fit the batch is an error, never an empty
+    start: later batches under ``path`` mean that a new or older checkpoint writes over an existing output, and none
+    before a batch other than the first means that the state was lost.
     """
-    before = batch_dir(path, batch_id - 1)
-    if batch_id == 0 or not path_exists(spark, before):
+    known = written_batches(spark, path)
+    if known and known[-1] > batch_id:
+        raise ValueError(f"{path} already holds batch {known[-1]}, yet batch {batch_id} is run: use the checkpoint that wrote it, or a new folder")
+    before = [b for b in known if b < batch_id]
+    if not before:
+        if batch_id:
+            raise ValueError(f"no state under {path} before batch {batch_id}")
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(before)
+    return spark.read.schema(schema).parquet(batch_dir(path, before[-1]))
+
+
+def claim(spark: SparkSession, out: str, batch_id: int) -> None:
+    """Refuse to write under a folder that another streaming query has begun.
+
+    The query's id lives in its checkpoint, so a query started with a fresh checkpoint has another one.
+    """
+    query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if query is None:  # called outside a stream
+        return
+    owner = f"{out}/owner"
+    if path_exists(spark, owner):
+        known = spark.read.text(owner).first()
+        if known is None or known[0] != query:
+            raise ValueError(f"{out} belongs to another query; restart with its checkpoint, or use a new folder")
+        return
+    if batch_id:
+        raise ValueError(f"{out} has no owner, yet batch {batch_id} is run")
+    spark.createDataFrame([(query,)], "id string").coalesce(1).write.text(owner)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def batch_time(spark: SparkSession, out: str, batch_id: int) -> Column:
+    """The time of a batch: taken once and stored, so that a rerun and all its outputs agree."""
+    path = batch_dir(f"{out}/times", batch_id)
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        spark.range(1).select(F.current_timestamp().alias("at")).write.mode("overwrite").parquet(path)
+    return F.lit(spark.read.schema("at timestamp").parquet(path).select(micros(F.col("at"))).first()[0])
 
 
 # --- Curate ------------------------------------------------------------------------
 
 
-def newest_shown(shown: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` most recently shown ids; older ones leave the suppression set."""
+def still_shown(shown: DataFrame, from_us: Column) -> DataFrame:
+    """Ids shown at or after ``from_us``, each with its last time; older ones leave the suppression set."""
     last = shown.groupBy("event_id").agg(F.max("shown_at").alias("shown_at"))
-    return last.orderBy(F.col("shown_at").desc(), F.col("event_id")).limit(limit)
+    return last.where(micros(F.col("shown_at")) >= from_us)
 
 
 def curate_batch(
     out: str, strategy: int = S.DEFAULT_STRATEGY, k: int = S.BATCH_K, by: Sequence[str] = (),
-    window: str | None = None, limit: int = S.SUPPRESSION_LIMIT, **options,
+    window: str | None = None, delay_seconds: float = 30.0, suppress_seconds: float = S.SUPPRESSION_SECONDS,
+    flush_at: int | None = None, **options,
 ) -> Callable[[DataFrame, int], None]:
-    """Batch function: one digest per group of the micro-batch, none for an empty batch.
+    """Batch function: digests under ``{out}/digests``, suppressed ids under ``{out}/shown``.
+
+    Without ``window`` the micro-batch is the window: one digest per group of it, none for an empty batch, at the
+    batch's stored time.
 
-    ``window`` (for example ``"5 seconds"``) also groups by event-time window; without it the
-    micro-batch itself is the window. The ``limit`` newest selected ids are kept under ``{out}/shown`` and
-    suppressed in later batches; digests go to ``{out}/digests``.
+    With ``window`` (for example ``"5 seconds"``) a digest covers one event-time window, whole: rows wait under
+    ``{out}/waiting`` until the watermark (newest time seen minus ``delay_seconds``) passes the window's end, and are
+    selected once. Rows that come after that go to ``{out}/late``. ``flush_windows`` closes what waits when a stream is
+    over (it runs one more batch, ``flush_at``, that takes every window as closed). A selected event is suppressed while
+    its window ended less than ``suppress_seconds`` ago.
     """
     shown_schema = "event_id string, shown_at timestamp"
 
+    def write_digests(rows: DataFrame, keys: list[str], shown: DataFrame, end: Column, batch_id: int, from_us: Column) -> None:
+        # the selection feeds the digest, its scores and the new shown ids
+        picked = curate.select_events(rows, strategy, k, keys, shown, **options).persist()
+        scores = curate.digest_scores(picked, rows, keys, shown)
+        write_batch(curate.digest_records(picked, scores, strategy, keys, end), f"{out}/digests", batch_id)
+        both = shown.unionByName(picked.select("event_id", end.alias("shown_at")))
+        write_batch(still_shown(both, from_us), f"{out}/shown", batch_id)
+        picked.unpersist()
+
+    def span(seconds: float) -> Column:
+        return F.lit(int(seconds * 1_000_000))
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        keys = list(by)
-        if window:
-            batch = batch.withColumn("window_end", F.window("timestamp", window)["end"])
-            keys.append("window_end")
+        claim(spark, out, batch_id)
         shown = read_state(spark, f"{out}/shown", shown_schema, batch_id)
-        if batch.isEmpty():
-            write_batch(shown, f"{out}/shown", batch_id)
+        batch = batch.persist()
+        if window is None:
+            now = batch_time(spark, out, batch_id)
+            if batch.isEmpty():
+                write_batch(shown, f"{out}/shown", batch_id)
+            else:
+                write_digests(batch, list(by), shown, F.timestamp_micros(now), batch_id, now - span(suppress_seconds))
             batch.unpersist()
             return
-        small = F.broadcast(shown) if limit <= 100_000 else shown  # at most limit rows
-        # the selection feeds the digest, its scores and the new shown ids
-        picked = curate.select_events(batch, strategy, k, keys, small, **options).persist()
-        scores = curate.digest_scores(picked, batch, keys, small)
-        end = F.col("window_end") if window else F.current_timestamp()
-        write_batch(curate.digest_records(picked, scores, strategy, keys, end), f"{out}/digests", batch_id)
-        both = shown.unionByName(picked.select("event_id", end.alias("shown_at")))
-        write_batch(newest_shown(both, limit), f"{out}/shown", batch_id)
-        picked.unpersist()
+        windowed = batch.withColumn("window_end", F.window("timestamp", window)["end"])
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windowed.schema)
+        waiting = read_state(spark, f"{out}/waiting", fields, batch_id)
+        before, now = _advance(spark, out, batch, batch_id)
+        end = micros(F.col("window_end"))
+        # null before the first row: nothing is late or closed then
+        late = F.coalesce(end <= before - span(delay_seconds), F.lit(False))
+        write_batch(windowed.where(late).withColumn("reason", F.lit("late")), f"{out}/late", batch_id)
+        rows = waiting.unionByName(windowed.where(~late)).persist()
+        closed = F.lit(True) if flush_at == batch_id else F.coalesce(end <= now - span(delay_seconds), F.lit(False))
+        write_batch(rows.where(~closed), f"{out}/waiting", batch_id)
+        full = rows.where(closed)
+        if full.isEmpty():
+            write_batch(shown, f"{out}/shown", batch_id)
+        else:
+            write_digests(full, [*by, "window_end"], shown, F.col("window_end"), batch_id, now - span(suppress_seconds + delay_seconds))
+        rows.unpersist()
         batch.unpersist()
 
     return apply
 
 
+def _advance(spark: SparkSession, out: str, batch: DataFrame, batch_id: int) -> tuple[Column, Column]:
+    """Newest event time (microseconds) before and with this batch, kept under ``{out}/newest``."""
+    seen = read_state(spark, f"{out}/newest", "newest_us long", batch_id)
+    top = batch.select(micros(F.col("timestamp")).alias("newest_us")).unionByName(seen).agg(F.max("newest_us").alias("newest_us"))
+    write_batch(top, f"{out}/newest", batch_id)
+    read = lambda df: F.lit(df.agg(F.max("newest_us")).first()[0]).cast("long")
+    return read(seen), read(spark.read.schema("newest_us long").parquet(batch_dir(f"{out}/newest", batch_id)))
+
+
+def flush_windows(spark: SparkSession, events: DataFrame, out: str, **options) -> None:
+    """Select the windows that still wait after a stream's last batch (``events`` gives the columns only)."""
+    last = written_batches(spark, f"{out}/waiting")
+    if last:
+        curate_batch(out, flush_at=last[-1] + 1, **options)(events.limit(0), last[-1] + 1)
+
+
 def stream_curate(events: DataFrame, out: str, checkpoint: str, every: str | None = None, **options) -> StreamingQuery:
     return run(events, curate_batch(out, **options), checkpoint, every)
 
@@ -133,14 +221,12 @@ def late_split_batch(out: str, delay_seconds: float = 30.0) -> Callable[[DataFra
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = read_state(spark, f"{out}/newest", "newest_us long", batch_id)
-        newest = seen.agg(F.max("newest_us")).first()[0]
+        claim(spark, out, batch_id)
         batch = batch.persist()
-        on_time, late = split_late(batch, F.lit(newest).cast("long"), delay_seconds)
+        before, _ = _advance(spark, out, batch, batch_id)
+        on_time, late = split_late(batch, before, delay_seconds)
         write_batch(on_time, f"{out}/events", batch_id)
         write_batch(late, f"{out}/late", batch_id)
-        top = batch.select(micros(F.col("timestamp")).alias("newest_us")).unionByName(seen).agg(F.max("newest_us").alias("newest_us"))
-        write_batch(top, f"{out}/newest", batch_id)
         batch.unpersist()
 
     return apply
@@ -196,15 +282,19 @@ def stream_alerts(events: DataFrame, seconds: float = S.THROTTLE_SECONDS) -> Dat
 def audit_batch(out: str) -> Callable[[DataFrame, int], None]:
     """Batch function: append (tenant, timestamp, kind, payload, row_id) rows to the chains under ``out``.
 
-    The heads of all tenants are kept under ``{out}/heads``, so appending reads one small row per tenant,
-    not the log. A rerun of a batch continues from the same heads and writes the same records.
+    Records lie under ``{out}/records/batch_id=N/tenant=T``, so one tenant's chain is read from its own files. The
+    heads of all tenants are kept under ``{out}/heads``, so appending reads one small row per tenant, not the log. A
+    rerun of a batch continues from the same heads and writes the same records; a log without its heads, or begun by
+    another query, is an error. Rows without a kind go to ``{out}/refused``.
     """
     head_schema = "tenant string, next_sequence long, head_hash string"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        claim(spark, out, batch_id)
         heads = read_state(spark, f"{out}/heads", head_schema, batch_id)
-        write_batch(chain.append_chain(batch, heads), f"{out}/records", batch_id)
+        write_batch(chain.refused_rows(batch), f"{out}/refused", batch_id)
+        write_batch(chain.append_chain(batch, heads), f"{out}/records", batch_id, ["tenant"])
         written = spark.read.schema(AUDIT_DDL).parquet(batch_dir(f"{out}/records", batch_id))
         new_heads = chain.chain_stats(written).select("tenant", "next_sequence", "head_hash")
         untouched = heads.join(new_heads, "tenant", "left_anti")
@@ -250,7 +340,7 @@ def decide_batch(out: str, instruction: str, provider: decide.Provider, guardrai
         write_batch(made, f"{out}/made", batch_id)
         made = spark.read.parquet(batch_dir(f"{out}/made", batch_id))
         append(decide.decision_audit_rows(made), batch_id)
-        records = spark.read.parquet(batch_dir(f"{out}/audit/records", batch_id))
+        records = spark.read.schema(f"{AUDIT_DDL}, row_id string").parquet(batch_dir(f"{out}/audit/records", batch_id))
         final = decide.chained_decisions(made, records)
         write_batch(sinks.decision_messages(final), f"{out}/decisions", batch_id)
 

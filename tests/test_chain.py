@@ -97,6 +97,32 @@ def test_retention_keeps_a_verifiable_chain(records):
     assert {r["valid"] for r in H.verify_chain(kept).collect()} == {False}
 
 
+def test_retention_keeps_every_young_record(spark):
+    data = [("a", at(86400 * 50 + i), "ingest", "{}", f"r{i}") for i in range(5)]
+    log = H.append_chain(spark.createDataFrame(data, ROWS)).drop("row_id")
+    late = H.append_chain(spark.createDataFrame([("a", at(0), "ingest", "{}", "late")], ROWS), H.chain_stats(log)).drop("row_id")
+    both = log.unionByName(late)
+    kept, cut = H.audit_retention(both, F.lit(at(86400 * 55)), 30)
+    assert kept.count() == 6 and cut.count() == 0
+    kept, cut = H.audit_retention(both, F.lit(at(86400 * 200)), 30)
+    assert kept.count() == 0 and [r["sequence"] for r in cut.collect()] == [5]
+
+
+def test_idle_tenants_stay_in_the_verdict(records):
+    cp = records.where("sequence = 9").select("tenant", "sequence", "hash")
+    got = {r["tenant"]: (r["valid"], r["length"], r["head_hash"]) for r in H.verify_since(records, cp).collect()}
+    assert got == {r["tenant"]: (True, 0, r["hash"]) for r in cp.collect()}
+    gone = {r["tenant"]: r["length"] for r in H.verify_since(records.where("tenant = 'b'"), cp.where("tenant = 'a'")).collect()}
+    assert gone == {"a": 0, "b": 10}
+
+
+def test_rows_without_a_kind_get_no_record(spark):
+    data = [("a", at(i), kind, "{}", f"r{i}") for i, kind in enumerate(["x", "", None, "y"])]
+    df = spark.createDataFrame(data, ROWS)
+    assert [r["kind"] for r in H.append_chain(df).orderBy("sequence").collect()] == ["x", "y"]
+    assert H.refused_rows(df).count() == 2 and verdict(H.append_chain(df)) == {"a": (True, None)}
+
+
 def test_segments(spark):
     records, heads = H.segment_chain(rows(spark, 25), 10)
     records, heads = records.cache(), heads.cache()

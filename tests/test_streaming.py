@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from auditweave import schema as S
@@ -26,24 +28,73 @@ def test_curate_suppresses_what_was_shown(spark, tmp_path):
     assert (d[0]["redundancy"], d[1]["redundancy"], sorted(d)) == (0.0, 0.5, [0, 1])
 
 
-def test_rerun_of_a_batch_changes_nothing(spark, tmp_path):
-    out = str(tmp_path / "d")
-    apply = jobs.curate_batch(out, strategy=C.LATEST, k=2, window="10 seconds")
-    ev = make_events(spark, [event(i, "s", i) for i in range(20)])
-    for batch in (0, 1, 1):
-        apply(ev, batch)
-    shown = spark.read.parquet(f"{out}/shown")
-    first, second = ({r["event_id"] for r in shown.where(F.col("batch_id") == b).collect()} for b in (0, 1))
-    assert first == {"e00008", "e00009", "e00018", "e00019"}
-    assert second - first == {"e00006", "e00007", "e00016", "e00017"}
-    digests = spark.read.parquet(f"{out}/digests")
-    assert sorted((r["batch_id"], r["selected_n"]) for r in digests.collect()) == [(0, 2), (0, 2), (1, 2), (1, 2)]
-
-
-def test_suppression_set_is_bounded_and_drops_the_oldest(spark):
-    rows = [(f"e{i}", at(i)) for i in range(10)] + [("e0", at(50))]
-    shown = spark.createDataFrame(rows, "event_id string, shown_at timestamp")
-    assert ids(jobs.newest_shown(shown, 3)) == ["e0", "e9", "e8"]
+def digests_of(spark, out):
+    rows = spark.read.parquet(f"{out}/digests").collect()
+    return sorted((r["window_end"].second, sorted(e["event_id"] for e in r["selected_events"])) for r in rows)
+
+
+def test_windows_spread_over_batches_are_selected_once(spark, tmp_path):
+    out, options = str(tmp_path / "d"), dict(strategy=C.LATEST, k=2, window="10 seconds", delay_seconds=5)
+    apply = jobs.curate_batch(out, **options)
+    part = lambda *seconds: make_events(spark, [event(i, "s", i) for i in seconds])
+    apply(part(0, 4, 7), 0)
+    apply(part(9, 11, 14), 1)  # the first window is still open
+    apply(part(12, 16), 2)  # closes it
+    apply(part(12, 16), 2)  # and runs again
+    assert digests_of(spark, out) == [(10, ["e00007", "e00009"])]
+    apply(part(3, 18), 3)  # too late for the first window
+    jobs.flush_windows(spark, part(0), out, **options)
+    assert digests_of(spark, out) == [(10, ["e00007", "e00009"]), (20, ["e00016", "e00018"])]
+    late = spark.read.parquet(f"{out}/late")
+    assert [(r["event_id"], r["reason"]) for r in late.collect()] == [("e00003", "late")]
+
+
+def test_many_windows_with_one_delivery_again(spark, tmp_path):
+    """More ids than any count could hold stay suppressed while their time lasts."""
+    out, options = str(tmp_path / "d"), dict(strategy=C.LATEST, k=3, window="2 seconds", delay_seconds=100)
+    apply = jobs.curate_batch(out, suppress_seconds=1000, **options)
+    ev = make_events(spark, [event(i, "s", i) for i in range(40)])
+    apply(ev, 0)
+    jobs.flush_windows(spark, ev, out, suppress_seconds=1000, **options)
+    shown = jobs.read_state(spark, f"{out}/shown", "event_id string, shown_at timestamp", 2)
+    assert shown.count() == 40
+    later = jobs.still_shown(shown, F.lit(int(at(20).timestamp() * 1e6)))
+    assert later.count() == 22  # those of the window that ends at 20, and later
+
+
+def test_states_that_do_not_fit_are_refused(spark, tmp_path):
+    out = str(tmp_path / "a")
+    apply = jobs.audit_batch(out)
+    rows = lambda b: sinks.ingest_audit_rows(make_events(spark, [event(b * 10 + i, "s", b * 10 + i, tenant="t") for i in range(3)]))
+    with pytest.raises(ValueError, match="no state"):
+        apply(rows(0), 1)
+    for b in (0, 1, 3):  # a batch id may be missing: the newest head is taken up
+        apply(rows(b), b)
+    with pytest.raises(ValueError, match="already holds"):
+        apply(rows(0), 0)
+    chain = jobs.read_chain(spark, out)
+    assert [(r["valid"], r["length"]) for r in H.verify_chain(chain).collect()] == [(True, 9)]
+    assert sorted(r["sequence"] for r in chain.collect()) == list(range(9))
+
+
+def test_a_fresh_checkpoint_over_an_existing_log_is_refused(spark, tmp_path):
+    make_events(spark, [event(i, "s", i, tenant="t") for i in range(3)]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: sinks.ingest_audit_rows(spark.readStream.schema(S.EVENT).parquet(str(tmp_path / "in")))
+    out = str(tmp_path / "log")
+    jobs.stream_audit(stream(), out, str(tmp_path / "cp")).awaitTermination()
+    jobs.stream_audit(stream(), out, str(tmp_path / "cp")).awaitTermination()  # nothing new
+    with pytest.raises(StreamingQueryException, match="belongs to another query"):
+        jobs.stream_audit(stream(), out, str(tmp_path / "cp2")).awaitTermination()
+    assert jobs.read_chain(spark, out).count() == 3
+
+
+def test_rows_without_a_kind_are_refused_and_tenants_have_their_own_files(spark, tmp_path):
+    out = str(tmp_path / "a")
+    rows = [("t", at(0), "note", "{}", "a"), ("t", at(1), "", "{}", "b"), ("u", at(2), None, "{}", "c"), ("u", at(3), "note", "{}", "d")]
+    jobs.audit_batch(out)(spark.createDataFrame(rows, "tenant string, timestamp timestamp, kind string, payload string, row_id string"), 0)
+    assert sorted(r["row_id"] for r in spark.read.parquet(f"{out}/refused").collect()) == ["b", "c"]
+    assert (tmp_path / "a/records/batch_id=0/tenant=t").is_dir()
+    assert {(r["tenant"], r["valid"], r["length"]) for r in H.verify_chain(jobs.read_chain(spark, out)).collect()} == {("t", True, 1), ("u", True, 1)}
 
 
 def test_audit_stream_continues_its_chain(spark, tmp_path):
