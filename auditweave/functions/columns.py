@@ -139,12 +139,15 @@ def prompt_hash(context: Column, instruction: Column) -> Column:
 
 
 def replay_safe_id(*parts: Column) -> Column:
-    """Identifier that is the same when a batch is computed again."""
-    return F.sha2(F.concat_ws("~", *[p.cast("string") for p in parts]), 256)
+    """Identifier that is the same when a batch is computed again.
+
+    The parts are hashed as a JSON object, which keeps nulls and separators inside the parts apart.
+    """
+    return F.sha2(F.to_json(F.struct(*[p.cast("string").alias(f"p{i}") for i, p in enumerate(parts)])), 256)
 
 
 def content_fingerprint(source_id: Column, event_type: Column, payload: Column) -> Column:
-    return F.sha2(F.concat_ws("~", source_id, event_type, payload), 256)
+    return replay_safe_id(source_id, event_type, payload)
 
 
 def first_failure(checks: list[tuple[Column, str | Column]]) -> Column:

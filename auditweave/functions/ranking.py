@@ -64,13 +64,24 @@ def hash_cell(hex_hash: Column) -> Column:
     return F.conv(F.substring(hex_hash, 1, 4), 16, 10).cast("long")
 
 
-def cell_offsets(df: DataFrame, keys: Sequence[str], cell: str) -> DataFrame:
-    """(keys, cell) with rows in the cell, rows of the key before it and rows of the key."""
-    counts = df.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_in_cell"))
-    w = Window.partitionBy(*keys).orderBy(cell)
-    running = F.sum("_in_cell").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("_in_cell").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return counts.withColumn("_before", running - F.col("_in_cell")).withColumn("_n", total)
+def cell_offsets(df: DataFrame, keys: Sequence[str], cell: str, band: int = 4096) -> DataFrame:
+    """(keys, cell) with rows in the cell, rows of the key before it and rows of the key.
+
+    Running totals go in two levels, over bands of ``band`` cells and inside each band, so that no task walks
+    through all cells of a key.
+    """
+    counts = df.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("_in_cell")).withColumn("_band", F.floor(F.col(cell) / band))
+    bands = counts.groupBy(*keys, "_band").agg(F.sum("_in_cell").alias("_in_band"))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over_key = Window.partitionBy(*keys)
+    bands = bands.select(
+        *keys, "_band", earlier("_in_band", over_key.orderBy("_band")).alias("_band_before"), F.sum("_in_band").over(over_key).alias("_n")
+    )
+    inside = earlier("_in_cell", Window.partitionBy(*keys, "_band").orderBy(cell))
+    return (
+        counts.withColumn("_inside", inside).join(bands, [*keys, "_band"])
+        .withColumn("_before", F.col("_band_before") + F.col("_inside")).drop("_band", "_band_before", "_inside")
+    )
 
 
 def rank_band(
@@ -112,12 +123,3 @@ def positions(
     w = Window.partitionBy(*keys, cell).orderBy(*order)
     out = df.join(offsets, [*keys, cell]).withColumn(name, F.col("_before") + F.row_number().over(w) - 1)
     return out.drop("_before")
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Broadcast hint for a configuration table, given only after counting that it is small.
-
-    A larger table is returned without the hint and joins by shuffle.
-    """
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df

@@ -236,7 +236,8 @@ def throttle_alerts(
     return single.unionByName(first.select(single.columns)).select(*alerts.columns)
 
 
-def alerts_newest_first(alerts: DataFrame, n: int = S.RECENT_ALERTS) -> DataFrame:
+def alerts_newest_first(alerts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` newest alerts."""
     return alerts.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)
 
 

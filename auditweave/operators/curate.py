@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from auditweave import schema as S
 from auditweave.functions.columns import content_fingerprint, micros, severity_rank
 from auditweave.functions.ranking import (
-    GROUP, bounded_broadcast, expand_group, hash_cell, rank_band, time_cell, top_n, with_group,
+    GROUP, expand_group, hash_cell, rank_band, time_cell, top_n, with_group,
 )
-from auditweave.session import shared_folder
 
 LATEST, LATEST_PER_SOURCE, HYBRID, MIN_DIVERSITY, MIN_DIVERSITY_RANDOM, PREFERRED = range(1, 7)
 
@@ -65,13 +64,13 @@ def suppress(events: DataFrame, shown: DataFrame) -> DataFrame:
     return events.join(shown.select("event_id"), "event_id", "left_anti")
 
 
-def recently_shown(shown: DataFrame, as_of: Column, seconds: int = 60, max_ids: int = 5000) -> DataFrame:
-    """Ids shown in the last ``seconds``, at most the ``max_ids`` most recently shown."""
+def recently_shown(shown: DataFrame, as_of: Column, seconds: int = 60, max_ids: int | None = None) -> DataFrame:
+    """Ids shown in the last ``seconds``; with ``max_ids`` only so many, the most recently shown."""
     last = shown.groupBy("event_id").agg(F.max("shown_at").alias("shown_at"))
     in_window = last.where(
         (micros(F.col("shown_at")) > micros(as_of) - seconds * 1_000_000) & (F.col("shown_at") <= as_of)
     )
-    return in_window.orderBy(F.col("shown_at").desc(), F.col("event_id")).limit(max_ids)
+    return in_window if max_ids is None else in_window.orderBy(F.col("shown_at").desc(), F.col("event_id")).limit(max_ids)
 
 
 # --- Source-latest rows ---------------------------------------------------------
@@ -231,19 +230,9 @@ def select_events(
     return picked.select(*[F.col(f"{GROUP}.{c}").alias(c) if c in by else F.col(c) for c in kept.columns])
 
 
-def fetch_events(events: DataFrame, picked: DataFrame, max_broadcast: int = 500_000) -> DataFrame:
-    """Full rows of selected ids.
-
-    The ids are first written to the shared folder, so that their number is known: up to
-    ``max_broadcast`` they are broadcast and the wide table is only filtered, beyond that they are joined
-    by shuffle.
-    """
-    spark = events.sparkSession
-    path = shared_folder(spark, "picked")
-    picked.select("event_id").distinct().write.parquet(path)
-    chosen = spark.read.parquet(path)
-    chosen = F.broadcast(chosen) if chosen.count() <= max_broadcast else chosen
-    return events.join(chosen, "event_id", "left_semi").select(*events.columns)
+def fetch_events(events: DataFrame, picked: DataFrame) -> DataFrame:
+    """Full rows of selected ids."""
+    return events.join(picked.select("event_id").distinct(), "event_id", "left_semi").select(*events.columns)
 
 
 def select_latest(events, k, by=(), **kw):
@@ -382,7 +371,6 @@ def mark_repeats(events: DataFrame, curated: DataFrame, last_n: int) -> DataFram
     """Flag events whose content equals one of the last ``last_n`` curated events."""
     recent = fingerprinted(curated).orderBy(*newest_first()).limit(last_n).select("fingerprint").distinct()
     recent = recent.withColumn("_hit", F.lit(1))
-    recent = F.broadcast(recent) if last_n <= 100_000 else recent  # at most last_n rows
     return (
         fingerprinted(events).join(recent, "fingerprint", "left")
         .withColumn("is_repeat", F.coalesce("_hit", F.lit(0))).drop("_hit")
@@ -408,7 +396,7 @@ def weighted_digest(events: DataFrame, weights: DataFrame, k: int, by: Sequence[
             weights.where(F.col("dimension") == dim).groupBy(F.col("value").alias(dim))
             .agg(F.sum("weight").alias(f"_w_{dim}"))
         )
-        weighted = weighted.join(bounded_broadcast(w), dim, "left")
+        weighted = weighted.join(w, dim, "left")
         total = total + F.coalesce(F.col(f"_w_{dim}"), F.lit(0.0))
     weighted = with_group(weighted.withColumn("weight", total), by)
     weighted = weighted.drop("_w_event_type", "_w_source_id", "_w_severity")
@@ -416,7 +404,7 @@ def weighted_digest(events: DataFrame, weights: DataFrame, k: int, by: Sequence[
 
 
 def role_events(events: DataFrame, roles: DataFrame) -> DataFrame:
-    """One row per (role, event the role may see). ``roles`` is a small checked configuration table.
+    """One row per (role, event the role may see): as many rows as that are.
 
     Roles are expanded to one row per severity they accept, so the match is an equi-join on severity
     with the remaining conditions on top, not a cross join.
@@ -441,23 +429,21 @@ def role_events(events: DataFrame, roles: DataFrame) -> DataFrame:
     )
 
 
-def curate_roles(events: DataFrame, roles: DataFrame, by: Sequence[str] = (), max_roles: int = 1000, **options) -> DataFrame:
+def curate_roles(events: DataFrame, roles: DataFrame, by: Sequence[str] = (), **options) -> DataFrame:
     """One digest per role (and group), each with the role's own strategy, size and diversity.
 
-    At most one pass per strategy in use, whatever the number of roles.
+    A role looks at type, severity and source only, and no digest needs more than its k newest events of each: events
+    are reduced to these before they meet the roles. At most one pass per strategy in use, whatever the number of roles.
     """
-    config = roles.limit(max_roles + 1).collect()
-    if len(config) > max_roles:
-        raise ValueError(f"more than {max_roles} roles")
-    if not config:
+    use = roles.agg(F.max("digest_size").alias("k"), F.collect_set("curation_strategy").alias("strategies")).first()
+    if use["k"] is None:
         return role_events(events, roles).limit(0)
-    k_max = max(r.digest_size for r in config)
-    # the checked table as literal rows, so that its own plan is not run again for every strategy
-    small = F.broadcast(events.sparkSession.createDataFrame(config, roles.schema))
+    seen = with_group(events, [*by, "event_type", "severity", "source_id"])
+    needed = top_n(seen, [GROUP], newest_first(), use["k"]).drop(GROUP)
     out = None
-    for s in sorted({r.curation_strategy for r in config}):
-        mine = role_events(events, small.where(F.col("curation_strategy") == s))
-        one = _select_for_roles(mine, s, by, k_max, options)
+    for s in sorted(use["strategies"]):
+        mine = role_events(needed, roles.where(F.col("curation_strategy") == s))
+        one = _select_for_roles(mine, s, by, use["k"], options)
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -148,7 +148,8 @@ class BatchProvider:
                     texts, errors = [None] * len(context), [str(exc) or type(exc).__name__] * len(context)
                 yield pd.DataFrame({"content": texts, "error": errors})
 
-        scored = rows.withColumn("_r", ask("context", "instruction"))
+        # A model is not a function of its input: Catalyst must neither repeat nor move the call.
+        scored = rows.withColumn("_r", ask.asNondeterministic()("context", "instruction"))
         parsed = scored.withColumn("response", parse_response(F.col("_r.content")))
         bad = F.when(F.col("response").isNull(), F.lit("response is not a JSON object"))
         return parsed.withColumn("provider_error", F.coalesce(F.col("_r.error"), bad)).drop("_r")

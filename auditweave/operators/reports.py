@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave import schema as S
-from auditweave.functions.columns import micros, severity_rank
-from auditweave.functions.ranking import bounded_broadcast, top_n
+from auditweave.functions.columns import micros, parse_json, severity_rank
+from auditweave.functions.ranking import positions, time_cell, top_n
 from auditweave.operators.precedents import operator_actions
 
 
@@ -21,7 +21,7 @@ def order_events(events: DataFrame) -> DataFrame:
     return events.orderBy(F.col("timestamp").desc(), F.col("event_id").asc())
 
 
-def recent(df: DataFrame, n: int = S.RECENT_EVENTS, arrival: str = "ingested_at", by: Sequence[str] = (), tie: str = "event_id") -> DataFrame:
+def recent(df: DataFrame, n: int, arrival: str = "ingested_at", by: Sequence[str] = (), tie: str = "event_id") -> DataFrame:
     """Newest n rows by arrival, per group if ``by`` is given."""
     return top_n(df, list(by), [F.col(arrival).desc(), F.col(tie).desc()], n, salt_by=tie)
 
@@ -52,11 +52,10 @@ def decision_status(audit: DataFrame) -> DataFrame:
     )
     decisions = audit.where(F.col("kind").startswith("decision")).select(
         F.col("tenant").alias("chain"), "sequence", "kind", F.col("hash").alias("decision_hash"),
-        F.get_json_object("payload", "$.event_id").alias("event_id"),
-        F.get_json_object("payload", "$.provider").alias("provider"),
-        F.get_json_object("payload", "$.model_id").alias("model_id"),
-        F.get_json_object("payload", "$.operator_review").alias("operator_review"),
+        "payload",
     )
+    # one parse for the four members
+    decisions = parse_json(decisions, "payload", "event_id string, provider string, model_id string, operator_review string").drop("payload", "bad_json")
     return (
         decisions.join(latest, ["chain", "decision_hash"], "left")
         .select("*", F.col("_last.operator_action").alias("operator_action"), F.col("_last.operator_id").alias("operator_id"),
@@ -91,19 +90,26 @@ def digest_quality_trend(scores: DataFrame, period: Column) -> DataFrame:
     )
 
 
-def health_report(verdict: DataFrame, events: DataFrame, alerts: DataFrame, max_recent: int = S.RECENT_EVENTS, max_alerts: int = S.RECENT_ALERTS) -> DataFrame:
-    """One row: chain length and validity, buffered events and alerts (each at most its buffer size)."""
+def health_report(verdict: DataFrame, events: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One row: chains with their total length, validity, newest head and first error, and the events and alerts there are.
+
+    ``verdict`` comes from ``verify_chain``. The head shown is that of the longest chain; the error names the first
+    broken tenant.
+    """
+    error = F.concat(F.col("tenant"), F.lit(": first bad sequence "), F.col("first_bad").cast("string"))
     chain = verdict.agg(
         F.coalesce(F.sum("length"), F.lit(0)).alias("audit_chain_length"),
         F.coalesce(F.bool_and("valid"), F.lit(True)).alias("audit_chain_valid"),
         F.count(F.lit(1)).alias("chains"),
+        F.max_by("head_hash", F.struct("length", "tenant")).alias("audit_head_hash"),
+        F.coalesce(F.min(F.when(~F.col("valid"), error)), F.lit("")).alias("verify_err"),
     )
-    n_events = events.agg(F.least(F.count(F.lit(1)), F.lit(max_recent)).alias("recent_events"))
-    n_alerts = alerts.agg(F.least(F.count(F.lit(1)), F.lit(max_alerts)).alias("alerts_buffered"))
+    n_events = events.agg(F.count(F.lit(1)).alias("recent_events"))
+    n_alerts = alerts.agg(F.count(F.lit(1)).alias("alerts_buffered"))
     # three one-row aggregates side by side
     one = lambda df: df.withColumn("_one", F.lit(1))
     out = one(chain).join(one(n_events), "_one").join(one(n_alerts), "_one").drop("_one")
-    return out.withColumn("status", F.lit("ok"))
+    return out.withColumn("status", F.when(F.col("audit_chain_valid"), "ok").otherwise("degraded"))
 
 
 def source_stats(events: DataFrame, as_of: Column, stalled_after: float = 90.0, error_col: Column | None = None) -> DataFrame:
@@ -123,38 +129,31 @@ def source_stats(events: DataFrame, as_of: Column, stalled_after: float = 90.0,
     )
 
 
-def escalate_repeats(events: DataFrame, event_types: DataFrame, max_rules: int = 1000) -> DataFrame:
+def escalation_rules(event_types: DataFrame) -> DataFrame:
+    """One rule per event type; if several packs name a type, the one with the smallest count, then the shortest time."""
+    rules = event_types.where(F.col("escalate_after_count") > 0).select(
+        F.col("name").alias("event_type"), F.col("escalate_after_count").alias("_n"),
+        (F.col("escalate_within_seconds").cast("long") * 1_000_000).alias("_span"), "escalated_severity",
+    )
+    return rules.groupBy("event_type").agg(F.min(F.struct("_n", "_span", "escalated_severity")).alias("_r")).select("event_type", "_r.*")
+
+
+def escalate_repeats(events: DataFrame, event_types: DataFrame) -> DataFrame:
     """Raise severity when a source repeats an event type: the N-th event within S seconds and those after it.
 
     ``event_types`` rows: name, escalate_after_count (N), escalate_within_seconds (S),
     escalated_severity. An event escalates when the (N-1)-th event before it, same source and type,
-    is at most S seconds old. Rows are cut into time blocks much longer than S, each repeating the last
-    S seconds of the block before, so that a busy source spreads over tasks.
+    is at most S seconds old. Events are numbered per source and type without bringing them together, and each
+    finds that earlier event by its number, so a busy source spreads over tasks and rules may be any number.
     """
-    rules = event_types.where(F.col("escalate_after_count") > 0).select(
-        F.col("name").alias("event_type"), F.col("escalate_after_count").alias("_n"),
-        (F.col("escalate_within_seconds").cast("long") * 1_000_000).alias("_span"), "escalated_severity",
-    )
-    config = rules.select("_n").limit(max_rules + 1).collect()
-    if len(config) > max_rules:
-        raise ValueError(f"more than {max_rules} escalation rules")
-    joined = events.join(F.broadcast(rules), "event_type", "left")  # at most max_rules rows, checked above
-    ruled = joined.where(F.col("_n").isNotNull()).withColumn("_us", micros(F.col("timestamp")))
+    joined = events.join(escalation_rules(event_types), "event_type", "left")
+    ruled = joined.where(F.col("_n").isNotNull()).withColumn("_us", micros(F.col("timestamp"))).withColumn("_cell", time_cell(F.col("_us")))
     plain = joined.where(F.col("_n").isNull()).withColumn("escalated", F.lit(False))
-    width = F.greatest(F.col("_span") * 16, F.lit(3_600_000_000))
-    own = F.floor(F.col("_us") / width)
-    reach = F.floor((F.col("_us") + F.col("_span")) / width)
-    spread = ruled.withColumn("_own", own).withColumn(
-        "_block", F.explode(F.when(reach > own, F.array(own, reach)).otherwise(F.array(own)))
-    )
-    w = Window.partitionBy("source_id", "event_type", "_block").orderBy("_us", "event_id")
-    nth_back = F.lit(None).cast("long")
-    for n in sorted({r["_n"] for r in config}):
-        nth_back = F.when(F.col("_n") == n, F.lag("_us", n - 1).over(w)).otherwise(nth_back)
+    numbered = positions(ruled, ["source_id", "event_type"], "_cell", [F.col("_us"), F.col("event_id")], "_at")
+    earlier = numbered.select("source_id", "event_type", (F.col("_at") + F.col("_n") - 1).alias("_at"), F.col("_us").alias("_nth_back"))
     hit = F.coalesce(F.col("_nth_back") >= F.col("_us") - F.col("_span"), F.lit(False))
     counted = (
-        spread.withColumn("_nth_back", nth_back).where(F.col("_block") == F.col("_own"))
-        .withColumn("escalated", hit)
+        numbered.join(earlier, ["source_id", "event_type", "_at"], "left").withColumn("escalated", hit)
         .withColumn("severity", F.when(F.col("escalated"), F.col("escalated_severity")).otherwise(F.col("severity")))
     )
     cols = [*events.columns, "escalated"]

@@ -9,7 +9,6 @@ from auditweave import schema as S
 from auditweave.functions.columns import (
     blank_to_null, first_failure, present, replay_safe_id, resolve_tenant, severity_rank,
 )
-from auditweave.functions.ranking import bounded_broadcast
 
 
 def metadata(trace_id=None, ingestion_pod=None, tenant_id=None, schema_version=None) -> Column:
@@ -130,7 +129,7 @@ def default_severity(events: DataFrame, event_types: DataFrame) -> DataFrame:
     """Fill a missing severity from the pack's event type, else ``info``."""
     defaults = event_types.groupBy(F.col("name").alias("event_type")).agg(F.min("default_severity").alias("_default"))
     filled = F.coalesce(blank_to_null(F.col("severity")), blank_to_null(F.col("_default")), F.lit("info"))
-    return events.join(bounded_broadcast(defaults), "event_type", "left").withColumn("severity", filled).drop("_default")
+    return events.join(defaults, "event_type", "left").withColumn("severity", filled).drop("_default")
 
 
 def role_filter(

@@ -257,7 +257,7 @@ def compare_sql(k: int, d: float) -> list[str]:
     return [
         latest_sql(),
         top_sql(k, name="p1"), top_sql(k, "latest", "p2"),
-        named(named(HYBRID_SEEDS(k), "seeds AS", "seeds3 AS"), "x", "x"),
+        named(HYBRID_SEEDS(k), "seeds AS", "seeds3 AS"),
         named(named(fill_sql(k), "picked AS", "p3 AS"), "seeds s", "seeds3 s"),
         named(named(seeds_sql(k, d), "ranked", "ranked4"), "seeds AS", "seeds4 AS"),
         named(named(fill_sql(k), "picked AS", "p4 AS"), "seeds s", "seeds4 s"),
@@ -310,12 +310,12 @@ LAST_US = "1706572800000000"  # 2024-01-30 00:00:00 UTC
 
 
 @query("suppress_recent", with_ev(
-    f"shown AS (SELECT event_id, us FROM ev WHERE us <= {LAST_US} AND us > {LAST_US} - 604800000000 ORDER BY us DESC, event_id LIMIT 2000)",
+    f"shown AS (SELECT event_id, us FROM ev WHERE us <= {LAST_US} AND us > {LAST_US} - 604800000000)",
     "SELECT day, event_id, source_id, us FROM ev WHERE event_id NOT IN (SELECT event_id FROM shown)"))
 def _(spark, sf):
     ev = events(spark, sf)
     at = F.timestamp_micros(F.lit(int(LAST_US)))
-    shown = C.recently_shown(ev.select("event_id", F.col("timestamp").alias("shown_at")), at, 604800, 2000)
+    shown = C.recently_shown(ev.select("event_id", F.col("timestamp").alias("shown_at")), at, 604800)
     return rows(C.suppress(ev, shown))
 
 
@@ -399,7 +399,7 @@ GOOD_ROLES = "goodroles AS (SELECT r.* FROM nroles r JOIN nation n ON n.n_name =
 @query("role_events", with_ev(
     NATION_ROLES, GOOD_ROLES, ROLE_ROWS, "SELECT role, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM role_ev GROUP BY role"))
 def _(spark, sf):
-    out = C.role_events(events(spark, sf), F.broadcast(nation_roles(spark, sf)))
+    out = C.role_events(events(spark, sf), nation_roles(spark, sf))
     return out.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 

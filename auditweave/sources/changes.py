@@ -2,10 +2,10 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditweave.functions.ranking import bounded_broadcast
+from auditweave.functions.columns import json_string, render_binary
 from auditweave.operators.validate import metadata, new_events
 
 
@@ -28,14 +28,22 @@ def check_mysql_changes(changes: DataFrame) -> DataFrame:
     return changes.withColumn("reason", F.when(odd, F.lit("update with odd row count")))
 
 
+def rendered_row(values: Column) -> Column:
+    """JSON array of a row's binary values; nulls stay."""
+    return F.to_json(F.transform(values, render_binary))
+
+
 def normalize_mysql_changes(changes: DataFrame, source_id: Column, now: Column | None = None) -> DataFrame:
     """One event per changed row.
 
     ``changes``: schema, table, action, header_ts (seconds), log_file, log_pos, rows array<string>
-    where each element is a row's values as a JSON array. Inserts carry ``row``, deletes ``before``,
+    where each element is a row's values as a JSON array, or array<array<binary>> with the values as the
+    database sent them, which are rendered as text or base64. Inserts carry ``row``, deletes ``before``,
     updates pair consecutive rows into ``before`` and ``after``. Unknown actions yield nothing.
     """
     good = check_mysql_changes(changes).where(F.col("reason").isNull())
+    if dict(changes.dtypes)["rows"] == "array<array<binary>>":
+        good = good.withColumn("rows", F.transform("rows", rendered_row))
     null = F.lit(None).cast("string")
 
     def one(before, after, row):
@@ -52,17 +60,16 @@ def normalize_mysql_changes(changes: DataFrame, source_id: Column, now: Column |
         .when(F.col("action") == "update", update)
     )
     rows = good.select("*", F.posexplode(per_row).alias("ordinal", "change"))
-    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     member = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f',"{name}":'), c)).otherwise("")
     payload = F.concat(
-        F.lit('{"action":'), q(F.col("action")),
+        F.lit('{"action":'), json_string(F.col("action")),
         member("after", F.col("change.after")),
         member("before", F.col("change.before")),
-        F.lit(',"binlog":{"binlog_file":'), q(F.col("log_file")),
-        F.lit(',"binlog_position":'), F.col("log_pos").cast("string"), F.lit("}"),
-        F.lit(',"database":'), q(F.col("schema")),
+        F.lit(',"binlog":{"binlog_file":'), json_string(F.col("log_file")),
+        F.lit(',"binlog_position":'), F.coalesce(F.col("log_pos").cast("string"), F.lit("null")), F.lit("}"),
+        F.lit(',"database":'), json_string(F.col("schema")),
         member("row", F.col("change.row")),
-        F.lit(',"table":'), q(F.col("table")), F.lit("}"),
+        F.lit(',"table":'), json_string(F.col("table")), F.lit("}"),
     )
     at = F.current_timestamp() if now is None else now
     return new_events(
@@ -74,13 +81,17 @@ def normalize_mysql_changes(changes: DataFrame, source_id: Column, now: Column |
 
 
 def resolve_relations(changes: DataFrame, relations: DataFrame) -> DataFrame:
-    """Attach (schema, table) of the latest description of each relation id; unknown ids drop out."""
-    latest = relations.groupBy("relation_id").agg(
-        F.max_by(F.struct(F.col("schema"), F.col("table")), "lsn").alias("_rel")
-    )
+    """Attach the (schema, table) that a relation id had at the change; ids not yet described drop out.
+
+    Each description holds from its own log position to the next one of the id.
+    """
+    following = Window.partitionBy("relation_id").orderBy("lsn")
+    named = relations.groupBy("relation_id", "lsn").agg(F.max(F.struct("schema", "table")).alias("_rel"))
+    versions = named.select("relation_id", F.col("lsn").alias("_from"), F.lead("lsn").over(following).alias("_to"), "_rel")
+    held = (F.col("lsn") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("lsn") < F.col("_to")))
     return (
-        changes.join(bounded_broadcast(latest), "relation_id")
-        .withColumn("schema", F.col("_rel.schema")).withColumn("table", F.col("_rel.table")).drop("_rel")
+        changes.join(versions, "relation_id").where(held)
+        .withColumn("schema", F.col("_rel.schema")).withColumn("table", F.col("_rel.table")).drop("_rel", "_from", "_to")
     )
 
 
@@ -94,7 +105,7 @@ def normalize_postgres_changes(changes: DataFrame, source_id: Column, now: Colum
         .when(F.col("op") == "update", F.coalesce("new_tuple", "old_tuple"))
         .when(F.col("op") == "delete", F.col("old_tuple"))
     )
-    q = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    q = lambda c: json_string(F.col(c))
     payload = F.concat(
         F.lit("{"), F.when(columns.isNotNull(), F.concat(F.lit('"columns":'), columns, F.lit(","))).otherwise(""),
         F.lit('"op":'), q("op"), F.lit(',"schema":'), q("schema"), F.lit(',"table":'), q("table"), F.lit("}"),

@@ -56,7 +56,11 @@ def test_group_limit_runs_before_the_shuffle(table):
     assert "row_number(), 5, Partial" in plan
 
 
-def test_broadcast_only_when_small(spark):
-    small, large = spark.range(5), spark.range(50)
-    assert "ResolvedHint" in R.bounded_broadcast(small, 10)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in R.bounded_broadcast(large, 10)._jdf.queryExecution().analyzed().toString()
+def test_offsets_over_bands_of_cells(table):
+    rows, df = table
+    for band in (1, 2, 5, 4096):
+        got = R.cell_offsets(df, ["g"], "cell", band).collect()
+        for g, rs in groups(rows).items():
+            cells = sorted(r[2] // 4 for r in rs)
+            mine = {r["cell"]: (r["_before"], r["_in_cell"], r["_n"]) for r in got if r["g"] == g}
+            assert mine == {c: (cells.index(c), cells.count(c), len(cells)) for c in set(cells)}

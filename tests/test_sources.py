@@ -88,6 +88,34 @@ def test_row_changes(spark):
     assert [r["log_pos"] for r in CH.check_mysql_changes(df).where("reason is not null").collect()] == [102]
 
 
+def test_names_and_binary_values_of_changes(spark):
+    odd = 'odd"na\\me\n'
+    df = spark.createDataFrame([(odd, None, "insert", 5, "b\"in", None, [[b"a\"b", None, b"\x00\x01", b""]])],
+                               CHANGE.replace("array<string>", "array<array<binary>>"))
+    got = json.loads(CH.normalize_mysql_changes(df, F.lit("s")).first()["payload"])
+    assert got == {"action": "insert", "binlog": {"binlog_file": 'b"in', "binlog_position": None}, "database": odd, "table": None, "row": ['a"b', None, "AAE=", ""]}
+    pg = spark.createDataFrame([("insert", odd, None, "[1]", None, 7)], "op string, schema string, table string, new_tuple string, old_tuple string, lsn long")
+    assert json.loads(CH.normalize_postgres_changes(pg, F.lit("s")).first()["payload"]) == {"columns": [1], "op": "insert", "schema": odd, "table": None}
+
+
+def test_relations_have_the_name_of_their_time(spark):
+    rel = spark.createDataFrame([(1, "s", "old", 10), (1, "s", "new", 20), (2, "s", "other", 5)], "relation_id int, schema string, table string, lsn long")
+    ch = spark.createDataFrame([(1, 9), (1, 10), (1, 19), (1, 20), (1, 99), (2, 99), (3, 99)], "relation_id int, lsn long")
+    got = sorted((r["relation_id"], r["lsn"], r["table"]) for r in CH.resolve_relations(ch, rel).collect())
+    assert got == [(1, 10, "old"), (1, 19, "old"), (1, 20, "new"), (1, 99, "new"), (2, 99, "other")]
+
+
+def test_ids_keep_nulls_and_separators_apart(spark):
+    from auditweave.functions.columns import replay_safe_id
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a~b", None, None), ("a", "~b", None)], "x string, y string, z string")
+    assert df.select(replay_safe_id(*[F.col(c) for c in "xyz"]).alias("i")).distinct().count() == 4
+
+
+def test_feed_order(spark):
+    ev = make_events(spark, [event(1, "s", 5, "info"), event(2, "s", 1, "error"), event(3, "s", 9, "error"), event(4, "s", 9, "error")])
+    assert [r["event_id"] for r in R.feed_order(ev).collect()] == ["e00003", "e00004", "e00002", "e00001"]
+
+
 def test_table_filter_ignores_case(spark):
     df = spark.createDataFrame([("shop", "orders"), ("SHOP", "Items"), ("shop", "users")], "schema string, table string")
     assert CH.filter_tables(df, [" Shop.ORDERS", "shop.items "]).count() == 2
@@ -142,6 +170,11 @@ def test_escalation(spark):
     got = R.escalate_repeats(ev, rules)
     assert sorted(r["event_id"] for r in got.where("escalated").collect()) == ["e00002", "e00003"]
     assert got.count() == 7 and got.where("severity = 'error'").count() == 2
+    # The type also stands in a second pack: one rule counts, and no event comes out twice.
+    twice = R.escalate_repeats(ev, rules.unionByName(rules.withColumn("escalate_after_count", F.lit(9))))
+    assert sorted(map(str, twice.collect())) == sorted(map(str, got.collect()))
+    many = rules.crossJoin(spark.range(2000).withColumnRenamed("id", "i")).withColumn("name", F.when(F.col("i") == 0, "x").otherwise(F.concat(F.lit("t"), F.col("i"))))
+    assert R.escalate_repeats(ev, many.drop("i")).where("escalated").count() == 2
 
 
 def test_dedup_keeps_the_first_arrival(spark):
