@@ -2,7 +2,7 @@
 
 The throttle is greedy: an alert is kept when at least ``seconds`` passed since the last *kept* alert of
 its key. Keys with few alerts are folded in one array expression. A key with many alerts (a rule that
-fires all the time may hold a third of all rows) is cut into time blocks: each block reports, for every
+fires all the time may hold a third of all rows) is cut into blocks of equally many times: each block reports, for every
 state it could be entered with, the time of its last kept alert; a walk over these few block summaries
 gives the true entry state of every block; then all blocks are resolved in parallel. The result equals
 the serial walk.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from auditweave import schema as S
 from auditweave.functions.columns import blank_to_null, micros, present, replay_safe_id, severity_rank, trimmed
-from auditweave.functions.ranking import top_n
+from auditweave.functions.ranking import positions, time_cell, top_n
 
 # --- Rules ---------------------------------------------------------------------
 
@@ -140,12 +140,12 @@ def _kept_path(times: np.ndarray, start: int, gap: int) -> np.ndarray:
     return times[np.array(kept, dtype=np.int64)]
 
 
-def _block_summary(gap: int, block: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+def _block_summary(gap: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def summarize(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.unique(pdf["us"].to_numpy())
         nxt = np.searchsorted(times, times + gap, side="left")
-        # the state before the block ends less than one gap after the block's start
-        reach = np.searchsorted(times, key[1] * block + gap, side="left")
+        # the last alert kept before the block is older than its first time, so its gap ends less than one gap after it
+        reach = np.searchsorted(times, times[0] + gap, side="left")
         last = np.arange(min(reach + 1, len(times)))
         entries = times[last]
         while True:
@@ -196,11 +196,16 @@ def _throttle_few(rows: DataFrame, gap: int) -> DataFrame:
     return times.select("key", F.explode(kept).alias("us"))
 
 
-def _throttle_many(rows: DataFrame, gap: int, block: int) -> DataFrame:
-    """Block-wise exact throttle for keys with many alerts; returns kept (key, us)."""
-    cut = rows.select("key", "us", "block").distinct()
+def _throttle_many(rows: DataFrame, gap: int, block_rows: int) -> DataFrame:
+    """Block-wise exact throttle for keys with many alerts; returns kept (key, us).
+
+    Blocks hold ``block_rows`` different times, however dense a key is.
+    """
+    times = rows.select("key", "us").distinct().withColumn("_cell", time_cell(F.col("us")))
+    placed = positions(times, ["key"], "_cell", [F.col("us").asc()], "_at")
+    cut = placed.select("key", "us", F.floor(F.col("_at") / block_rows).cast("long").alias("block"))
     summary = cut.groupBy("key", "block").applyInPandas(
-        _block_summary(gap, block), "key string, block long, upto array<bigint>, exits array<bigint>"
+        _block_summary(gap), "key string, block long, upto array<bigint>, exits array<bigint>"
     )
     entry = summary.groupBy("key").applyInPandas(_entry_states(gap), "key string, block long, earliest long")
     return (
@@ -211,14 +216,14 @@ def _throttle_many(rows: DataFrame, gap: int, block: int) -> DataFrame:
 
 def throttle_alerts(
     alerts: DataFrame, seconds: float = S.THROTTLE_SECONDS, key: Column | None = None, few: int = 1000,
-    block_seconds: float | None = None,
+    block_rows: int = 100_000,
 ) -> DataFrame:
     """Alerts kept by the greedy throttle; of alerts with equal key and time the smallest id is kept.
 
-    Keys with at most ``few`` alerts use the array fold, larger ones time blocks of ``block_seconds``.
+    Keys with at most ``few`` alerts use the array fold, larger ones blocks of ``block_rows`` times.
     """
     gap = int(seconds * 1_000_000)
-    block = max(int((block_seconds or 64 * seconds) * 1_000_000), gap, 1)
+    block = max(64 * gap, 1)
     keyed = (
         alerts.withColumn("key", throttle_key() if key is None else key)
         .withColumn("us", micros(F.col("created_at"))).withColumn("block", F.floor(F.col("us") / block).cast("long"))
@@ -230,7 +235,7 @@ def throttle_alerts(
     single, several = sized.where(F.col("_n") == 1), sized.where(F.col("_n") > 1)
     times = several.select("key", "us", "block", "_n")
     kept = _throttle_few(times.where(F.col("_n") <= few), gap).unionByName(
-        _throttle_many(times.where(F.col("_n") > few), gap, block)
+        _throttle_many(times.where(F.col("_n") > few), gap, block_rows)
     )
     first = top_n(several.join(kept, ["key", "us"], "left_semi"), ["key", "us"], [F.col("id").asc()], 1, salt_by="id")
     return single.unionByName(first.select(single.columns)).select(*alerts.columns)

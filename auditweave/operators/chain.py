@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from auditweave import schema as S
 from auditweave.functions.columns import RECORD_SUFFIX, micros, present, record_hash, record_prefix
 from auditweave.functions.ranking import positions, time_cell
-from auditweave.session import shared_folder
 
 COLUMNS = S.AUDIT.fieldNames()
 
@@ -289,8 +288,4 @@ def audit_retention(audit: DataFrame, as_of: Column, keep_days: int = 7 * 365) -
         F.coalesce(F.min(F.when(~old, F.col("sequence"))) - 1, F.max("sequence")).alias("sequence")
     )
     cut = audit.select("tenant", "sequence", "hash").join(ends, ["tenant", "sequence"])
-    spark = audit.sparkSession
-    path = shared_folder(spark, "retention")
-    cut.write.parquet(path)  # one row per tenant, needed again to verify what is kept
-    cut = spark.read.parquet(path)
     return after_checkpoints(audit, cut), cut

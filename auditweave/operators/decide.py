@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from auditweave import schema as S
 from auditweave.functions.columns import (
-    blank_to_null, first_failure, micros, present, prompt_hash, resolve_tenant, rfc3339, splice_json, trimmed,
+    blank_to_null, first_failure, present, prompt_hash, resolve_tenant, rfc3339, splice_json, trimmed,
 )
-from auditweave.functions.ranking import positions, time_cell
 from auditweave.operators.precedents import PRECEDENT_FIELDS, with_precedents
 from auditweave.operators.validate import event_failure
 
@@ -95,34 +94,6 @@ class ColumnProvider:
         )
 
 
-@dataclass
-class CyclingProvider:
-    """Canned answers in turn, by call order (timestamp, event_id); optional failing calls (0-based).
-
-    Call numbers are exact over the whole table and computed per time cell, not by one global sort.
-    """
-
-    model_id: str
-    answers: Sequence[Column] = ()
-    fail_calls: Sequence[int] = ()
-    name: str = "mock"
-
-    def score(self, rows: DataFrame) -> DataFrame:
-        answers = list(self.answers) or [response("routine", "no operator action required", 0.85, False)]
-        order = [F.col("timestamp").asc(), F.col("event_id").asc()]
-        cells = rows.withColumn("_one", F.lit(0)).withColumn("_cell", time_cell(micros(F.col("timestamp"))))
-        called = positions(cells, ["_one"], "_cell", order, "_call").drop("_one", "_cell")
-        failed = F.col("_call").isin([int(c) for c in self.fail_calls]) if self.fail_calls else F.lit(False)
-        skipped = F.lit(0)
-        for c in self.fail_calls:
-            skipped = skipped + F.when(F.col("_call") > int(c), 1).otherwise(0)
-        turn = F.pmod(F.col("_call") - skipped, F.lit(len(answers))).cast("int")
-        return (
-            called.withColumn("provider_error", F.when(failed, F.lit("mock: injected failure")))
-            .withColumn("response", F.when(~failed, F.get(F.array(*answers), turn))).drop("_call")
-        )
-
-
 @dataclass
 class BatchProvider:
     """Any model client: ``call(frame with context, instruction) -> texts`` (JSON answers; None = error).
@@ -155,7 +126,7 @@ class BatchProvider:
         return parsed.withColumn("provider_error", F.coalesce(F.col("_r.error"), bad)).drop("_r")
 
 
-Provider = ColumnProvider | CyclingProvider | BatchProvider
+Provider = ColumnProvider | BatchProvider
 
 
 def precedents_json() -> Column:

@@ -290,7 +290,7 @@ def _(spark, sf):
     greedy_sql(3_600_000_000), "SELECT key AS rule_id, us FROM kept", recursive=True))
 def _(spark, sf):
     """One key holds every alert: resolved in parallel time blocks."""
-    out = A.throttle_alerts(A.alerts_from_events(events(spark, sf)), 3600, F.col("rule_id"), few=100, block_seconds=6 * 3600)
+    out = A.throttle_alerts(A.alerts_from_events(events(spark, sf)), 3600, F.col("rule_id"), few=100, block_rows=64)
     return out.select("rule_id", us("created_at"))
 
 

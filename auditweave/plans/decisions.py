@@ -7,7 +7,7 @@ from auditweave.functions.columns import prompt_hash
 from auditweave.operators import decide as D
 from auditweave.operators import precedents as P
 from auditweave.operators import reports as R
-from auditweave.operators.decide import ColumnProvider, CyclingProvider, Guardrails
+from auditweave.operators.decide import ColumnProvider, Guardrails
 from auditweave.plans.base import events, query, rfc_sql, stored, table, us, with_ev
 from auditweave.sources import events as E
 from auditweave.sources import sinks
@@ -87,28 +87,25 @@ def _(spark, sf):
         F.col("response.confidence").alias("confidence"), "operator_review", "reason")
 
 
-@query("decide_cycling", with_ev("""calls AS (SELECT *, row_number() OVER (ORDER BY us, event_id) - 1 AS call FROM ev WHERE severity <> 'info'),
-  turns AS (SELECT *, call - CASE WHEN call > 3 THEN 1 ELSE 0 END AS turn FROM calls)""",
-    """SELECT event_id, CASE WHEN call = 3 THEN NULL WHEN turn % 3 = 0 THEN 'routine' WHEN turn % 3 = 1 THEN 'elevated' ELSE 'critical' END AS classification,
-    CASE WHEN call = 3 THEN 'provider_error' WHEN turn % 3 = 2 THEN 'rejected_output' ELSE 'pass' END AS guardrails FROM turns"""))
+@query("decide_cycling", with_ev("""SELECT event_id, CASE WHEN n % 50 = 3 THEN NULL WHEN n % 3 = 0 THEN 'routine' WHEN n % 3 = 1 THEN 'elevated' ELSE 'critical' END AS classification,
+    CASE WHEN n % 50 = 3 THEN 'provider_error' WHEN n % 3 = 2 THEN 'rejected_output' ELSE 'pass' END AS guardrails FROM ev"""))
 def _(spark, sf):
-    answers = [D.response("routine", "wait", 0.84, False, ["within variance"]), D.response("elevated", "pause", 0.5, True),
-               D.response("critical", "stop", 0.5, False)]
-    mine = events(spark, sf).where(F.col("severity") != "info")
-    out = D.decide(mine, "Classify.", CyclingProvider("canned-1", answers, fail_calls=[3]))
+    """Three answers in turn over all events, with failures among them."""
+    answers = F.array(D.response("routine", "wait", 0.84, False, ["within variance"]), D.response("elevated", "hold", 0.5, True, []),
+                      D.response("critical", "stop", 0.5, False, []))
+    turn = F.get(answers, (F.col("n") % 3).cast("int"))
+    provider = ColumnProvider("turns", "turns-1", turn, F.when(F.col("n") % 50 == 3, "no answer"))
+    out = D.decide(events(spark, sf), "Classify.", provider)
     return out.select("event_id", F.col("response.classification").alias("classification"), "guardrails")
 
 
 def scripted_model(pdf):
-    """Stands for a model client: answers from the context alone, nothing for clicks, plain text for purchases."""
-    import json
-    out = []
-    for text in pdf["context"]:
-        e = json.loads(text)
-        answer = {"classification": e["severity"], "suggestion": "see " + e["source_id"], "confidence": 0.75 if e["payload"]["k"] >= 50 else 0.25,
-                  "requires_review": e["severity"] != "info"}
-        out.append({"click": None, "purchase": "cannot say"}.get(e["event_type"], json.dumps(answer)))
-    return out
+    """Stands for a model client that answers a whole batch: nothing for clicks, plain text for purchases."""
+    kind, severity, source = (pdf["context"].str.extract(rf'"{name}":"([^"]*)"')[0] for name in ("event_type", "severity", "source_id"))
+    sure = pdf["context"].str.extract(r'"k": *([0-9]+)')[0].astype(int) >= 50
+    answer = ('{"classification":"' + severity + '","suggestion":"see ' + source + '","confidence":' + sure.map({True: "0.75", False: "0.25"})
+              + ',"requires_review":' + (severity != "info").map({True: "true", False: "false"}) + "}")
+    return answer.mask(kind == "purchase", "cannot say").mask(kind == "click", None).tolist()
 
 
 @query("decide_batch_provider", with_ev("""r AS (SELECT *, CAST(regexp_extract(payload, '[0-9]+') AS INTEGER) >= 50 AS sure FROM ev)""",

@@ -17,21 +17,25 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings the operators assume. Partition counts and sizes are left to the cluster."""
+    """Apply the settings the operators assume. Partition counts and sizes are left to the cluster.
+
+    A local session without ``spark.checkpoint.dir`` (a test) gets a folder of this machine; elsewhere the setting must
+    be made.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if not checkpoint_dir(spark) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="auditweave-"))
     return spark
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables and stream checkpoints.
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
-    Lies under ``spark.checkpoint.dir``. Only where the session names none (local tests) a temporary
-    folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables and stream checkpoints, under ``spark.checkpoint.dir``."""
+    base = checkpoint_dir(spark)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        base = tempfile.mkdtemp(prefix="auditweave-")
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

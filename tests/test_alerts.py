@@ -75,10 +75,10 @@ def test_block_throttle_equals_the_serial_walk(spark, case):
     for rule, n, span in (("hot", 900, 4000), ("gaps", 60, 20000), ("dense", 400, 90)):
         rows += [(rule, round(rng.uniform(0, span), rng.choice([0, 3])), {}) for _ in range(n)]
     df = alert_table(spark, rows)
-    block = [60, 45, 100, 600][case]
+    block = [7, 45, 100, 600][case]
     want = sorted((rule, round(t, 3)) for rule in ("hot", "gaps", "dense") for t in greedy({s for r, s, _ in rows if r == rule}, gap))
     for few in (0, 100, 10_000):
-        out = A.throttle_alerts(df, gap, few=few, block_seconds=block).collect()
+        out = A.throttle_alerts(df, gap, few=few, block_rows=block).collect()
         got = sorted((r["rule_id"], round((r["created_at"] - at(0).replace(tzinfo=None)).total_seconds(), 3)) for r in out)
         assert got == want, few
 
