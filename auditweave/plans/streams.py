@@ -10,7 +10,7 @@ from auditweave.operators import curate as C
 from auditweave.operators import decide as D
 from auditweave.operators import validate as V
 from auditweave.plans.auditing import CHAIN, NUMBERED, greedy_sql
-from auditweave.plans.base import EVENT_COLUMNS, map_events, query, table, us, with_ev
+from auditweave.plans.base import EVENT_COLUMNS, map_events, query, rfc_sql, table, us, with_ev
 from auditweave.plans.curation import fill_sql, latest_sql, seeds_sql, top_sql
 from auditweave.plans.decisions import CTX
 from auditweave.plans.ingest import BAD_EV, REASON, daily_digests, faulty_events, raw_messages
@@ -144,6 +144,58 @@ def _(spark, sf):
     return rows.groupBy("output").agg(F.count(F.lit(1)).alias("n"))
 
 
+PLATFORM = f"""sl AS (SELECT *, greatest(0, least(2, CAST(floor((us - 1704067200000000) * 3 / (31 * 86400000000.0)) AS INTEGER))) AS b FROM ev),
+  pr AS (SELECT tenant, b, ingested_us AS at_us, '0:ingest:' || event_id AS row_id, 'ingest' AS kind,
+      '{{"event_id":"' || event_id || '","source_id":"' || source_id || '"}}' AS payload FROM sl
+    UNION ALL SELECT tenant, b, max(ingested_us), '1:digest_selection:{{"tenant":"' || tenant || '"}}', 'digest_selection',
+      '{{"diversity":80.0,"k":30,"selected_n":' || least(30, count(*)) || ',"strategy":1}}' FROM sl GROUP BY tenant, b),
+  pnum AS MATERIALIZED (SELECT *, '{{"sequence":' || sequence || ',"timestamp":"' || {rfc_sql('at_us')} || '","kind":"' || kind || '","payload":' || payload || ',"prev_hash":"' AS pre
+    FROM (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY b, at_us, row_id) - 1 AS sequence FROM pr)),
+  pchain AS (SELECT tenant, sequence, kind, sha256(pre || '"}}') AS hash FROM pnum WHERE sequence = 0
+    UNION ALL SELECT n.tenant, n.sequence, n.kind, sha256(n.pre || c.hash || '"}}') FROM pchain c JOIN pnum n ON n.tenant = c.tenant AND n.sequence = c.sequence + 1)"""
+
+
+def platform(spark, sf, **options):
+    """The whole stream over three batches of messages; returns its folder."""
+    out = shared_folder(spark, "platform")
+    ev = map_events(table(spark, sf, "events")).withColumn("_batch", slices("timestamp", 3))
+    for i in range(3):
+        sinks.event_messages(ev.where(F.col("_batch") == i)).select("value").coalesce(1).write.mode("append").text(f"{out}/in")
+    messages = read_messages(spark, "text", stream=True, path=f"{out}/in", maxFilesPerTrigger=1)
+    finish(jobs.run_platform(messages, f"{out}/data", f"{out}/checkpoint", strategy=C.LATEST, k=30, **options))
+    return f"{out}/data"
+
+
+@query("stream_platform", with_ev(PLATFORM, "SELECT tenant, sequence, kind, hash FROM pchain", recursive=True))
+def _(spark, sf):
+    """Ingest to export: events and digests of all batches in one chain per tenant, exported and read back."""
+    out = platform(spark, sf)
+    records = jobs.read_chain(spark, f"{out}/audit")
+    sinks.export_audit_bundle(records, H.verify_chain(records), f"{out}/bundle")
+    exported = spark.read.schema("tenant string, sequence long, kind string, hash string").json(f"{out}/bundle/records")
+    broken = spark.read.schema("tenant string, audit_verified boolean").json(f"{out}/bundle/manifest").where("NOT audit_verified")
+    return exported.join(broken, "tenant", "left_anti").select("tenant", "sequence", "kind", "hash")
+
+
+@query("stream_platform_live", with_ev("""sl AS (SELECT *, greatest(0, least(2, CAST(floor((us - 1704067200000000) * 3 / (31 * 86400000000.0)) AS INTEGER))) AS b FROM ev),
+  pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant, b ORDER BY us DESC, event_id) AS r FROM sl) WHERE r <= 30)""",
+    """SELECT 'event' AS type, event_id AS key FROM ev UNION ALL SELECT 'decision', event_id FROM pk
+    UNION ALL SELECT 'digest', tenant || ' ' || string_agg(event_id, ',' ORDER BY us DESC, event_id) FROM pk GROUP BY tenant, b
+    UNION ALL SELECT 'alert', event_id FROM ev WHERE severity <> 'info'"""))
+def _(spark, sf):
+    """Live messages of the stream, told apart by their content; alerts of events are throttled per event."""
+    provider = D.ColumnProvider("expr", "expr-1", D.response(F.col("severity"), "act", 0.9, F.lit(False)))
+    live = spark.read.parquet(f"{platform(spark, sf, instruction='Classify.', provider=provider)}/live")
+    member = lambda path: F.get_json_object("data", path)
+    ids = F.array_join(F.transform(F.from_json(member("$.selected_events"), "array<struct<event_id: string>>"), lambda e: e["event_id"]), ",")
+    key = (
+        F.when(F.col("type") == "digest", F.concat(member("$.tenant"), F.lit(" "), ids))
+        .when(F.col("type") == "alert", member("$.ref.event_id")).otherwise(member("$.event_id"))
+    )
+    rules = F.col("type") != "alert"
+    return live.where(rules | (member("$.rule_id") == "ingest.severity_warn_or_above")).select("type", key.alias("key"))
+
+
 @query("source_liveness", with_ev("""last AS (SELECT source_id, max(us) AS last_us, count(*) AS events FROM ev GROUP BY source_id)""",
     """SELECT source_id, 'alive' AS status, last_us, events FROM last
     UNION ALL SELECT source_id, 'stalled', last_us, events FROM last WHERE last_us // 1000 + 43200000 <= ((SELECT max(us) FROM ev) - 30000000) // 1000"""))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditweave import schema as S
-from auditweave.functions.columns import micros, normalize_tenant
+from auditweave.functions.columns import micros, normalize_tenant, resolve_tenant
 from auditweave.operators import alerts as A
 from auditweave.operators import chain, curate, decide
 from auditweave.sources import sinks
@@ -383,6 +383,100 @@ def source_liveness(events: DataFrame, stalled_seconds: float = 90.0, delay: str
     )
 
 
+def _throttled(spark: SparkSession, alerts: DataFrame, out: str, batch_id: int, seconds: float) -> DataFrame:
+    """Alerts of a batch kept by the greedy throttle over all batches; the last kept time per key is the state."""
+    gap = int(seconds * 1_000_000)
+    state = read_state(spark, f"{out}/throttle", "key string, last_us long", batch_id)
+    keyed = alerts.withColumn("_key", A.throttle_key()).withColumn("_us", micros(F.col("created_at")))
+    open_ = keyed.join(state.withColumnRenamed("key", "_key"), "_key", "left").where(
+        F.col("last_us").isNull() | (F.col("_us") >= F.col("last_us") + gap)).select(alerts.columns)
+    write_batch(A.throttle_alerts(open_, seconds), f"{out}/alerts", batch_id)
+    kept = spark.read.schema(S.ALERT).parquet(batch_dir(f"{out}/alerts", batch_id))
+    seen = state.unionByName(kept.select(A.throttle_key().alias("key"), micros(F.col("created_at")).alias("last_us")))
+    last = seen.groupBy("key").agg(F.max("last_us").alias("last_us"))
+    newest = last.agg(F.max("last_us")).first()[0]
+    # keys whose gap is over by the newest alert can suppress nothing that is on time
+    write_batch(last.where(F.col("last_us") > F.lit(newest).cast("long") - gap), f"{out}/throttle", batch_id)
+    return kept
+
+
+def _checked(spark: SparkSession, out: str, heads: DataFrame, batch_id: int, at: Column) -> DataFrame:
+    """Verify what the batch appended from the heads before it; alerts for chains that turned invalid."""
+    written = spark.read.schema(AUDIT_DDL).parquet(batch_dir(f"{out}/audit/records", batch_id))
+    trusted = heads.select("tenant", (F.col("next_sequence") - 1).alias("sequence"), F.col("head_hash").alias("hash"))
+    verdict = chain.verify_since(written, trusted)
+    error = F.when(~F.col("valid"), F.concat(F.col("tenant"), F.lit(": first bad sequence "), F.col("first_bad").cast("string")))
+    checks = verdict.select("tenant", at.alias("checked_at"), "valid", error.alias("verify_err"))
+    before = read_state(spark, f"{out}/checks", "tenant string, checked_at timestamp, valid boolean, verify_err string", batch_id)
+    write_batch(checks, f"{out}/checks", batch_id)
+    both = before.unionByName(spark.read.schema(before.schema).parquet(batch_dir(f"{out}/checks", batch_id)))
+    return A.alerts_from_audit(both).where(F.col("created_at") == at)
+
+
+def platform_batch(
+    out: str, strategy: int = S.DEFAULT_STRATEGY, k: int = S.BATCH_K, diversity: float = S.DEFAULT_DIVERSITY, by: Sequence[str] = (),
+    instruction: str = "", provider: decide.Provider | None = None, guardrails=None, seconds: float = S.THROTTLE_SECONDS,
+    fallback_tenant: str = "", **options,
+) -> Callable[[DataFrame, int], None]:
+    """Batch function for raw messages that feeds one audit log per tenant from all producers, and its watchers.
+
+    Accepted events, one digest per tenant (and group of ``by``) of the batch, and, with a ``provider``, decisions over
+    the digests' events each add their rows to the tenant's chain under ``{out}/audit``. The appended part is verified
+    from the heads before it, and a chain that turns invalid raises an alert. Alerts of events, digests, decisions and
+    checks are throttled over batches. The live feed has all four kinds of messages.
+    """
+    append = audit_batch(f"{out}/audit")
+
+    def row(rank: int, kind: Column, key: Column) -> Column:
+        return F.concat_ws(":", F.lit(rank), kind, key)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        claim(spark, out, batch_id)
+        now = F.timestamp_micros(batch_time(spark, out, batch_id))
+        decoded = decode_events(batch).persist()
+        good = decoded.where(F.col("reason").isNull()).drop("reason", "value")
+        good = good.withColumn("tenant", resolve_tenant(F.col("metadata.tenant_id"), fallback_tenant))
+        write_batch(good.drop("tenant"), f"{out}/events", batch_id)
+        write_batch(decoded.where(F.col("reason").isNotNull()).select("value", "reason"), f"{out}/rejects", batch_id)
+        keys = ["tenant", *by]
+        picked = curate.select_events(good, strategy, k, keys, diversity=diversity, **options).persist()
+        ends = good.groupBy(*keys).agg(F.max("ingested_at").alias("_end"))
+        scores = curate.digest_scores(picked, good, keys).join(ends, keys)
+        write_batch(curate.digest_records(picked, scores, strategy, keys, F.col("_end")).drop("_end"), f"{out}/digests", batch_id)
+        digests = spark.read.parquet(batch_dir(f"{out}/digests", batch_id))
+        ingest = sinks.ingest_audit_rows(good, fallback_tenant)
+        rows = ingest.withColumn("row_id", row(0, F.col("kind"), F.col("row_id")))
+        chosen = curate.digest_selection_payload(digests, k, diversity)
+        key = F.to_json(F.struct(*keys))
+        rows = rows.unionByName(chosen.select("tenant", F.col("window_end").alias("timestamp"), "kind", "payload", row(1, F.col("kind"), key).alias("row_id")))
+        alerts = A.alerts_from_events(good).unionByName(A.alerts_from_digests(digests, k))
+        if provider is not None:
+            write_batch(decide.decide(picked.drop("tenant"), instruction, provider, guardrails), f"{out}/made", batch_id)
+            made = spark.read.parquet(batch_dir(f"{out}/made", batch_id))
+            told = decide.decision_audit_rows(made)
+            rows = rows.unionByName(told.withColumn("row_id", row(2, F.col("kind"), F.col("row_id"))))
+            alerts = alerts.unionByName(A.alerts_from_decisions(made))
+        heads = read_state(spark, f"{out}/audit/heads", "tenant string, next_sequence long, head_hash string", batch_id)
+        append(rows, batch_id)
+        kept = _throttled(spark, alerts.unionByName(_checked(spark, out, heads, batch_id, now)), out, batch_id, seconds)
+        feed = [sinks.live_envelope(good.drop("tenant"), "event", sinks.event_json()), sinks.live_envelope(digests, "digest"), sinks.live_envelope(kept, "alert")]
+        if provider is not None:
+            records = spark.read.schema(f"{AUDIT_DDL}, row_id string").parquet(batch_dir(f"{out}/audit/records", batch_id))
+            mine = records.where(F.startswith("row_id", F.lit("2:"))).withColumn("row_id", F.regexp_replace("row_id", "^2:[^:]*:", ""))
+            write_batch(decide.chained_decisions(made, mine), f"{out}/decisions", batch_id)
+            feed.append(sinks.live_envelope(spark.read.parquet(batch_dir(f"{out}/decisions", batch_id)), "decision"))
+        write_batch(reduce(DataFrame.unionByName, feed), f"{out}/live", batch_id)
+        picked.unpersist()
+        decoded.unpersist()
+
+    return apply
+
+
+def run_platform(messages: DataFrame, out: str, checkpoint: str, every: str | None = None, **options) -> StreamingQuery:
+    return run(messages, platform_batch(out, **options), checkpoint, every)
+
+
 def fan_out_batch(out: str, fallback_tenant: str = "") -> Callable[[DataFrame, int], None]:
     """Batch function for raw messages: accepted events, rejects, ``ingest`` audit rows, alerts and live messages.
 
