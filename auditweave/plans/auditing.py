@@ -10,7 +10,9 @@ from auditweave.operators import reports as R
 from auditweave.plans.base import events, query, rfc_sql, stored, us, with_ev
 from auditweave.plans.curation import fill_sql, latest_sql, seeds_sql, top_sql
 from auditweave.plans.decisions import ACTS, DEC, LOG, decided, operator_acts, stored_log
+from auditweave.session import shared_folder
 from auditweave.sources import sinks
+from auditweave.sources.events import read_messages
 
 # --- Chains over the ingest records of all events -------------------------------------------
 
@@ -339,6 +341,17 @@ def _(spark, sf):
     return sinks.live_envelope(events(spark, sf), "event", sinks.event_json()).select("type", F.sha2("data", 256).alias("data_hash"))
 
 
+@query("read_messages", with_ev(f"""SELECT source_id AS key, sha256('{{"event_id":"' || event_id || '","source_id":"' || source_id ||
+    '","source_type":"synthetic","event_type":"' || event_type || '","severity":"' || severity || '","timestamp":"' || {rfc_sql('us')} ||
+    '","ingested_at":"' || {rfc_sql('ingested_us')} || '","metadata":{{"ingestion_pod":"' || pod ||
+    '","schema_version":"1.0.0","tenant_id":"' || tenant || '"}},"payload":' || payload || '}}') AS value_hash FROM ev"""))
+def _(spark, sf):
+    """Keyed messages written to files and read again as any message source."""
+    out = shared_folder(spark, "messages")
+    sinks.write_messages(sinks.event_messages(events(spark, sf)), "json", out)
+    return read_messages(spark, "json", path=out).select("key", F.sha2("value", 256).alias("value_hash"))
+
+
 @query("preferred_present", with_ev(latest_sql(), seeds_sql(20, 80), fill_sql(20), """pc AS (SELECT day, max(us) AS us FROM ev WHERE source_id IN ('user-3', 'user-7') GROUP BY day)""",
     """SELECT p.day, bool_or(source_id IN ('user-3', 'user-7')) AS present, max(pc.us) AS candidate_us FROM picked p LEFT JOIN pc ON p.day = pc.day GROUP BY p.day"""))
 def _(spark, sf):

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from auditweave import schema as S
+from auditweave.functions.ranking import GROUP, top_n
 from auditweave.operators import curate as C
 from auditweave.operators import reports as R
 from auditweave.plans.base import events, query, r9, rank_sql, table, us, with_ev
-from auditweave.sources.packs import pack_roles
+from auditweave.sources.packs import check_packs, pack_roles
 
 BY = ["day"]
 OUT = ["day", "event_id", "source_id"]
@@ -434,6 +435,22 @@ def _(spark, sf):
         "pack", "name", F.col("curation_strategy").alias("strategy"), "digest_size", F.col("diversity_percent").alias("diversity"), "min_severity")
 
 
+@query("pack_rejects", """SELECT 'packs/' || lower(r_name) AS path, r_name AS name, 'missing instruction' AS reason FROM region WHERE r_name = 'AFRICA'""")
+def _(spark, sf):
+    return check_packs(nation_packs(spark, sf)).where(F.col("reason").isNotNull()).select("path", "name", "reason")
+
+
+def oldest(events, k, k_max=None, **_):
+    """A strategy of one's own: the k oldest per group."""
+    return top_n(events, [GROUP], [F.col("timestamp").asc(), F.col("event_id").asc()], k)
+
+
+@query("registered_strategy", with_ev("""SELECT day, event_id, us FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY us, event_id) AS r FROM ev) WHERE r <= 15"""))
+def _(spark, sf):
+    C.register_strategy("oldest", oldest)
+    return C.select_events(events(spark, sf), "oldest", 15, BY).select("day", "event_id", us("timestamp"))
+
+
 @query("digest_params", """WITH req AS (SELECT l_orderkey, l_linenumber,
     CAST(l_linenumber AS VARCHAR) AS strategy, CASE WHEN l_returnflag = 'N' THEN 'many' ELSE CAST(CAST(l_quantity AS INTEGER) - 5 AS VARCHAR) END AS k,
     CASE WHEN l_linestatus = 'O' THEN '' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS diversity FROM lineitem),

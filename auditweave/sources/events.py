@@ -15,7 +15,10 @@ from auditweave.operators.validate import event_failure
 
 
 def read_messages(spark: SparkSession, fmt: str, stream: bool = False, path: str | None = None, **options) -> DataFrame:
-    """Messages as (key, value) text. ``fmt`` is ``kafka`` or any file format with a ``value`` column."""
+    """Messages as (key, value) text, with topic, partition and offset where the source has them.
+
+    ``fmt`` is ``kafka`` or any file format with a ``value`` column.
+    """
     reader = (spark.readStream if stream else spark.read).format(fmt).options(**options)
     if fmt == "text":
         reader = reader.schema("value string")
@@ -23,7 +26,8 @@ def read_messages(spark: SparkSession, fmt: str, stream: bool = False, path: str
         reader = reader.schema("key string, value string")
     df = reader.load(path) if path else reader.load()
     key = F.col("key").cast("string") if "key" in df.columns else F.lit(None).cast("string")
-    return df.select(key.alias("key"), F.col("value").cast("string").alias("value"))
+    place = [c for c in ("topic", "partition", "offset") if c in df.columns]
+    return df.select(key.alias("key"), F.col("value").cast("string").alias("value"), *place)
 
 
 def decode_events(messages: DataFrame) -> DataFrame:
