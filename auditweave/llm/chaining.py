@@ -1,90 +1,100 @@
 """Fuzzy repeated passages by collinear chaining of shared seeds.
 
 1. Each text gives the hash and place of some of its K-word runs: of every WINDOW consecutive runs the one with the least
-   hash (words in lower case A-Z).
-2. Every hash has an owner, the first place that has it (smallest doc_id, then start). All other documents that have the
-   hash match their place with the owner's, so a passage shared by many documents gives one match per seed and
-   document, never pairs of all.
-3. The matches of one document with one owner are chained: each scores its words, a step costs the words it passes over
+   hash (words in lower case A-Z). Of a hash that a text has several times, its first place counts.
+2. Every hash has an owner, the smallest doc_id that has it. All other documents that have the hash match their place
+   with the owner's, so a passage shared by many documents gives one match per seed and document, never pairs of all.
+3. The matches of one document with one owner are chained: each scores its words, a step costs the bytes it passes over
    in both texts, and the best predecessor (before it in both) comes from a Fenwick tree of prefix maxima over the
-   owner's places. Chains are cut where a step is longer than GAP words.
+   owner's places. Chains are cut where a step is longer than GAP bytes.
 4. Chains are aligned on the words of both texts: exact runs are counted, the words between seeds are aligned by
    longest common subsequence, ends are extended while they match, and the stretches of at least PERCENT per cent equal
    words (of the longer side) are kept.
 5. Stretches that touch or lie at most JOIN words apart form a passage; passages of at least WORDS words are reported.
 
 Defined results: null texts are empty; a null doc_id is the smallest; rows with one doc_id and different texts are told
-apart by a hash of the text, yet do not match each other; repeated rows both keep or lose a passage; texts of fewer than
-K words have no seeds; an empty table gives no rows. Only doc_id and text are read; the other columns of documents are
-carried through.
+apart by a hash of the text, do not match each other, and either may be the source of a later passage; repeated rows
+both keep or lose a passage; texts of fewer than K words have no seeds; an empty table gives no rows. Only doc_id and
+text are read; the other columns of documents are carried through.
 """
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.llm.base import cut, query, table
-from auditweave.llm.minmax import mix
-from auditweave.llm.suffixes import NULL_ID, OFFSET_BITS, offset_of, rows_of, tag_of
+from auditweave.llm.hashing import BASES, mix, word_hashes
+from auditweave.llm.suffixes import NULL_ID, OFFSET_BITS, TAG_BITS, rows_of
 
-K, WINDOW = 5, 10
-#: Longest step of a chain, least words of a stretch and of a passage, distance of joined stretches, in words.
-GAP, STRETCH, WORDS, JOIN = 30, 15, 40, 4
+K, WINDOW = 5, 12
+#: Longest step of a chain in bytes; least words of a stretch and of a passage, distance of joined stretches, in words.
+GAP, STRETCH, WORDS, JOIN = 240, 15, 40, 4
 PERCENT = 80
-#: Bytes beside a chain that its ends may grow into, and most cells of one alignment.
-MARGIN, CELLS = 600, 40_000
+#: What a match scores, in bytes that a step may pass over (eight times those of five words).
+SCORE = 260
+#: Bytes beside a chain that its ends may grow into, most cells of one alignment, bytes of text handled at a time.
+MARGIN, CELLS, BLOCK = 600, 40_000, 1 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-@lru_cache(maxsize=500_000)
-def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
-def seeds(raw: bytes, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, word numbers and byte offsets of the chosen k-word runs."""
-    words = raw.lower().split()
+def seeds(texts: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and byte offset of the chosen k-word runs of all texts, in order."""
+    none = np.zeros(0, dtype=np.int64)
+    words, own, offset = word_hashes(texts)
     n = len(words) - k + 1
     if n < 1:
-        none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    h = np.fromiter(map(_hash, words), dtype=np.uint64, count=len(words))
     total = np.zeros(n, dtype=np.uint64)
     for i in range(k):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + h[i:n + i]
+        total = total * np.uint64(BASES[0]) + words[i:n + i]
     runs = mix(total)
-    if n <= window:
-        at = np.array([runs.argmin()])
-    else:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(runs, window).argmin(axis=1) + np.arange(n - window + 1))
-    data = np.frombuffer(raw, dtype=np.uint8)
-    visible = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    starts = np.flatnonzero(visible & ~np.concatenate([[False], visible[:-1]]))
-    return runs[at].view(np.int64), at, starts[at]
-
-
-def chains(x: np.ndarray, y: np.ndarray, k: int = K, gap: int = GAP) -> list[list[int]]:
-    """Disjoint chains over matches (word x of a text, word y of the other), as lists of match numbers.
-
-    ``x`` and ``y`` must be sorted by (x, y). In eighths of a word: a match scores 8 k, a step costs one per word it
-    passes in either text.
+    inside = own[:n] == own[k - 1:]  # runs of one text
+    bits = np.uint64(max(1, n.bit_length()))
+    key = np.where(inside, runs >> bits << bits | np.arange(n, dtype=np.uint64), np.iinfo(np.uint64).max)
+    # Least of each window, from windows of 1, 2, 4, ... runs.
+    chosen = []
+    if n >= window:
+        least, width = key, 1
+        while 2 * width <= window:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        least = np.minimum(least[:n - window + 1], least[window - width:window - width + n - window + 1])
+        whole = own[:n - window + 1] == own[window + k - 2:window + k - 2 + n - window + 1]
+        chosen.append(least[whole])
+    # Texts of fewer runs than a window have one window.
+    first = np.flatnonzero(inside & np.concatenate([[True], own[1:n] != own[:n - 1]]))
+    number = np.bincount(own[:n][inside], minlength=len(texts))[own[first]]
+    for f, m in zip(first[number < window].tolist(), number[number < window].tolist()):
+        chosen.append(key[f:f + m].min(keepdims=True))
+    at = np.unique(np.concatenate(chosen)).astype(np.uint64) & np.uint64((1 << int(bits)) - 1) if chosen else none
+    at = np.unique(at.astype(np.int64))
+    order = np.lexsort((at, runs[at], own[at]))
+    at = at[order]
+    again = np.zeros(len(at), dtype=bool)
+    again[1:] = (runs[at][1:] == runs[at][:-1]) & (own[at][1:] == own[at][:-1])
+    at = np.sort(at[~again])
+    return runs[at].view(np.int64), own[at], offset[at]
+
+
+def chains(x: np.ndarray, y: np.ndarray, score: int = SCORE, gap: int = GAP) -> list[list[int]]:
+    """Disjoint chains over matches (place x of a text, place y of the other), as lists of match numbers.
+
+    ``x`` and ``y`` must be sorted by (x, y). A match scores ``score``, a step costs one per byte it passes in either
+    text.
     """
     n = len(x)
     places = {v: r for r, v in enumerate(np.unique(y).tolist(), 1)}
     xs, ys = x.tolist(), y.tolist()
     size = len(places)
     tree_value, tree_at = [-1] * (size + 1), [-1] * (size + 1)
-    score, before = [0] * n, [-1] * n
+    sums, before = [0] * n, [-1] * n
     i = 0
     while i < n:
         j = i
-        while j < n and xs[j] == xs[i]:  # matches of one word cannot follow each other
+        while j < n and xs[j] == xs[i]:  # matches of one place cannot follow each other
             rank = places[ys[j]] - 1
             best, at = -1, -1
             while rank:
@@ -92,19 +102,19 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = K, gap: int = GAP) -> list[lis
                     best, at = tree_value[rank], tree_at[rank]
                 rank &= rank - 1
             gain = best - xs[j] - ys[j]
-            score[j] = 8 * k + max(0, gain)
+            sums[j] = score + max(0, gain)
             if gain > 0:
                 before[j] = at
             j += 1
         for m in range(i, j):
-            value, rank = score[m] + xs[m] + ys[m], places[ys[m]]
+            value, rank = sums[m] + xs[m] + ys[m], places[ys[m]]
             while rank <= size:
                 if tree_value[rank] < value:
                     tree_value[rank], tree_at[rank] = value, m
                 rank += rank & -rank
         i = j
     used, out = [False] * n, []
-    for end in sorted(range(n), key=lambda m: -score[m]):
+    for end in sorted(range(n), key=lambda m: -sums[m]):
         chain = []
         while end >= 0 and not used[end]:
             used[end] = True
@@ -210,7 +220,7 @@ def align(raw: bytes, other: bytes, xs: list[int], ys: list[int], k: int = K, pe
     return out
 
 
-_SEEDS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("word", pa.int32())])
+_SEEDS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
 _CHAINS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("source", pa.int64()), ("source_tag", pa.int64()),
                      ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64()))])
 _ALIGNED = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
@@ -218,37 +228,47 @@ _ALIGNED = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int
 
 
 def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush() -> pa.RecordBatch:
+        h, own, offset = seeds(texts)
+        place = offset + (np.array(tags, dtype=np.int64) << OFFSET_BITS)[own]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (h, np.array(docs, dtype=np.int64)[own], place)], schema=_SEEDS)
+
+    docs, tags, texts, size = [], [], [], 0
     for batch in batches:
-        out = [[], [], [], []]
         for doc, tag, text in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), batch["data"]):
-            h, word, offset = seeds(text.as_py())
-            for c, v in zip(out, (h, np.full(len(h), doc), offset + (tag << OFFSET_BITS), word)):
-                c.append(v)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), f.type) for v, f in zip(out, _SEEDS)], schema=_SEEDS)
+            docs.append(doc), tags.append(tag), texts.append(text.as_py())
+            size += len(texts[-1])
+            if size >= BLOCK:
+                yield flush()
+                docs, tags, texts, size = [], [], [], 0
+    if texts:
+        yield flush()
 
 
 def _emit_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over matches sorted by document, owner and word; one document's matches with one owner at a time."""
+    """Over matches sorted by document, owner and place; one document's matches with one owner at a time."""
     low = (1 << OFFSET_BITS) - 1
 
     def of(group: list[np.ndarray]) -> list[tuple]:
-        doc, place, word, source, source_place, source_word = group
-        found = []
-        for chain in chains(word, source_word):
-            if word[chain[-1]] + K - word[chain[0]] >= STRETCH:
+        doc, place, source, source_place = group
+        x, y, found = place & low, source_place & low, []
+        for chain in chains(x, y):
+            if x[chain[-1]] - x[chain[0]] >= 3 * STRETCH:
                 found.append((int(doc[0]), int(place[0] >> OFFSET_BITS), int(source[0]), int(source_place[0] >> OFFSET_BITS),
-                              (place[chain] & low).tolist(), (source_place[chain] & low).tolist()))
+                              x[chain].tolist(), y[chain].tolist()))
         return found
 
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*found), _CHAINS)], schema=_CHAINS)
+
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "place", "word", "source", "source_place", "source_word")]
+        rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "place", "source", "source_place")]
         if held is not None:
             rows = [np.concatenate(v) for v in zip(held, rows)]
-        doc, place, _, source, source_place, _ = rows
+        doc, place, source, source_place = rows
         change = (np.diff(doc) != 0) | (np.diff(place >> OFFSET_BITS) != 0) | (np.diff(source) != 0) | (np.diff(source_place >> OFFSET_BITS) != 0)
         edges = [0, *(np.flatnonzero(change) + 1).tolist()]
         found = []
@@ -257,9 +277,9 @@ def _emit_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found += of([v[a:b] for v in rows])
         held = [v[edges[-1]:] for v in rows]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*found), _CHAINS)], schema=_CHAINS)
+            yield batch_of(found)
     if held is not None and (found := of(held)):
-        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*found), _CHAINS)], schema=_CHAINS)
+        yield batch_of(found)
 
 
 def _emit_aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,13 +296,13 @@ def _emit_aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def stretches(docs: DataFrame) -> DataFrame:
     """(doc, tag, start, end, source, words, equal): similar stretches with the owner of their seeds."""
     rows = rows_of(docs)
-    found = rows.select("doc", "tag", F.col("text").cast("binary").alias("data")).mapInArrow(_emit_seeds, "h long, doc long, place long, word int")
-    owners = found.groupBy("h").agg(F.min(F.struct("doc", "place", "word")).alias("o"), F.max("doc").alias("last")).where("last > o.doc")
-    owners = owners.select("h", F.col("o.doc").alias("source"), F.col("o.place").alias("source_place"), F.col("o.word").alias("source_word"))
-    matches = found.join(owners, "h").where("doc <> source").select("doc", "place", "word", "source", "source_place", "source_word")
-    tag = F.shiftright("place", OFFSET_BITS)
-    by_pair = matches.repartition("doc").sortWithinPartitions(
-        "doc", tag, "source", F.shiftright("source_place", OFFSET_BITS), "word", "source_word")
+    found = rows.select("doc", "tag", F.col("text").cast("binary").alias("data")).mapInArrow(_emit_seeds, "h long, doc long, place long")
+    # Numbers only, so the aggregation hashes instead of sorting; a document has a hash once.
+    owners = found.groupBy("h").agg(F.min("doc").alias("source"), F.min_by("place", "doc").alias("source_place"), F.max("doc").alias("last"))
+    owners = owners.where("last > source").drop("last")
+    matches = found.join(owners, "h").where("doc <> source").select("doc", "place", "source", "source_place")
+    tag = lambda c: F.shiftright(c, OFFSET_BITS)
+    by_pair = matches.repartition("doc").sortWithinPartitions("doc", tag("place"), "source", tag("source_place"), "place", "source_place")
     linked = cut(by_pair.mapInArrow(_emit_chains, "doc long, tag long, source long, source_tag long, xs array<long>, ys array<long>"), "chains")
     first, last = lambda c: F.element_at(c, 1), lambda c: F.element_at(c, -1)
     linked = linked.select("*", F.greatest(first("xs") - MARGIN, F.lit(0)).alias("from_x"), F.greatest(first("ys") - MARGIN, F.lit(0)).alias("from_y"))
@@ -352,7 +372,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 22)).alias("tag"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << TAG_BITS)).alias("tag"),
         F.col("text").alias("text"), row.alias("row"))
     matched = rows.join(own, ["doc", "tag"], "left")
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.llm.base import cut, query, table, text_or_empty
-from auditweave.llm.minmax import mix
+from auditweave.llm.hashing import BASES, Hashes, mix
 
 LENGTH, GRAM = 100, 24
 #: Bytes hashed at a time, bytes a map task settles at a time, bytes sorted at a time.
@@ -43,36 +43,6 @@ COMMON, LIMIT = 256, 20_000
 TAG_BITS, OFFSET_BITS = 22, 40
 NULL_ID = -(1 << 63)
 REMOVED, MARK, CLASS, DEALT = 0, 1, 2, 3
-_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_TABLES: dict = {}
-
-
-def _powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    held = _TABLES.get(which)
-    if held is None or len(held[0]) < n:
-        base = _BASE[which]
-        row = lambda b: np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(n, b, dtype=np.uint64))])
-        held = _TABLES[which] = (row(base), row(pow(base, -1, 1 << 64)))
-    return held
-
-
-class Hashes:
-    """Prefix polynomial hashes of a byte array: the hash of any range in constant time.
-
-    The prefix sums weigh byte j by base^-j; multiplied by base^i, a difference of two sums depends on the bytes of its
-    range only.
-    """
-
-    def __init__(self, data: np.ndarray, which: int = 0, bits: int = 64):
-        self.power, inverse = _powers(len(data) + 1, which)
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * inverse[: len(data)], out=self.sums[1:])
-        self.mask = np.uint64((1 << bits) - 1)
-
-    def of(self, start: np.ndarray, length) -> np.ndarray:
-        found = (self.sums[start + length] - self.sums[start]) * self.power[start]
-        return found if self.mask == np.uint64(2**64 - 1) else found & self.mask
 
 
 def common_extension(hashes: Hashes, x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
@@ -187,7 +157,7 @@ def _classes(data: np.ndarray, edges: np.ndarray, length: int, gram: int):
     cut_here = np.flatnonzero((np.diff(place[at]) != 0) | (np.diff(at) != 1)) + 1
     first = at[np.concatenate([[0], cut_here])]
     number = np.diff(np.concatenate([[0], cut_here, [len(at)]]))
-    whole = mix(hashes.of(first, number + length - 1) + number.astype(np.uint64) * np.uint64(_BASE[1]))
+    whole = mix(hashes.of(first, number + length - 1) + number.astype(np.uint64) * np.uint64(BASES[1]))
     return first, number, grams[place[first]].view(np.int64), whole.view(np.int64)
 
 
@@ -225,7 +195,7 @@ def _batch(key, whole, doc, place, number, kind) -> pa.RecordBatch:
 
 
 def _scatter(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return mix(doc.view(np.uint64) * np.uint64(_BASE[0]) + place.view(np.uint64)).view(np.int64)
+    return mix(doc.view(np.uint64) * np.uint64(BASES[0]) + place.view(np.uint64)).view(np.int64)
 
 
 def _settle(groups: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

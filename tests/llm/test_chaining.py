@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,10 +8,10 @@ from auditweave.llm import chaining
 from tests.llm.conftest import edited, text
 
 
-def best_score(x, y, k):
+def best_score(x, y, score):
     f = []
     for i in range(len(x)):
-        f.append(8 * k + max([0, *(f[j] - (x[i] - x[j]) - (y[i] - y[j]) for j in range(i) if x[j] < x[i] and y[j] < y[i])]))
+        f.append(score + max([0, *(f[j] - (x[i] - x[j]) - (y[i] - y[j]) for j in range(i) if x[j] < x[i] and y[j] < y[i])]))
     return max(f)
 
 
@@ -19,12 +20,12 @@ def test_chains_are_the_best():
     for _ in range(100):
         pairs = sorted({(r.randrange(60), r.randrange(60)) for _ in range(r.randint(1, 40))})
         x, y = (np.array(v) for v in zip(*pairs))
-        found = chaining.chains(x, y, gap=10**6)
+        found = chaining.chains(x, y, 40, 10**6)
         assert sorted(m for c in found for m in c) == list(range(len(pairs)))
         assert all(x[a] < x[b] and y[a] < y[b] for c in found for a, b in zip(c, c[1:]))
-        score = lambda c: 8 * 5 * len(c) - int(x[c[-1]] - x[c[0]] + y[c[-1]] - y[c[0]])
-        assert max(map(score, found)) == best_score(x.tolist(), y.tolist(), 5)
-        assert all(x[b] - x[a] <= 7 and y[b] - y[a] <= 7 for c in chaining.chains(x, y, gap=7) for a, b in zip(c, c[1:]))
+        score = lambda c: 40 * len(c) - int(x[c[-1]] - x[c[0]] + y[c[-1]] - y[c[0]])
+        assert max(map(score, found)) == best_score(x.tolist(), y.tolist(), 40)
+        assert all(x[b] - x[a] <= 7 and y[b] - y[a] <= 7 for c in chaining.chains(x, y, 40, 7) for a, b in zip(c, c[1:]))
 
 
 def test_common_words():
@@ -34,10 +35,28 @@ def test_common_words():
     assert chaining.common_words(list("ab" * 500), list("ba" * 500)) <= 1000
 
 
-def test_seeds_of_short_and_odd_texts():
-    assert len(chaining.seeds(b"a b c d")[0]) == 0 and len(chaining.seeds(b"")[0]) == 0
-    h, word, place = chaining.seeds(b"  a B\tc\n d e  f")
-    assert len(h) == 1 and b"a B c d e f".split()[word[0]] == b"  a B\tc\n d e  f"[place[0]:].split()[0]
+def plain_seeds(raw, k, window):
+    words = list(re.finditer(rb"[^\x20\x09-\x0D]+", raw))
+    runs = [b" ".join(m.group().lower() for m in words[i:i + k]) for i in range(len(words) - k + 1)]
+    return runs, [m.start() for m in words]
+
+
+def test_seeds_cover_every_window_and_agree(make):
+    r = random.Random(9)
+    texts = [b"", b"a b c d", b"  a B\tc\n d e  f", b"x " * 50] + [text(i, r.randint(0, 80)).encode() for i in range(30)] + ["\u00c9 \u00e9 Z z ".encode() * 9]
+    h, own, at = chaining.seeds(texts, 5, 6)
+    by_hash = {}
+    for t, raw in enumerate(texts):
+        runs, starts = plain_seeds(raw, 5, 6)
+        mine = {starts.index(a): v for v, o, a in zip(h.tolist(), own.tolist(), at.tolist()) if o == t}
+        for i, v in mine.items():
+            assert by_hash.setdefault(v, runs[i]) == runs[i]  # equal hashes, equal words
+        assert len(set(mine.values())) == len(mine)
+        chosen = {runs[i] for i in mine}
+        for i in range(max(1, len(runs) - 5)):
+            assert not runs[i:i + 6] or chosen & set(runs[i:i + 6])
+        alone = chaining.seeds([raw], 5, 6)
+        assert alone[0].tolist() == list(mine.values()) and alone[2].tolist() == [starts[i] for i in mine]
 
 
 def covered(raw, rows):

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from auditweave.llm import suffixes
+from auditweave.llm.hashing import Hashes
 from tests.llm.conftest import edited, text
 
 
@@ -38,7 +39,7 @@ def found(df):
 def test_hashes_and_extension():
     r = np.random.default_rng(1)
     data = np.concatenate([p := r.integers(97, 100, 300).astype(np.uint8), p])
-    h = suffixes.Hashes(data)
+    h = Hashes(data)
     assert h.of(np.array([0]), 50) == h.of(np.array([300]), 50)
     x, y = r.integers(0, 540, 500), r.integers(0, 540, 500)
     want = [next((k for k in range(60) if data[a + k] != data[b + k]), 60) for a, b in zip(x, y)]
