@@ -139,3 +139,31 @@ def test_dedup_stream_over_batches(spark, tmp_path):
          .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     q.awaitTermination()
     assert sorted(ids(spark.read.parquet(str(tmp_path / "out")))) == ["e00000", "e00001", "e00002", "e00003"]
+
+
+def platform_alerts(spark, out):
+    return sorted((r["batch_id"], r["rule_id"], r["body"]) for r in spark.read.parquet(f"{out}/alerts").collect())
+
+
+def test_platform_watches_its_audit_log(spark, tmp_path, monkeypatch):
+    """Event alerts are throttled over batches; a chain whose records are altered raises one alert."""
+    out = str(tmp_path / "p")
+    apply = jobs.platform_batch(out, strategy=C.LATEST, k=2, seconds=60)
+    messages = lambda b: sinks.event_messages(make_events(spark, [
+        event(b, "s", b * 20, "error", tenant="t", event_id=f"e{b}"), event(7, "s", b * 20 + 1, "error", tenant="u", event_id="same")]))
+    apply(messages(0), 0)
+    apply(messages(0), 0)  # a rerun
+    append = H.append_chain
+    forged = lambda rows, heads=None: append(rows, heads).withColumn("payload", F.when(F.col("tenant") == "t", "{}").otherwise(F.col("payload")))
+    monkeypatch.setattr(jobs.chain, "append_chain", forged)
+    apply(messages(1), 1)
+    apply(messages(2), 2)
+    monkeypatch.undo()
+    got = platform_alerts(spark, out)
+    assert [(b, body) for b, rule, body in got if rule == "platform.audit_chain_invalid"] == [(1, "t: first bad sequence 2")]
+    events_ = [(b, body.split()[0]) for b, rule, body in got if rule == "ingest.severity_warn_or_above"]
+    assert events_ == [(0, "event_id=e0"), (0, "event_id=same"), (1, "event_id=e1"), (2, "event_id=e2")]
+    chain = jobs.read_chain(spark, f"{out}/audit")
+    assert {r["tenant"]: (r["valid"], r["length"]) for r in H.verify_chain(chain).collect()} == {"t": (False, 6), "u": (True, 6)}
+    live = spark.read.parquet(f"{out}/live").groupBy("type").count().collect()
+    assert {r["type"]: r["count"] for r in live} == {"event": 6, "digest": 6, "alert": len(got)}
