@@ -11,13 +11,19 @@ Groups of copies may hold a third of all rows, so pairs are never listed within
 * A bucket's members are first compared with its leader only, the member that meets the most others over all its
   buckets (in a group of edited copies, the one closest to the original). Each member tries its closest leader, then
   the others that are not yet in its component.
-* What remains are buckets whose members lie in different components. There the next 1, 2, 4, ... members lead in turn,
-  against the members of other components only, until no bucket spans two components or every member has led. So no
-  pair that shares a bucket goes untested unless it is already connected; two sets that both lie in one component need no
-  further link.
+* What remains are buckets whose members lie in different components. Of their members, those that share a shingle
+  which at most RARE of them have are compared. Others share common shingles only, so the rare ones of each bound its
+  similarity with them, which rules out most.
+* In the buckets still left, the next 1, 2, 4, ... members lead in turn, against the members of other components only,
+  until no bucket spans two components or every member has led.
+
+So no pair that shares a bucket goes without a test or a proof that it is not similar, unless it is already connected; two
+sets that both lie in one component need no further link.
 
 Comparisons carry the set of a leader once for each of SALTS slices of its members, so a leader of many members is
-spread over many tasks. Sizes bound similarity: sets with 100 * smaller < percent * larger are not compared.
+spread over many tasks. Two counts bound similarity and spare most comparisons that fail: the size of a set, and how many
+of its shingles no other set in any bucket has. The intersection holds none of those, so a document with many words of
+its own needs a partner much smaller than itself; where a bucket has none, the document leaves it.
 
 Defined results: texts without words are linked with nothing; null doc_ids are linked with nothing, have a null
 component and are kept; rows with one doc_id count as one document; an empty table gives no rows. Other columns are not
@@ -28,48 +34,49 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditweave.llm.base import cut, map_batches, query, table, text_or_empty
+from auditweave.llm.base import cut, map_batches, query, table
 from auditweave.llm.graph import components
+from auditweave.llm.hashing import BASES, mix, word_hashes
 
 PERMUTATIONS, PER_BAND = 64, 2
 SALTS = 32
+#: Most sets that a rare shingle occurs in.
+RARE = 16
 #: Hashes ordered at a time.
 STRETCH = 1 << 14
 _SEED = 20240229
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of MurmurHash3 for 64 bits."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
+def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
+    """Per text the sorted hashes of its distinct k-word shingles; of a shorter text, one hash of all its words.
 
-@lru_cache(maxsize=500_000)
-def _word(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+    Words are told apart by white space of ASCII and compared with A-Z in lower case, as in ``word_hashes``.
+    """
+    words, own, _ = word_hashes([t.encode() for t in texts])
+    n = len(words) - k + 1
+
+    def runs(width: int, starts: np.ndarray) -> np.ndarray:
+        total = np.full(len(starts), width, dtype=np.uint64)
+        for i in range(width):
+            total = total * np.uint64(BASES[0]) + words[starts + i]
+        return mix(total)
+
+    inside = np.flatnonzero(own[:n] == own[k - 1:]) if n > 0 else np.zeros(0, dtype=np.int64)
+    hashes = runs(k, inside)
+    edges = np.searchsorted(own[inside], np.arange(len(texts) + 1))
+    sets = [np.unique(hashes[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist())]
+    first = np.searchsorted(own, np.arange(len(texts) + 1))
+    number = np.diff(first)
+    for t in np.flatnonzero((number > 0) & (number < k)).tolist():
+        sets[t] = runs(int(number[t]), first[t:t + 1])
+    return sets
 
 
 def shingles(text: str, k: int) -> np.ndarray:
-    """Sorted hashes of the distinct k-word shingles; of a shorter text, one hash of all its words.
-
-    ``bytes.lower`` changes A-Z only, and ``bytes.split`` cuts at the six ASCII white-space characters.
-    """
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_word, words), dtype=np.uint64, count=len(words))
-    width = min(k, len(words))
-    total = np.full(len(words) - width + 1, width, dtype=np.uint64)
-    for i in range(width):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - width + 1 + i]
-    return np.unique(mix(total))
+    return shingle_sets([text], k)[0]
 
 
 @lru_cache(maxsize=1)
@@ -106,8 +113,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         out = {c: [] for c in ("n_shingles", "f1", "f2", "bands")}
-        for text in batch["text"].to_pylist():
-            s = shingles(text or "", k)
+        for s in shingle_sets([t or "" for t in batch["text"].to_pylist()], k):
             f = (s.sum(dtype=np.uint64), mix(s ^ np.uint64(_SEED)).sum(dtype=np.uint64))
             for c, v in zip(out, (len(s), int(f[0].view(np.int64)), int(f[1].view(np.int64)), band_keys(s) if len(s) else [])):
                 out[c].append(v)
@@ -120,7 +126,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, hashes) of the documents whose doc_id is in ``ids`` (id)."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"id": batch["id"], "hashes": [shingles(t or "", k).view(np.int64) for t in batch["text"].to_pylist()]}
+        return {"id": batch["id"], "hashes": [s.view(np.int64) for s in shingle_sets([t or "" for t in batch["text"].to_pylist()], k)]}
 
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
     return map_batches(rows, run, "id long, hashes array<long>")
@@ -154,28 +160,71 @@ def _merge(known: DataFrame | None, links: DataFrame) -> DataFrame:
     return cut(old.unionByName(moved.join(known, "id", "left_anti")), "components")
 
 
+def _least(n: Column, percent: int) -> Column:
+    """Fewest shingles of a partner of a set of n."""
+    return F.ceil(percent * n / 100)
+
+
+def with_bounds(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``entries`` with ``most``, the most shingles a similar partner can have, of those that can have a partner.
+
+    With s shared shingles, similarity is at least percent only if (100 + percent) * s >= percent * (n + m); s is at most
+    the number of shingles that occur in another set.
+    """
+    each = sets.select("id", F.explode("hashes").alias("hash"))
+    own = each.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    shared = F.col("n") - F.coalesce("own", F.lit(0))
+    bounded = entries.join(_of_one_set(own, sets), "id", "left").withColumn("most", F.floor((100 + percent) * shared / percent) - F.col("n")).drop("own")
+    return possible(bounded.where(F.col("most") >= _least(F.col("n"), percent)))
+
+
+def _of_one_set(counts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Without ids that stand for several sets (rows with one doc_id): their shingles are not told apart."""
+    several = sets.groupBy("id").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("id")
+    return counts.join(several, "id", "left_anti")
+
+
+def possible(entries: DataFrame) -> DataFrame:
+    """Rows of buckets in which some other size fits."""
+    sizes = entries.groupBy("key").agg(F.min("n").alias("low"), F.max("most").alias("high"), F.count(F.lit(1)).alias("met")).where("met > 1")
+    return entries.join(sizes, "key").where("most >= low AND n <= high").drop("low", "high", "met")
+
+
 def link_classes(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Components (id, root) of the classes in buckets ``entries`` (key, id, n, weight); None without any link."""
-    close = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
-    first = entries.groupBy("key").agg(F.max_by(F.struct("id", "n", "weight"), F.struct("weight", -F.col("id"))).alias("lead"))
+    """Components (id, root) of the classes in buckets ``entries`` (key, id, n, most, weight); None without any link."""
+    close = (F.col("m") >= _least(F.col("n"), percent)) & (F.col("n") >= _least(F.col("m"), percent)) & (
+        F.col("m") <= F.col("most")) & (F.col("n") <= F.col("a_most")) & (F.col("a") != F.col("b"))
+    first = entries.groupBy("key").agg(F.max_by(F.struct("id", "n", "most", "weight"), F.struct("weight", -F.col("id"))).alias("lead"))
     led = entries.join(first, "key").select(
-        F.col("lead.id").alias("a"), F.col("lead.n").alias("m"), F.col("lead.weight").alias("weight"), F.col("id").alias("b"), "n")
+        F.col("lead.id").alias("a"), F.col("lead.n").alias("m"), F.col("lead.most").alias("a_most"), F.col("lead.weight").alias("weight"),
+        F.col("id").alias("b"), "n", "most")
     leaders = cut(led.where(close).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("weight").alias("weight")), "leaders")
     closest = leaders.groupBy("b").agg(F.max_by("a", F.struct("shared", "weight", -F.col("a"))).alias("a"))
-    roots, rounds = None, 0
+    roots = _linked(closest, sets, percent, None)
+    roots = _linked(_across(leaders.join(closest, ["a", "b"], "left_anti"), roots), sets, percent, roots)
+    led_by = first.select("key", F.struct(-F.col("lead.weight"), F.col("lead.id")).alias("last"))
+    waiting = spanning(entries.join(led_by, "key").where(leading_order() > F.col("last")).drop("last"), roots)
+    if waiting.isEmpty():
+        return roots
+    pairs, waiting = by_rare_shingles(waiting, sets, percent, close)
+    roots, number = _linked(pairs, sets, percent, roots), 1
     while True:
-        if rounds == 0:
-            pairs = closest
-        elif rounds == 1:
-            pairs = _across(leaders.join(closest, ["a", "b"], "left_anti"), roots)
-        else:
-            entries, pairs = _next_leaders(entries, roots, 2 ** (rounds - 2), close)
-            if entries is None:
-                return roots
-        links = cut(confirm(pairs, sets, percent), "links")
-        if not links.isEmpty():
-            roots = _merge(roots, links)
-        rounds += 1
+        waiting = spanning(waiting, roots)
+        if waiting.isEmpty():
+            return roots
+        pairs, waiting = by_leaders(waiting, number, close)
+        roots, number = _linked(pairs, sets, percent, roots), 2 * number
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, roots: DataFrame | None) -> DataFrame | None:
+    """Components after the links among ``pairs``."""
+    links = cut(confirm(pairs, sets, percent), "links")
+    return roots if links.isEmpty() else _merge(roots, links)
+
+
+def leading_order() -> Column:
+    """Leaders go by weight, then id."""
+    return F.struct((-F.col("weight")).alias("w"), F.col("id").alias("i"))
 
 
 def _with_root(rows: DataFrame, roots: DataFrame | None, name: str, column: str) -> DataFrame:
@@ -189,30 +238,43 @@ def _across(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return _with_root(_with_root(pairs, roots, "a", "a_root"), roots, "b", "b_root").where("a_root <> b_root").select("a", "b")
 
 
-def _next_leaders(entries: DataFrame, roots: DataFrame | None, lead: int, close: Column) -> tuple[DataFrame | None, DataFrame | None]:
-    """Members of buckets that still span components after their last leader, and pairs with their next ``lead`` leaders.
+def spanning(waiting: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows, with their component ``root``, of buckets that lie in several components and may hold a similar pair."""
+    rows = _with_root(waiting.drop("root"), roots, "id", "root")
+    keys = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return cut(possible(rows.join(keys, "key")), "waiting")
+
 
-    Leaders go by weight, then id; ``last`` in entries is the last one that led (at first, the one of most weight).
+def by_rare_shingles(waiting: DataFrame, sets: DataFrame, percent: int, close: Column) -> tuple[DataFrame, DataFrame]:
+    """Pairs across components that share a rare shingle, and the rows that may be similar to a set without one.
+
+    A shingle is rare if at most RARE of the waiting sets have it, so it gives few pairs.
     """
-    order = F.struct(-F.col("weight"), "id")
-    if "last" not in entries.columns:
-        first = entries.groupBy("key").agg(F.min(order).alias("last"))
-    else:
-        first = entries.groupBy("key").agg(F.first("last").alias("last"))
-        entries = entries.drop("last")
-    waiting = _with_root(entries.join(first, "key").where(order > F.col("last")).drop("root"), roots, "id", "root")
-    spanning = waiting.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    waiting = cut(waiting.join(spanning, "key"), "waiting")
-    if waiting.isEmpty():
-        return None, None
+    who = waiting.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "most", "root")])
+    each = sets.join(who.select("id"), "id", "left_semi").select("id", F.explode("hashes").alias("hash"))
+    rare = each.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= RARE)
+    held = cut(each.join(rare, "hash"), "rare")
+    shared = held.where("c > 1").drop("c").join(who, "id")
+    left = shared.select("hash", F.col("id").alias("a"), F.col("n").alias("m"), F.col("most").alias("a_most"), F.col("root").alias("a_root"))
+    right = shared.select("hash", F.col("id").alias("b"), "n", "most", "root")
+    pairs = left.join(right, "hash").where(close & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("root"))).select("a", "b").distinct()
+    own = _of_one_set(held.groupBy("id").agg(F.count(F.lit(1)).alias("own")), sets)
+    rest = waiting.join(own, "id", "left")
+    common = F.col("n") - F.coalesce("own", F.lit(0))
+    rest = rest.withColumn("most", F.floor((100 + percent) * common / percent) - F.col("n")).drop("own")
+    return pairs, rest.where(F.col("most") >= _least(F.col("n"), percent))
+
+
+def by_leaders(waiting: DataFrame, number: int, close: Column) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's first ``number`` members with later ones of other components, and the later ones."""
     # The group limit is applied before the shuffle, so a large bucket sends only its first members of each task.
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("weight").desc(), "id"))
-    lead_rows = waiting.select("key", "id", "n", "root", "weight", place.alias("place")).where(F.col("place") <= lead)
-    lead_rows = cut(lead_rows.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("root").alias("a_root"), order.alias("o")), "leads")
-    pairs = waiting.join(lead_rows, "key").withColumn("b", F.col("id")).where(
-        close & (F.col("root") != F.col("a_root")) & (order > F.col("o"))).select("a", "b").distinct()
-    last = lead_rows.groupBy("key").agg(F.max("o").alias("last"))
-    return waiting.drop("last", "root").join(last, "key"), pairs
+    leads = waiting.select("key", "id", "n", "most", "root", "weight", place.alias("place")).where(F.col("place") <= number)
+    leads = cut(leads.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("most").alias("a_most"), F.col("root").alias("a_root"), leading_order().alias("o")), "leads")
+    pairs = waiting.withColumn("b", F.col("id")).join(leads, "key").where(
+        close & (F.col("root") != F.col("a_root")) & (leading_order() > F.col("o"))).select("a", "b").distinct()
+    last = leads.groupBy("key").agg(F.max("o").alias("last"))
+    return pairs, waiting.join(last, "key").where(leading_order() > F.col("last")).drop("last")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -223,12 +285,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     keys = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     entries = cut(keys.join(crowded, "key"), "entries")
-    weights = entries.groupBy("id").agg(F.sum("met").alias("weight"))
-    entries = cut(entries.drop("met").join(weights, "id"), "weighed")
     names = linkable.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("id"))
     roots = None
     if not entries.isEmpty():
         sets = cut(sets_of(docs, entries.select("id").distinct(), k), "sets")
+        entries = cut(with_bounds(entries.select("key", "id", "n"), sets, percent), "bounded")
+        met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+        weights = entries.join(met, "key").groupBy("id").agg(F.sum("met").alias("weight"))
+        entries = cut(entries.join(weights, "id"), "weighed")
         roots = link_classes(entries, sets, percent)
     named = signed.select("doc_id", "n_shingles", "f1", "f2").join(names, ["n_shingles", "f1", "f2"], "left")
     rooted = _with_root(named, roots, "id", "root")

@@ -83,6 +83,12 @@ def test_many_unlike_members_in_one_bucket(make, percent):
     check(make, rows, 3, percent)
 
 
+def test_rows_with_one_id_and_different_texts(make):
+    base = text(70, 200)
+    rows = [(i, edited(base, i, 0.03)) for i in range(30)] + [(i, edited(base, 100 + i, 0.03)) for i in range(0, 30, 3)]
+    check(make, rows, 4)
+
+
 def test_components_of_paths_and_stars(session):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(300, 200), (200, 250)]
     r = random.Random(1)
