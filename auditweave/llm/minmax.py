@@ -14,8 +14,8 @@ Groups of copies may hold a third of all rows, so pairs are never listed within
 * What remains are buckets whose members lie in different components. Of their members, those that share a shingle
   which at most RARE of them have are compared. Others share common shingles only, so the rare ones of each bound its
   similarity with them, which rules out most.
-* In the buckets still left, the next 1, 2, 4, ... members lead in turn, against the members of other components only,
-  until no bucket spans two components or every member has led.
+* In the buckets still left, the next LEADERS members, then twice as many and so on, lead in turn, against the members of
+  other components only, until no bucket spans two components. Members outside a bucket's largest component come first.
 
 So no pair that shares a bucket goes without a test or a proof that it is not similar, unless it is already connected; two
 sets that both lie in one component need no further link.
@@ -45,6 +45,8 @@ PERMUTATIONS, PER_BAND = 64, 2
 SALTS = 32
 #: Most sets that a rare shingle occurs in.
 RARE = 16
+#: Members of a bucket that lead together at first.
+LEADERS = 8
 #: Hashes ordered at a time.
 STRETCH = 1 << 14
 _SEED = 20240229
@@ -202,12 +204,12 @@ def link_classes(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     closest = leaders.groupBy("b").agg(F.max_by("a", F.struct("shared", "weight", -F.col("a"))).alias("a"))
     roots = _linked(closest, sets, percent, None)
     roots = _linked(_across(leaders.join(closest, ["a", "b"], "left_anti"), roots), sets, percent, roots)
-    led_by = first.select("key", F.struct(-F.col("lead.weight"), F.col("lead.id")).alias("last"))
-    waiting = spanning(entries.join(led_by, "key").where(leading_order() > F.col("last")).drop("last"), roots)
+    led = first.select("key", F.col("lead.id").alias("id"))
+    waiting = spanning(entries.join(led, ["key", "id"], "left_anti"), roots)
     if waiting.isEmpty():
         return roots
     pairs, waiting = by_rare_shingles(waiting, sets, percent, close)
-    roots, number = _linked(pairs, sets, percent, roots), 1
+    roots, number = _linked(pairs, sets, percent, roots), LEADERS
     while True:
         waiting = spanning(waiting, roots)
         if waiting.isEmpty():
@@ -222,11 +224,6 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, roots: DataFrame |
     return roots if links.isEmpty() else _merge(roots, links)
 
 
-def leading_order() -> Column:
-    """Leaders go by weight, then id."""
-    return F.struct((-F.col("weight")).alias("w"), F.col("id").alias("i"))
-
-
 def _with_root(rows: DataFrame, roots: DataFrame | None, name: str, column: str) -> DataFrame:
     if roots is None:
         return rows.withColumn(column, F.col(name))
@@ -239,10 +236,14 @@ def _across(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def spanning(waiting: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows, with their component ``root``, of buckets that lie in several components and may hold a similar pair."""
-    rows = _with_root(waiting.drop("root"), roots, "id", "root")
-    keys = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    return cut(possible(rows.join(keys, "key")), "waiting")
+    """Rows of buckets that lie in several components and may hold a similar pair.
+
+    ``root`` is a row's component, ``major`` tells whether it is the one with most rows of the bucket.
+    """
+    rows = _with_root(waiting.drop("root", "major"), roots, "id", "root")
+    parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    keys = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most_of"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return cut(possible(rows.join(keys.drop("parts"), "key").withColumn("major", F.col("root") == F.col("most_of")).drop("most_of")), "waiting")
 
 
 def by_rare_shingles(waiting: DataFrame, sets: DataFrame, percent: int, close: Column) -> tuple[DataFrame, DataFrame]:
@@ -266,15 +267,13 @@ def by_rare_shingles(waiting: DataFrame, sets: DataFrame, percent: int, close: C
 
 
 def by_leaders(waiting: DataFrame, number: int, close: Column) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's first ``number`` members with later ones of other components, and the later ones."""
+    """Pairs of each bucket's first ``number`` members with members of other components, and the rows that have not led."""
     # The group limit is applied before the shuffle, so a large bucket sends only its first members of each task.
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("weight").desc(), "id"))
-    leads = waiting.select("key", "id", "n", "most", "root", "weight", place.alias("place")).where(F.col("place") <= number)
-    leads = cut(leads.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("most").alias("a_most"), F.col("root").alias("a_root"), leading_order().alias("o")), "leads")
-    pairs = waiting.withColumn("b", F.col("id")).join(leads, "key").where(
-        close & (F.col("root") != F.col("a_root")) & (leading_order() > F.col("o"))).select("a", "b").distinct()
-    last = leads.groupBy("key").agg(F.max("o").alias("last"))
-    return pairs, waiting.join(last, "key").where(leading_order() > F.col("last")).drop("last")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("major", F.col("weight").desc(), "id"))
+    leads = waiting.select("key", "id", "n", "most", "root", "weight", "major", place.alias("place")).where(F.col("place") <= number)
+    leads = cut(leads.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("most").alias("a_most"), F.col("root").alias("a_root")), "leads")
+    pairs = waiting.withColumn("b", F.col("id")).join(leads, "key").where(close & (F.col("root") != F.col("a_root"))).select("a", "b").distinct()
+    return pairs, waiting.join(leads.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
