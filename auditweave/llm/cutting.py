@@ -9,6 +9,11 @@ _ODD = re.compile(r"\s ")
 STRETCH = 1 << 20
 
 
+def odd(text: str) -> bool:
+    """Whether some space follows a white-space character, so that not every space is a place to cut."""
+    return _ODD.search(text) is not None
+
+
 def chunks(text: str) -> list[str]:
     """``text`` cut before spaces that follow a character that is not white space.
 
@@ -16,7 +21,7 @@ def chunks(text: str) -> list[str]:
     run of white space always starts a match: tokens of the chunks are the tokens of the text. Joined, the chunks give
     the text.
     """
-    if _ODD.search(text):
+    if odd(text):
         parts = re.split(r"(?<=\S)(?= )", text)
     else:
         parts = text.split(" ")

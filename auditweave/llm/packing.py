@@ -25,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditweave.llm.base import map_batches, query, shared_path, table
-from auditweave.llm.cutting import chunks, stretches
+from auditweave.llm.cutting import chunks, odd, stretches
+from auditweave.llm.hashing import BASES, Hashes
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
@@ -42,7 +44,12 @@ BLOCK = 4096
 SHARD_IDS = 1 << 18
 _HEAD = struct.Struct("<4sIIIQQQ")
 #: Chunks a worker remembers (two tables of this size), and the longest of them.
-CHUNKS, LONGEST = 500_000, 48
+CHUNKS, LONGEST = 700_000, 48
+
+
+_MARK, _LETTER = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_MARK[list(b".,;:!?")] = True
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 
 
 def width_of(vocabulary: int) -> int:
@@ -52,6 +59,8 @@ def width_of(vocabulary: int) -> int:
 def pack_bits(ids: np.ndarray, width: int) -> bytes:
     """``ids`` in ``width`` bits each, low bits first, filled up to a byte."""
     n = len(ids)
+    if width in (8, 16, 32):
+        return ids.astype(f"<u{width // 8}").tobytes()
     groups = np.zeros((-(-n // 8), 8), dtype=np.uint64)
     groups.ravel()[:n] = ids
     out = np.zeros((len(groups), width + 5), dtype=np.uint8)  # eight ids fill width bytes
@@ -65,6 +74,8 @@ def pack_bits(ids: np.ndarray, width: int) -> bytes:
 
 def unpack_bits(data: np.ndarray, first: int, n: int, width: int) -> np.ndarray:
     """``n`` ids from the ``first`` on, of bytes packed by ``pack_bits``."""
+    if width in (8, 16, 32):
+        return np.frombuffer(data.tobytes(), dtype=f"<u{width // 8}", count=n, offset=first * width // 8).astype(np.uint32)
     bit = np.arange(first, first + n, dtype=np.int64) * width
     at = bit >> 3
     padded = np.concatenate([data[: -(-(first + n) * width // 8)], np.zeros(5, dtype=np.uint8)])
@@ -142,43 +153,97 @@ class Encoder:
         self.size = max(vocabulary.values(), default=0) + 1
         self.starts_chunk = np.zeros(self.size, dtype=bool)
         self.starts_chunk[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.young, self.old = {}, {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        plain = [c for c in new if c[0] == " " and " " not in c[1:] and len(c) > 1 and not c[-1].isspace()]
-        known = {}
-        if plain:
-            ids = np.frombuffer(self._encode(["".join(plain)])[0], dtype="<u4")
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Ids of chunks by the library: those with one space, at their start, and a visible end are one text."""
+        plain = [c.rfind(b" ") == 0 and c[-1] > 32 and (c[-1] < 128 or not c.decode()[-1].isspace()) for c in new]
+        together = list(compress(new, plain))
+        known: list[bytes] = []
+        if together:
+            ids = np.frombuffer(self._encode([b"".join(together).decode()])[0], dtype="<u4")
             at = np.flatnonzero(self.starts_chunk[ids])
-            if len(at) == len(plain):
+            if len(at) == len(together):
                 data = ids.tobytes()
                 edges = [*(at * 4).tolist(), len(data)]
-                known = {c: data[a:b] for c, a, b in zip(plain, edges, edges[1:])}
-        rest = [c for c in new if c not in known]
-        return known | dict(zip(rest, self._encode(rest)))
+                known = [data[a:b] for a, b in zip(edges, edges[1:])]
+        if not known:
+            return self._encode([c.decode() for c in new])
+        alone = self._encode([c.decode() for c, p in zip(new, plain) if not p])
+        if not alone:
+            return known
+        known, alone = iter(known), iter(alone)
+        return [next(known if p else alone) for p in plain]
+
+    def _ids_of(self, keys: list[bytes]) -> list[bytes]:
+        """Ids of different chunks, from memory or the library."""
+        young, old = self.young, self.old
+        values = list(map(young.get, keys))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if missing:
+            new = []
+            for i in missing:
+                known = old.get(keys[i])
+                if known is None:
+                    new.append(i)
+                else:
+                    values[i] = young[keys[i]] = known
+            for k in range(0, len(new), 2000):
+                part = new[k:k + 2000]
+                for i, v in zip(part, self._learn([keys[i] for i in part])):
+                    values[i] = young[keys[i]] = v
+            for i in new:
+                if len(keys[i]) > LONGEST:
+                    del young[keys[i]]
+            if len(young) > CHUNKS:
+                self.old, self.young = young, {}
+        return values
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [chunks(t) for t in texts]
-        young, old = self.young, self.old
-        new = []
-        for c in set().union(*parts).difference(young):
-            if (known := old.get(c)) is not None:
-                young[c] = known
-            elif c:
-                new.append(c)
-        young[""] = b""
-        for k in range(0, len(new), 20_000):
-            young.update(self._learn(new[k:k + 20_000]))
-        out = [b"".join(map(young.__getitem__, p)) for p in parts]
-        for c in [c for c in new if len(c) > LONGEST]:
-            del young[c]
-        if len(young) > CHUNKS:
-            self.old, self.young = young, {}
-        return out
+        """Ids of each text. Equal chunks are found by hash in arrays, so Python handles each different chunk once."""
+        raw = [t.encode() for t in texts]
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, dtype=np.uint8)
+        edges = np.cumsum([0, *map(len, raw)])
+        # A chunk starts at each text and at each space in it, or, in texts with runs of white space, where it may.
+        cuts = data == 32
+        for i, t in enumerate(texts):
+            if odd(t):
+                cuts[edges[i]:edges[i + 1]] = False
+                cuts[edges[i] + np.cumsum([0, *(len(c.encode()) for c in chunks(t)[:-1])])] = True
+        # A mark between a letter and a space is a match of its own.
+        if len(data) > 2:
+            cuts[1:-1] |= _MARK[data[1:-1]] & _LETTER[data[:-2]] & (data[2:] == 32)
+        filled = np.flatnonzero(np.diff(edges))
+        cuts[edges[filled]] = True
+        start = np.flatnonzero(cuts)
+        if not len(start):
+            return [b""] * len(texts)
+        size = np.diff(np.append(start, len(data)))
+        key = Hashes(data).of(start, size) + size.astype(np.uint64) * np.uint64(BASES[0])
+        _, first, same = np.unique(key, return_index=True, return_inverse=True)
+        # Equal hashes must come from equal lengths and sums of bytes; else the second hash tells chunks apart.
+        plain = np.add.reduceat(data, start, dtype=np.uint64) << np.uint64(32) | size.astype(np.uint64)
+        if (plain != plain[first][same]).any():
+            other = Hashes(data, 1).of(start, size)
+            _, first, same = np.unique(np.stack([key, other]), axis=1, return_index=True, return_inverse=True)
+            same = same.ravel()
+        begin, end = start[first].tolist(), (start + size)[first].tolist()
+        values = self._ids_of([joined[a:b] for a, b in zip(begin, end)])
+        table = np.frombuffer(b"".join(values), dtype="<u4")
+        length = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) >> 2
+        offset = np.cumsum(length) - length
+        number = length[same]
+        ends = np.cumsum(number)
+        ids = table[np.repeat(offset[same] - (ends - number), number) + np.arange(ends[-1])].tobytes()
+        # Ids before each text: those of the chunks that start before it.
+        at = np.concatenate([[0], ends])[np.searchsorted(start, edges)] * 4
+        return [ids[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
 @lru_cache(maxsize=2)
