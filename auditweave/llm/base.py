@@ -1,5 +1,6 @@
 """Registry of the training-data queries, shared input handling and lineage cuts."""
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,6 +67,20 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+_MEMORY: dict[str, Callable[[], object]] = {}
+
+
+def worker_memory(name: str, forget: Callable[[], object] | None = None) -> None:
+    """Say that this Python worker now works for operator ``name``: what it remembers for another one is forgotten.
+
+    Workers outlive their tasks, so tables that speed one operator up would otherwise stay in memory under the next.
+    """
+    for other in [n for n in _MEMORY if n != name]:
+        _MEMORY.pop(other)()
+    if forget:
+        _MEMORY[name] = forget
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """``mapInArrow`` with one output table per input batch; ``fn`` returns column name -> values."""
     target = df.sparkSession.createDataFrame([], schema).schema
@@ -74,6 +89,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory(fn.__module__, getattr(sys.modules.get(fn.__module__), "forget", None))
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)

@@ -27,7 +27,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(
     r"\S", r"\P{White_Space}")
 #: Longest text that a worker remembers, and its numbers of matches and of chunks.
-LONGEST, MATCHES, CHUNKS = 48, 500_000, 500_000
+LONGEST, MATCHES, CHUNKS = 48, 400_000, 250_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], longest: int = 1 << 30) -> list[int]:
@@ -135,15 +135,15 @@ class _Remembered(dict):
 class Codec:
     """Ids of texts and bytes of ids, by the ranks in a file of ``base64(token) rank`` lines."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, matches: int | None = None, chunks: int | None = None):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.names = {rank: str(rank) for rank in self.tokens}
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(PATTERN)
-        self._piece = _Remembered(self._encode_piece, MATCHES)
-        self._chunk = _Remembered(self._encode_chunk, CHUNKS)
+        self._piece = _Remembered(self._encode_piece, matches or MATCHES)
+        self._chunk = _Remembered(self._encode_chunk, chunks or CHUNKS)
 
     def _encode_piece(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
@@ -173,9 +173,13 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def codec(path: str, matches: int | None = None, chunks: int | None = None) -> Codec:
     """One codec for each file and worker."""
-    return Codec(path)
+    return Codec(path, matches, chunks)
+
+
+def forget() -> None:
+    codec.cache_clear()
 
 
 def encode_table(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -198,12 +202,16 @@ def decode_table(coded: DataFrame, path: str | None = None) -> DataFrame:
     return map_batches(coded.select("doc_id", "ids"), texts, "doc_id long, data binary")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256; ids of a long text are never held together."""
+def digests(docs: DataFrame, path: str | None = None, matches: int | None = None, chunks: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256; ids of a long text are never held together.
+
+    ``matches`` and ``chunks`` bound what a worker remembers (by default MATCHES and CHUNKS).
+    """
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [codec(path).digest(t.as_py() or "") for t in batch["text"]]
+        own = codec(path, matches, chunks)
+        found = [own.digest(t.as_py() or "") for t in batch["text"]]
         n, ids, data = zip(*found)
         return {"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": data}
 

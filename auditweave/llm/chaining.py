@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.base import cut, query, table
+from auditweave.llm.base import cut, query, table, worker_memory
 from auditweave.llm.hashing import BASES, mix, word_hashes
 from auditweave.llm.suffixes import NULL_ID, OFFSET_BITS, TAG_BITS, rows_of
 
@@ -173,17 +173,24 @@ def _grow(a: list, b: list) -> tuple[int, int, int]:
     return out
 
 
-def align(raw: bytes, other: bytes, xs: list[int], ys: list[int], k: int = K, percent: int = PERCENT) -> list[tuple[int, int, int, int]]:
+def align(
+    raw: bytes, other: bytes, xs: list[int], ys: list[int], percent: int = PERCENT, whole: tuple[bool, bool, bool, bool] = (True,) * 4,
+) -> list[tuple[int, int, int, int]]:
     """(start, end, words, equal words) of the similar stretches along a chain; offsets are bytes of ``raw``.
 
-    ``xs`` and ``ys`` are the byte offsets of the chain's seeds in the two texts.
+    ``xs`` and ``ys`` are the byte offsets of the chain's seeds in the two texts. ``whole`` tells whether each text begins
+    and ends as its document does; where it was cut, the word at the cut may be a part and is left out.
     """
-    def split(text: bytes):
+    def split(text: bytes, begins: bool, ends: bool):
         found = list(_WORD.finditer(text))
+        if not begins and found and found[0].start() == 0:
+            del found[0]
+        if not ends and found and found[-1].end() == len(text):
+            del found[-1]
         return [m.group().lower() for m in found], [m.start() for m in found], [m.end() for m in found]
 
-    a, a_start, a_end = split(raw)
-    b, b_start, _ = split(other)
+    a, a_start, a_end = split(raw, *whole[:2])
+    b, b_start, _ = split(other, *whole[2:])
     a_at, b_at = {s: i for i, s in enumerate(a_start)}, {s: i for i, s in enumerate(b_start)}
     seeds_ = [(a_at[x], b_at[y]) for x, y in zip(xs, ys) if x in a_at and y in b_at]
     if not seeds_:
@@ -233,6 +240,7 @@ def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = offset + (np.array(tags, dtype=np.int64) << OFFSET_BITS)[own]
         return pa.RecordBatch.from_arrays([pa.array(v) for v in (h, np.array(docs, dtype=np.int64)[own], place)], schema=_SEEDS)
 
+    worker_memory(__name__)
     docs, tags, texts, size = [], [], [], 0
     for batch in batches:
         for doc, tag, text in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), batch["data"]):
@@ -287,7 +295,9 @@ def _emit_aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         out = []
         columns = [batch[c].to_pylist() for c in ("doc", "tag", "source", "xs", "ys", "from_x", "from_y", "piece", "source_piece")]
         for doc, tag, source, xs, ys, from_x, from_y, piece, other in zip(*columns):
-            for start, end, words, equal in align(piece, other, [x - from_x for x in xs], [y - from_y for y in ys]):
+            cut_short = lambda text, at, first: len(text) >= at[-1] - first + 2 * MARGIN
+            whole = (from_x == 0, not cut_short(piece, xs, from_x), from_y == 0, not cut_short(other, ys, from_y))
+            for start, end, words, equal in align(piece, other, [x - from_x for x in xs], [y - from_y for y in ys], whole=whole):
                 out.append((doc, tag, start + from_x, end + from_x, source, words, equal))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), _ALIGNED)], schema=_ALIGNED)

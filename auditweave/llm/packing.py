@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditweave.llm.base import map_batches, query, shared_path, table
+from auditweave.llm.base import map_batches, query, shared_path, table, worker_memory
 from auditweave.llm.cutting import chunks, odd, stretches
 from auditweave.llm.hashing import BASES, Hashes
 
@@ -261,6 +261,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     last = np.array([end], dtype="<u4").tobytes()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory(__name__, encoder.cache_clear)
         part, number = TaskContext.get().partitionId(), 0
         doc_ids, data, held = [], [], 0
 

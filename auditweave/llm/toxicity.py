@@ -57,7 +57,7 @@ _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=50_000)
 def features_of(word: str) -> tuple[int, ...]:
     """Places of one lower-case word: the word, and its beginnings if it is longer."""
     names = ["w" + word, *(f"p{word[:k]}" for k in (3, 4, 5) if len(word) >= k)]
@@ -167,7 +167,7 @@ class Scorer:
     def telling(self, word: str) -> tuple[int, ...]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             weights = self.model["weights"]
             found = self.known[word] = tuple(p for p in features_of(word) if p in weights)
@@ -207,6 +207,11 @@ def _scorer(shared) -> Scorer:
     return _SCORERS[id(shared.value)]
 
 
+def forget() -> None:
+    _SCORERS.clear()
+    features_of.cache_clear()
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -48,7 +48,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
     configure(spark)
-    return bpe.digests(docs)
+    # Executors still hold what the stages before needed, so workers remember less than for the operator alone.
+    return bpe.digests(docs, matches=100_000, chunks=50_000)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substrings", substrings), ("mixing", mixing), ("encoding", encoding)]

@@ -120,6 +120,15 @@ def test_half_of_a_passage_owned_by_another(make):
     assert [x.doc_id for x in found] == [3] and 64 <= found[0].n_words <= 67
 
 
+def test_cuts_beside_a_chain_do_not_split_characters(make):
+    """Periodic text has no seeds of its own, so the ends of a chain grow up to where the texts were cut."""
+    for shift in range(4):
+        beside = "z" * shift + "\u00e9\u00e0\u00fc\u00f1 " * 400
+        rows = [(i, f"{beside}{text(5, 60)} {beside}") for i in range(3)]
+        left = {x.doc_id: x.text for x in chaining.without_passages(make(rows)).collect()}
+        assert left[0] == rows[0][1] and text(5, 60) not in left[1]
+
+
 def test_edges(make):
     copy = text(5, 90)
     rows = [(1, None), (2, ""), (None, copy), (3, copy), (3, copy), (4, "a " * 3000), (5, "a " * 3000), (6, text(7, 20000)), (7, text(7, 20000)), (7, text(8, 50))]
