@@ -1,9 +1,10 @@
 """Fuzzy repeated passages by collinear chaining of shared seeds.
 
 1. Each text gives the hash and place of some of its K-word runs: of every WINDOW consecutive runs the one with the least
-   hash (words in lower case A-Z). Of a hash that a text has several times, its first place counts.
-2. Every hash has an owner, the smallest doc_id that has it. All other documents that have the hash match their place
-   with the owner's, so a passage shared by many documents gives one match per seed and document, never pairs of all.
+   hash (words in lower case A-Z). A hash that comes again within one block of WORDS words counts once there: two copies of
+   a passage lie further apart, and periodic text needs no more.
+2. Every hash has an owner, the smallest doc_id that has it, with its first place there. All other documents that have the
+   hash match all their places with the owner's, so every copy of a passage gives one match per seed, never pairs of all.
 3. The matches of one document with one owner are chained: each scores its words, a step costs the bytes it passes over
    in both texts, and the best predecessor (before it in both) comes from a Fenwick tree of prefix maxima over the
    owner's places. Chains are cut where a step is longer than GAP bytes.
@@ -42,12 +43,18 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def seeds(texts: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and byte offset of the chosen k-word runs of all texts, in order."""
+    """Hash, text number and byte offset of the chosen k-word runs of all texts, in order; of equal runs of a text the first."""
+    h, own, offset, first = places(texts, k, window)
+    return h[first], own[first], offset[first]
+
+
+def places(texts: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and byte offset of the chosen k-word runs, in order, and whether the text has the run here first."""
     none = np.zeros(0, dtype=np.int64)
     words, own, offset = word_hashes(texts)
     n = len(words) - k + 1
     if n < 1:
-        return none, none, none
+        return none, none, none, none.astype(bool)
     total = np.zeros(n, dtype=np.uint64)
     for i in range(k):
         total = total * np.uint64(BASES[0]) + words[i:n + i]
@@ -71,12 +78,15 @@ def seeds(texts: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.ndar
         chosen.append(key[f:f + m].min(keepdims=True))
     at = np.unique(np.concatenate(chosen)).astype(np.uint64) & np.uint64((1 << int(bits)) - 1) if chosen else none
     at = np.unique(at.astype(np.int64))
-    order = np.lexsort((at, runs[at], own[at]))
-    at = at[order]
+    at = at[np.lexsort((at, runs[at], own[at]))]
+    block = (at - np.searchsorted(own, own[at])) // WORDS
     again = np.zeros(len(at), dtype=bool)
     again[1:] = (runs[at][1:] == runs[at][:-1]) & (own[at][1:] == own[at][:-1])
-    at = np.sort(at[~again])
-    return runs[at].view(np.int64), own[at], offset[at]
+    near = again & np.concatenate([[False], block[1:] == block[:-1]])
+    at, first = at[~near], ~again[~near]
+    order = np.argsort(at)
+    at, first = at[order], first[order]
+    return runs[at].view(np.int64), own[at], offset[at], first
 
 
 def chains(x: np.ndarray, y: np.ndarray, score: int = SCORE, gap: int = GAP) -> list[list[int]]:
@@ -227,7 +237,7 @@ def align(
     return out
 
 
-_SEEDS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
+_SEEDS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("first", pa.bool_())])
 _CHAINS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("source", pa.int64()), ("source_tag", pa.int64()),
                      ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64()))])
 _ALIGNED = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
@@ -236,9 +246,9 @@ _ALIGNED = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int
 
 def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
-        h, own, offset = seeds(texts)
+        h, own, offset, first = places(texts)
         place = offset + (np.array(tags, dtype=np.int64) << OFFSET_BITS)[own]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (h, np.array(docs, dtype=np.int64)[own], place)], schema=_SEEDS)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (h, np.array(docs, dtype=np.int64)[own], place, first)], schema=_SEEDS)
 
     worker_memory(__name__)
     docs, tags, texts, size = [], [], [], 0
@@ -306,11 +316,11 @@ def _emit_aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def stretches(docs: DataFrame) -> DataFrame:
     """(doc, tag, start, end, source, words, equal): similar stretches with the owner of their seeds."""
     rows = rows_of(docs)
-    found = rows.select("doc", "tag", F.col("text").cast("binary").alias("data")).mapInArrow(_emit_seeds, "h long, doc long, place long")
-    # Numbers only, so the aggregation hashes instead of sorting; a document has a hash once.
-    owners = found.groupBy("h").agg(F.min("doc").alias("source"), F.min_by("place", "doc").alias("source_place"), F.max("doc").alias("last"))
+    found = rows.select("doc", "tag", F.col("text").cast("binary").alias("data")).mapInArrow(_emit_seeds, "h long, doc long, place long, first boolean")
+    # Numbers only, so the aggregation hashes instead of sorting; a text has a hash first once.
+    owners = found.where("first").groupBy("h").agg(F.min("doc").alias("source"), F.min_by("place", "doc").alias("source_place"), F.max("doc").alias("last"))
     owners = owners.where("last > source").drop("last")
-    matches = found.join(owners, "h").where("doc <> source").select("doc", "place", "source", "source_place")
+    matches = found.drop("first").join(owners, "h").where("doc <> source").select("doc", "place", "source", "source_place")
     tag = lambda c: F.shiftright(c, OFFSET_BITS)
     by_pair = matches.repartition("doc").sortWithinPartitions("doc", tag("place"), "source", tag("source_place"), "place", "source_place")
     linked = cut(by_pair.mapInArrow(_emit_chains, "doc long, tag long, source long, source_tag long, xs array<long>, ys array<long>"), "chains")

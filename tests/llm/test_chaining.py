@@ -112,6 +112,16 @@ def test_a_passage_in_most_documents(make):
     assert all(60 <= x.n_words <= 64 for x in found)
 
 
+def test_every_copy_within_a_document(make):
+    passage = text(1, 60)
+    three = f"{text(10, 30)} {passage} {text(11, 30)} {passage} {text(12, 30)} {passage}"
+    rows = [(1, f"{text(13, 30)} {passage} {text(14, 30)} {passage}"), (2, three)]
+    found = chaining.passages(make(rows)).collect()
+    assert [x.doc_id for x in found] == [2] * 3 and all(60 <= x.n_words <= 64 for x in found)
+    left = {x.doc_id: x.text for x in chaining.without_passages(make(rows)).collect()}
+    assert left[1] == rows[0][1] and passage not in left[2]
+
+
 def test_half_of_a_passage_owned_by_another(make):
     """The first half also stands in an earlier document, so the copy's seeds have two owners."""
     a, b = text(1, 32), text(2, 32)
