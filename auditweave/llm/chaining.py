@@ -8,10 +8,11 @@
 3. The matches of one document with one owner are chained: each scores its words, a step costs the bytes it passes over
    in both texts, and the best predecessor (before it in both) comes from a Fenwick tree of prefix maxima over the
    owner's places. Chains are cut where a step is longer than GAP bytes.
-4. Chains are aligned on the words of both texts: exact runs are counted, the words between seeds are aligned by
-   longest common subsequence, ends are extended while they match, and the stretches of at least PERCENT per cent equal
-   words (of the longer side) are kept.
+4. Chains, also those of one match, are aligned on the words of both texts: exact runs are counted, the words between
+   seeds are aligned by longest common subsequence, ends are extended while they match, and the stretches of at least
+   PERCENT per cent equal words (of the longer side) are kept.
 5. Stretches that touch or lie at most JOIN words apart form a passage; passages of at least WORDS words are reported.
+   Their source is that of the longest stretch; stretches of short chains name it only where there is no other.
 
 Defined results: null texts are empty; a null doc_id is the smallest; rows with one doc_id and different texts are told
 apart by a hash of the text, do not match each other, and either may be the source of a later passage; repeated rows
@@ -31,7 +32,7 @@ from auditweave.llm.base import cut, query, table, worker_memory
 from auditweave.llm.hashing import BASES, mix, word_hashes
 from auditweave.llm.suffixes import NULL_ID, OFFSET_BITS, TAG_BITS, rows_of
 
-K, WINDOW = 5, 12
+K, WINDOW = 5, 10
 #: Longest step of a chain in bytes; least words of a stretch and of a passage, distance of joined stretches, in words.
 GAP, STRETCH, WORDS, JOIN = 240, 15, 40, 4
 PERCENT = 80
@@ -241,7 +242,7 @@ _SEEDS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()
 _CHAINS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("source", pa.int64()), ("source_tag", pa.int64()),
                      ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64()))])
 _ALIGNED = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
-                      ("source", pa.int64()), ("words", pa.int64()), ("equal", pa.int64())])
+                      ("source", pa.int64()), ("words", pa.int64()), ("equal", pa.int64()), ("chained", pa.bool_())])
 
 
 def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +272,8 @@ def _emit_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, place, source, source_place = group
         x, y, found = place & low, source_place & low, []
         for chain in chains(x, y):
-            if x[chain[-1]] - x[chain[0]] >= 3 * STRETCH:
-                found.append((int(doc[0]), int(place[0] >> OFFSET_BITS), int(source[0]), int(source_place[0] >> OFFSET_BITS),
-                              x[chain].tolist(), y[chain].tolist()))
+            found.append((int(doc[0]), int(place[0] >> OFFSET_BITS), int(source[0]), int(source_place[0] >> OFFSET_BITS),
+                          x[chain].tolist(), y[chain].tolist()))
         return found
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
@@ -291,8 +291,7 @@ def _emit_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = [0, *(np.flatnonzero(change) + 1).tolist()]
         found = []
         for a, b in zip(edges, edges[1:]):
-            if b - a > 1:
-                found += of([v[a:b] for v in rows])
+            found += of([v[a:b] for v in rows])
         held = [v[edges[-1]:] for v in rows]
         if found:
             yield batch_of(found)
@@ -308,13 +307,13 @@ def _emit_aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             cut_short = lambda text, at, first: len(text) >= at[-1] - first + 2 * MARGIN
             whole = (from_x == 0, not cut_short(piece, xs, from_x), from_y == 0, not cut_short(other, ys, from_y))
             for start, end, words, equal in align(piece, other, [x - from_x for x in xs], [y - from_y for y in ys], whole=whole):
-                out.append((doc, tag, start + from_x, end + from_x, source, words, equal))
+                out.append((doc, tag, start + from_x, end + from_x, source, words, equal, xs[-1] - xs[0] >= 3 * STRETCH))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), _ALIGNED)], schema=_ALIGNED)
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """(doc, tag, start, end, source, words, equal): similar stretches with the owner of their seeds."""
+    """(doc, tag, start, end, source, words, equal, chained): similar stretches with the owner of their seeds."""
     rows = rows_of(docs)
     found = rows.select("doc", "tag", F.col("text").cast("binary").alias("data")).mapInArrow(_emit_seeds, "h long, doc long, place long, first boolean")
     # Numbers only, so the aggregation hashes instead of sorting; a text has a hash first once.
@@ -333,7 +332,7 @@ def stretches(docs: DataFrame) -> DataFrame:
         *[c for c in linked.columns], piece("from_y", "ys").alias("source_piece"))
     with_both = with_source.join(texts("doc", "tag"), ["doc", "tag"]).select(
         "doc", "tag", "source", "xs", "ys", "from_x", "from_y", piece("from_x", "xs").alias("piece"), "source_piece")
-    return with_both.mapInArrow(_emit_aligned, "doc long, tag long, start long, end long, source long, words long, equal long")
+    return with_both.mapInArrow(_emit_aligned, "doc long, tag long, start long, end long, source long, words long, equal long, chained boolean")
 
 
 def joined(raw: bytes, own: list[dict], least: int = WORDS, apart: int = JOIN) -> list[dict]:
@@ -349,14 +348,14 @@ def joined(raw: bytes, own: list[dict], least: int = WORDS, apart: int = JOIN) -
     for p in out:
         n = len(raw[p["start"]:p["end"]].split())
         if n >= least:
-            longest = max(p["parts"], key=lambda s: (s["words"], -s["source"]))
+            longest = max(p["parts"], key=lambda s: (s["chained"], s["words"], -s["source"]))
             found.append({"start": p["start"], "end": p["end"], "n_words": n, "source": longest["source"],
                           "similarity": sum(s["equal"] for s in p["parts"]) / sum(s["words"] for s in p["parts"])})
     return found
 
 
 def _with_stretches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    own = stretches(docs).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end", "source", "words", "equal")).alias("own"))
+    own = stretches(docs).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end", "source", "words", "equal", "chained")).alias("own"))
     return rows_of(docs), own
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from auditweave.llm import chaining
-from tests.llm.conftest import edited, text
+from tests.llm.conftest import edited, text, words
 
 
 def best_score(x, y, score):
@@ -122,6 +122,18 @@ def test_every_copy_within_a_document(make):
     assert left[1] == rows[0][1] and passage not in left[2]
 
 
+def test_evenly_edited_passages(make):
+    """Every tenth word differs, so few runs are shared."""
+    rows = []
+    for i in range(40):
+        passage = words(1000 + i, 60)
+        changed = [f"x{i}y{j}" if j % 10 == 5 else w for j, w in enumerate(passage)]
+        rows += [(i, f"{text(2000 + i, 30)} {' '.join(passage)} {text(3000 + i, 30)}")]
+        rows += [(100 + i, f"{text(4000 + i, 30)} {' '.join(changed)} {text(5000 + i, 30)}")]
+    found = chaining.passages(make(rows)).collect()
+    assert len({x.doc_id for x in found}) >= 38 and all(x.source_id == x.doc_id - 100 for x in found)
+
+
 def test_half_of_a_passage_owned_by_another(make):
     """The first half also stands in an earlier document, so the copy's seeds have two owners."""
     a, b = text(1, 32), text(2, 32)
