@@ -5,9 +5,9 @@
    a passage lie further apart, and periodic text needs no more.
 2. Every hash has an owner, the smallest doc_id that has it, with its first place there. All other documents that have the
    hash match all their places with the owner's, so every copy of a passage gives one match per seed, never pairs of all.
-3. The matches of one document with one owner are chained: each scores its words, a step costs the bytes it passes over
+3. The matches of one document with one owner are chained: each scores its words, a step costs the words it passes over
    in both texts, and the best predecessor (before it in both) comes from a Fenwick tree of prefix maxima over the
-   owner's places. Chains are cut where a step is longer than GAP bytes.
+   owner's places. Chains are cut where a step is longer than GAP words.
 4. Chains, also those of one match, are aligned on the words of both texts: exact runs are counted, the words between
    seeds are aligned by longest common subsequence, ends are extended while they match, and the stretches of at least
    PERCENT per cent equal words (of the longer side) are kept.
@@ -33,29 +33,30 @@ from auditweave.llm.hashing import BASES, mix, word_hashes
 from auditweave.llm.suffixes import NULL_ID, OFFSET_BITS, TAG_BITS, rows_of
 
 K, WINDOW = 5, 10
-#: Longest step of a chain in bytes; least words of a stretch and of a passage, distance of joined stretches, in words.
-GAP, STRETCH, WORDS, JOIN = 240, 15, 40, 4
+#: Longest step of a chain, least words of a stretch and of a passage, distance of joined stretches, in words.
+GAP, STRETCH, WORDS, JOIN = 30, 15, 40, 4
 PERCENT = 80
-#: What a match scores, in bytes that a step may pass over (eight times those of five words).
-SCORE = 260
-#: Bytes beside a chain that its ends may grow into, most cells of one alignment, bytes of text handled at a time.
-MARGIN, CELLS, BLOCK = 600, 40_000, 1 << 20
+#: What a match scores, in words that a step may pass over.
+SCORE = 8 * K
+#: Bytes and words beside a chain that its ends may grow into, whichever is more; most cells of one alignment, bytes of
+#: text handled at a time.
+MARGIN, REACH, CELLS, BLOCK = 600, 100, 40_000, 1 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def seeds(texts: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text number and byte offset of the chosen k-word runs of all texts, in order; of equal runs of a text the first."""
-    h, own, offset, first = places(texts, k, window)
+    h, own, offset, _, first = places(texts, k, window)
     return h[first], own[first], offset[first]
 
 
-def places(texts: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number and byte offset of the chosen k-word runs, in order, and whether the text has the run here first."""
+def places(texts: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Hash, text number, byte offset and word number of the chosen k-word runs, in order; whether the run is the text's first such."""
     none = np.zeros(0, dtype=np.int64)
     words, own, offset = word_hashes(texts)
     n = len(words) - k + 1
     if n < 1:
-        return none, none, none, none.astype(bool)
+        return none, none, none, none, none.astype(bool)
     total = np.zeros(n, dtype=np.uint64)
     for i in range(k):
         total = total * np.uint64(BASES[0]) + words[i:n + i]
@@ -87,14 +88,14 @@ def places(texts: list[bytes], k: int = K, window: int = WINDOW) -> tuple[np.nda
     at, first = at[~near], ~again[~near]
     order = np.argsort(at)
     at, first = at[order], first[order]
-    return runs[at].view(np.int64), own[at], offset[at], first
+    return runs[at].view(np.int64), own[at], offset[at], at - np.searchsorted(own, own[at]), first
 
 
 def chains(x: np.ndarray, y: np.ndarray, score: int = SCORE, gap: int = GAP) -> list[list[int]]:
     """Disjoint chains over matches (place x of a text, place y of the other), as lists of match numbers.
 
-    ``x`` and ``y`` must be sorted by (x, y). A match scores ``score``, a step costs one per byte it passes in either
-    text.
+    ``x`` and ``y`` must be sorted by (x, y), in words. A match scores ``score``, a step costs one per word it passes in
+    either text.
     """
     n = len(x)
     places = {v: r for r, v in enumerate(np.unique(y).tolist(), 1)}
@@ -238,18 +239,18 @@ def align(
     return out
 
 
-_SEEDS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("first", pa.bool_())])
+_SEEDS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("word", pa.int32()), ("first", pa.bool_())])
 _CHAINS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("source", pa.int64()), ("source_tag", pa.int64()),
-                     ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64()))])
+                     ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64())), ("room_x", pa.int64()), ("room_y", pa.int64())])
 _ALIGNED = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
                       ("source", pa.int64()), ("words", pa.int64()), ("equal", pa.int64()), ("chained", pa.bool_())])
 
 
 def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
-        h, own, offset, first = places(texts)
+        h, own, offset, word, first = places(texts)
         place = offset + (np.array(tags, dtype=np.int64) << OFFSET_BITS)[own]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (h, np.array(docs, dtype=np.int64)[own], place, first)], schema=_SEEDS)
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((h, np.array(docs, dtype=np.int64)[own], place, word, first), _SEEDS)], schema=_SEEDS)
 
     worker_memory(__name__)
     docs, tags, texts, size = [], [], [], 0
@@ -264,16 +265,22 @@ def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def room(offset: int, word: int) -> int:
+    """Bytes beside a chain that ends at this offset and word number: those of REACH words as long as the text's so far."""
+    return max(MARGIN, REACH * int(offset) // max(1, int(word)))
+
+
 def _emit_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over matches sorted by document, owner and place; one document's matches with one owner at a time."""
     low = (1 << OFFSET_BITS) - 1
 
     def of(group: list[np.ndarray]) -> list[tuple]:
-        doc, place, source, source_place = group
+        doc, place, word, source, source_place, source_word = group
         x, y, found = place & low, source_place & low, []
-        for chain in chains(x, y):
+        for chain in chains(word, source_word):
+            end = chain[-1]
             found.append((int(doc[0]), int(place[0] >> OFFSET_BITS), int(source[0]), int(source_place[0] >> OFFSET_BITS),
-                          x[chain].tolist(), y[chain].tolist()))
+                          x[chain].tolist(), y[chain].tolist(), room(x[end], word[end]), room(y[end], source_word[end])))
         return found
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
@@ -283,10 +290,10 @@ def _emit_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "place", "source", "source_place")]
+        rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "place", "word", "source", "source_place", "source_word")]
         if held is not None:
             rows = [np.concatenate(v) for v in zip(held, rows)]
-        doc, place, source, source_place = rows
+        doc, place, _, source, source_place, _ = rows
         change = (np.diff(doc) != 0) | (np.diff(place >> OFFSET_BITS) != 0) | (np.diff(source) != 0) | (np.diff(source_place >> OFFSET_BITS) != 0)
         edges = [0, *(np.flatnonzero(change) + 1).tolist()]
         found = []
@@ -302,10 +309,10 @@ def _emit_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _emit_aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        columns = [batch[c].to_pylist() for c in ("doc", "tag", "source", "xs", "ys", "from_x", "from_y", "piece", "source_piece")]
-        for doc, tag, source, xs, ys, from_x, from_y, piece, other in zip(*columns):
-            cut_short = lambda text, at, first: len(text) >= at[-1] - first + 2 * MARGIN
-            whole = (from_x == 0, not cut_short(piece, xs, from_x), from_y == 0, not cut_short(other, ys, from_y))
+        columns = [batch[c].to_pylist() for c in ("doc", "tag", "source", "xs", "ys", "from_x", "from_y", "room_x", "room_y", "piece", "source_piece")]
+        for doc, tag, source, xs, ys, from_x, from_y, room_x, room_y, piece, other in zip(*columns):
+            cut_short = lambda text, at, first, beside: len(text) >= at[-1] - first + 2 * beside
+            whole = (from_x == 0, not cut_short(piece, xs, from_x, room_x), from_y == 0, not cut_short(other, ys, from_y, room_y))
             for start, end, words, equal in align(piece, other, [x - from_x for x in xs], [y - from_y for y in ys], whole=whole):
                 out.append((doc, tag, start + from_x, end + from_x, source, words, equal, xs[-1] - xs[0] >= 3 * STRETCH))
         if out:
@@ -315,23 +322,26 @@ def _emit_aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def stretches(docs: DataFrame) -> DataFrame:
     """(doc, tag, start, end, source, words, equal, chained): similar stretches with the owner of their seeds."""
     rows = rows_of(docs)
-    found = rows.select("doc", "tag", F.col("text").cast("binary").alias("data")).mapInArrow(_emit_seeds, "h long, doc long, place long, first boolean")
+    found = rows.select("doc", "tag", F.col("text").cast("binary").alias("data")).mapInArrow(_emit_seeds, "h long, doc long, place long, word int, first boolean")
     # Numbers only, so the aggregation hashes instead of sorting; a text has a hash first once.
-    owners = found.where("first").groupBy("h").agg(F.min("doc").alias("source"), F.min_by("place", "doc").alias("source_place"), F.max("doc").alias("last"))
+    owners = found.where("first").groupBy("h").agg(F.min("doc").alias("source"), F.min_by("place", "doc").alias("source_place"),
+                                                     F.min_by("word", "doc").alias("source_word"), F.max("doc").alias("last"))
     owners = owners.where("last > source").drop("last")
-    matches = found.drop("first").join(owners, "h").where("doc <> source").select("doc", "place", "source", "source_place")
+    matches = found.drop("first").join(owners, "h").where("doc <> source").select("doc", "place", "word", "source", "source_place", "source_word")
     tag = lambda c: F.shiftright(c, OFFSET_BITS)
     by_pair = matches.repartition("doc").sortWithinPartitions("doc", tag("place"), "source", tag("source_place"), "place", "source_place")
-    linked = cut(by_pair.mapInArrow(_emit_chains, "doc long, tag long, source long, source_tag long, xs array<long>, ys array<long>"), "chains")
+    linked = cut(by_pair.mapInArrow(_emit_chains, "doc long, tag long, source long, source_tag long, xs array<long>, ys array<long>, room_x long, room_y long"), "chains")
     first, last = lambda c: F.element_at(c, 1), lambda c: F.element_at(c, -1)
-    linked = linked.select("*", F.greatest(first("xs") - MARGIN, F.lit(0)).alias("from_x"), F.greatest(first("ys") - MARGIN, F.lit(0)).alias("from_y"))
-    piece = lambda at, to: F.substring(F.col("text").cast("binary"), (F.col(at) + 1).cast("int"), (last(to) - F.col(at) + 2 * MARGIN).cast("int"))
+    linked = linked.select("*", F.greatest(first("xs") - F.col("room_x"), F.lit(0)).alias("from_x"),
+                           F.greatest(first("ys") - F.col("room_y"), F.lit(0)).alias("from_y"))
+    # A text is shorter than 2^31 bytes, but a place with its room may lie behind that.
+    piece = lambda at, to, beside: F.substring(F.col("text").cast("binary"), (F.col(at) + 1).cast("int"), F.least(last(to) - F.col(at) + 2 * F.col(beside), F.lit((1 << 31) - 1)).cast("int"))
     # Both joins and the caller's share one exchange of the texts.
     texts = lambda doc, tag_: rows.select(F.col("doc").alias(doc), F.col("tag").alias(tag_), "text")
     with_source = linked.join(texts("source", "source_tag"), ["source", "source_tag"]).select(
-        *[c for c in linked.columns], piece("from_y", "ys").alias("source_piece"))
+        *[c for c in linked.columns], piece("from_y", "ys", "room_y").alias("source_piece"))
     with_both = with_source.join(texts("doc", "tag"), ["doc", "tag"]).select(
-        "doc", "tag", "source", "xs", "ys", "from_x", "from_y", piece("from_x", "xs").alias("piece"), "source_piece")
+        "doc", "tag", "source", "xs", "ys", "from_x", "from_y", "room_x", "room_y", piece("from_x", "xs", "room_x").alias("piece"), "source_piece")
     return with_both.mapInArrow(_emit_aligned, "doc long, tag long, start long, end long, source long, words long, equal long, chained boolean")
 
 

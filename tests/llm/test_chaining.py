@@ -134,6 +134,14 @@ def test_evenly_edited_passages(make):
     assert len({x.doc_id for x in found}) >= 38 and all(x.source_id == x.doc_id - 100 for x in found)
 
 
+def test_passages_of_long_words(make):
+    long_words = lambda seed, n: " ".join(w[0] + f"{i}{w}" * 30 for i, w in enumerate(words(seed, n)))
+    passage = long_words(1, 60)
+    rows = [(i, f"{long_words(10 + i, 30)} {passage} {long_words(20 + i, 30)}") for i in range(3)]
+    found = chaining.passages(make(rows)).collect()
+    assert {x.doc_id for x in found} == {1, 2} and all(60 <= x.n_words <= 64 for x in found)
+
+
 def test_half_of_a_passage_owned_by_another(make):
     """The first half also stands in an earlier document, so the copy's seeds have two owners."""
     a, b = text(1, 32), text(2, 32)
