@@ -8,11 +8,11 @@ become template; slots whose text varies become content.
 
 Elements that never hold an article (menus, footers, forms, scripts, ...), by tag, or by class, id or role, are left out
 while parsing, and if a page marks its article or main part, only that counts; else blocks that are mostly links are left
-out as well. Slots of a group count as template from LEAST pages on, and only if some other slot varies: copies of one
-page teach nothing.
+out as well. Slots of a group count as template from LEAST different pages on, and only if some other slot differs between
+pages: copies of one page (equal html) count once, and the text of a slot on a page is that of all its blocks there.
 
-Counts are made by partial aggregation over (host, layout, slot), so a host with very many pages sends one row per slot
-and task. Reference trees hold tags only and go to the pages by a join whose kind Spark chooses by size.
+Of copies the first by a hash of the html counts, in partial aggregates; then counts are made by partial aggregation over
+(host, layout, slot), so a host with very many pages sends one row per slot and task. Reference trees hold tags only and go to the pages by a join whose kind Spark chooses by size.
 
 Defined results: a null or empty page has an empty text; a null or unparsable url is the host ""; null page_ids are
 extracted like others and lead no group; repeated rows are extracted each; markup that does not end or nest is read as
@@ -23,6 +23,7 @@ import html as entities
 import json
 import re
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -255,6 +256,16 @@ def blocks_of(page: str, reference: list | None) -> list[tuple[int, str]]:
     return [(node.slot, text) for node, text, _ in blocks]
 
 
+def said_of(blocks: list[tuple[int, str]]) -> list[dict]:
+    """Slots of one page, each with a hash of all its texts in page order."""
+    texts: dict[int, list[str]] = {}
+    for slot, text in blocks:
+        if slot >= 0:
+            texts.setdefault(slot, []).append(text)
+    digest = lambda t: blake2b("\n".join(t).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return [{"slot": s, "h": int.from_bytes(digest(t), "little", signed=True)} for s, t in texts.items()]
+
+
 def _host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
@@ -266,7 +277,8 @@ def _layout(page: Column) -> Column:
 
 
 def candidate_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, layout, blocks (slot, text): what may be content, aligned with the group's reference."""
+    """page_id, url, host, layout, page (hash of the html), blocks (slot, text): what may be content, aligned with the
+    group's reference; said (slot, h): hashes of the slots' texts."""
     rows = pages.select("page_id", "url", text_or_empty("html").alias("html"))
     rows = rows.select("*", _host(F.col("url")).alias("host"), _layout(F.col("html")).alias("layout"))
 
@@ -281,16 +293,19 @@ def candidate_blocks(pages: DataFrame) -> DataFrame:
         reference = lru_cache(maxsize=64)(json.loads)
         trees_ = batch["tree"].to_pylist()
         found = [blocks_of(p, reference(t) if t else None) for p, t in zip(batch["html"].to_pylist(), trees_)]
-        return {c: batch[c] for c in ("page_id", "url", "host", "layout")} | {"blocks": [[{"slot": s, "text": t} for s, t in f] for f in found]}
+        return {c: batch[c] for c in ("page_id", "url", "host", "layout", "page")} | {
+            "blocks": [[{"slot": s, "text": t} for s, t in f] for f in found], "said": [said_of(f) for f in found]}
 
-    return map_batches(rows.join(references, ["host", "layout"], "left").select("page_id", "url", "host", "layout", "html", "tree"), align,
-                       "page_id long, url string, host string, layout long, blocks array<struct<slot: int, text: string>>")
+    return map_batches(rows.join(references, ["host", "layout"], "left").select(
+        "page_id", "url", "host", "layout", F.xxhash64("html").alias("page"), "html", "tree"), align,
+                       "page_id long, url string, host string, layout long, page long, blocks array<struct<slot: int, text: string>>, said array<struct<slot: int, h: long>>")
 
 
 def template_slots(blocks: DataFrame, least: int = LEAST) -> DataFrame:
-    """(host, layout, template): slots of a group whose text is the same on all of at least ``least`` pages."""
-    said = blocks.select("host", "layout", F.explode("blocks").alias("b")).where("b.slot >= 0").select(
-        "host", "layout", "b.slot", F.xxhash64("b.text").alias("h"))
+    """(host, layout, template): slots of a group whose text is the same on all of at least ``least`` different pages."""
+    page = blocks.select("host", "layout", "page", F.explode("said").alias("s"))
+    # Numbers and the host only; copies of a page have equal hashes, so each page counts once.
+    said = page.groupBy("host", "layout", "page", "s.slot").agg(F.min("s.h").alias("h"))
     slots = said.groupBy("host", "layout", "slot").agg(
         F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
     constant = F.col("low") == F.col("high")

@@ -70,6 +70,15 @@ def test_constant_slots_of_a_host_are_template(session):
     assert "Welcome to our pages" in got[100] and got[200] == said(page(1))
 
 
+def test_blocks_of_one_page_teach_nothing(session):
+    """Copies of a page with neighbouring paragraphs that differ; equal items of one page beside paragraphs."""
+    copy = f"<article><h1>{text(1, 5)}</h1><p>{text(2, 9)}</p><p>{text(3, 9)}</p></article>"
+    items = f"<article><p>{text(4, 9)}</p><p>{text(5, 9)}</p><ul>{'<li>same again</li>' * 12}</ul></article>"
+    rows = [(i, "http://copies.example.net/", copy) for i in range(20)] + [(100, "http://items.example.net/", items)]
+    got = {x.page_id: x.text for x in wrappers.main_text(frame(session, rows)).collect()}
+    assert {got[i] for i in range(20)} == {said(copy)} and got[100] == said(items)
+
+
 def test_members_of_a_repeated_node_share_a_slot():
     reference = wrappers.skeleton(wrappers.parse("<ul><li><p>a</p></li><li><p>b</p></li></ul><p>c</p>")[0])
     assert json.loads(json.dumps(reference)) == reference
