@@ -1,4 +1,3 @@
-import datetime as dt
 import os
 import sys
 
@@ -7,11 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from auditweave import schema as S  # noqa: E402
 from auditweave.session import configure  # noqa: E402
 
-T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -23,22 +19,3 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("ERROR")
     return configure(s)
-
-
-def at(seconds):
-    return T0 + dt.timedelta(seconds=seconds)
-
-
-def event(i, source, seconds, severity="info", event_type="tick", tenant=None, payload="{}", event_id=None, ingested=None):
-    return (
-        event_id or f"e{i:05d}", source, "synthetic", event_type, severity, at(seconds),
-        at(seconds if ingested is None else ingested), payload, (None, None, "1.0.0", tenant),
-    )
-
-
-def make_events(spark, rows):
-    return spark.createDataFrame(rows, S.EVENT)
-
-
-def ids(df):
-    return [r["event_id"] for r in df.collect()]

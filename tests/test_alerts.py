@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditweave.operators import alerts as A
-from conftest import at, event, make_events
+from tests.event_rows import at, event, make_events
 
 
 def test_only_warn_and_above_alert(spark):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditweave.operators import chain as H
-from conftest import at
+from tests.event_rows import at
 
 ROWS = "tenant string, timestamp timestamp, kind string, payload string, row_id string"
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditweave.operators import curate as C
-from conftest import at, event, ids, make_events
+from tests.event_rows import at, event, ids, make_events
 
 
 @pytest.fixture(scope="module")

@@ -12,7 +12,7 @@ from auditweave.operators import validate as V
 from auditweave.sources import changes as CH
 from auditweave.sources import events as E
 from auditweave.sources import packs, sinks, webhooks
-from conftest import at, event, make_events
+from tests.event_rows import at, event, make_events
 
 
 def messages(spark, *texts):

@@ -12,7 +12,7 @@ from auditweave.operators import chain as H
 from auditweave.operators import curate as C
 from auditweave.sources import sinks
 from auditweave.streaming import jobs
-from conftest import at, event, ids, make_events
+from tests.event_rows import at, event, ids, make_events
 
 
 def test_curate_suppresses_what_was_shown(spark, tmp_path):
