@@ -22,6 +22,7 @@ def schemas():
     return {
         "documents": DOCUMENT, "embeddings": "vec_id long, embedding array<float>, label int", "pages": "page_id long, url string, html string",
         "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string",
+        "conversations": "conv_id long, turn long, role string, text string",
     }
 
 
@@ -34,7 +35,8 @@ def odd(session, tmp_path):
     return write(session, tmp_path / "odd", {n: (s, r) for (n, s), r in zip(schemas().items(), [
         documents, [(i, [1.0, float(i % 5), 0.5], 0) for i in range(60)] + [(None, [1.0, 2.0, 3.0], None), (61, None, None), (80, [0.0] * 3, 1), (100, [1.0, None, 2.0], 1), (20, [9.0, 9.0, 9.0], 1)],
         [(1, None, None), (None, "http://x/", "<p>a"), (2, "http://x/", ""), (2, "http://x/", "")],
-        [(i, None if i % 5 else 1, int(i % 15 == 3)) for i in range(30)] + [(None, 1, 1), (3, None, None), (55, 1, 7)], [(1, None)]])})
+        [(i, None if i % 5 else 1, int(i % 15 == 3)) for i in range(30)] + [(None, 1, 1), (3, None, None), (55, 1, 7)], [(1, None)],
+        [(c, t, ["user", "assistant"][t % 2], f"{t} said.") for c in range(9) for t in range(6)] + [(None, None, None, None), (1, 3, "", ""), (2, 2, "user", "2 said."), (None, 1, "user", text(1, 20000))]])})
 
 
 @pytest.fixture
@@ -42,8 +44,8 @@ def empty(session, tmp_path):
     return write(session, tmp_path / "empty", {n: (s, []) for n, s in schemas().items()})
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -51,7 +53,9 @@ def test_ten_operators_are_registered():
 def test_odd_and_empty_tables(session, odd, empty, name):
     got = QUERIES[name](session, odd)
     number = name.split("_")[0]
-    if number not in ("op1", "op2"):
+    if number == "op13":
+        assert got.count() == 10
+    elif number not in ("op1", "op2"):
         assert got.count() == session.read.parquet(f"{odd}/{ROWS.get(number, 'documents')}.parquet").count()
     else:
         got.collect()
