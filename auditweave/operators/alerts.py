@@ -220,14 +220,17 @@ def throttle_alerts(
 ) -> DataFrame:
     """Alerts kept by the greedy throttle; of alerts with equal key and time the smallest id is kept.
 
+    Alerts without a key or time are kept: nothing says that they repeat, and they suppress nothing.
     Keys with at most ``few`` alerts use the array fold, larger ones blocks of ``block_rows`` times.
     """
     gap = int(seconds * 1_000_000)
     block = max(64 * gap, 1)
-    keyed = (
+    every = (
         alerts.withColumn("key", throttle_key() if key is None else key)
         .withColumn("us", micros(F.col("created_at"))).withColumn("block", F.floor(F.col("us") / block).cast("long"))
     )
+    placed = F.col("key").isNotNull() & F.col("us").isNotNull()
+    keyed, bare = every.where(placed), every.where(~placed)
     # totals per key from the small table of blocks, so that no join is on the key alone
     blocks = keyed.groupBy("key", "block").agg(F.count(F.lit(1)).alias("_in"))
     blocks = blocks.withColumn("_n", F.sum("_in").over(Window.partitionBy("key"))).drop("_in")
@@ -238,7 +241,7 @@ def throttle_alerts(
         _throttle_many(times.where(F.col("_n") > few), gap, block_rows)
     )
     first = top_n(several.join(kept, ["key", "us"], "left_semi"), ["key", "us"], [F.col("id").asc()], 1, salt_by="id")
-    return single.unionByName(first.select(single.columns)).select(*alerts.columns)
+    return single.unionByName(first.select(single.columns)).select(*alerts.columns).unionByName(bare.select(*alerts.columns))
 
 
 def alerts_newest_first(alerts: DataFrame, n: int) -> DataFrame:

@@ -6,9 +6,9 @@ shuffled.
 
 Appending to one chain is serial by definition (each hash covers the one before). Everything that can
 be parallel is: sequence numbers come from ``positions`` and record bodies are built in the JVM; only the
-hash fold runs in order, as a stream over sorted rows with constant memory. For bulk loads of a large
-tenant use ``segment_chain``: segments of bounded length are folded in parallel and their heads are
-chained in turn.
+hash fold runs in order, as a stream over sorted rows with constant memory. Large tenants use segments:
+chains of bounded length that are folded in parallel and whose heads are chained in turn, in one go
+(``segment_chain``) or batch by batch (``append_segments``, ``close_segments``, ``segment_state``).
 """
 
 import hashlib
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave import schema as S
-from auditweave.functions.columns import RECORD_SUFFIX, micros, present, record_hash, record_prefix
+from auditweave.functions.columns import RECORD_SUFFIX, first_failure, micros, present, record_hash, record_prefix
 from auditweave.functions.ranking import positions, time_cell
 
 COLUMNS = S.AUDIT.fieldNames()
@@ -61,15 +61,17 @@ def after_checkpoints(audit: DataFrame, checkpoints: DataFrame) -> DataFrame:
     )
 
 
-def bad_records(audit: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame:
+def bad_records(audit: DataFrame, checkpoints: DataFrame | None = None, segment_rows: int | None = None) -> DataFrame:
     """Records that break their chain, with ``reason``.
 
     ``checkpoints`` (tenant, sequence, hash) are trusted records a chain may continue from; records up
-    to them are not looked at. A tenant without one must start at sequence 0 with an empty previous hash.
+    to them are not looked at. A tenant without one must start at sequence 0 with an empty previous hash. With
+    ``segment_rows`` every segment must start so.
     """
     newer = audit if checkpoints is None else after_checkpoints(audit, checkpoints)
     linked = link_records(newer, checkpoints)
-    expected = F.when(F.col("sequence") == 0, "").otherwise(F.col("pred_hash"))
+    starts = F.col("sequence") % F.lit(segment_rows) == 0 if segment_rows else F.col("sequence") == 0
+    expected = F.when(starts, "").otherwise(F.col("pred_hash"))
     reason = (
         F.when(F.col("copies") > 1, "duplicate sequence")
         .when(~F.col("self_ok"), "hash does not fit the record")
@@ -100,14 +102,14 @@ def verify_chain(audit: DataFrame) -> DataFrame:
     return _verdict(audit, bad_records(audit).groupBy("tenant").agg(F.min("sequence").alias("first_bad")))
 
 
-def verify_since(audit: DataFrame, checkpoints: DataFrame) -> DataFrame:
+def verify_since(audit: DataFrame, checkpoints: DataFrame, segment_rows: int | None = None) -> DataFrame:
     """Incremental verification: only records above each tenant's checkpoint (tenant, sequence, hash).
 
     Tenants without a checkpoint are verified from the start. A tenant with nothing above its checkpoint has its row
     too: length 0 and the checkpoint's hash as head, so a chain that was cut back is not passed over.
     """
     newer = after_checkpoints(audit, checkpoints)
-    bad = bad_records(audit, checkpoints).groupBy("tenant").agg(F.min("sequence").alias("first_bad"))
+    bad = bad_records(audit, checkpoints, segment_rows).groupBy("tenant").agg(F.min("sequence").alias("first_bad"))
     trusted = checkpoints.select("tenant", F.col("hash").alias("_trusted"))
     return _verdict(newer, bad).join(trusted, "tenant", "full").select(
         "tenant", F.coalesce("valid", F.lit(True)).alias("valid"), "first_bad",
@@ -170,7 +172,7 @@ def _fold(rows: DataFrame, chain: Column, start: Column) -> DataFrame:
 def assign_sequence(rows: DataFrame, heads: DataFrame | None = None, cell_micros: int = 1_000_000) -> DataFrame:
     """Number (tenant, timestamp, kind, payload, row_id) rows per tenant by (timestamp, row_id).
 
-    Continues after ``heads`` (tenant, next_sequence, head_hash).
+    Continues after ``heads`` (tenant, next_sequence, head_hash). Tenant and timestamp must not be null (``check_rows``).
     """
     cells = rows.withColumn("_cell", time_cell(micros(F.col("timestamp")), cell_micros))
     order = [F.col("timestamp").asc(), F.col("row_id").asc()]
@@ -184,26 +186,27 @@ def assign_sequence(rows: DataFrame, heads: DataFrame | None = None, cell_micros
     return numbered.withColumn("sequence", sequence).withColumn("_head", F.coalesce("_head", F.lit(""))).drop("_pos", "_next")
 
 
-def check_kinds(rows: DataFrame) -> DataFrame:
-    """Add ``reason`` for rows that cannot be chained (no kind)."""
-    return rows.withColumn("reason", F.when(~F.coalesce(present(F.col("kind")), F.lit(False)), F.lit("kind required")))
+def check_rows(rows: DataFrame) -> DataFrame:
+    """Add ``reason`` for rows that cannot be chained: no kind, tenant or time."""
+    checks = [(present(F.col("kind")), "kind required"), (F.col("tenant").isNotNull(), "tenant required"), (F.col("timestamp").isNotNull(), "timestamp required")]
+    return rows.withColumn("reason", first_failure(checks))
 
 
 def refused_rows(rows: DataFrame) -> DataFrame:
     """Rows that cannot be chained, with ``reason``."""
-    return check_kinds(rows).where(F.col("reason").isNotNull())
+    return check_rows(rows).where(F.col("reason").isNotNull())
 
 
-def _with_kind(rows: DataFrame) -> DataFrame:
-    return check_kinds(rows).where(F.col("reason").isNull()).drop("reason")
+def _accepted(rows: DataFrame) -> DataFrame:
+    return check_rows(rows).where(F.col("reason").isNull()).drop("reason")
 
 
 def append_chain(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Audit records for new rows (tenant, timestamp, kind, payload, row_id), one chain per tenant.
 
-    Rows without a kind are refused: they get no record. ``refused_rows`` gives them with their reason.
+    Rows without a kind, tenant or time are refused: they get no record. ``refused_rows`` gives them with their reason.
     """
-    numbered = assign_sequence(_with_kind(rows), heads).select(
+    numbered = assign_sequence(_accepted(rows), heads).select(
         "tenant", "sequence", "timestamp", "kind", "payload", "row_id", "_head"
     )
     return _fold(numbered, F.col("tenant"), F.col("_head")).select(*COLUMNS, "row_id")
@@ -217,25 +220,77 @@ def segment_chain(rows: DataFrame, segment_rows: int = 100_000) -> tuple[DataFra
     second chain per tenant, so altering any record changes a head, and altering a head breaks the
     head chain.
     """
-    numbered = assign_sequence(_with_kind(rows)).select("tenant", "sequence", "timestamp", "kind", "payload", "row_id")
+    numbered = assign_sequence(_accepted(rows)).select("tenant", "sequence", "timestamp", "kind", "payload", "row_id")
     numbered = numbered.withColumn("segment", F.floor(F.col("sequence") / segment_rows).cast("long"))
     records = _fold(numbered, F.struct("tenant", "segment").cast("string"), F.lit(""))
     return records, _fold(segment_heads(records), F.col("tenant"), F.lit(""))
 
 
+SEGMENT_STATE = "tenant string, next_sequence long, head_hash string, open_time timestamp, heads_hash string"
+
+
+def append_segments(rows: DataFrame, state: DataFrame, segment_rows: int = 100_000) -> DataFrame:
+    """Audit records of new rows, with their ``segment``, continuing after ``state`` (SEGMENT_STATE).
+
+    The tenant's open segment is continued from its head; later segments start anew, so all are folded in parallel and
+    one task folds at most ``segment_rows`` records, however many rows a tenant has.
+    """
+    numbered = assign_sequence(_accepted(rows), state.select("tenant", "next_sequence", "head_hash")).select(
+        "tenant", "sequence", "timestamp", "kind", "payload", "row_id", "_head"
+    ).withColumn("segment", F.floor(F.col("sequence") / segment_rows).cast("long"))
+    # only the first row of a segment in the batch gives the start
+    start = F.when(F.col("sequence") % segment_rows == 0, "").otherwise(F.col("_head"))
+    return _fold(numbered, F.struct("tenant", "segment").cast("string"), start).select(*COLUMNS, "row_id", "segment")
+
+
+def segment_ends(records: DataFrame, state: DataFrame, segment_rows: int) -> DataFrame:
+    """Newest record of each segment that ``records`` touch: (tenant, segment, timestamp, last, hash, full, heads_hash).
+
+    ``timestamp`` is the newest of the whole segment, also of its records in earlier batches.
+    """
+    ends = records.groupBy("tenant", "segment").agg(
+        F.max("timestamp").alias("timestamp"), F.max("sequence").alias("last"), F.max_by("hash", "sequence").alias("hash"))
+    known = state.select("tenant", F.floor(F.col("next_sequence") / segment_rows).cast("long").alias("_open"), "open_time", "heads_hash")
+    time = F.greatest("timestamp", F.when(F.col("segment") == F.col("_open"), F.col("open_time")))
+    return ends.join(known, "tenant", "left").select(
+        "tenant", "segment", time.alias("timestamp"), "last", "hash",
+        (F.col("last") % segment_rows == segment_rows - 1).alias("full"), F.coalesce("heads_hash", F.lit("")).alias("heads_hash"))
+
+
+def close_segments(ends: DataFrame) -> DataFrame:
+    """Heads of the segments that became full, chained after those before them."""
+    full = ends.where("full").select("tenant", "segment", "timestamp", F.col("hash").alias("_last"), "heads_hash")
+    rows = head_rows(full, "heads_hash")
+    return _fold(rows, F.col("tenant"), F.col("heads_hash")).select(*COLUMNS)
+
+
+def segment_state(ends: DataFrame, heads: DataFrame, state: DataFrame) -> DataFrame:
+    """State after a batch, from its segment ends and new heads; untouched tenants keep theirs."""
+    newest = ends.groupBy("tenant").agg(F.max_by(F.struct("last", "hash", "timestamp", "full", "heads_hash"), "segment").alias("e"))
+    closed = heads.groupBy("tenant").agg(F.max_by("hash", "sequence").alias("_heads"))
+    moved = newest.join(closed, "tenant", "left").select(
+        "tenant", (F.col("e.last") + 1).alias("next_sequence"), F.when(F.col("e.full"), "").otherwise(F.col("e.hash")).alias("head_hash"),
+        F.when(~F.col("e.full"), F.col("e.timestamp")).alias("open_time"), F.coalesce("_heads", "e.heads_hash").alias("heads_hash"))
+    return moved.unionByName(state.join(moved, "tenant", "left_anti"))
+
+
+def head_rows(last: DataFrame, *more: str) -> DataFrame:
+    """Unchained head rows of (tenant, segment, timestamp, _last: hash of the segment's last record)."""
+    body = F.to_json(F.struct("segment", F.col("_last").alias("segment_head")))
+    return last.select("tenant", F.col("segment").alias("sequence"), "timestamp", F.lit("segment").alias("kind"), body.alias("payload"), *more)
+
+
 def segment_heads(records: DataFrame) -> DataFrame:
     """One unchained head row per (tenant, segment)."""
-    last = records.groupBy("tenant", "segment").agg(
-        F.max("timestamp").alias("timestamp"), F.max_by("hash", "sequence").alias("_last")
-    )
-    body = F.to_json(F.struct("segment", F.col("_last").alias("segment_head")))
-    return last.select(
-        "tenant", F.col("segment").alias("sequence"), "timestamp", F.lit("segment").alias("kind"), body.alias("payload")
-    )
+    return head_rows(records.groupBy("tenant", "segment").agg(
+        F.max("timestamp").alias("timestamp"), F.max_by("hash", "sequence").alias("_last")))
 
 
 def verify_segments(records: DataFrame, heads: DataFrame, segment_rows: int) -> DataFrame:
-    """Broken records, head mismatches and broken head links of a two-level chain, as (tenant, level, at, reason)."""
+    """Broken records, head mismatches and broken head links of a two-level chain, as (tenant, level, at, reason).
+
+    A tenant's newest segment may be open (not full, without a head).
+    """
     inner = records.withColumn("sequence", F.col("sequence") - F.col("segment") * segment_rows)
     # the hash covers the tenant-wide sequence, the link check uses the position inside the segment
     ok = F.col("hash") == record_hash(
@@ -257,9 +312,12 @@ def verify_segments(records: DataFrame, heads: DataFrame, segment_rows: int) ->
     )
     stored = heads.select("tenant", F.col("sequence").alias("at"), F.col("payload").alias("_stored"))
     found = segment_heads(records).select("tenant", F.col("sequence").alias("at"), F.col("payload").alias("_found"))
+    open_ = records.groupBy("tenant").agg(F.max("sequence").alias("_end")).where((F.col("_end") + 1) % segment_rows != 0)
+    open_ = open_.select("tenant", F.floor(F.col("_end") / segment_rows).cast("long").alias("_open"))
     mismatch = (
-        stored.join(found, ["tenant", "at"], "full")
+        stored.join(found, ["tenant", "at"], "full").join(open_, "tenant", "left")
         .where(~F.col("_stored").eqNullSafe(F.col("_found")))
+        .where(F.col("_stored").isNotNull() | ~F.coalesce(F.col("at") == F.col("_open"), F.lit(False)))
         .select("tenant", F.lit("segment").alias("level"), "at", F.lit("segment head differs").alias("reason"))
     )
     links = bad_records(heads).select("tenant", F.lit("head").alias("level"), F.col("sequence").alias("at"), "reason")

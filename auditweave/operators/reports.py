@@ -144,11 +144,13 @@ def escalate_repeats(events: DataFrame, event_types: DataFrame) -> DataFrame:
     ``event_types`` rows: name, escalate_after_count (N), escalate_within_seconds (S),
     escalated_severity. An event escalates when the (N-1)-th event before it, same source and type,
     is at most S seconds old. Events are numbered per source and type without bringing them together, and each
-    finds that earlier event by its number, so a busy source spreads over tasks and rules may be any number.
+    finds that earlier event by its number, so a busy source spreads over tasks and rules may be any number. Events
+    without a source or time cannot be counted and never escalate.
     """
     joined = events.join(escalation_rules(event_types), "event_type", "left")
-    ruled = joined.where(F.col("_n").isNotNull()).withColumn("_us", micros(F.col("timestamp"))).withColumn("_cell", time_cell(F.col("_us")))
-    plain = joined.where(F.col("_n").isNull()).withColumn("escalated", F.lit(False))
+    countable = F.col("_n").isNotNull() & F.col("source_id").isNotNull() & F.col("timestamp").isNotNull()
+    ruled = joined.where(countable).withColumn("_us", micros(F.col("timestamp"))).withColumn("_cell", time_cell(F.col("_us")))
+    plain = joined.where(~countable).withColumn("escalated", F.lit(False))
     numbered = positions(ruled, ["source_id", "event_type"], "_cell", [F.col("_us"), F.col("event_id")], "_at")
     earlier = numbered.select("source_id", "event_type", (F.col("_at") + F.col("_n") - 1).alias("_at"), F.col("_us").alias("_nth_back"))
     hit = F.coalesce(F.col("_nth_back") >= F.col("_us") - F.col("_span"), F.lit(False))

@@ -164,24 +164,29 @@ def _(spark, sf):
 SEGMENT = 250
 
 
-@query("segment_chain", with_ev(NUMBERED, f"""seg AS (
+SEGMENTS = [f"""seg AS (
   SELECT tenant, sequence, sequence // {SEGMENT} AS segment, '' AS prev_hash, sha256(pre || '"}}') AS hash FROM numbered WHERE sequence % {SEGMENT} = 0
   UNION ALL
   SELECT n.tenant, n.sequence, c.segment, c.hash, sha256(n.pre || c.hash || '"}}') FROM seg c JOIN numbered n
     ON n.tenant = c.tenant AND n.sequence = c.sequence + 1 AND n.sequence % {SEGMENT} <> 0)""",
-    f"""lasts AS (SELECT tenant, segment, max(ingested_us) AS ingested_us, arg_max(hash, sequence) AS last FROM (SELECT seg.*, n.ingested_us FROM seg
+    f"""lasts AS (SELECT tenant, segment, max(ingested_us) AS ingested_us, arg_max(hash, sequence) AS last, count(*) AS n FROM (SELECT seg.*, n.ingested_us FROM seg
       JOIN numbered n ON n.tenant = seg.tenant AND n.sequence = seg.sequence) GROUP BY tenant, segment)""",
-    f"""head_pre AS (SELECT tenant, segment AS sequence, '{{"sequence":' || segment || ',"timestamp":"' || {rfc_sql('ingested_us')} ||
+    f"""head_pre AS (SELECT tenant, n, segment AS sequence, '{{"sequence":' || segment || ',"timestamp":"' || {rfc_sql('ingested_us')} ||
       '","kind":"segment","payload":{{"segment":' || segment || ',"segment_head":"' || last || '"}},"prev_hash":"' AS pre FROM lasts)""",
-    """heads AS (SELECT tenant, sequence, '' AS prev_hash, sha256(pre || '"}') AS hash FROM head_pre WHERE sequence = 0
-      UNION ALL SELECT p.tenant, p.sequence, h.hash, sha256(p.pre || h.hash || '"}') FROM heads h JOIN head_pre p ON p.tenant = h.tenant AND p.sequence = h.sequence + 1)""",
-    """SELECT 'record' AS level, tenant, sequence, prev_hash, hash FROM seg
+    """heads AS (SELECT tenant, sequence, n, '' AS prev_hash, sha256(pre || '"}') AS hash FROM head_pre WHERE sequence = 0
+      UNION ALL SELECT p.tenant, p.sequence, p.n, h.hash, sha256(p.pre || h.hash || '"}') FROM heads h JOIN head_pre p ON p.tenant = h.tenant AND p.sequence = h.sequence + 1)"""]
+
+
+def level(name, df):
+    return df.select(F.lit(name).alias("level"), "tenant", "sequence", "prev_hash", "hash")
+
+
+@query("segment_chain", with_ev(NUMBERED, *SEGMENTS, """SELECT 'record' AS level, tenant, sequence, prev_hash, hash FROM seg
     UNION ALL SELECT 'head', tenant, sequence, prev_hash, hash FROM heads""", recursive=True))
 def _(spark, sf):
     """Records chained inside segments and the chain of the segments' heads."""
     records, heads = H.segment_chain(ingest_rows(spark, sf), SEGMENT)
-    rows = lambda level, df: df.select(F.lit(level).alias("level"), "tenant", "sequence", "prev_hash", "hash")
-    return rows("record", records).unionByName(rows("head", heads))
+    return level("record", records).unionByName(level("head", heads))
 
 
 @query("verify_segments", with_ev(NUMBERED, f"""hit AS (SELECT tenant, sequence, severity FROM numbered WHERE severity = 'critical')""",

@@ -9,7 +9,7 @@ from auditweave.operators import chain as H
 from auditweave.operators import curate as C
 from auditweave.operators import decide as D
 from auditweave.operators import validate as V
-from auditweave.plans.auditing import CHAIN, NUMBERED, greedy_sql
+from auditweave.plans.auditing import CHAIN, NUMBERED, SEGMENT, SEGMENTS, greedy_sql, level
 from auditweave.plans.base import EVENT_COLUMNS, map_events, query, rfc_sql, table, us, with_ev
 from auditweave.plans.curation import fill_sql, latest_sql, seeds_sql, top_sql
 from auditweave.plans.decisions import CTX
@@ -101,6 +101,21 @@ def _(spark, sf):
     return jobs.read_chain(spark, f"{out}/data").select("tenant", "sequence", "prev_hash", "hash")
 
 
+@query("stream_audit_segmented", with_ev(NUMBERED, *SEGMENTS, f"""SELECT 'record' AS level, tenant, sequence, prev_hash, hash FROM seg
+    UNION ALL SELECT 'head', tenant, sequence, prev_hash, hash FROM heads WHERE n = {SEGMENT}""", recursive=True))
+def _(spark, sf):
+    """Segments that open in one batch and fill in a later one; what the two ways of verifying find broken would be added."""
+    out = shared_folder(spark, "segments")
+    ev = batched_stream(spark, sf, f"{out}/in", slices("ingested_at", 4), 4)
+    finish(jobs.stream_audit_segmented(sinks.ingest_audit_rows(ev), f"{out}/data", f"{out}/checkpoint", segment_rows=SEGMENT))
+    records, heads = jobs.read_segments(spark, f"{out}/data")
+    broken = spark.read.parquet(f"{out}/data/broken").select("tenant", "sequence").unionByName(
+        H.verify_segments(records, heads, SEGMENT).select("tenant", F.col("at").alias("sequence")))
+    none = F.lit(None).cast("string")
+    return level("record", records).unionByName(level("head", heads)).unionByName(
+        level("broken", broken.withColumn("prev_hash", none).withColumn("hash", none)))
+
+
 @query("stream_audit_verified", with_ev("""SELECT CASE WHEN event_type = 'view' THEN 'default' ELSE tenant END AS tenant, TRUE AS valid,
     CAST(NULL AS BIGINT) AS first_bad, count(*) AS length FROM ev GROUP BY 1"""))
 def _(spark, sf):

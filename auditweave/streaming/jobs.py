@@ -282,16 +282,20 @@ def stream_alerts(events: DataFrame, seconds: float = S.THROTTLE_SECONDS) -> Dat
 def audit_batch(out: str) -> Callable[[DataFrame, int], None]:
     """Batch function: append (tenant, timestamp, kind, payload, row_id) rows to the chains under ``out``.
 
+    Rows without a time get the batch's, which is stored, so a rerun hashes the same.
+
     Records lie under ``{out}/records/batch_id=N/tenant=T``, so one tenant's chain is read from its own files. The
     heads of all tenants are kept under ``{out}/heads``, so appending reads one small row per tenant, not the log. A
     rerun of a batch continues from the same heads and writes the same records; a log without its heads, or begun by
-    another query, is an error. Rows without a kind go to ``{out}/refused``.
+    another query, is an error. Rows without a kind or tenant go to ``{out}/refused``. One tenant's rows of a batch are
+    folded by one task; ``segmented_audit_batch`` spreads them.
     """
     head_schema = "tenant string, next_sequence long, head_hash string"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         claim(spark, out, batch_id)
+        batch = with_time(batch, out, batch_id)
         heads = read_state(spark, f"{out}/heads", head_schema, batch_id)
         write_batch(chain.refused_rows(batch), f"{out}/refused", batch_id)
         write_batch(chain.append_chain(batch, heads), f"{out}/records", batch_id, ["tenant"])
@@ -303,14 +307,64 @@ def audit_batch(out: str) -> Callable[[DataFrame, int], None]:
     return apply
 
 
+def with_time(batch: DataFrame, out: str, batch_id: int) -> DataFrame:
+    """Rows without a time get that of their batch."""
+    at = F.timestamp_micros(batch_time(batch.sparkSession, out, batch_id))
+    return batch.withColumn("timestamp", F.coalesce("timestamp", at))
+
+
+def segmented_audit_batch(out: str, segment_rows: int = 100_000, check: bool = True) -> Callable[[DataFrame, int], None]:
+    """Batch function: append rows as in ``audit_batch`` to two-level chains under ``out``.
+
+    The state per tenant (``{out}/state``) is its next number, the head of its open segment and that of its chain of
+    segment heads. A batch continues the open segment and starts as many as its rows fill, all folded in parallel, so a
+    tenant with most of the rows spreads over tasks. Segments that became full give a record each to ``{out}/heads``. With
+    ``check`` the appended records are verified from the state before the batch, and what breaks is written to
+    ``{out}/broken``.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        claim(spark, out, batch_id)
+        batch = with_time(batch, out, batch_id)
+        state = read_state(spark, f"{out}/state", chain.SEGMENT_STATE, batch_id)
+        write_batch(chain.refused_rows(batch), f"{out}/refused", batch_id)
+        write_batch(chain.append_segments(batch, state, segment_rows), f"{out}/records", batch_id, ["tenant"])
+        written = spark.read.schema(f"{AUDIT_DDL}, segment long").parquet(batch_dir(f"{out}/records", batch_id))
+        write_batch(chain.segment_ends(written, state, segment_rows), f"{out}/ends", batch_id)
+        ends = spark.read.parquet(batch_dir(f"{out}/ends", batch_id))
+        write_batch(chain.close_segments(ends), f"{out}/heads", batch_id)
+        heads = spark.read.schema(AUDIT_DDL).parquet(batch_dir(f"{out}/heads", batch_id))
+        if check:
+            # An open segment goes on from its head; a tenant at a border has nothing to go on from but its number.
+            trusted = state.select("tenant", (F.col("next_sequence") - 1).alias("sequence"), F.col("head_hash").alias("hash"))
+            write_batch(chain.bad_records(written, trusted, segment_rows), f"{out}/broken", batch_id)
+        write_batch(chain.segment_state(ends, heads, state), f"{out}/state", batch_id)
+
+    return apply
+
+
+def stream_audit_segmented(rows: DataFrame, out: str, checkpoint: str, every: str | None = None, **options) -> StreamingQuery:
+    return run(rows, segmented_audit_batch(out, **options), checkpoint, every)
+
+
+def read_segments(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """(records with their segment, segment heads) of a segmented log."""
+    records = spark.read.schema(f"{AUDIT_DDL}, segment long").parquet(f"{out}/records").select(*S.AUDIT.fieldNames(), "segment")
+    return records, spark.read.schema(AUDIT_DDL).parquet(f"{out}/heads").select(*S.AUDIT.fieldNames())
+
+
 def read_chain(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(AUDIT_DDL).parquet(f"{out}/records").select(*S.AUDIT.fieldNames())
 
 
 def audit_inputs(inputs: DataFrame, tenant: str = "default", at: Column | None = None) -> DataFrame:
-    """Chain rows of decoded audit inputs (kind, payload): tenant from the payload, else the given one."""
+    """Chain rows of decoded audit inputs (kind, payload): tenant from the payload, else the given one.
+
+    Without ``at`` they have no time yet: the stream gives them that of their batch.
+    """
     own = normalize_tenant(F.coalesce(F.get_json_object("payload", "$.tenant"), F.lit(tenant)))
-    when = F.current_timestamp() if at is None else at
+    when = F.lit(None).cast("timestamp") if at is None else at
     return inputs.select(
         own.alias("tenant"), when.alias("timestamp"), "kind", "payload",
         F.sha2(F.concat_ws("~", "kind", "payload"), 256).alias("row_id"),
@@ -335,6 +389,7 @@ def decide_batch(out: str, instruction: str, provider: decide.Provider, guardrai
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        claim(spark, out, batch_id)
         made = decide.decide(digest_rows(batch), instruction, provider, guardrails)
         # written once and read back, so that a costly provider is not asked again for the audit rows
         write_batch(made, f"{out}/made", batch_id)
@@ -487,6 +542,7 @@ def fan_out_batch(out: str, fallback_tenant: str = "") -> Callable[[DataFrame, i
     append = audit_batch(f"{out}/audit")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        claim(batch.sparkSession, out, batch_id)
         decoded = decode_events(batch).persist()
         good = decoded.where(F.col("reason").isNull()).drop("reason", "value")
         write_batch(good, f"{out}/events", batch_id)

@@ -86,3 +86,10 @@ def test_block_throttle_equals_the_serial_walk(spark, case):
 def test_newest_first_keeps_the_last_three(spark):
     df = alert_table(spark, [(f"r{i}", i, {}) for i in range(1, 6)])
     assert [r["rule_id"] for r in A.alerts_newest_first(df, 3).collect()] == ["r5", "r4", "r3"]
+
+
+def test_alerts_without_time_or_key_are_kept(spark):
+    rows = [("r1", 0, {}), ("r1", 1, {}), ("r2", 0, {}), ("r3", 0, {})]
+    a = alert_table(spark, rows).withColumn("created_at", F.when(F.col("id") != "a00002", F.col("created_at")))
+    a = a.withColumn("rule_id", F.when(F.col("id") != "a00003", F.col("rule_id")))
+    assert sorted(r["id"] for r in A.throttle_alerts(a, 45).collect()) == ["a00000", "a00002", "a00003"]

@@ -80,7 +80,7 @@ def test_append_continues_from_heads(spark, records):
 
 def test_kind_is_required(spark):
     bad = spark.createDataFrame([("a", at(0), "", "{}", "r")], ROWS)
-    assert H.check_kinds(bad).first()["reason"] == "kind required"
+    assert H.check_rows(bad).first()["reason"] == "kind required"
 
 
 def test_cut_tail_is_only_seen_by_anchors(records):
@@ -143,3 +143,60 @@ def test_hash_does_not_depend_on_the_session_zone(spark, records):
         assert verdict(records) == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_rows_without_tenant_or_time_are_refused_not_lost(spark):
+    data = [(None, at(0), "note", "{}", "a"), ("t", None, "note", "{}", "b"), ("t", at(1), "note", None, None), ("", at(2), "note", "{}", "c"), ("t", at(1), None, "{}", "d")]
+    df = spark.createDataFrame(data, ROWS)
+    made = H.append_chain(df)
+    assert {(r["row_id"], r["reason"]) for r in H.refused_rows(df).collect()} == {("a", "tenant required"), ("b", "timestamp required"), ("d", "kind required")}
+    assert made.count() + H.refused_rows(df).count() == len(data) and verdict(made) == {"t": (True, None), "": (True, None)}
+    empty = spark.createDataFrame([], H.SEGMENT_STATE)
+    assert H.append_segments(df, empty, 2).count() == 2
+
+
+def in_batches(spark, parts, segment_rows):
+    """Records, heads and state after appending all parts."""
+    state = spark.createDataFrame([], H.SEGMENT_STATE)
+    records = heads = None
+    for part in parts:
+        new = H.append_segments(part, state, segment_rows)
+        ends = H.segment_ends(new, state, segment_rows)
+        closed = H.close_segments(ends)
+        state = H.segment_state(ends, closed, state)
+        new, closed, state = (spark.createDataFrame(df.collect(), df.schema) for df in (new, closed, state))
+        records = new if records is None else records.unionByName(new)
+        heads = closed if heads is None else heads.unionByName(closed)
+    return records, heads, state
+
+
+@pytest.mark.parametrize("sizes", [[23], [1, 1, 5, 9, 7], [4, 4, 4, 4, 4, 3], [11, 12]])
+def test_segments_in_batches_equal_one_bulk_load(spark, sizes):
+    whole, at_ = rows(spark, 23), 0
+    parts = []
+    for n in sizes:
+        parts.append(whole.where(F.substring("row_id", 2, 5).cast("int").between(at_, at_ + n - 1)))
+        at_ += n
+    records, heads, state = in_batches(spark, parts, 4)
+    want, want_heads = H.segment_chain(whole, 4)
+    key = lambda df: sorted((r["tenant"], r["sequence"], r["prev_hash"], r["hash"]) for r in df.collect())
+    assert key(records) == key(want)
+    # The bulk load gives its last, open segment a head too.
+    assert key(heads) == [r for r in key(want_heads) if r[1] < 5]
+    assert sorted((r["tenant"], r["next_sequence"], r["open_time"]) for r in state.collect()) == [(t, 23, at(22.25).replace(tzinfo=None)) for t in "ab"]
+    assert H.verify_segments(records, heads, 4).count() == 0
+    empty = spark.createDataFrame([], "tenant string, sequence long, hash string")
+    assert {(r["tenant"], r["valid"], r["length"]) for r in H.verify_since(records, empty, 4).collect()} == {("a", True, 23), ("b", True, 23)}
+
+
+def test_tampering_with_segments_is_found(spark):
+    records, heads, _ = in_batches(spark, [rows(spark, 10), rows(spark, 13, start=10)], 4)
+    first = records.where("sequence <= 9").groupBy("tenant").agg(F.max("sequence").alias("sequence"), F.max_by("hash", "sequence").alias("hash"))
+    assert {(r["tenant"], r["valid"], r["length"]) for r in H.verify_since(records, first, 4).collect()} == {("a", True, 13), ("b", True, 13)}
+    changed = records.withColumn("payload", F.when((F.col("tenant") == "a") & (F.col("sequence") == 13), "{}").otherwise(F.col("payload")))
+    assert {(r["tenant"], r["valid"], r["first_bad"]) for r in H.verify_since(changed, first, 4).collect()} == {("a", False, 13), ("b", True, None)}
+    # A whole segment cut out leaves its head, and a head cut out leaves its segment.
+    gone = H.verify_segments(records.where("not (tenant = 'a' and segment = 2)"), heads, 4).collect()
+    assert {(r["tenant"], r["level"], r["at"]) for r in gone} == {("a", "segment", 2)}
+    gone = H.verify_segments(records, heads.where("not (tenant = 'b' and sequence = 1)"), 4).collect()
+    assert {(r["tenant"], r["level"], r["at"]) for r in gone} == {("b", "segment", 1), ("b", "head", 2)}

@@ -175,6 +175,10 @@ def test_escalation(spark):
     assert sorted(map(str, twice.collect())) == sorted(map(str, got.collect()))
     many = rules.crossJoin(spark.range(2000).withColumnRenamed("id", "i")).withColumn("name", F.when(F.col("i") == 0, "x").otherwise(F.concat(F.lit("t"), F.col("i"))))
     assert R.escalate_repeats(ev, many.drop("i")).where("escalated").count() == 2
+    bare = ev.withColumn("source_id", F.when(F.col("event_id") != "e00002", F.col("source_id"))).withColumn(
+        "timestamp", F.when(F.col("event_id") != "e00003", F.col("timestamp")))
+    kept = R.escalate_repeats(bare, rules)
+    assert kept.count() == ev.count() and not kept.where("source_id is null or timestamp is null").where("escalated").count()
 
 
 def test_dedup_keeps_the_first_arrival(spark):

@@ -107,6 +107,49 @@ def test_audit_stream_continues_its_chain(spark, tmp_path):
     assert {(r["tenant"], r["valid"], r["length"]) for r in H.verify_chain(chain).collect()} == {("t0", True, 15), ("t1", True, 15)}
 
 
+def test_segments_of_a_hot_tenant_spread_and_stay_valid(spark, tmp_path):
+    """One tenant with nine tenths of the rows; a rerun, rows without a time, and a batch of another query."""
+    out = str(tmp_path / "s")
+    apply = jobs.segmented_audit_batch(out, segment_rows=8)
+    part = lambda b: spark.createDataFrame(
+        [("hot" if i % 10 else "cold", None if i == 5 else at(b * 100 + i), "note", "{}", f"{b}-{i}") for i in range(50)],
+        "tenant string, timestamp timestamp, kind string, payload string, row_id string")
+    for b in (0, 1, 1, 2):
+        apply(part(b), b)
+    records, heads = jobs.read_segments(spark, out)
+    assert {(r["tenant"], r["n"]) for r in records.groupBy("tenant").agg(F.count("*").alias("n")).collect()} == {("hot", 135), ("cold", 15)}
+    assert spark.read.parquet(f"{out}/broken").count() == 0 and H.verify_segments(records, heads, 8).count() == 0
+    assert {(r["tenant"], r["valid"], r["length"]) for r in H.verify_chain(heads).collect()} == {("hot", True, 16), ("cold", True, 1)}
+    # No task folds more than one segment of a tenant's chain together.
+    assert records.groupBy("tenant", "segment").count().agg(F.max("count")).first()[0] == 8
+    with pytest.raises(ValueError, match="already holds"):
+        apply(part(0), 0)
+
+
+def test_a_rerun_hashes_the_same_times(spark, tmp_path):
+    inputs = spark.createDataFrame([("note", '{"tenant":"t"}'), ("note", "{}")], "kind string, payload string")
+    out = str(tmp_path / "a")
+    hashes = []
+    for _ in range(2):
+        jobs.audit_batch(out)(jobs.audit_inputs(inputs), 0)
+        hashes.append(sorted(r["hash"] for r in jobs.read_chain(spark, out).collect()))
+    assert hashes[0] == hashes[1] and len(hashes[0]) == 2
+
+
+@pytest.mark.parametrize("job", ["fan_out", "decide"])
+def test_a_foreign_query_overwrites_nothing(spark, tmp_path, job):
+    out = str(tmp_path / "o")
+    make_events(spark, [event(0, "s", 0)]).write.parquet(f"{out}/events/batch_id=0")
+    make_events(spark, [event(0, "s", 0)]).write.parquet(f"{out}/made/batch_id=0")
+    spark.createDataFrame([("another",)], "id string").write.text(f"{out}/owner")
+    spark.range(1).select(F.lit("x").alias("value")).write.text(str(tmp_path / "in"))
+    lines = spark.readStream.text(str(tmp_path / "in"))
+    apply = jobs.fan_out_batch(out) if job == "fan_out" else jobs.decide_batch(out, "x", None)
+    with pytest.raises(StreamingQueryException, match="belongs to another query"):
+        jobs.run(lines, apply, str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(f"{out}/events/batch_id=0").count() == spark.read.parquet(f"{out}/made/batch_id=0").count() == 1
+
+
 def test_throttle_stream_equals_batch(spark, tmp_path):
     rng = random.Random(5)
     rows = [event(i, f"s{rng.randrange(3)}", t, "error") for i, t in enumerate(sorted(rng.uniform(0, 900) for _ in range(200)))]
