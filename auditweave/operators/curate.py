@@ -360,6 +360,40 @@ def digest_objective(scores: DataFrame, fresh: float = 1.0, diverse: float = 1.0
     return scores.withColumn("objective", value)
 
 
+def select_by_objective(
+    events: DataFrame, k: int, by: Sequence[str] = (), fresh: float = 1.0, diverse: float = 1.0, redundant: float = 1.0,
+    shown: DataFrame | None = None, as_of: Column | None = None,
+) -> DataFrame:
+    """The k events of each group with the greatest fresh * freshness + diverse * diversity - redundant * redundancy.
+
+    Freshness is the mean of 1 - age / greatest age, diversity the share of the group's sources that are present, and
+    redundancy the share of chosen events that were ``shown`` before (they may be chosen, at that price). ``gain`` is an
+    event's part of the objective, so a digest's gains add up to its value.
+
+    The maximum is exact: all but diversity is a sum over events, and diversity pays once for each source, which its best
+    event may as well collect; so the k greatest gains win. ``diverse`` must not be negative. Among events that are all
+    shown, or all not shown, gains fall with age, so the k newest of each and the newest of each source are candidates
+    enough: they are cut per map task before the shuffle. Events without a time count as the oldest, without a source they
+    add no source. Ties go to the newest event, then to the smallest event_id.
+    """
+    if diverse < 0:
+        raise ValueError("diverse must not be negative")
+    marked = with_group(mark_shown(events, shown), by).withColumn("_us", micros(F.col("timestamp")))
+    stats = group_stats(events, by, shown, as_of).select(GROUP, "input_n", "input_sources", "ref_us", "max_age_us")
+    by_age = [F.col("_us").desc_nulls_last() if fresh >= 0 else F.col("_us").asc_nulls_first(), F.col("event_id").asc()]
+    best_first = lambda c: [F.col(c).desc(), F.col("_us").desc_nulls_last(), F.col("event_id").asc()]
+    age = F.greatest(F.col("ref_us") - F.col("_us"), F.lit(0).cast("long"))
+    freshness = F.when(F.col("_us").isNull(), 0.0).when(F.col("max_age_us") == 0, 1.0).otherwise(1.0 - age / F.col("max_age_us"))
+    value = (fresh * freshness - redundant * F.col("is_shown").cast("int")) / F.least(F.col("input_n"), F.lit(k))
+    valued = lambda rows: rows.join(stats, GROUP).withColumn("gain", value)
+    newest = valued(top_n(marked, [GROUP, "is_shown"], by_age, k))
+    leads = valued(top_n(marked.where(F.col("source_id").isNotNull()), [GROUP, "source_id", "is_shown"], by_age, 1))
+    leads = top_n(leads, [GROUP, "source_id"], best_first("gain"), 1)
+    leads = top_n(leads.withColumn("gain", F.col("gain") + diverse / F.col("input_sources")), [GROUP], best_first("gain"), k)
+    rest = newest.join(leads.select(GROUP, "event_id"), [GROUP, "event_id"], "left_anti")
+    return top_n(leads.unionByName(rest), [GROUP], best_first("gain"), k).select(*events.columns, "gain")
+
+
 # --- Demotion, weights, roles ---------------------------------------------------------
 
 

@@ -305,6 +305,23 @@ def _(spark, sf):
     return C.digest_objective(scores, 0.5, 0.3, 0.2).select("day", F.round("objective", 6).alias("objective"))
 
 
+@query("select_by_objective", with_ev(
+    SHOWN, "m AS (SELECT *, CASE WHEN event_id IN (SELECT event_id FROM shown) THEN 1 ELSE 0 END AS seen FROM ev)",
+    "st AS (SELECT day, count(*) AS n, count(DISTINCT source_id) AS s, max(us) AS ref, max(us) - min(us) AS span FROM ev GROUP BY day)",
+    """v AS (SELECT m.*, s, (0.5::DOUBLE * (CASE WHEN span = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - (ref - us) / span END) - 0.2::DOUBLE * seen) / least(st.n, 20) AS v
+      FROM m JOIN st USING (day))""",
+    "b AS (SELECT *, row_number() OVER (PARTITION BY day, source_id ORDER BY v DESC, us DESC, event_id) AS r FROM v)",
+    "g AS (SELECT *, v + CASE WHEN r = 1 THEN 0.3::DOUBLE / s ELSE 0 END AS gain FROM b)",
+    """SELECT day, event_id, us, seen = 1 AS is_shown, round(gain, 9) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY gain DESC, us DESC, event_id) AS k FROM g)
+    WHERE k <= 20"""))
+def _(spark, sf):
+    ev = events(spark, sf)
+    shown = shown_ids(ev)
+    best = C.select_by_objective(ev, 20, BY, 0.5, 0.3, 0.2, shown)
+    seen = shown.select("event_id", F.lit(True).alias("is_shown")).distinct()
+    return best.join(seen, "event_id", "left").select("day", "event_id", us("timestamp"), F.coalesce("is_shown", F.lit(False)).alias("is_shown"), r9("gain"))
+
+
 # --- Declared extensions ----------------------------------------------------------------
 
 LAST_US = "1706572800000000"  # 2024-01-30 00:00:00 UTC

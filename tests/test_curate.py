@@ -1,6 +1,7 @@
 """Selection against the stated properties and against a plain Python model."""
 
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,38 @@ def test_roles_get_their_own_digest(spark, small):
     rows = {(r["role"], r["event_id"], r["source_id"]) for r in got.collect()}
     assert {r[1] for r in rows if r[0] == "chief"} == {"e00001", "e00002", "e00003"}
     assert "s5" in {r[2] for r in rows if r[0] == "line"} and not [r for r in rows if r[0] == "safety"]
+
+
+def naive_objective(chosen, rows, seen, k, weights):
+    """rows: id -> (source, seconds); the value of a chosen set."""
+    top, low = max(t for _, t in rows.values()), min(t for _, t in rows.values())
+    fresh = sum(1 - (top - rows[i][1]) / (top - low) if top > low else 1 for i in chosen) / len(chosen)
+    diverse = len({rows[i][0] for i in chosen}) / len({s for s, _ in rows.values()})
+    return weights[0] * fresh + weights[1] * diverse - weights[2] * len(chosen & seen) / len(chosen)
+
+
+def test_objective_selection_equals_trying_all_sets(spark):
+    r, data, groups = random.Random(8), [], {}
+    for g in range(40):
+        rows = {f"g{g:02d}-{i}": (f"s{r.randrange(r.choice([1, 2, 5]))}", r.randrange(r.choice([1, 4, 50]))) for i in range(r.randint(1, 8))}
+        groups[f"g{g:02d}"] = (rows, {i for i in rows if r.random() < 0.4})
+        data += [event(0, s, t, event_type=f"g{g:02d}", event_id=i) for i, (s, t) in rows.items()]
+    ev = make_events(spark, data)
+    shown = spark.createDataFrame([(i,) for _, seen in groups.values() for i in seen], "event_id string")
+    for k, weights in [(1, (1.0, 1.0, 1.0)), (3, (0.5, 0.3, 0.2)), (4, (0.1, 2.0, 0.7)), (3, (-1.0, 0.5, -0.4)), (20, (1.0, 0.0, 0.0))]:
+        got = C.select_by_objective(ev, k, ["event_type"], *weights, shown).collect()
+        for g, (rows, seen) in groups.items():
+            mine = {x["event_id"]: x["gain"] for x in got if x["event_type"] == g}
+            size = min(k, len(rows))
+            best = max(naive_objective(set(c), rows, seen, k, weights) for c in combinations(rows, size))
+            assert len(mine) == size and abs(sum(mine.values()) - best) < 1e-9
+            assert abs(naive_objective(set(mine), rows, seen, k, weights) - best) < 1e-9
+
+
+def test_objective_selection_edges(spark):
+    ev = make_events(spark, [event(i, "s" if i else None, i) for i in range(3)]).withColumn("timestamp", F.when(F.col("event_id") != "e00002", F.col("timestamp")))
+    got = {r["event_id"]: r["gain"] for r in C.select_by_objective(ev, 9).collect()}
+    assert got == {"e00000": 0.0, "e00001": pytest.approx(4 / 3), "e00002": 0.0}
+    assert C.select_by_objective(ev.limit(0), 3).count() == 0
+    with pytest.raises(ValueError, match="negative"):
+        C.select_by_objective(ev, 3, diverse=-1)
