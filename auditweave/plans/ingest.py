@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from auditweave import schema as S
-from auditweave.functions.columns import age_micros, micros, render_binary, resolve_tenant, rfc3339, severity_rank
+from auditweave.functions.columns import age_micros, micros, render_binary, resolve_tenant, rfc3339, severity_rank, splice_json
 from auditweave.operators import curate as C
 from auditweave.operators import reports as R
 from auditweave.operators import validate as V
@@ -11,7 +11,9 @@ from auditweave.plans.base import EV, EVENT_COLUMNS, events, query, rank_sql, rf
 from auditweave.plans.curation import nation_packs, score_cols, scores_sql, top_sql
 from auditweave.sources import changes as CH
 from auditweave.sources import events as E
+from auditweave.session import shared_folder
 from auditweave.sources import packs, sinks, webhooks
+from auditweave.sources.connector import decode_changes, read_change_log
 
 # --- Events with one planted fault per residue ----------------------------------------
 
@@ -175,19 +177,43 @@ def _mysql_payload(action, after="", before="", row=""):
       '}},"database":"shop"' || {member('row', row)}',"table":"' || tbl || '"}}'"""
 
 
-@query("normalize_mysql_changes", f"""WITH {CHANGES}, t AS (SELECT *, CASE o_orderpriority WHEN '2-HIGH' THEN 'Orders' WHEN '3-MEDIUM' THEN 'items' ELSE 'orders' END AS tbl FROM chg),
+MYSQL_EVENTS = f"""WITH {CHANGES}, t AS (SELECT *, CASE o_orderpriority WHEN '2-HIGH' THEN 'Orders' WHEN '3-MEDIUM' THEN 'items' ELSE 'orders' END AS tbl FROM chg),
   out AS (
     SELECT o_orderkey, 0 AS ordinal, 'mysql.row.insert' AS event_type, 'info' AS severity, header_ts, {_mysql_payload('insert', row='cur')} AS payload FROM t WHERE action = 'insert'
     UNION ALL SELECT o_orderkey, 0, 'mysql.row.delete', 'warn', header_ts, {_mysql_payload('delete', before='cur')} FROM t WHERE action = 'delete'
     UNION ALL SELECT o_orderkey, 0, 'mysql.row.update', 'info', header_ts, {_mysql_payload('update', 'cur', 'old')} FROM t WHERE action = 'update' AND o_orderpriority <> '5-LOW'
     UNION ALL SELECT o_orderkey, 1, 'mysql.row.update', 'info', header_ts, {_mysql_payload('update', 'old', 'cur')} FROM t WHERE action = 'update' AND o_orderpriority = '1-URGENT')
   SELECT sha256('{{"p0":"shop-db","p1":"' || event_type || '","p2":"' || (header_ts * 1000000) || '","p3":' || to_json(payload) || ',"p4":"bin.000001:' || o_orderkey || ':' || ordinal || '"}}') AS event_id,
-    event_type, severity, header_ts * 1000000 AS us, payload FROM out""")
+    event_type, severity, header_ts * 1000000 AS us, payload FROM out"""
+
+
+@query("normalize_mysql_changes", MYSQL_EVENTS)
 def _(spark, sf):
     ev = CH.normalize_mysql_changes(order_changes(spark, sf), F.lit("shop-db"))
     return ev.select("event_id", "event_type", "severity", us("timestamp"), "payload")
 
 
+@query("stream_change_log", MYSQL_EVENTS)
+def _(spark, sf):
+    """Changes landed as files of four splits in two goes, read by one connector query that stops and starts again."""
+    out = shared_folder(spark, "changelog")
+    changes = order_changes(spark, sf)
+    rows = F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]"))
+    line = splice_json(F.struct(*[c for c in changes.columns if c != "rows"]), "rows", rows).alias("value")
+    split, segment = (F.pmod(F.hash("log_pos"), F.lit(n)) for n in (4, 2))
+    landed = changes.select(line, split.alias("split"), segment.alias("segment")).persist()
+    for i in range(2):
+        landed.where(F.col("segment") == i).write.partitionBy("split", "segment").mode("append").text(f"{out}/log")
+        log = decode_changes(read_change_log(spark, f"{out}/log", stream=True, files_per_partition=4))
+        q = (log.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    landed.unpersist()
+    read = spark.read.parquet(f"{out}/data").where(F.col("reason").isNull())
+    ev = CH.normalize_mysql_changes(read, F.lit("shop-db"))
+    return ev.select("event_id", "event_type", "severity", us("timestamp"), "payload")
+
+
 @query("check_mysql_changes", f"""WITH {CHANGES} SELECT o_orderkey AS log_pos, 'update with odd row count' AS reason FROM chg
     WHERE action = 'update' AND o_orderpriority = '5-LOW'""")
 def _(spark, sf):
