@@ -225,6 +225,28 @@ def _(spark, sf):
     return spark.read.parquet(f"{out}/data").select("source_id", "status", "last_us", "events")
 
 
+@query("watch_sources", with_ev("last AS (SELECT source_id, max(us) AS last_us, count(*) AS events FROM ev GROUP BY source_id)",
+    "SELECT source_id, unnest(['alive', 'stalled']) AS status, last_us, events FROM last"))
+def _(spark, sf):
+    """All events in one batch, then nothing: every source is alive, and stalled after two seconds by the clock."""
+    out = shared_folder(spark, "watch")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKS_DB)
+    try:
+        q = (jobs.watch_sources(event_stream(spark, sf), 2).writeStream.format("parquet").option("path", f"{out}/data")
+             .option("checkpointLocation", f"{out}/checkpoint").trigger(processingTime="1 second").start())
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    sources = table(spark, sf, "events").select("user_id").distinct().count()
+    found = spark.read.schema(jobs.LIVENESS)
+    while q.isActive and (q.lastProgress is None or found.parquet(f"{out}/data").where("status = 'stalled'").count() < sources):
+        q.awaitTermination(1)
+    if q.exception() is not None:
+        raise q.exception()
+    q.stop()
+    return found.parquet(f"{out}/data")
+
+
 @query("stream_late_split", with_ev("""SELECT event_id, CASE WHEN n % 7 = 0 AND us < (SELECT max(us) FROM ev WHERE n % 7 <> 0) - 30000000 THEN 'late'
     ELSE 'on time' END AS part FROM ev"""))
 def _(spark, sf):

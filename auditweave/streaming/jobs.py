@@ -11,7 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditweave import schema as S
@@ -438,6 +438,59 @@ def source_liveness(events: DataFrame, stalled_seconds: float = 90.0, delay: str
     )
 
 
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LIVENESS = "source_id string, status string, last_us long, events long"
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Newest time and number of events of each source in a part of a batch."""
+    for pdf in batches:
+        per = pdf.groupby("source_id", dropna=False)["us"].agg(["max", "size"]).reset_index()
+        yield pd.DataFrame({"source_id": per["source_id"], "last_us": per["max"].astype("Int64"), "n": per["size"]})
+
+
+class _Watch(StatefulProcessor):
+    """Per source the newest event time and the number of events, with one timer that each batch of events moves on."""
+
+    def __init__(self, silent_ms: int):
+        self.silent_ms = silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "last_us long, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, n = self.seen.get() if self.seen.exists() else (None, 0)
+        for pdf in rows:
+            newest = pdf["last_us"].dropna()
+            if len(newest):
+                last = int(newest.max()) if last is None else max(last, int(newest.max()))
+            n += int(pdf["n"].sum())
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
+        self.seen.update((last, n))
+        yield self.row(key, "alive", last, n)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.row(key, "stalled", *self.seen.get())
+
+    def row(self, key, status, last, n) -> pd.DataFrame:
+        return pd.DataFrame({"source_id": [key[0]], "status": [status], "last_us": pd.array([last], dtype="Int64"), "events": [n]})
+
+
+def watch_sources(events: DataFrame, silent_seconds: float = 90.0) -> DataFrame:
+    """Per source: ``alive`` for every batch with events of it, ``stalled`` once none came for so long by the clock.
+
+    Timers run on processing time, so a stream that falls silent as a whole still reports its sources: run it with a
+    processing-time trigger, as only a batch, even an empty one, fires timers. A source that speaks again is ``alive``
+    again, and its count goes on. Events are reduced to one row per source and Arrow batch before they are brought to their
+    source's state, so a busy source costs a few rows. Needs the RocksDB state store (``ROCKS_DB``), set before the start.
+    """
+    rows = events.select("source_id", micros(F.col("timestamp")).alias("us")).mapInPandas(_counted, "source_id string, last_us long, n long")
+    return rows.groupBy("source_id").transformWithStateInPandas(_Watch(int(silent_seconds * 1000)), LIVENESS, "Append", "ProcessingTime")
+
+
 def _throttled(spark: SparkSession, alerts: DataFrame, out: str, batch_id: int, seconds: float) -> DataFrame:
     """Alerts of a batch kept by the greedy throttle over all batches; the last kept time per key is the state."""
     gap = int(seconds * 1_000_000)

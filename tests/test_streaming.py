@@ -1,6 +1,7 @@
 """Streaming jobs over several batches, and reruns of a batch."""
 
 import random
+import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -210,3 +211,32 @@ def test_platform_watches_its_audit_log(spark, tmp_path, monkeypatch):
     assert {r["tenant"]: (r["valid"], r["length"]) for r in H.verify_chain(chain).collect()} == {"t": (False, 6), "u": (True, 6)}
     live = spark.read.parquet(f"{out}/live").groupBy("type").count().collect()
     assert {r["type"]: r["count"] for r in live} == {"event": 6, "digest": 6, "alert": len(got)}
+
+
+def test_a_silent_stream_reports_its_sources(spark, tmp_path):
+    """Stalled though no event moves any watermark; alive again, with its count, after the next event."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda *rows: make_events(spark, [event(i, s, i) for i, s in rows]).coalesce(1).write.mode("append").parquet(source)
+    put((0, "a"), (1, "a"), (2, "b"), (3, None))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKS_DB)
+    q = (jobs.watch_sources(spark.readStream.schema(S.EVENT).parquet(source), 3).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start())
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+    def wait_for(n):
+        end = time.time() + 120
+        while time.time() < end and q.isActive:
+            if q.lastProgress is not None:
+                rows = sorted((str(r["source_id"]), r["status"], r["events"]) for r in spark.read.schema(jobs.LIVENESS).parquet(out).collect())
+                if len(rows) >= n:
+                    return rows
+            q.awaitTermination(1)
+        raise AssertionError(q.exception())
+
+    first = [("None", "alive", 1), ("None", "stalled", 1), ("a", "alive", 2), ("a", "stalled", 2), ("b", "alive", 1), ("b", "stalled", 1)]
+    try:
+        assert wait_for(6) == first
+        put((9, "a"))
+        assert wait_for(8) == sorted([*first, ("a", "alive", 3), ("a", "stalled", 3)])
+    finally:
+        q.stop()
