@@ -14,14 +14,15 @@
 5. Stretches that touch or lie at most JOIN words apart form a passage; passages of at least WORDS words are reported.
    Their source is that of the longest stretch; stretches of short chains name it only where there is no other.
 
-Defined results: null texts are empty; a null doc_id is the smallest; rows with one doc_id and different texts are told
-apart by a hash of the text, do not match each other, and either may be the source of a later passage; repeated rows
+Defined results: null texts are empty; a null doc_id is the smallest; rows with one doc_id and different texts, or without
+one, are told apart by a 64-bit hash of the text (``suffixes.rows_of``), do not match each other, and either may be the source of a later passage; repeated rows
 both keep or lose a passage; texts of fewer than K words have no seeds; an empty table gives no rows. Only doc_id and
 text are read; the other columns of documents are carried through.
 """
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from auditweave.llm.base import cut, query, table, worker_memory
 from auditweave.llm.hashing import BASES, mix, word_hashes
-from auditweave.llm.suffixes import NULL_ID, OFFSET_BITS, TAG_BITS, rows_of
+from auditweave.llm.suffixes import NULL_ID, repeated_ids, rows_of
 
 K, WINDOW = 5, 10
 #: Longest step of a chain, least words of a stretch and of a passage, distance of joined stretches, in words.
@@ -185,6 +186,17 @@ def _grow(a: list, b: list) -> tuple[int, int, int]:
     return out
 
 
+def words_of(text: bytes) -> tuple[list[bytes], list[int], list[int]]:
+    """Words in lower case, their starts and ends."""
+    words = text.lower().split()
+    if words and sum(map(len, words)) + len(words) - 1 == len(text.strip()):  # one character between any two
+        at = text.find(text.split(None, 1)[0])
+        starts = list(accumulate((len(w) + 1 for w in words[:-1]), initial=at))
+        return words, starts, [a + len(w) for a, w in zip(starts, words)]
+    found = [m.span() for m in _WORD.finditer(text)]
+    return words, [a for a, _ in found], [b for _, b in found]
+
+
 def align(
     raw: bytes, other: bytes, xs: list[int], ys: list[int], percent: int = PERCENT, whole: tuple[bool, bool, bool, bool] = (True,) * 4,
 ) -> list[tuple[int, int, int, int]]:
@@ -194,12 +206,10 @@ def align(
     and ends as its document does; where it was cut, the word at the cut may be a part and is left out.
     """
     def split(text: bytes, begins: bool, ends: bool):
-        found = list(_WORD.finditer(text))
-        if not begins and found and found[0].start() == 0:
-            del found[0]
-        if not ends and found and found[-1].end() == len(text):
-            del found[-1]
-        return [m.group().lower() for m in found], [m.start() for m in found], [m.end() for m in found]
+        found = words_of(text)
+        since = int(not begins and bool(found[0]) and found[1][0] == 0)
+        to = len(found[0]) - int(not ends and bool(found[0]) and found[2][-1] == len(text))
+        return [v[since:to] for v in found]
 
     a, a_start, a_end = split(raw, *whole[:2])
     b, b_start, _ = split(other, *whole[2:])
@@ -239,28 +249,28 @@ def align(
     return out
 
 
-_SEEDS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("word", pa.int32()), ("first", pa.bool_())])
-_CHAINS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("source", pa.int64()), ("source_tag", pa.int64()),
+_SEEDS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("place", pa.int32()), ("word", pa.int32()), ("first", pa.bool_())])
+_CHAINS = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("source", pa.int64()), ("source_mark", pa.int64()),
                      ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64())), ("room_x", pa.int64()), ("room_y", pa.int64())])
-_ALIGNED = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
+_ALIGNED = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
                       ("source", pa.int64()), ("words", pa.int64()), ("equal", pa.int64()), ("chained", pa.bool_())])
 
 
 def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         h, own, offset, word, first = places(texts)
-        place = offset + (np.array(tags, dtype=np.int64) << OFFSET_BITS)[own]
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((h, np.array(docs, dtype=np.int64)[own], place, word, first), _SEEDS)], schema=_SEEDS)
+        doc, mark = (np.array(v, dtype=np.int64)[own] for v in (docs, marks))
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((h, doc, mark, offset, word, first), _SEEDS)], schema=_SEEDS)
 
     worker_memory(__name__)
-    docs, tags, texts, size = [], [], [], 0
+    docs, marks, texts, size = [], [], [], 0
     for batch in batches:
-        for doc, tag, text in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), batch["data"]):
-            docs.append(doc), tags.append(tag), texts.append(text.as_py())
+        for doc, mark, text in zip(batch["doc"].to_pylist(), batch["mark"].to_pylist(), batch["data"]):
+            docs.append(doc), marks.append(mark), texts.append(text.as_py())
             size += len(texts[-1])
             if size >= BLOCK:
                 yield flush()
-                docs, tags, texts, size = [], [], [], 0
+                docs, marks, texts, size = [], [], [], 0
     if texts:
         yield flush()
 
@@ -272,15 +282,14 @@ def room(offset: int, word: int) -> int:
 
 def _emit_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over matches sorted by document, owner and place; one document's matches with one owner at a time."""
-    low = (1 << OFFSET_BITS) - 1
+    names = ("doc", "mark", "source", "source_mark", "place", "word", "source_place", "source_word")
 
     def of(group: list[np.ndarray]) -> list[tuple]:
-        doc, place, word, source, source_place, source_word = group
-        x, y, found = place & low, source_place & low, []
+        x, word, y, source_word = group[4:]
+        pair, found = [int(v[0]) for v in group[:4]], []
         for chain in chains(word, source_word):
             end = chain[-1]
-            found.append((int(doc[0]), int(place[0] >> OFFSET_BITS), int(source[0]), int(source_place[0] >> OFFSET_BITS),
-                          x[chain].tolist(), y[chain].tolist(), room(x[end], word[end]), room(y[end], source_word[end])))
+            found.append((*pair, x[chain].tolist(), y[chain].tolist(), room(x[end], word[end]), room(y[end], source_word[end])))
         return found
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
@@ -290,11 +299,12 @@ def _emit_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "place", "word", "source", "source_place", "source_word")]
+        rows = [batch[c].to_numpy(zero_copy_only=False) for c in names]
         if held is not None:
             rows = [np.concatenate(v) for v in zip(held, rows)]
-        doc, place, _, source, source_place, _ = rows
-        change = (np.diff(doc) != 0) | (np.diff(place >> OFFSET_BITS) != 0) | (np.diff(source) != 0) | (np.diff(source_place >> OFFSET_BITS) != 0)
+        change = np.zeros(len(rows[0]) - 1, dtype=bool)
+        for v in rows[:4]:
+            change |= v[1:] != v[:-1]
         edges = [0, *(np.flatnonzero(change) + 1).tolist()]
         found = []
         for a, b in zip(edges, edges[1:]):
@@ -309,40 +319,43 @@ def _emit_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _emit_aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        columns = [batch[c].to_pylist() for c in ("doc", "tag", "source", "xs", "ys", "from_x", "from_y", "room_x", "room_y", "piece", "source_piece")]
-        for doc, tag, source, xs, ys, from_x, from_y, room_x, room_y, piece, other in zip(*columns):
+        columns = [batch[c].to_pylist() for c in ("doc", "mark", "source", "xs", "ys", "from_x", "from_y", "room_x", "room_y", "piece", "source_piece")]
+        for doc, mark, source, xs, ys, from_x, from_y, room_x, room_y, piece, other in zip(*columns):
             cut_short = lambda text, at, first, beside: len(text) >= at[-1] - first + 2 * beside
             whole = (from_x == 0, not cut_short(piece, xs, from_x, room_x), from_y == 0, not cut_short(other, ys, from_y, room_y))
             for start, end, words, equal in align(piece, other, [x - from_x for x in xs], [y - from_y for y in ys], whole=whole):
-                out.append((doc, tag, start + from_x, end + from_x, source, words, equal, xs[-1] - xs[0] >= 3 * STRETCH))
+                out.append((doc, mark, start + from_x, end + from_x, source, words, equal, xs[-1] - xs[0] >= 3 * STRETCH))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), _ALIGNED)], schema=_ALIGNED)
 
 
-def stretches(docs: DataFrame) -> DataFrame:
-    """(doc, tag, start, end, source, words, equal, chained): similar stretches with the owner of their seeds."""
-    rows = rows_of(docs)
-    found = rows.select("doc", "tag", F.col("text").cast("binary").alias("data")).mapInArrow(_emit_seeds, "h long, doc long, place long, word int, first boolean")
-    # Numbers only, so the aggregation hashes instead of sorting; a text has a hash first once.
-    owners = found.where("first").groupBy("h").agg(F.min("doc").alias("source"), F.min_by("place", "doc").alias("source_place"),
-                                                     F.min_by("word", "doc").alias("source_word"), F.max("doc").alias("last"))
+def stretches(rows: DataFrame) -> DataFrame:
+    """(doc, mark, start, end, source, words, equal, chained): similar stretches with the owner of their seeds, of ``rows_of``."""
+    found = rows.select("doc", "mark", F.col("text").cast("binary").alias("data")).mapInArrow(
+        _emit_seeds, "h long, doc long, mark long, place int, word int, first boolean")
+    # Numbers only, so the aggregation hashes instead of sorting; a text has a hash first once. Of the texts of one doc_id
+    # any may own a hash, but all of its columns come from the same: the one with the least mark.
+    by = F.struct("doc", "mark")
+    owners = found.where("first").groupBy("h").agg(F.min(by).alias("o"), F.max("doc").alias("last"),
+                                                     F.min_by("place", by).alias("source_place"), F.min_by("word", by).alias("source_word"))
+    owners = owners.select("h", F.col("o.doc").alias("source"), F.col("o.mark").alias("source_mark"), "source_place", "source_word", "last")
     owners = owners.where("last > source").drop("last")
-    matches = found.drop("first").join(owners, "h").where("doc <> source").select("doc", "place", "word", "source", "source_place", "source_word")
-    tag = lambda c: F.shiftright(c, OFFSET_BITS)
-    by_pair = matches.repartition("doc").sortWithinPartitions("doc", tag("place"), "source", tag("source_place"), "place", "source_place")
-    linked = cut(by_pair.mapInArrow(_emit_chains, "doc long, tag long, source long, source_tag long, xs array<long>, ys array<long>, room_x long, room_y long"), "chains")
+    pair = ["doc", "mark", "source", "source_mark"]
+    matches = found.drop("first").join(owners, "h").where("doc <> source").select(*pair, "place", "word", "source_place", "source_word")
+    by_pair = matches.repartition("doc", "mark").sortWithinPartitions(*pair, "place", "source_place")
+    linked = cut(by_pair.mapInArrow(_emit_chains, "doc long, mark long, source long, source_mark long, xs array<long>, ys array<long>, room_x long, room_y long"), "chains")
     first, last = lambda c: F.element_at(c, 1), lambda c: F.element_at(c, -1)
     linked = linked.select("*", F.greatest(first("xs") - F.col("room_x"), F.lit(0)).alias("from_x"),
                            F.greatest(first("ys") - F.col("room_y"), F.lit(0)).alias("from_y"))
     # A text is shorter than 2^31 bytes, but a place with its room may lie behind that.
     piece = lambda at, to, beside: F.substring(F.col("text").cast("binary"), (F.col(at) + 1).cast("int"), F.least(last(to) - F.col(at) + 2 * F.col(beside), F.lit((1 << 31) - 1)).cast("int"))
     # Both joins and the caller's share one exchange of the texts.
-    texts = lambda doc, tag_: rows.select(F.col("doc").alias(doc), F.col("tag").alias(tag_), "text")
-    with_source = linked.join(texts("source", "source_tag"), ["source", "source_tag"]).select(
+    texts = lambda doc, mark: rows.select(F.col("doc").alias(doc), F.col("mark").alias(mark), "text")
+    with_source = linked.join(texts("source", "source_mark"), ["source", "source_mark"]).select(
         *[c for c in linked.columns], piece("from_y", "ys", "room_y").alias("source_piece"))
-    with_both = with_source.join(texts("doc", "tag"), ["doc", "tag"]).select(
-        "doc", "tag", "source", "xs", "ys", "from_x", "from_y", "room_x", "room_y", piece("from_x", "xs", "room_x").alias("piece"), "source_piece")
-    return with_both.mapInArrow(_emit_aligned, "doc long, tag long, start long, end long, source long, words long, equal long, chained boolean")
+    with_both = with_source.join(texts("doc", "mark"), ["doc", "mark"]).select(
+        "doc", "mark", "source", "xs", "ys", "from_x", "from_y", "room_x", "room_y", piece("from_x", "xs", "room_x").alias("piece"), "source_piece")
+    return with_both.mapInArrow(_emit_aligned, "doc long, mark long, start long, end long, source long, words long, equal long, chained boolean")
 
 
 def joined(raw: bytes, own: list[dict], least: int = WORDS, apart: int = JOIN) -> list[dict]:
@@ -364,9 +377,8 @@ def joined(raw: bytes, own: list[dict], least: int = WORDS, apart: int = JOIN) -
     return found
 
 
-def _with_stretches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    own = stretches(docs).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end", "source", "words", "equal", "chained")).alias("own"))
-    return rows_of(docs), own
+def _own_stretches(rows: DataFrame) -> DataFrame:
+    return stretches(rows).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end", "source", "words", "equal", "chained")).alias("own"))
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -374,21 +386,22 @@ def passages(docs: DataFrame) -> DataFrame:
 
     The passage also stands, alike or edited, in the earlier document ``source_id``.
     """
-    rows, own = _with_stretches(docs)
+    rows = rows_of(docs, repeated_ids(docs))
+    own = _own_stretches(rows)
     names = ("doc_id", "start_byte", "end_byte", "n_words", "similarity", "source_id")
     schema = pa.schema([(n, pa.float64() if n == "similarity" else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, own_ in zip(batch["doc"].to_pylist(), batch["data"], batch["own"].to_pylist()):
-                real = lambda d: None if d == NULL_ID else d
+            for doc, text, own_ in zip(batch["doc_id"].to_pylist(), batch["data"], batch["own"].to_pylist()):
                 for p in joined(text.as_py(), own_):
-                    out.append((real(doc), p["start"], p["end"], p["n_words"], p["similarity"], real(p["source"])))
+                    source = None if p["source"] == NULL_ID else p["source"]
+                    out.append((doc, p["start"], p["end"], p["n_words"], p["similarity"], source))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema)
 
-    found = rows.join(own, ["doc", "tag"]).select("doc", F.col("text").cast("binary").alias("data"), "own")
+    found = rows.join(own, ["doc", "mark"]).select("doc_id", F.col("text").cast("binary").alias("data"), "own")
     return found.mapInArrow(run, "doc_id long, start_byte long, end_byte long, n_words long, similarity double, source_id long")
 
 
@@ -397,13 +410,12 @@ def without_passages(docs: DataFrame) -> DataFrame:
 
     A text that loses a passage has a line break in its place; n_chars, if there is such a column, is counted anew.
     """
-    _, own = _with_stretches(docs)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << TAG_BITS)).alias("tag"),
-        F.col("text").alias("text"), row.alias("row"))
-    matched = rows.join(own, ["doc", "tag"], "left")
+    repeated = repeated_ids(docs)
+    own = _own_stretches(rows_of(docs, repeated))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    # A null text passes as such where it loses nothing.
+    rows = rows_of(docs, repeated, row, F.col("text").isNull().alias("absent")).withColumn("text", F.when(~F.col("absent"), F.col("text")))
+    matched = rows.join(own, ["doc", "mark"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,8 +19,8 @@ The rows of one gram that step 2 holds are bounded by LIMIT; what exceeds it goe
 at any size.
 
 Defined results: null texts are empty; a null doc_id is smaller than all others; rows with one doc_id and one text are
-the same document (neither is earlier); rows with one doc_id and different texts are ordered by a hash of the text.
-Matches never cross documents. Other columns are not read.
+the same document (neither is earlier); rows with one doc_id and different texts are ordered by a 64-bit hash of the text
+(``mark``), which also tells rows without a doc_id apart. Matches never cross documents. Other columns are not read.
 """
 
 import hashlib
@@ -39,8 +39,7 @@ LENGTH, GRAM = 100, 24
 STRETCH, BLOCK, SORTED = 1 << 19, 1 << 24, 1 << 21
 #: Different classes of one gram in one block from which it counts as common, and most classes of a gram sorted together.
 COMMON, LIMIT = 256, 20_000
-#: A place is a hash of the text and a byte offset in one number.
-TAG_BITS, OFFSET_BITS = 22, 40
+#: Stands for a null doc_id; a real one of this value differs from it by its mark.
 NULL_ID = -(1 << 63)
 REMOVED, MARK, CLASS, DEALT = 0, 1, 2, 3
 
@@ -176,31 +175,31 @@ def _segments(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int,
         yield held
 
 
-def _spans(doc: np.ndarray, place: np.ndarray, number: np.ndarray):
+def _spans(doc: np.ndarray, mark: np.ndarray, place: np.ndarray, number: np.ndarray):
     """Consecutive strings of a document joined into one row."""
-    order = np.lexsort((place, doc))
-    doc, place, number = doc[order], place[order], number[order]
+    order = np.lexsort((place, mark, doc))
+    doc, mark, place, number = doc[order], mark[order], place[order], number[order]
     new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + number[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (place[1:] != place[:-1] + number[:-1])
     at = np.flatnonzero(new)
-    return doc[at], place[at], np.add.reduceat(number, at) if len(at) else number
+    return doc[at], mark[at], place[at], np.add.reduceat(number, at) if len(at) else number
 
 
-_ROWS = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("number", pa.int32()), ("kind", pa.int8())])
-_ROWS_DDL = "key long, whole long, doc long, place long, number int, kind byte"
+_ROWS = pa.schema([("key", pa.int64()), ("whole", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("place", pa.int64()), ("number", pa.int32()), ("kind", pa.int8())])
+_ROWS_DDL = "key long, whole long, doc long, mark long, place long, number int, kind byte"
 
 
-def _batch(key, whole, doc, place, number, kind) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(v), f.type) for v, f in zip((key, whole, doc, place, number, kind), _ROWS)], schema=_ROWS)
+def _batch(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(v), f.type) for v, f in zip(columns, _ROWS)], schema=_ROWS)
 
 
-def _scatter(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return mix(doc.view(np.uint64) * np.uint64(BASES[0]) + place.view(np.uint64)).view(np.int64)
+def _scatter(doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix((doc ^ mark).view(np.uint64) * np.uint64(BASES[0]) + place.view(np.uint64)).view(np.int64)
 
 
-def _settle(groups: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _settle(groups: list[np.ndarray], doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by groups, document and place; which rows are the first of their group; which repeat an earlier place."""
-    order = np.lexsort((place, doc, *groups[::-1]))
+    order = np.lexsort((place, mark, doc, *groups[::-1]))
     first = np.ones(len(order), dtype=bool)
     if len(order):
         same = np.ones(len(order) - 1, dtype=bool)
@@ -208,13 +207,13 @@ def _settle(groups: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tup
             same &= g[order][1:] == g[order][:-1]
         first[1:] = ~same
     lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else order
-    d, p = doc[order], place[order]
-    return order, first, (d != d[lead]) | (p != p[lead])
+    d, m, p = doc[order], mark[order], place[order]
+    return order, first, (d != d[lead]) | (m != m[lead]) | (p != p[lead])
 
 
 def _emit_classes(docs: list[tuple[int, int, bytes]], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Step 1 for one block of documents (doc, tag, text)."""
-    columns = [[] for _ in range(5)]
+    """Step 1 for one block of documents (doc, mark, text)."""
+    columns = [[] for _ in range(6)]
     for segment in _segments([t for _, _, t in docs], length):
         data = np.frombuffer(b"".join(s for _, _, s in segment), dtype=np.uint8)
         edges = np.cumsum([0, *(len(s) for _, _, s in segment)])
@@ -222,28 +221,28 @@ def _emit_classes(docs: list[tuple[int, int, bytes]], length: int, gram: int) ->
         if not len(first):
             continue
         own = np.searchsorted(edges, first, side="right") - 1
-        base = np.array([(docs[d][1] << OFFSET_BITS) + p for d, p, _ in segment], dtype=np.int64) - edges[:-1]
-        ids = np.array([docs[d][0] for d, _, _ in segment], dtype=np.int64)
-        for c, v in zip(columns, (grams, whole, ids[own], base[own] + first, number)):
+        base = np.array([p for _, p, _ in segment], dtype=np.int64) - edges[:-1]
+        ids, marks = (np.array([docs[d][i] for d, _, _ in segment], dtype=np.int64) for i in (0, 1))
+        for c, v in zip(columns, (grams, whole, ids[own], marks[own], base[own] + first, number)):
             c.append(v)
     if not columns[0]:
         return
-    key, whole, doc, place, number = (np.concatenate(c) for c in columns)
-    order, first, repeats = _settle([key, whole], doc, place)
+    key, whole, doc, mark, place, number = (np.concatenate(c) for c in columns)
+    order, first, repeats = _settle([key, whole], doc, mark, place)
     gone = order[repeats]
-    d, p, m = _spans(doc[gone], place[gone], number[gone])
-    yield _batch(_scatter(d, p), np.zeros_like(d), d, p, m, np.full(len(d), REMOVED))
+    d, k, p, m = _spans(doc[gone], mark[gone], place[gone], number[gone])
+    yield _batch(_scatter(d, k, p), np.zeros_like(d), d, k, p, m, np.full(len(d), REMOVED))
     kept = order[first]
-    key, whole, doc, place, number = key[kept], whole[kept], doc[kept], place[kept], number[kept]
+    key, whole, doc, mark, place, number = (v[kept] for v in (key, whole, doc, mark, place, number))
     new = np.ones(len(key), dtype=bool)
     new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
     kinds = np.diff(np.append(at, len(key)))
     common = np.repeat(kinds >= COMMON, kinds)
-    yield _batch(np.where(common, _scatter(doc, place), key), whole, doc, place, number, np.where(common, DEALT, CLASS))
-    marks = key[at[kinds >= COMMON]]
-    zero = np.zeros_like(marks)
-    yield _batch(marks, zero, zero, zero, zero, np.full(len(marks), MARK))
+    yield _batch(np.where(common, _scatter(doc, mark, place), key), whole, doc, mark, place, number, np.where(common, DEALT, CLASS))
+    marked = key[at[kinds >= COMMON]]
+    zero = np.zeros_like(marked)
+    yield _batch(marked, *[zero] * 5, np.full(len(marked), MARK))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,28 +251,27 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     over = None  # the key in hand, once it has too many classes to be held
 
     def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, whole, doc, place, number, kind = rows
-        marked = np.unique(key[kind == MARK])
-        rows = [v[kind != MARK] for v in rows]
-        key, whole, doc, place, number, _ = rows
-        order, first, repeats = _settle([key, whole], doc, place)
+        marked = np.unique(rows[0][rows[-1] == MARK])
+        *rows, _ = (v[rows[-1] != MARK] for v in rows)
+        key, whole, doc, mark, place, _ = rows
+        order, first, repeats = _settle([key, whole], doc, mark, place)
         gone = order[repeats]
-        yield _batch(key[gone], whole[gone], doc[gone], place[gone], number[gone], np.full(len(gone), REMOVED))
+        yield _batch(*(v[gone] for v in rows), np.full(len(gone), REMOVED))
         kept = order[first]
         _, group, kinds = np.unique(key[kept], return_inverse=True, return_counts=True)
         common = np.isin(key[kept], marked)
         need = common | (kinds[group] > 1)
         kept, common = kept[need], common[need]
-        yield _batch(key[kept], whole[kept], doc[kept], place[kept], number[kept], np.where(common, DEALT, CLASS))
+        yield _batch(*(v[kept] for v in rows), np.where(common, DEALT, CLASS))
 
     for batch in batches:
         rows = [batch[c].to_numpy(zero_copy_only=False) for c in _ROWS.names]
-        straight = (rows[5] == REMOVED) | (rows[5] == DEALT)
+        straight = (rows[-1] == REMOVED) | (rows[-1] == DEALT)
         if over is not None:
             straight |= rows[0] == over
         if straight.any():
             out = [v[straight] for v in rows]
-            yield _batch(*out[:5], np.where(out[5] == REMOVED, REMOVED, DEALT))
+            yield _batch(*out[:-1], np.where(out[-1] == REMOVED, REMOVED, DEALT))
             rows = [v[~straight] for v in rows]
         if not len(rows[0]):
             continue
@@ -285,61 +283,62 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from settle([v[:last] for v in rows])
         held = [v[last:] for v in rows]
         if len(held[0]) > LIMIT:
-            out = [v[held[5] != MARK] for v in held]
-            yield _batch(*out[:5], np.full(len(out[0]), DEALT))
+            out = [v[held[-1] != MARK] for v in held]
+            yield _batch(*out[:-1], np.full(len(out[0]), DEALT))
             over, held = int(held[0][-1]), None
     if held is not None:
         yield from settle(held)
 
 
-_SPANS = "doc long, place long, number int"
-_SPAN_SCHEMA = pa.schema([("doc", pa.int64()), ("place", pa.int64()), ("number", pa.int32())])
+_SPANS = "doc long, mark long, place long, number int"
+_SPAN_SCHEMA = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("place", pa.int64()), ("number", pa.int32())])
 
 
-def _span_batch(doc, place, number) -> pa.RecordBatch:
-    found = _spans(doc, place, number)
+def _span_batch(doc, mark, place, number) -> pa.RecordBatch:
+    found = _spans(doc, mark, place, number)
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(found, _SPAN_SCHEMA)], schema=_SPAN_SCHEMA)
 
 
-def _strings(pieces: list[bytes], doc: np.ndarray, place: np.ndarray, length: int):
-    """Buffer of the pieces, start of each string in it, its document and its place."""
+def _strings(pieces: list[bytes], doc: np.ndarray, mark: np.ndarray, place: np.ndarray, length: int):
+    """Buffer of the pieces, start of each string in it, its document, mark and place."""
     data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     sizes = np.array([len(p) for p in pieces])
     number = sizes - length + 1
     own = np.repeat(np.arange(len(pieces)), number)
     inside = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-    return data, (np.cumsum(sizes) - sizes)[own] + inside, doc[own], place[own] + inside
+    return data, (np.cumsum(sizes) - sizes)[own] + inside, doc[own], mark[own], place[own] + inside
 
 
 def _sort_classes(length: int):
     """Step 3 over pieces sorted by key."""
 
-    def settle(doc: np.ndarray, place: np.ndarray, pieces: list[bytes]) -> pa.RecordBatch:
-        data, starts, doc, place = _strings(pieces, doc, place, length)
-        by_place = np.lexsort((place, doc))
-        starts, doc, place = starts[by_place], doc[by_place], place[by_place]
+    def settle(held: list[tuple]) -> pa.RecordBatch:
+        docs, marks, places, pieces = zip(*held)
+        data, starts, doc, mark, place = _strings(list(pieces), *(np.array(v, dtype=np.int64) for v in (docs, marks, places)), length)
+        by_place = np.lexsort((place, mark, doc))
+        starts, doc, mark, place = starts[by_place], doc[by_place], mark[by_place], place[by_place]
         order, same = sort_suffixes(data, starts, length)
         lead = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-        d, p = doc[order], place[order]
-        later = (d != d[lead]) | (p != p[lead])
-        return _span_batch(d[later], p[later], np.ones(int(later.sum()), dtype=np.int32))
+        d, m, p = doc[order], mark[order], place[order]
+        later = (d != d[lead]) | (m != m[lead]) | (p != p[lead])
+        return _span_batch(d[later], m[later], p[later], np.ones(int(later.sum()), dtype=np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, places, pieces, size = [], [], [], [], 0
+        last, held, size = None, [], 0
         for batch in batches:
-            for key, doc, place, piece in zip(batch["key"].to_pylist(), batch["doc"].to_pylist(), batch["place"].to_pylist(), batch["piece"].to_pylist()):
-                if size >= SORTED and key != keys[-1]:
-                    yield settle(np.array(docs), np.array(places), pieces)
-                    keys, docs, places, pieces, size = [], [], [], [], 0
-                keys.append(key), docs.append(doc), places.append(place), pieces.append(piece)
-                size += len(piece)
-        if pieces:
-            yield settle(np.array(docs), np.array(places), pieces)
+            for key, *row in zip(*(batch[c].to_pylist() for c in ("key", "doc", "mark", "place", "piece"))):
+                if size >= SORTED and key != last:
+                    yield settle(held)
+                    held, size = [], 0
+                held.append(row)
+                last, size = key, size + len(row[-1])
+        if held:
+            yield settle(held)
 
     return run
 
 
-_DEALT_SCHEMA = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("gone", pa.bool_())])
+_DEALT_SCHEMA = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("place", pa.int64()), ("gone", pa.bool_())])
 
 
 def _deal(length: int):
@@ -349,13 +348,13 @@ def _deal(length: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, at = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "place"))
-            data, starts, doc, place = _strings(batch["piece"].to_pylist(), ids, at, length)
+            places = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "mark", "place"))
+            data, starts, doc, mark, place = _strings(batch["piece"].to_pylist(), *places, length)
             x, y = (mix(Hashes(data, which).of(starts, length)).view(np.int64) for which in (0, 1))
-            order, first, repeats = _settle([x, y], doc, place)
+            order, first, repeats = _settle([x, y], doc, mark, place)
             take = order[first | repeats]
             gone = repeats[first | repeats]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[take], y[take], doc[take], place[take], gone)], schema=_DEALT_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x[take], y[take], doc[take], mark[take], place[take], gone)], schema=_DEALT_SCHEMA)
 
     return run
 
@@ -366,43 +365,44 @@ def _first_of_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y, doc, place, gone = (batch[c].to_numpy(zero_copy_only=False) for c in _DEALT_SCHEMA.names)
+        x, y, doc, mark, place, gone = (batch[c].to_numpy(zero_copy_only=False) for c in _DEALT_SCHEMA.names)
         new = np.ones(len(x), dtype=bool)
         new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         if last is not None and (x[0], y[0]) == last[:2]:
             new[0] = False
         lead = np.cumsum(new) - 1  # -1: the first lies in a batch before
         heads = np.flatnonzero(new)
-        lead_doc = np.where(lead < 0, last[2] if last else 0, doc[heads[np.maximum(lead, 0)]] if len(heads) else 0)
-        lead_place = np.where(lead < 0, last[3] if last else 0, place[heads[np.maximum(lead, 0)]] if len(heads) else 0)
-        later = (doc != lead_doc) | (place != lead_place)
-        last = (x[-1], y[-1], lead_doc[-1], lead_place[-1])
-        yield _span_batch(doc[later], place[later], np.ones(int(later.sum()), dtype=np.int32))
+        leads = [np.where(lead < 0, last[2 + i] if last else 0, v[heads[np.maximum(lead, 0)]] if len(heads) else 0) for i, v in enumerate((doc, mark, place))]
+        later = (doc != leads[0]) | (mark != leads[1]) | (place != leads[2])
+        last = (x[-1], y[-1], *(v[-1] for v in leads))
+        yield _span_batch(doc[later], mark[later], place[later], np.ones(int(later.sum()), dtype=np.int32))
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
-    text = text_or_empty()
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"),
-        F.pmod(F.xxhash64(text), F.lit(1 << TAG_BITS)).alias("tag"), text.alias("text"))
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, again) of the doc_ids of several rows. Mostly few or none; written, so Spark knows how many there are."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    return cut(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")), "repeated-ids")
 
 
-def tag_of(place: Column) -> Column:
-    return F.shiftright(place, OFFSET_BITS)
+def rows_of(docs: DataFrame, repeated: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, doc, mark and text, and ``more`` columns of ``docs``.
 
-
-def offset_of(place: Column) -> Column:
-    return place.bitwiseAND(F.lit((1 << OFFSET_BITS) - 1))
+    (doc, mark) names a document: ``mark`` is a hash of the text where the doc_id is null or of several rows, else 0.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *more)
+    mark = F.when(F.col("doc_id").isNull() | F.col("again"), F.xxhash64("text", F.col("doc_id").isNull())).otherwise(F.lit(0).cast("long"))
+    kept = [c for c in rows.columns if c not in ("doc_id", "text")]
+    return rows.join(repeated, "doc_id", "left").select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), mark.alias("mark"), "text", *kept)
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, tag, spans): per document of ``rows_of`` with any, the first start and number of removed strings."""
+def removed_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(doc, mark, spans): per document of ``rows_of`` with any, the first start and number of removed strings."""
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = [], 0
         for batch in batches:
-            for doc, tag, text in zip(batch["doc"].to_pylist(), batch["tag"].to_pylist(), batch["data"]):
-                block.append((doc, tag, text.as_py()))
+            for doc, mark, text in zip(batch["doc"].to_pylist(), batch["mark"].to_pylist(), batch["data"]):
+                block.append((doc, mark, text.as_py()))
                 size += len(block[-1][2])
                 if size >= BLOCK:
                     yield from _emit_classes(block, length, gram)
@@ -410,20 +410,18 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         if block:
             yield from _emit_classes(block, length, gram)
 
-    rows = rows_of(docs)
-    emitted = rows.select("doc", "tag", F.col("text").cast("binary").alias("data")).mapInArrow(classes, _ROWS_DDL)
+    emitted = rows.select("doc", "mark", F.col("text").cast("binary").alias("data")).mapInArrow(classes, _ROWS_DDL)
     # Marks before classes: a gram that is common anywhere is dealt everywhere.
-    met = emitted.repartition("key").sortWithinPartitions("key", "kind", "whole", "doc", "place").mapInArrow(_meet, _ROWS_DDL)
+    met = emitted.repartition("key").sortWithinPartitions("key", "kind", "whole", "doc", "mark", "place").mapInArrow(_meet, _ROWS_DDL)
     found = cut(met, "suffix-classes")
-    open_ = found.where(f"kind <> {REMOVED}").select("key", "doc", "place", "number", "kind", tag_of(F.col("place")).alias("tag"))
-    piece = F.substring(F.col("text").cast("binary"), (offset_of(F.col("place")) + 1).cast("int"), F.col("number") + (length - 1))
-    pieces = open_.join(rows, ["doc", "tag"]).select("key", "doc", "place", "kind", piece.alias("piece"))
+    open_ = found.where(f"kind <> {REMOVED}").select("key", "doc", "mark", "place", "number", "kind")
+    piece = F.substring(F.col("text").cast("binary"), (F.col("place") + 1).cast("int"), F.col("number") + (length - 1))
+    pieces = open_.join(rows, ["doc", "mark"]).select("key", "doc", "mark", "place", "kind", piece.alias("piece"))
     sorted_out = pieces.where(f"kind = {CLASS}").repartition("key").sortWithinPartitions("key").mapInArrow(_sort_classes(length), _SPANS)
-    dealt = pieces.where(f"kind = {DEALT}").mapInArrow(_deal(length), "x long, y long, doc long, place long, gone boolean")
-    dealt = dealt.repartition("x", "y").sortWithinPartitions("x", "y", "doc", "place").mapInArrow(_first_of_dealt, _SPANS)
-    spans = found.where(f"kind = {REMOVED}").select("doc", "place", "number").unionByName(sorted_out).unionByName(dealt)
-    return spans.groupBy("doc", tag_of(F.col("place")).alias("tag")).agg(
-        F.collect_list(F.struct(offset_of(F.col("place")).alias("start"), "number")).alias("spans"))
+    dealt = pieces.where(f"kind = {DEALT}").mapInArrow(_deal(length), "x long, y long, doc long, mark long, place long, gone boolean")
+    dealt = dealt.repartition("x", "y").sortWithinPartitions("x", "y", "doc", "mark", "place").mapInArrow(_first_of_dealt, _SPANS)
+    spans = found.where(f"kind = {REMOVED}").select("doc", "mark", "place", "number").unionByName(sorted_out).unionByName(dealt)
+    return spans.groupBy("doc", "mark").agg(F.collect_list(F.struct(F.col("place").alias("start"), "number")).alias("spans"))
 
 
 def removed_runs(spans: list, length: int) -> list[tuple[int, int]]:
@@ -439,23 +437,23 @@ def removed_runs(spans: list, length: int) -> list[tuple[int, int]]:
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, the remaining bytes, the removed ranges, n_bytes."""
-    rows = rows_of(docs)
-    spans = removed_spans(docs, length, gram)
+    rows = rows_of(docs, repeated_ids(docs))
+    spans = removed_spans(rows, length, gram)
     schema = pa.schema([("doc_id", pa.int64()), ("data", pa.binary()), ("runs", pa.list_(pa.list_(pa.int64()))), ("n_bytes", pa.int64())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], []]
-            for doc, text, own in zip(batch["doc"].to_pylist(), batch["data"], batch["spans"].to_pylist()):
+            for doc, text, own in zip(batch["doc_id"].to_pylist(), batch["data"], batch["spans"].to_pylist()):
                 raw = text.as_py()
                 runs = removed_runs(own or [], length)
                 edges = [0, *(x for r in runs for x in r), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else raw
-                for c, v in zip(out, (None if doc == NULL_ID else doc, kept, runs, len(raw))):
+                for c, v in zip(out, (doc, kept, runs, len(raw))):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema)], schema=schema)
 
-    joined = rows.join(spans, ["doc", "tag"], "left").select("doc", F.col("text").cast("binary").alias("data"), "spans")
+    joined = rows.join(spans, ["doc", "mark"], "left").select("doc_id", F.col("text").cast("binary").alias("data"), "spans")
     return joined.mapInArrow(apply, "doc_id long, data binary, runs array<array<long>>, n_bytes long")
 
 

@@ -168,3 +168,14 @@ def test_edges(make):
     got = {(x.doc_id, x.text) for x in left.collect()}
     assert {(None, copy), (3, ""), (6, text(7, 20000)), (7, ""), (1, None), (7, text(8, 50))} <= got
     assert chaining.passages(make([])).count() == 0 and chaining.without_passages(make([])).count() == 0
+
+
+def test_rows_with_one_id_keep_their_own_texts(make):
+    """Nothing of one text is cut by the spans of another, and the words of any spacing are found where they are."""
+    passage = text(800, 60)
+    rows = [(9, f"{text(801, 40)} {passage}"), (9, f"é{text(802, 90)}"), (None, f"{passage} {text(803, 30)}"), (None, text(804, 90)), (3, text(805, 50)), (None, None)]
+    got = sorted(repr((r.doc_id, r.text)) for r in chaining.without_passages(make(rows)).collect())
+    assert got == sorted(map(repr, [(9, text(801, 40)), *rows[1:]]))
+    for raw in (b"", b" ", b"  A b", b"a  B\tc ", b"\na b", b"ab", b"a \xc3\xa9 b\x0b"):
+        found = list(chaining._WORD.finditer(raw))
+        assert chaining.words_of(raw) == ([m.group().lower() for m in found], [m.start() for m in found], [m.end() for m in found])

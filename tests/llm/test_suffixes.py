@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from auditweave.llm import suffixes
 from auditweave.llm.hashing import Hashes
@@ -86,7 +87,7 @@ def test_equals_brute_force(make, seed, length, gram):
 
 def test_rows_with_one_id_and_edge_tables(make):
     rows = corpus(4)
-    got = suffixes.dedup_bytes(make(rows).withColumnRenamed("lang", "place").withColumnRenamed("source", "tag"), 30, 9)
+    got = suffixes.dedup_bytes(make(rows).withColumnRenamed("lang", "place").withColumnRenamed("source", "mark").withColumnRenamed("n_chars", "again"), 30, 9)
     assert got.count() == len(rows)
     assert suffixes.dedup_bytes(make([]), 30, 9).count() == 0
 
@@ -95,20 +96,19 @@ def in_process(rows, length, gram, blocks):
     """The steps without Spark, so that their bounds can be made small."""
     tagged = [(i, int(hashlib.md5(t.encode()).hexdigest()[:4], 16), t.encode()) for i, t in rows]
     emitted = [b for k in range(blocks) for b in suffixes._emit_classes(tagged[k::blocks], length, gram)]
-    rows_ = pa.Table.from_batches(emitted).sort_by([(c, "ascending") for c in ("key", "kind", "whole", "doc", "place")])
+    rows_ = pa.Table.from_batches(emitted).sort_by([(c, "ascending") for c in ("key", "kind", "whole", "doc", "mark", "place")])
     met = pa.Table.from_batches(suffixes._meet(iter(rows_.to_batches(max_chunksize=37)))).to_pylist()
-    low = (1 << suffixes.OFFSET_BITS) - 1
     texts = {i: t for i, _, t in tagged}
-    spans = [(m["doc"], m["place"] & low, m["number"]) for m in met if m["kind"] == suffixes.REMOVED]
+    spans = [(m["doc"], m["place"], m["number"]) for m in met if m["kind"] == suffixes.REMOVED]
     for kind, steps in ((suffixes.CLASS, [(suffixes._sort_classes(length), ("key",))]),
-                        (suffixes.DEALT, [(suffixes._deal(length), ("key",)), (suffixes._first_of_dealt, ("x", "y", "doc", "place"))])):
-        own = [m | {"piece": texts[m["doc"]][(m["place"] & low):(m["place"] & low) + m["number"] + length - 1]} for m in met if m["kind"] == kind]
+                        (suffixes.DEALT, [(suffixes._deal(length), ("key",)), (suffixes._first_of_dealt, ("x", "y", "doc", "mark", "place"))])):
+        own = [m | {"piece": texts[m["doc"]][m["place"]:m["place"] + m["number"] + length - 1]} for m in met if m["kind"] == kind]
         if own:
             t = pa.Table.from_pylist(own)
             for step, by in steps:
                 batches = t.sort_by([(c, "ascending") for c in by]).to_batches(max_chunksize=23)
                 t = pa.Table.from_batches(step(iter(batches)))
-            spans += [(m["doc"], m["place"] & low, m["number"]) for m in t.to_pylist()]
+            spans += [(m["doc"], m["place"], m["number"]) for m in t.to_pylist()]
     out = []
     for i, _, raw in tagged:
         runs = suffixes.removed_runs([{"start": s, "number": n} for d, s, n in spans if d == i], length)
@@ -126,3 +126,26 @@ def test_common_grams_and_small_bounds(monkeypatch, common, limit, stretch, sort
     got, kinds = in_process(rows, 40, 12, 3)
     assert got == brute(rows, 40)
     assert (suffixes.DEALT in kinds) == (common < 256 or limit < 100)
+
+
+def near_collision(start, bits=22):
+    """Two texts that begin alike and whose hashes agree in so many bits."""
+    seen = {}
+    for i in range(1 << 20):
+        t = f"{start} {i}"
+        low = xxhash.xxh64_intdigest(t, 42) % (1 << bits)
+        if low in seen:
+            return seen[low], t
+        seen[low] = t
+
+
+def test_documents_without_an_id_or_with_one_id_stay_apart(make):
+    """Texts whose hashes agree in 22 bits are not one document: a shared passage stays in one of them."""
+    passage = text(70, 60)
+    a, b = near_collision(passage)
+    for ids in ((None, None), (7, 7)):
+        got = {bytes(r.data).decode() for r in suffixes.dedup_bytes(make([(ids[0], a), (ids[1], b), (8, text(71, 60))])).collect()}
+        assert len(got & {a, b}) == 1 and text(71, 60) in got
+    # A real id equal to the number that stands for null.
+    got = suffixes.dedup_bytes(make([(None, a), (suffixes.NULL_ID, "x"), (suffixes.NULL_ID, "x"), (9, b)])).collect()
+    assert sorted(repr((r.doc_id, bytes(r.data) == a.encode())) for r in got) == sorted(map(repr, [(None, True), (suffixes.NULL_ID, False), (suffixes.NULL_ID, False), (9, False)]))
