@@ -143,8 +143,11 @@ def blocks(mask: int, number: int) -> list[int]:
 def _dealt(spark: SparkSession, nodes: DataFrame, masks: list[int], radius: int) -> tuple[DataFrame, list[int]]:
     """One row (mask, bits, value) for each shard of a node: of (mask, value), ``mask`` being one of ``masks``."""
     finer = [(_signed(m), _signed(f)) for m in masks for f in blocks(m, radius + 1)]
-    of = F.broadcast(spark.createDataFrame(finer, "mask long, finer long"))
-    rows = nodes.join(of, "mask").select(F.col("finer").alias("mask"), F.col("value").bitwiseAND(F.col("finer")).alias("bits"), "value")
+    if len(masks) == 1:
+        rows = nodes.select(F.explode(F.array(*[F.lit(f).cast("long") for _, f in finer])).alias("finer"), "value")
+    else:
+        rows = nodes.join(F.broadcast(spark.createDataFrame(finer, "mask long, finer long")), "mask")
+    rows = rows.select(F.col("finer").alias("mask"), F.col("value").bitwiseAND(F.col("finer")).alias("bits"), "value")
     return rows, sorted({f % (1 << 64) for _, f in finer})
 
 
