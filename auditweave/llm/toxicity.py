@@ -1,13 +1,20 @@
-"""Toxicity: a linear classifier whose scores are held steady when group names are swapped.
+"""Toxicity: a linear classifier whose scores are held steady when identity terms are swapped.
 
 Features of a text are the words it has and their first three, four and five letters (so inflected and compounded forms
 count), each present or not, hashed to WIDTH places. From labelled rows the features that tell the classes apart are
 kept (by the chi-squared statistic; neutral words then add nothing, however long a text is), and a logistic regression
-is fitted to them. For every labelled sentence that names a group, a second version names another group; the squared
-difference of the two scores is added to the loss, so the fit cannot lean on the names themselves.
+is fitted to them. For every labelled sentence that holds an identity term, a second version holds another one; the
+squared difference of the two scores is added to the loss, so the fit cannot lean on the terms themselves.
 
-Bounds: the fit sees at most SAMPLE labelled rows, chosen by a hash of doc_id, and of these at most PAIRS sentences with
-a group name, chosen alike; only hashed feature numbers reach the driver. Scoring is a map over all whole texts.
+Identity terms are the names of GROUPS, and words of the labelled rows that are common and neutral: in at least COMMON
+of the rows of each class, and with a share of toxic rows at most NEUTRAL times that of all rows. In order of their number of
+rows each two that follow each other stand for each other. So a corpus that names no known group is still fitted with
+pairs; ``steadiness`` tells how many, and the score gap with and without the penalty.
+
+Bounds: the fit sees at most SAMPLE labelled rows, chosen by a hash of doc_id, one text for each doc_id; of these at most
+TERMS neutral words, the most frequent, and at most PAIRS sentences with a term, chosen by a hash of the sentence. All are
+cut in Spark before they are gathered; only hashed feature numbers and these words reach the driver. Scoring is a map over
+all whole texts.
 
 Defined results: null and empty texts have no features and get the score of the intercept; labelled rows without a text,
 a label or a doc_id are not learned from; without labelled rows of both classes every score is the share of the one
@@ -24,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.base import map_batches, query, table, text_or_empty
+from auditweave.llm.base import cut, map_batches, query, table, text_or_empty
 
 WIDTH = 1 << 18
 SAMPLE = 6000
 PAIRS = 4000
+#: Most neutral words taken as identity terms; least rows of each class that hold one; greatest ratio of toxic shares.
+TERMS, COMMON, NEUTRAL = 200, 5, 3.0
 THRESHOLD = 0.3
 #: Weight of the squared score difference of swapped sentences, ridge weight, steps, least chi-squared value.
 STEADY, RIDGE, STEPS, TELLING = 2.0, 1e-4, 150, 12.0
@@ -52,7 +61,7 @@ GROUPS = [
     "cristianos musulmanes judíos ateos".split(),
     "inmigrantes refugiados extranjeros".split(),
 ]
-_SWAP = {w: g[(i + 1) % len(g)] for g in GROUPS for i, w in enumerate(g)}
+GROUP_SWAPS = {w: g[(i + 1) % len(g)] for g in GROUPS for i, w in enumerate(g)}
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -68,13 +77,13 @@ def features(text: str) -> set[int]:
     return set().union(*map(features_of, set(_WORD.findall(text.lower()))))
 
 
-def swapped(text: str) -> list[tuple[str, str]]:
-    """Sentences that name a group, each with the sentence that names the next group of its set."""
+def swapped(text: str, swaps: dict[str, str]) -> list[tuple[str, str]]:
+    """Sentences that hold an identity term, each with the sentence that holds the term's counterpart."""
     out = []
     for sentence in _SENTENCE.split(text.lower()):
         words = _WORD.findall(sentence)
-        if any(w in _SWAP for w in words):
-            out.append((" ".join(words), " ".join(_SWAP.get(w, w) for w in words)))
+        if any(w in swaps for w in words):
+            out.append((" ".join(words), " ".join(swaps.get(w, w) for w in words)))
     return out
 
 
@@ -83,20 +92,54 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Bounded sample of learnable rows: toxic, places (of the text), pairs (places of swapped sentences)."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Bounded sample of learnable rows: toxic and text, one row for each doc_id."""
     learnable = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     # The order by a hash of doc_id is a fair choice, the same on every run. Only ids are ordered, and at most ``sample``
     # of them are broadcast; texts stay where they lie.
     chosen = learnable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    return cut(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "labelled")
+
+
+def neutral_swaps(rows: DataFrame, terms: int = TERMS) -> dict[str, str]:
+    """Common words that tell little about the label, each with its counterpart."""
+    def words(batch: pa.RecordBatch) -> dict:
+        return {"toxic": batch["toxic"], "words": [sorted(set(_WORD.findall(t.lower()))) for t in batch["text"].to_pylist()]}
+
+    per_row = map_batches(rows, words, "toxic int, words array<string>")
+    share = per_row.agg(F.avg("toxic")).first()[0] or 0.0
+    counted = per_row.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
+    common = counted.where(f"bad >= {COMMON} AND n - bad >= {COMMON}").where(F.col("bad") / F.col("n") <= NEUTRAL * share)
+    found = [r["word"] for r in common.orderBy(F.col("n").desc(), "word").limit(terms).collect()]
+    return {w: v for pair in zip(found[::2], found[1::2]) for w, v in (pair, pair[::-1])}
+
+
+def labelled_features(rows: DataFrame) -> tuple[np.ndarray, list]:
+    """Labels and places of the sampled rows."""
+    def places(batch: pa.RecordBatch) -> dict:
+        return {"toxic": batch["toxic"], "places": [sorted(features(t)) for t in batch["text"].to_pylist()]}
+
+    toxic, found = [], []
+    # Ordered, so that sums of the fit do not depend on how the rows lie.
+    for batch in map_batches(rows, places, "toxic int, places array<int>").orderBy("places", "toxic").toArrow().to_batches():
+        toxic += batch["toxic"].to_pylist()
+        found += [np.asarray(p.values, dtype=np.int32) for p in batch["places"]]
+    return np.array(toxic, dtype=np.int64), found
+
 
+def counterfactuals(rows: DataFrame, swaps: dict[str, str], pairs: int = PAIRS) -> list:
+    """Places of sentences and of their swapped versions, at most ``pairs``, the same on every run."""
     def places(batch: pa.RecordBatch) -> dict:
-        texts = batch["text"].to_pylist()
-        pairs = [[[sorted(features(a)), sorted(features(b))] for a, b in swapped(t)] for t in texts]
-        return {"toxic": batch["toxic"], "places": [sorted(features(t)) for t in texts], "pairs": pairs}
+        return {"pairs": [[{"a": a, "b": b} for a, b in swapped(t, swaps)] for t in batch["text"].to_pylist()]}
 
-    return map_batches(rows, places, "toxic int, places array<int>, pairs array<array<array<int>>>")
+    each = map_batches(rows.select("text"), places, "pairs array<struct<a: string, b: string>>").select(F.inline("pairs")).distinct()
+    kept = each.orderBy(F.xxhash64("a", "b"), "a", "b").limit(pairs)
+
+    def numbered(batch: pa.RecordBatch) -> dict:
+        return {c: [sorted(features(t)) for t in batch[c].to_pylist()] for c in ("a", "b")}
+
+    return [(r["a"], r["b"]) for r in map_batches(kept, numbered, "a array<int>, b array<int>").collect()]
 
 
 def _sums(places: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -150,14 +193,29 @@ def fit(toxic: np.ndarray, places: list, pairs: list, steady: float = STEADY) ->
     return {"weights": dict(zip(kept.tolist(), w.tolist())), "intercept": bias, "constant": None}
 
 
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swaps: dict[str, str] | None = None) -> tuple[np.ndarray, list, list]:
+    """What the fit sees: labels, places and pairs. ``swaps`` are the identity terms, by default the known and neutral ones."""
+    rows = labelled_rows(docs, labels, sample)
+    toxic, places = labelled_features(rows)
+    if swaps is None:
+        swaps = neutral_swaps(rows) | GROUP_SWAPS
+    return toxic, places, counterfactuals(rows, swaps)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steady: float = STEADY) -> dict:
-    toxic, places, pairs = [], [], []
-    for batch in labelled_features(docs, labels, sample).toArrow().to_batches():
-        toxic += batch["toxic"].to_pylist()
-        places += [np.asarray(p.values if hasattr(p, "values") else p, dtype=np.int32) for p in batch["places"]]
-        for found in batch["pairs"].to_pylist():
-            pairs += found[: max(0, PAIRS - len(pairs))]
-    return fit(np.array(toxic, dtype=np.int64), places, pairs, steady)
+    return fit(*learned(docs, labels, sample), steady)
+
+
+def gap_of(model: dict, pairs: list) -> float:
+    """Mean difference of the scores, before the logistic function, of sentences and their swapped versions."""
+    total = lambda places: sum(model["weights"].get(p, 0.0) for p in places)
+    return sum(abs(total(a) - total(b)) for a, b in pairs) / max(1, len(pairs))
+
+
+def steadiness(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    """Number of pairs, and their gap with and without the penalty."""
+    toxic, places, pairs = learned(docs, labels, sample)
+    return {"pairs": len(pairs), "gap": gap_of(fit(toxic, places, pairs), pairs), "gap_without": gap_of(fit(toxic, places, pairs, 0.0), pairs)}
 
 
 class Scorer:
@@ -182,18 +240,18 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with a column score, under the columns' own names (a column score of the input is replaced)."""
+def scored(docs: DataFrame, model: dict) -> DataFrame:
+    """``row``, all columns of ``docs`` in one, whatever their names, and ``score``."""
     # At most WIDTH weights, and in practice a few thousand.
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(text_or_empty().alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "score"]).alias("row"))
+    rows = docs.select(text_or_empty().alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batch: pa.RecordBatch) -> dict:
         scorer = _scorer(shared)
         return {"row": batch["row"], "score": [scorer.score(t) for t in batch["text"].to_pylist()]}
 
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema["row"].dataType)
-    return map_batches(rows, run, f"row struct<{kinds}>, score double").select("row.*", "score")
+    return map_batches(rows, run, f"row struct<{kinds}>, score double")
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -216,5 +274,5 @@ def forget() -> None:
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
-    scored = score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    found = scored(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -8,7 +8,8 @@ become template; slots whose text varies become content.
 
 Elements that never hold an article (menus, footers, forms, scripts, ...), by tag, or by class, id or role, are left out
 while parsing, and if a page marks its article or main part, only that counts; else blocks that are mostly links are left
-out as well. Slots of a group count as template from LEAST different pages on, and only if some other slot differs between
+out as well. Inside a marked part only names that say nothing else count (``ad-slot``, ``comments``, but not
+``related-work`` or ``notice-of-law``); an article so named is a comment or advert, not the article. Slots of a group count as template from LEAST different pages on, and only if some other slot differs between
 pages: copies of one page (equal html) count once, and the text of a slot on a page is that of all its blocks there.
 
 Of copies the first by a hash of the html counts, in partial aggregates; then counts are made by partial aggregation over
@@ -16,7 +17,7 @@ Of copies the first by a hash of the html counts, in partial aggregates; then co
 
 Defined results: a null or empty page has an empty text; a null or unparsable url is the host ""; null page_ids are
 extracted like others and lead no group; repeated rows are extracted each; markup that does not end or nest is read as
-far as it goes. Other columns are not read.
+far as it goes; elements more than DEEPEST deep are read as children of the one at that depth, as browsers do. Other columns are not read.
 """
 
 import html as entities
@@ -33,6 +34,8 @@ from auditweave.llm.base import cut, map_batches, query, table, text_or_empty
 
 #: Pages of a group from which a constant slot is template.
 LEAST = 8
+#: Most elements on the way from the root to a block.
+DEEPEST = 512
 
 #: HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +54,9 @@ BESIDE = frozenset(
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social "
     "related recommended recommendations comment comments disqus respond replies reply pagination pager copyright skip toolbar".split())
 
+#: Parts of names that say nothing of their own.
+FILLERS = frozenset("box slot block unit section list thread wrap wrapper container area item items bar top bottom left right inner outer button buttons link links form".split())
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -65,15 +71,16 @@ class Node:
 
 
 @lru_cache(maxsize=100_000)
-def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Label of an element, whether it lies beside the article, and whether it marks it."""
+def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Label of an element; whether it lies beside an article, if it stands outside one and if inside; whether it marks one."""
     names = {k.lower(): v.strip("\"' ").lower() for k, v in _NAMES.findall(attributes)} if attributes else {}
-    main = tag in ("article", "main") or names.get("role") in ("main", "article")
-    parts = {p for v in names.values() for p in _PART.split(v)}
-    beside = tag in DROPPED or (tag not in ("html", "body") and not main and not BESIDE.isdisjoint(parts))
-    beside = beside or bool(attributes and _HIDDEN.search(attributes))
+    gone = tag in DROPPED or bool(attributes and _HIDDEN.search(attributes))
+    words = [{p for p in _PART.split(w) if p} for v in names.values() for w in v.split()]
+    named = tag not in ("html", "body") and any(not BESIDE.isdisjoint(w) for w in words)
+    only = named and any(not BESIDE.isdisjoint(w) and w <= BESIDE | FILLERS for w in words)
+    main = (tag in ("article", "main") or names.get("role") in ("main", "article")) and not only
     shape = re.sub(r"\d+", "", names.get("class", ""))
-    return f"{tag}.{shape}" if shape else tag, beside, main
+    return f"{tag}.{shape}" if shape else tag, gone or named and not main, gone or only, main
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
@@ -104,8 +111,9 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
                 links += len(text.strip())
 
     at, n = 0, len(page)
+    last = page.rfind(">")  # no tag ends behind it
     while at < n:
-        found = _TOKEN.search(page, at)
+        found = _TOKEN.search(page, at) if at <= last or "<!" in page[at:] or "<?" in page[at:] else None
         if found is None:
             say(page[at:])
             break
@@ -123,7 +131,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
                 buffer.append(" ")
             elif tag == "a":
                 in_link = 0 if ends else 1
-            elif not ends and attributes and _element(tag, attributes)[1] and tag not in VOID:
+            elif not ends and attributes and tag not in VOID and _element(tag, attributes)[2 if stack[-1].main else 1] and len(stack) < DEEPEST:
                 # An inline element beside the article is kept apart like a block.
                 close_to(len(stack))
                 child = Node(tag, tag, True, False)
@@ -160,14 +168,16 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         if tag == "body" and stack[-1].tag == "head":
             close_to(len(stack) - 1)
         parent = stack[-1]
-        label, beside, main = _element(tag, attributes)
+        label, outside, inside, main = _element(tag, attributes)
+        beside = inside if parent.main else outside
         if tag == "header":
             beside = beside or not parent.main
         node = Node(tag, label, parent.beside or beside, parent.main or main)
         parent.children.append(node)
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "path"):
             continue
-        stack.append(node)
+        if len(stack) < DEEPEST:
+            stack.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>?", re.I).search(page, at)
             if tag not in DROPPED:
@@ -189,25 +199,48 @@ def repeated(children: list) -> list[list]:
     return out
 
 
-def skeleton(node: Node) -> list:
-    """[label, slot, children] with repeated neighbours joined; slots are numbered in page order."""
-    number = 0
+def _run(task):
+    """Result of a recursive generator that yields the calls it needs, without deep recursion."""
+    stack, value = [task], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
 
-    def of(group: list[Node]) -> list:
-        nonlocal number
-        own = [group[0].label, number, []]
-        number += 1
-        own[2] = [of(g) for g in repeated([c for n in group[:1] for c in n.children])]
-        return own
+def skeleton(node: Node) -> list[list]:
+    """[label, place of the parent] of all elements in page order, repeated neighbours joined; an element's place is its slot."""
+    out, work = [], [(node, -1)]
+    while work:
+        own, parent = work.pop()
+        out.append([own.label, parent])
+        work += [(g[0], len(out) - 1) for g in reversed(repeated(own.children))]
+    return out
 
-    return of([node])
+
+def tree_of(flat: list[list]) -> list:
+    """[label, slot, children] of a skeleton."""
+    nodes = [[label, slot, []] for slot, (label, _) in enumerate(flat)]
+    for node, (_, parent) in zip(nodes, flat):
+        if parent >= 0:
+            nodes[parent][2].append(node)
+    return nodes[0]
 
 
 def match(a, b, kin) -> tuple[int, list]:
     """Simple tree matching of two trees: size of the best matching, and its pairs. ``kin``: label and child groups."""
-    if kin(a)[0] != b[0]:
+    return _run(_match(a, b, kin))
+
+
+def _match(a, b, kin):
+    label, left = kin(a)
+    if label != b[0]:
         return 0, []
-    left, right = kin(a)[1], b[2]
+    right = b[2]
     if not left or not right:
         return 1, [(a, b)]
     table_ = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
@@ -215,7 +248,7 @@ def match(a, b, kin) -> tuple[int, list]:
     for i, x in enumerate(left):
         for j, y in enumerate(right):
             if kin(x)[0] == y[0]:
-                below[i, j] = match(x, y, kin)
+                below[i, j] = yield _match(x, y, kin)
             gain = table_[i][j] + (below[i, j][0] if (i, j) in below else 0)
             table_[i + 1][j + 1] = max(table_[i][j + 1], table_[i + 1][j], gain)
     pairs, i, j = [(a, b)], len(left), len(right)
@@ -272,7 +305,7 @@ def _host(url: Column) -> Column:
 
 def _layout(page: Column) -> Column:
     """The structural tags of a page, without numbers."""
-    tags = F.regexp_extract_all(page, F.lit(r"<(?:nav|header|main|article|aside|footer|section|form|table|div)\b[^>]{0,200}>"), F.lit(0))
+    tags = F.regexp_extract_all(page, F.lit(r"<(?:nav|header|main|article|aside|footer|section|form|table|div)\b[^<>]*+>"), F.lit(0))
     return F.xxhash64(F.regexp_replace(F.array_join(F.array_sort(F.array_distinct(tags)), ""), r"[0-9]+", ""))
 
 
@@ -290,7 +323,7 @@ def candidate_blocks(pages: DataFrame) -> DataFrame:
     references = cut(found.groupBy("host", "layout").agg(F.min("tree").alias("tree")), "references")
 
     def align(batch: pa.RecordBatch) -> dict:
-        reference = lru_cache(maxsize=64)(json.loads)
+        reference = lru_cache(maxsize=64)(lambda t: tree_of(json.loads(t)))
         trees_ = batch["tree"].to_pylist()
         found = [blocks_of(p, reference(t) if t else None) for p, t in zip(batch["html"].to_pylist(), trees_)]
         return {c: batch[c] for c in ("page_id", "url", "host", "layout", "page")} | {

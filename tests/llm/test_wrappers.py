@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 
@@ -21,6 +22,8 @@ def said(page):
     ("<article><p hidden>no</p><p style='display:none'>no</p><p aria-hidden='true'>no</p><p>a</p> tail<span class=\"ad\">buy</span>rest</article>", "a tail rest"),
     ("<table><tr><td>1<td>2<tr><td>3</table>x < y and a<3 <1", "1 2 3 x < y and a<3 <1"),
     ("<article><p>unclosed <b>bold <p>next</article><footer>f</footer></div></b>", "unclosed bold next"),
+    ("<main><article><p>text</p></article><article class='comment'><p>rude</p></article><article class='ad-slot'><p>buy</p></article></main>", "text"),
+    ("<article><p>a</p><section class='related-work'><p>b</p></section><p class='notice-of-law'>c</p><p class='comments'>d</p></article>", "a b c"),
     ("<p title=\"a > b\">in</p><p title=\"open>odd</p><![CDATA[raw]]>", "in odd raw"),
 ])
 def test_pages(page, want):
@@ -80,7 +83,7 @@ def test_blocks_of_one_page_teach_nothing(session):
 
 
 def test_members_of_a_repeated_node_share_a_slot():
-    reference = wrappers.skeleton(wrappers.parse("<ul><li><p>a</p></li><li><p>b</p></li></ul><p>c</p>")[0])
+    reference = wrappers.tree_of(wrappers.skeleton(wrappers.parse("<ul><li><p>a</p></li><li><p>b</p></li></ul><p>c</p>")[0]))
     assert json.loads(json.dumps(reference)) == reference
     slots = [s for s, _ in wrappers.blocks_of("<ul><li><p>1</p></li><li><p>2</p></li><li><p>3</p></li></ul><p>4</p><section>5</section>", reference)]
     assert slots[0] == slots[1] == slots[2] and slots[3] not in (slots[0], -1) and slots[4] == -1
@@ -93,3 +96,13 @@ def test_edges(session):
     assert len(got) == 6 and {x.text for x in got if x.page_id == 2} == {""} and all(x.text is not None for x in got)
     assert next(x.text for x in got if x.page_id == 4) == text(1, 30000) and next(x.text for x in got if x.page_id == 3) == "x deep"
     assert wrappers.main_text(frame(session, [])).count() == 0
+
+
+def test_deep_and_unclosed_markup(session):
+    """In time that grows with the page only, and without deep recursion."""
+    deep = "<div>" * 50_000 + "<p>core" + "</p><p>more" + "</div>" * 20
+    pages = [(i, "http://x/", h) for i, h in enumerate([deep, deep + "<p>x", "<a " * 300_000 + "end", "<p>x" + "<div " * 200_000, "<" * 300_000, "<p 'a" * 100_000, "<!-- <p>" * 50_000])]
+    started = time.time()
+    got = {r.page_id: r.text for r in wrappers.main_text(frame(session, pages)).collect()}
+    assert time.time() - started < 120
+    assert (got[0], got[1]) == ("core more", "core more x") and got[2].endswith("<a end") and got[3].startswith("x<div") and got[4] == "<" * 300_000
