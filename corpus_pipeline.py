@@ -22,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold, by a model of the labelled rows in ``docs``."""
     configure(spark)
     model = toxic.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxic.score(docs.select(*docs.columns), model)
-    return scored.where(F.col("score") < toxic.THRESHOLD).select(*docs.columns)
+    kept = toxic.scored(docs, model).where(F.col("score") < toxic.THRESHOLD)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
