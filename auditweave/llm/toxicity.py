@@ -121,11 +121,12 @@ def labelled_features(rows: DataFrame) -> tuple[np.ndarray, list]:
         return {"toxic": batch["toxic"], "places": [sorted(features(t)) for t in batch["text"].to_pylist()]}
 
     toxic, found = [], []
-    # Ordered, so that sums of the fit do not depend on how the rows lie.
-    for batch in map_batches(rows, places, "toxic int, places array<int>").orderBy("places", "toxic").toArrow().to_batches():
+    for batch in map_batches(rows, places, "toxic int, places array<int>").toArrow().to_batches():
         toxic += batch["toxic"].to_pylist()
         found += [np.asarray(p.values, dtype=np.int32) for p in batch["places"]]
-    return np.array(toxic, dtype=np.int64), found
+    # At most ``sample`` rows; ordered, so that sums of the fit do not depend on how they lay.
+    order = sorted(range(len(toxic)), key=lambda i: (found[i].tobytes(), toxic[i]))
+    return np.array([toxic[i] for i in order], dtype=np.int64), [found[i] for i in order]
 
 
 def counterfactuals(rows: DataFrame, swaps: dict[str, str], pairs: int = PAIRS) -> list:
