@@ -93,35 +93,65 @@ def _match_keys(df: DataFrame, tenant: str) -> DataFrame:
 _KEYS = ["_type", "source_id", "_sev", "_tenant"]
 
 
-def newest_precedents(audit: DataFrame, max_n: int = S.DEFAULT_MAX_PRECEDENTS) -> DataFrame:
-    """At most ``max_n`` precedents per match key, as one array per key, newest first.
+#: A decoded decision with one of its actions, as jobs store it.
+STORED = (
+    "chain string, decision_hash string, decision_seq long, event_id string, event_type string, source_id string, severity string, "
+    "tenant string, classification string, suggestion string, operator_action string, annotation string, "
+    "operator_audit_hash string, action_seq long"
+)
 
-    The ranking does not depend on the event asking, so the list is cut before any event is joined.
-    """
+
+def _ranked(pairs: DataFrame, max_n: int) -> DataFrame:
     max_n = max_n if max_n > 0 else S.DEFAULT_MAX_PRECEDENTS
-    keyed = _match_keys(resolved_precedents(audit), "tenant").where(
+    keyed = _match_keys(pairs, "tenant").where(
         present(F.col("event_type")) & present(F.col("source_id")) & present(F.col("severity"))
     )
-    top = top_n(keyed, _KEYS, _newest(), max_n, rank="precedent_rank", salt_by="operator_audit_hash")
+    return top_n(keyed, _KEYS, _newest(), max_n, rank="precedent_rank", salt_by="operator_audit_hash")
+
+
+def newest_rows(pairs: DataFrame, max_n: int = S.DEFAULT_MAX_PRECEDENTS) -> DataFrame:
+    """The ``max_n`` newest of resolved precedents per match key, with their columns as in ``STORED``."""
+    return _ranked(pairs, max_n).select(*[c.split()[0] for c in STORED.split(", ")])
+
+
+def as_lists(pairs: DataFrame, max_n: int = S.DEFAULT_MAX_PRECEDENTS) -> DataFrame:
+    """At most ``max_n`` precedents per match key, as one array per key, newest first."""
     entry = F.struct("precedent_rank", F.struct(*PRECEDENT_FIELDS).alias("p"))
-    arrays = top.groupBy(*_KEYS).agg(F.sort_array(F.collect_list(entry)).alias("_sorted"))
+    arrays = _ranked(pairs, max_n).groupBy(*_KEYS).agg(F.sort_array(F.collect_list(entry)).alias("_sorted"))
     return arrays.select(*_KEYS, F.transform("_sorted", lambda x: x["p"]).alias("precedents"))
 
 
-def with_precedents(events: DataFrame, audit: DataFrame, max_n: int = S.DEFAULT_MAX_PRECEDENTS) -> DataFrame:
+def newest_precedents(audit: DataFrame, max_n: int = S.DEFAULT_MAX_PRECEDENTS) -> DataFrame:
+    """At most ``max_n`` precedents per match key, as one array per key, newest first.
+
+    The ranking does not depend on the event asking, so the list is cut before any event is joined.
+    """
+    return as_lists(resolved_precedents(audit), max_n)
+
+
+def with_lists(events: DataFrame, lists: DataFrame) -> DataFrame:
     """Events (with a ``tenant`` column) plus their precedents array, empty when there is none.
 
     One row per event goes in and out: the join is many-to-one, so a key shared by very many events
     is left to AQE's skew split and never multiplies rows.
     """
-    lists = newest_precedents(audit, max_n)
     joined = _match_keys(events, "tenant").join(lists, _KEYS, "left").drop("_type", "_sev", "_tenant")
     empty = F.array().cast(lists.schema["precedents"].dataType)
     return joined.withColumn("precedents", F.coalesce("precedents", empty))
 
 
+def with_precedents(events: DataFrame, audit: DataFrame, max_n: int = S.DEFAULT_MAX_PRECEDENTS) -> DataFrame:
+    """``with_lists`` over the precedents of an audit log."""
+    return with_lists(events, newest_precedents(audit, max_n))
+
+
 def precedents_for_events(events: DataFrame, audit: DataFrame, max_n: int = S.DEFAULT_MAX_PRECEDENTS) -> DataFrame:
     """One row per (event, precedent): event_id, precedent_rank and the precedent's fields."""
-    listed = with_precedents(events.select("event_id", "event_type", "source_id", "severity", "tenant"), audit, max_n)
+    return listed_rows(events, newest_precedents(audit, max_n))
+
+
+def listed_rows(events: DataFrame, lists: DataFrame) -> DataFrame:
+    """``precedents_for_events`` with the lists given."""
+    listed = with_lists(events.select("event_id", "event_type", "source_id", "severity", "tenant"), lists)
     rows = listed.select("event_id", F.posexplode("precedents").alias("_i", "precedent"))
     return rows.select("event_id", (F.col("_i") + 1).alias("precedent_rank"), "precedent")

@@ -8,11 +8,12 @@ from auditweave.operators import alerts as A
 from auditweave.operators import chain as H
 from auditweave.operators import curate as C
 from auditweave.operators import decide as D
+from auditweave.operators import precedents
 from auditweave.operators import validate as V
 from auditweave.plans.auditing import CHAIN, NUMBERED, SEGMENT, SEGMENTS, greedy_sql, level
 from auditweave.plans.base import EVENT_COLUMNS, map_events, query, rfc_sql, table, us, with_ev
 from auditweave.plans.curation import fill_sql, latest_sql, seeds_sql, top_sql
-from auditweave.plans.decisions import CTX
+from auditweave.plans.decisions import ACTS, CTX, DEC, RESOLVED, TOP5, stored_log
 from auditweave.plans.ingest import BAD_EV, REASON, daily_digests, faulty_events, raw_messages
 from auditweave.session import shared_folder
 from auditweave.sources import sinks
@@ -28,14 +29,23 @@ def event_stream(spark, sf):
     return map_events(raw)
 
 
+def landed(spark, rows, out, n, kind="parquet"):
+    """``rows`` as a stream of ``n`` batches: for each the files of its rows (``_batch``) land, then the stream is given.
+
+    Every run of the same query over it (until the input is drained) takes the files that are new as one batch.
+    """
+    given = rows.drop("_batch")
+    for i in range(n):
+        rows.where(F.col("_batch") == i).drop("_batch").write.mode("append").format(kind).save(out)
+        yield spark.readStream.format(kind).schema(given.schema).load(out)
+
+
 def batched_stream(spark, sf, out, batch, n):
-    """The event table as a stream of ``n`` batches; ``batch`` is the number of each row's batch."""
+    """The event table as a stream of ``n`` batches (``landed``); ``batch`` is the number of each row's batch."""
     raw = table(spark, sf, "events")
     numbered = map_events(raw).select(F.col("n").alias("event_id"), batch.alias("_batch"))
     rows = raw.join(numbered, "event_id").select(*raw.columns, "_batch")
-    for i in range(n):  # one write each: files are taken in the order of their times
-        rows.where(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(out)
-    return map_events(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(out))
+    return map(map_events, landed(spark, rows, out, n))
 
 
 def slices(column, n):
@@ -52,9 +62,9 @@ def finish(q):
 def _(spark, sf):
     """Batches that end within days: every day still gets one digest over all its events."""
     out = shared_folder(spark, "curate")
-    options = dict(strategy=C.MIN_DIVERSITY, k=20, diversity=80, window="1 day")
-    ev = batched_stream(spark, sf, f"{out}/in", slices("timestamp", 4), 4).select(*EVENT_COLUMNS)
-    finish(jobs.stream_curate(ev, f"{out}/data", f"{out}/checkpoint", **options))
+    options = dict(strategy=C.MIN_DIVERSITY, k=20, diversity=80, window="1 day", compact_every=3)
+    for ev in batched_stream(spark, sf, f"{out}/in", slices("timestamp", 4), 4):
+        finish(jobs.stream_curate(ev.select(*EVENT_COLUMNS), f"{out}/data", f"{out}/checkpoint", **options))
     jobs.flush_windows(spark, map_events(table(spark, sf, "events")).select(*EVENT_COLUMNS), f"{out}/data", **options)
     digests = spark.read.parquet(f"{out}/data/digests")
     once = digests.groupBy("window_end").agg(F.count(F.lit(1)).alias("digests"))
@@ -92,12 +102,58 @@ def _(spark, sf):
     return spark.read.parquet(f"{out}/data").select("key", "us")
 
 
+@query("stream_alerts_busy_rule", with_ev(
+    "a AS MATERIALIZED (SELECT 'ingest.severity_warn_or_above' AS key, ingested_us AS us FROM ev WHERE severity <> 'info')",
+    greedy_sql(3_600_000_000), "SELECT key AS rule_id, us FROM kept", recursive=True))
+def _(spark, sf):
+    """One rule holds every alert of four batches: blocks within a batch, its last kept time between batches."""
+    out = shared_folder(spark, "busy")
+    for ev in batched_stream(spark, sf, f"{out}/in", slices("ingested_at", 4), 4):
+        finish(jobs.stream_throttled(A.alerts_from_events(ev), f"{out}/data", f"{out}/checkpoint", seconds=3600, key=F.col("rule_id"),
+                                     few=100, block_rows=64))
+    return spark.read.schema(S.ALERT).parquet(f"{out}/data/alerts").select("rule_id", us("created_at"))
+
+
+TRIES = """tried AS (SELECT event_id, greatest(0, least(3, CAST(floor((us - 1704067200000000) * 4 / (31 * 86400000000.0)) AS INTEGER))) AS b,
+    CAST(substr(source_id, 6) AS BIGINT) % 6 AS known FROM ev)"""
+
+
+@query("stream_retry", with_ev(TRIES, """SELECT event_id, CASE WHEN known <= least(b + 1, 3) THEN 'accepted' WHEN b < 3 THEN 'dead' ELSE 'retry' END AS outcome,
+    CASE WHEN known <= b OR b = 3 THEN 1 ELSE 2 END AS attempts FROM tried"""))
+def _(spark, sf):
+    """Events of sources that get known batch by batch, each event tried with at most two batches."""
+    out = shared_folder(spark, "retry")
+    sources = map_events(table(spark, sf, "events")).select("source_id").distinct()
+    sources.withColumn("known", F.substring("source_id", 6, 20).cast("long") % 6).write.parquet(f"{out}/sources")
+
+    def check(rows, batch_id):
+        known = spark.read.parquet(f"{out}/sources").where(F.col("known") <= batch_id)
+        return rows.join(known, "source_id", "left").withColumn("reason", F.when(F.col("known").isNull(), "unknown source")).drop("known")
+
+    for ev in batched_stream(spark, sf, f"{out}/in", slices("timestamp", 4), 4):
+        finish(jobs.stream_retry(ev.select(*EVENT_COLUMNS), f"{out}/data", f"{out}/checkpoint", check=check, attempts=2))
+    return jobs.read_tried(spark, f"{out}/data").select("row.event_id", "outcome", "attempts")
+
+
+@query("stream_precedents", with_ev(DEC, ACTS, RESOLVED, TOP5, """SELECT e.event_id, t.precedent_rank, t.decision_hash, t.operator_action
+    FROM ev e JOIN top5 t ON e.event_type = t.event_type AND e.source_id = t.source_id AND e.severity = t.severity AND e.tenant = t.tenant"""))
+def _(spark, sf):
+    """Decisions and actions in four batches in no order: each finds its partner of an earlier batch; lists are kept up."""
+    out = shared_folder(spark, "precedents")
+    log = stored_log(spark, sf).withColumn("_batch", F.pmod(F.xxhash64("hash"), F.lit(4)))
+    for audit in landed(spark, log, f"{out}/in", 4):
+        finish(jobs.stream_precedents(audit, f"{out}/data", f"{out}/checkpoint", compact_every=3))
+    ev = map_events(table(spark, sf, "events"))
+    rows = precedents.listed_rows(ev, jobs.read_precedents(spark, f"{out}/data"))
+    return rows.select("event_id", "precedent_rank", "precedent.decision_hash", "precedent.operator_action")
+
+
 @query("stream_audit", with_ev(NUMBERED, CHAIN, "SELECT tenant, sequence, prev_hash, hash FROM chain", recursive=True))
 def _(spark, sf):
     """Four batches in the order of time make the same chains as one."""
     out = shared_folder(spark, "audit")
-    ev = batched_stream(spark, sf, f"{out}/in", slices("ingested_at", 4), 4)
-    finish(jobs.stream_audit(sinks.ingest_audit_rows(ev), f"{out}/data", f"{out}/checkpoint"))
+    for ev in batched_stream(spark, sf, f"{out}/in", slices("ingested_at", 4), 4):
+        finish(jobs.stream_audit(sinks.ingest_audit_rows(ev), f"{out}/data", f"{out}/checkpoint"))
     return jobs.read_chain(spark, f"{out}/data").select("tenant", "sequence", "prev_hash", "hash")
 
 
@@ -106,8 +162,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Segments that open in one batch and fill in a later one; what the two ways of verifying find broken would be added."""
     out = shared_folder(spark, "segments")
-    ev = batched_stream(spark, sf, f"{out}/in", slices("ingested_at", 4), 4)
-    finish(jobs.stream_audit_segmented(sinks.ingest_audit_rows(ev), f"{out}/data", f"{out}/checkpoint", segment_rows=SEGMENT))
+    for ev in batched_stream(spark, sf, f"{out}/in", slices("ingested_at", 4), 4):
+        finish(jobs.stream_audit_segmented(sinks.ingest_audit_rows(ev), f"{out}/data", f"{out}/checkpoint", segment_rows=SEGMENT))
     records, heads = jobs.read_segments(spark, f"{out}/data")
     broken = spark.read.parquet(f"{out}/data/broken").select("tenant", "sequence").unionByName(
         H.verify_segments(records, heads, SEGMENT).select("tenant", F.col("at").alias("sequence")))
@@ -173,11 +229,11 @@ PLATFORM = f"""sl AS (SELECT *, greatest(0, least(2, CAST(floor((us - 1704067200
 def platform(spark, sf, **options):
     """The whole stream over three batches of messages; returns its folder."""
     out = shared_folder(spark, "platform")
-    ev = map_events(table(spark, sf, "events")).withColumn("_batch", slices("timestamp", 3))
+    ev = map_events(table(spark, sf, "events"))
     for i in range(3):
-        sinks.event_messages(ev.where(F.col("_batch") == i)).select("value").coalesce(1).write.mode("append").text(f"{out}/in")
-    messages = read_messages(spark, "text", stream=True, path=f"{out}/in", maxFilesPerTrigger=1)
-    finish(jobs.run_platform(messages, f"{out}/data", f"{out}/checkpoint", strategy=C.LATEST, k=30, **options))
+        sinks.event_messages(ev.where(slices("timestamp", 3) == i)).select("value").write.mode("append").text(f"{out}/in")
+        messages = read_messages(spark, "text", stream=True, path=f"{out}/in")
+        finish(jobs.run_platform(messages, f"{out}/data", f"{out}/checkpoint", strategy=C.LATEST, k=30, **options))
     return f"{out}/data"
 
 
@@ -253,8 +309,8 @@ def _(spark, sf):
     """Two batches in the order of time, then one with every seventh event of the month."""
     out = shared_folder(spark, "late")
     batch = F.when(F.col("n") % 7 == 0, 2).otherwise(slices("timestamp", 2))
-    ev = batched_stream(spark, sf, f"{out}/in", batch, 3).select(*EVENT_COLUMNS)
-    finish(jobs.run(ev, jobs.late_split_batch(f"{out}/data"), f"{out}/checkpoint"))
+    for ev in batched_stream(spark, sf, f"{out}/in", batch, 3):
+        finish(jobs.run(ev.select(*EVENT_COLUMNS), jobs.late_split_batch(f"{out}/data"), f"{out}/checkpoint"))
     part = lambda name, folder: spark.read.parquet(f"{out}/data/{folder}").select("event_id", F.lit(name).alias("part"))
     return part("on time", "events").unionByName(part("late", "late"))
 

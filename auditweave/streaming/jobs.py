@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from auditweave import schema as S
 from auditweave.functions.columns import micros, normalize_tenant, resolve_tenant
 from auditweave.operators import alerts as A
-from auditweave.operators import chain, curate, decide
+from auditweave.operators import chain, curate, decide, precedents
 from auditweave.sources import sinks
 from auditweave.sources.events import decode_events
 
@@ -54,23 +55,55 @@ def written_batches(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName().removeprefix("batch_id=")) for p in done)
 
 
-def read_state(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+def read_state(spark: SparkSession, path: str, schema: str | StructType, batch_id: int) -> DataFrame:
     """State left by the newest batch before this one; empty for the first batch.
 
-    Every batch writes its whole (bounded) state, so one small directory is read whatever the age of the
-    stream, and a rerun starts from the same state. State that does not fit the batch is an error, never an empty
+    Every batch writes its whole (small) state, so one directory is read whatever the age of the stream, and a rerun starts from the same state. State that does not fit the batch is an error, never an empty
     start: later batches under ``path`` mean that a new or older checkpoint writes over an existing output, and none
     before a batch other than the first means that the state was lost.
     """
-    known = written_batches(spark, path)
+    before = _before(path, written_batches(spark, path), batch_id)
+    if not before:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(batch_dir(path, before[-1]))
+
+
+def _before(path: str, known: list[int], batch_id: int) -> list[int]:
+    """The batches before this one; an error where they do not fit it."""
     if known and known[-1] > batch_id:
         raise ValueError(f"{path} already holds batch {known[-1]}, yet batch {batch_id} is run: use the checkpoint that wrote it, or a new folder")
     before = [b for b in known if b < batch_id]
+    if batch_id and not before:
+        raise ValueError(f"no state under {path} before batch {batch_id}")
+    return before
+
+
+def read_changes(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """State kept by ``write_changes``: the newest whole state before this batch and what was added after it.
+
+    Rows are only ever added; the reader leaves out those that no longer count by a condition of its own (a time, a
+    rank). Errors as in ``read_state``.
+    """
+    whole, added = written_batches(spark, f"{path}/whole"), written_batches(spark, f"{path}/added")
+    before = _before(path, sorted({*whole, *added}), batch_id)
     if not before:
-        if batch_id:
-            raise ValueError(f"no state under {path} before batch {batch_id}")
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(batch_dir(path, before[-1]))
+    start = max((b for b in whole if b < batch_id), default=None)
+    parts = [] if start is None else [batch_dir(f"{path}/whole", start)]
+    parts += [batch_dir(f"{path}/added", b) for b in added if b < batch_id and (start is None or b > start)]
+    return spark.read.schema(schema).parquet(*parts)
+
+
+def write_changes(added: DataFrame, state: DataFrame, path: str, batch_id: int, every: int, whole: bool = False) -> None:
+    """Write what a batch adds to a state, or, every so many batches (and on demand), the ``state`` that still counts.
+
+    So a batch writes as much as it adds, and reads at most ``every`` small folders beside one whole state. Which of the
+    two is written depends on the batch id alone, so a rerun replaces what it wrote before.
+    """
+    if whole or batch_id % every == every - 1:
+        write_batch(state, f"{path}/whole", batch_id)
+    else:
+        write_batch(added, f"{path}/added", batch_id)
 
 
 def claim(spark: SparkSession, out: str, batch_id: int) -> None:
@@ -117,16 +150,19 @@ def still_shown(shown: DataFrame, from_us: Column) -> DataFrame:
 def curate_batch(
     out: str, strategy: int = S.DEFAULT_STRATEGY, k: int = S.BATCH_K, by: Sequence[str] = (),
     window: str | None = None, delay_seconds: float = 30.0, suppress_seconds: float = S.SUPPRESSION_SECONDS,
-    flush_at: int | None = None, **options,
+    flush_at: int | None = None, compact_every: int = 20, **options,
 ) -> Callable[[DataFrame, int], None]:
     """Batch function: digests under ``{out}/digests``, suppressed ids under ``{out}/shown``.
 
+    A batch writes the ids and waiting rows that it adds; every ``compact_every`` batches the state that still counts is
+    written anew (``write_changes``).
+
     Without ``window`` the micro-batch is the window: one digest per group of it, none for an empty batch, at the
     batch's stored time.
 
     With ``window`` (for example ``"5 seconds"``) a digest covers one event-time window, whole: rows wait under
     ``{out}/waiting`` until the watermark (newest time seen minus ``delay_seconds``) passes the window's end, and are
-    selected once. Rows that come after that go to ``{out}/late``. ``flush_windows`` closes what waits when a stream is
+    selected once. Rows that come after that, and rows without a time, go to ``{out}/late``. ``flush_windows`` closes what waits when a stream is
     over (it runs one more batch, ``flush_at``, that takes every window as closed). A selected event is suppressed while
     its window ended less than ``suppress_seconds`` ago.
     """
@@ -137,43 +173,57 @@ def curate_batch(
         picked = curate.select_events(rows, strategy, k, keys, shown, **options).persist()
         scores = curate.digest_scores(picked, rows, keys, shown)
         write_batch(curate.digest_records(picked, scores, strategy, keys, end), f"{out}/digests", batch_id)
-        both = shown.unionByName(picked.select("event_id", end.alias("shown_at")))
-        write_batch(still_shown(both, from_us), f"{out}/shown", batch_id)
+        add_shown(shown, picked.select("event_id", end.alias("shown_at")), batch_id, from_us)
         picked.unpersist()
 
+    def add_shown(shown: DataFrame, added: DataFrame, batch_id: int, from_us: Column) -> None:
+        write_changes(added, still_shown(shown.unionByName(added), from_us), f"{out}/shown", batch_id, compact_every)
+
     def span(seconds: float) -> Column:
         return F.lit(int(seconds * 1_000_000))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         claim(spark, out, batch_id)
-        shown = read_state(spark, f"{out}/shown", shown_schema, batch_id)
+        shown = read_changes(spark, f"{out}/shown", shown_schema, batch_id)
+        nothing = spark.createDataFrame([], shown_schema)
         batch = batch.persist()
         if window is None:
             now = batch_time(spark, out, batch_id)
+            from_us = now - span(suppress_seconds)
+            shown = still_shown(shown, from_us)
             if batch.isEmpty():
-                write_batch(shown, f"{out}/shown", batch_id)
+                add_shown(shown, nothing, batch_id, from_us)
             else:
-                write_digests(batch, list(by), shown, F.timestamp_micros(now), batch_id, now - span(suppress_seconds))
+                write_digests(batch, list(by), shown, F.timestamp_micros(now), batch_id, from_us)
             batch.unpersist()
             return
-        windowed = batch.withColumn("window_end", F.window("timestamp", window)["end"])
+        timed = batch.where(F.col("timestamp").isNotNull())
+        windowed = timed.withColumn("window_end", F.window("timestamp", window)["end"])
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windowed.schema)
-        waiting = read_state(spark, f"{out}/waiting", fields, batch_id)
         before, now = _advance(spark, out, batch, batch_id)
         end = micros(F.col("window_end"))
         # null before the first row: nothing is late or closed then
-        late = F.coalesce(end <= before - span(delay_seconds), F.lit(False))
-        write_batch(windowed.where(late).withColumn("reason", F.lit("late")), f"{out}/late", batch_id)
-        rows = waiting.unionByName(windowed.where(~late)).persist()
-        closed = F.lit(True) if flush_at == batch_id else F.coalesce(end <= now - span(delay_seconds), F.lit(False))
-        write_batch(rows.where(~closed), f"{out}/waiting", batch_id)
-        full = rows.where(closed)
+        past = F.coalesce(end <= before - span(delay_seconds), F.lit(False))
+        untimed = batch.where(F.col("timestamp").isNull()).withColumn("window_end", F.lit(None).cast("timestamp"))
+        late = windowed.where(past).withColumn("reason", F.lit("late"))
+        write_batch(late.unionByName(untimed.withColumn("reason", F.lit("no time"))), f"{out}/late", batch_id)
+        # windows that earlier batches closed are left out of the state by their end
+        waiting = read_changes(spark, f"{out}/waiting", fields, batch_id).where(~past)
+        fresh = windowed.where(~past)
+        flush = flush_at == batch_id
+        closed = F.lit(True) if flush else F.coalesce(end <= now - span(delay_seconds), F.lit(False))
+        open_ = waiting.where(~closed).unionByName(fresh.where(~closed))
+        write_changes(fresh.where(~closed), open_, f"{out}/waiting", batch_id, compact_every, whole=flush)
+        full = waiting.where(closed).unionByName(fresh.where(closed)).persist()
+        # what the batch before still suppressed: several windows may close at once
+        shown = still_shown(shown, F.coalesce(before - span(suppress_seconds + delay_seconds), F.lit(0)))
+        from_us = F.coalesce(now - span(suppress_seconds + delay_seconds), F.lit(0))
         if full.isEmpty():
-            write_batch(shown, f"{out}/shown", batch_id)
+            add_shown(shown, nothing, batch_id, from_us)
         else:
-            write_digests(full, [*by, "window_end"], shown, F.col("window_end"), batch_id, now - span(suppress_seconds + delay_seconds))
-        rows.unpersist()
+            write_digests(full, [*by, "window_end"], shown, F.col("window_end"), batch_id, from_us)
+        full.unpersist()
         batch.unpersist()
 
     return apply
@@ -190,9 +240,9 @@ def _advance(spark: SparkSession, out: str, batch: DataFrame, batch_id: int) ->
 
 def flush_windows(spark: SparkSession, events: DataFrame, out: str, **options) -> None:
     """Select the windows that still wait after a stream's last batch (``events`` gives the columns only)."""
-    last = written_batches(spark, f"{out}/waiting")
-    if last:
-        curate_batch(out, flush_at=last[-1] + 1, **options)(events.limit(0), last[-1] + 1)
+    last = max(written_batches(spark, f"{out}/waiting/whole") + written_batches(spark, f"{out}/waiting/added"), default=None)
+    if last is not None:
+        curate_batch(out, flush_at=last + 1, **options)(events.limit(0), last + 1)
 
 
 def stream_curate(events: DataFrame, out: str, checkpoint: str, every: str | None = None, **options) -> StreamingQuery:
@@ -491,16 +541,23 @@ def watch_sources(events: DataFrame, silent_seconds: float = 90.0) -> DataFrame:
     return rows.groupBy("source_id").transformWithStateInPandas(_Watch(int(silent_seconds * 1000)), LIVENESS, "Append", "ProcessingTime")
 
 
-def _throttled(spark: SparkSession, alerts: DataFrame, out: str, batch_id: int, seconds: float) -> DataFrame:
-    """Alerts of a batch kept by the greedy throttle over all batches; the last kept time per key is the state."""
+def _throttled(
+    spark: SparkSession, alerts: DataFrame, out: str, batch_id: int, seconds: float, key: Column | None = None, **options
+) -> DataFrame:
+    """Alerts of a batch kept by the greedy throttle over all batches; the last kept time per key is the state.
+
+    The walk goes on from a key's last kept time, so alerts within its gap fall before the batch is throttled as a table
+    of its own. Alerts without a key or time are kept and leave no state.
+    """
     gap = int(seconds * 1_000_000)
+    key = A.throttle_key() if key is None else key
     state = read_state(spark, f"{out}/throttle", "key string, last_us long", batch_id)
-    keyed = alerts.withColumn("_key", A.throttle_key()).withColumn("_us", micros(F.col("created_at")))
-    open_ = keyed.join(state.withColumnRenamed("key", "_key"), "_key", "left").where(
-        F.col("last_us").isNull() | (F.col("_us") >= F.col("last_us") + gap)).select(alerts.columns)
-    write_batch(A.throttle_alerts(open_, seconds), f"{out}/alerts", batch_id)
-    kept = spark.read.schema(S.ALERT).parquet(batch_dir(f"{out}/alerts", batch_id))
-    seen = state.unionByName(kept.select(A.throttle_key().alias("key"), micros(F.col("created_at")).alias("last_us")))
+    keyed = alerts.withColumn("_key", key).withColumn("_us", micros(F.col("created_at")))
+    within = F.coalesce(F.col("_us") < F.col("last_us") + gap, F.lit(False))
+    open_ = keyed.join(state.withColumnRenamed("key", "_key"), "_key", "left").where(~within).select(alerts.columns)
+    write_batch(A.throttle_alerts(open_, seconds, key, **options), f"{out}/alerts", batch_id)
+    kept = spark.read.schema(alerts.schema).parquet(batch_dir(f"{out}/alerts", batch_id))
+    seen = state.unionByName(kept.select(key.alias("key"), micros(F.col("created_at")).alias("last_us")).dropna())
     last = seen.groupBy("key").agg(F.max("last_us").alias("last_us"))
     # Keys whose gap is over by the newest alert can suppress nothing that is on time. Checks bear the time of the
     # batch, all other alerts that of the data.
@@ -510,6 +567,24 @@ def _throttled(spark: SparkSession, alerts: DataFrame, out: str, batch_id: int,
     return kept
 
 
+def throttle_batch(out: str, seconds: float = S.THROTTLE_SECONDS, key: Column | None = None, **options) -> Callable[[DataFrame, int], None]:
+    """Batch function: alerts kept by the greedy throttle over all batches, under ``{out}/alerts``.
+
+    A busy key is cut into blocks of equally many times whose summaries are composed (``alerts.throttle_alerts``, which
+    takes ``options``), so no task holds a key's whole batch; ``throttle_stream`` does. The state under
+    ``{out}/throttle`` is one number per key whose gap is not over.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        claim(batch.sparkSession, out, batch_id)
+        _throttled(batch.sparkSession, batch, out, batch_id, seconds, key, **options)
+
+    return apply
+
+
+def stream_throttled(alerts: DataFrame, out: str, checkpoint: str, every: str | None = None, **options) -> StreamingQuery:
+    return run(alerts, throttle_batch(out, **options), checkpoint, every)
+
+
 def _checked(spark: SparkSession, out: str, heads: DataFrame, batch_id: int, at: Column) -> DataFrame:
     """Verify what the batch appended from the heads before it; alerts for chains that turned invalid."""
     written = spark.read.schema(AUDIT_DDL).parquet(batch_dir(f"{out}/audit/records", batch_id))
@@ -612,3 +687,81 @@ def fan_out_batch(out: str, fallback_tenant: str = "") -> Callable[[DataFrame, i
 
 def fan_out(messages: DataFrame, out: str, checkpoint: str, every: str | None = None, fallback_tenant: str = "") -> StreamingQuery:
     return run(messages, fan_out_batch(out, fallback_tenant), checkpoint, every)
+
+
+# --- Retries ---------------------------------------------------------------------------------
+
+
+def retry_batch(out: str, check: Callable[[DataFrame, int], DataFrame], attempts: int = 3) -> Callable[[DataFrame, int], None]:
+    """Batch function: rows that ``check`` refuses are tried again with later batches; after ``attempts`` tries they are dead.
+
+    ``check(rows, batch_id)`` gives the rows back with a ``reason`` (null: accepted). What a batch tried lies under
+    ``{out}/tried/batch_id=N/outcome=accepted|retry|dead`` as (row, attempts, reason), written at once, so all three
+    outcomes take effect together and a rerun replaces them. The rows to retry and their counts are read from the batch
+    before, so they survive a restart. Rows that wait are tried with the next batch, whenever it comes. Columns of the
+    input may have any name but ``reason`` and ``_attempts``.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        claim(spark, out, batch_id)
+        fields = StructType().add("row", batch.schema).add("attempts", "integer").add("reason", "string").add("outcome", "string")
+        before = read_state(spark, f"{out}/tried", fields, batch_id).where("outcome = 'retry'")
+        rows = before.select("row.*", F.col("attempts").alias("_attempts")).unionByName(batch.withColumn("_attempts", F.lit(0)))
+        tries = F.col("_attempts") + 1
+        outcome = F.when(F.col("reason").isNull(), "accepted").when(tries < attempts, "retry").otherwise("dead")
+        row = F.struct(*[F.col(f"`{c}`") for c in batch.columns]).alias("row")
+        tried = check(rows, batch_id).select(row, tries.cast("int").alias("attempts"), F.col("reason").cast("string").alias("reason"), outcome.alias("outcome"))
+        write_batch(tried, f"{out}/tried", batch_id, ["outcome"])
+
+    return apply
+
+
+def stream_retry(rows: DataFrame, out: str, checkpoint: str, every: str | None = None, **options) -> StreamingQuery:
+    return run(rows, retry_batch(out, **options), checkpoint, every)
+
+
+def read_tried(spark: SparkSession, out: str) -> DataFrame:
+    """(row, attempts, reason, outcome) of all rows: accepted and dead ones of all batches, and those that still wait."""
+    last = written_batches(spark, f"{out}/tried")
+    tried = spark.read.parquet(f"{out}/tried")
+    return tried.where((F.col("outcome") != "retry") | (F.col("batch_id") == last[-1])).drop("batch_id")
+
+
+# --- Precedents ------------------------------------------------------------------------------
+
+
+def precedents_batch(out: str, max_n: int = S.DEFAULT_MAX_PRECEDENTS, compact_every: int = 20) -> Callable[[DataFrame, int], None]:
+    """Batch function over new audit records: keeps the ``max_n`` newest precedents per match key under ``{out}/newest``.
+
+    Only the batch's records are parsed. Decoded decisions and actions stay under ``{out}/decisions`` and
+    ``{out}/actions``; an action finds a decision of any earlier batch there, and a decision an action that came first.
+    The n newest of all pairs are the n newest among those stored and those of the batch, so a batch adds its own n
+    newest per key, and every ``compact_every`` batches the merged list is written anew.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        claim(spark, out, batch_id)
+        newest = read_changes(spark, f"{out}/newest", precedents.STORED, batch_id)
+        parts = {"decisions": precedents.passed_decisions(batch), "actions": precedents.operator_actions(batch).drop("operator_id", "acted_at")}
+        old, new = {}, {}
+        for name, rows in parts.items():
+            write_batch(rows, f"{out}/{name}", batch_id)
+            new[name] = spark.read.schema(rows.schema).parquet(batch_dir(f"{out}/{name}", batch_id))
+            known = [batch_dir(f"{out}/{name}", b) for b in written_batches(spark, f"{out}/{name}") if b < batch_id]
+            old[name] = spark.read.schema(rows.schema).parquet(*known) if known else spark.createDataFrame([], rows.schema)
+        key = ["chain", "decision_hash"]
+        pairs = new["decisions"].join(new["actions"].unionByName(old["actions"]), key).unionByName(old["decisions"].join(new["actions"], key))
+        added = precedents.newest_rows(pairs, max_n)
+        write_changes(added, precedents.newest_rows(newest.unionByName(added), max_n), f"{out}/newest", batch_id, compact_every)
+
+    return apply
+
+
+def stream_precedents(audit: DataFrame, out: str, checkpoint: str, every: str | None = None, **options) -> StreamingQuery:
+    return run(audit, precedents_batch(out, **options), checkpoint, every)
+
+
+def read_precedents(spark: SparkSession, out: str, max_n: int = S.DEFAULT_MAX_PRECEDENTS) -> DataFrame:
+    """The stored precedents as ``operators.precedents.newest_precedents`` gives them; ``max_n`` at most that of the job."""
+    last = max(written_batches(spark, f"{out}/newest/whole") + written_batches(spark, f"{out}/newest/added"), default=-1)
+    return precedents.as_lists(read_changes(spark, f"{out}/newest", precedents.STORED, last + 1), max_n)

@@ -1,5 +1,6 @@
 """Streaming jobs over several batches, and reruns of a batch."""
 
+import json
 import random
 import time
 
@@ -11,6 +12,7 @@ from auditweave import schema as S
 from auditweave.operators import alerts as A
 from auditweave.operators import chain as H
 from auditweave.operators import curate as C
+from auditweave.operators import precedents as P
 from auditweave.sources import sinks
 from auditweave.streaming import jobs
 from tests.event_rows import at, event, ids, make_events
@@ -57,12 +59,122 @@ def test_many_windows_with_one_delivery_again(spark, tmp_path):
     ev = make_events(spark, [event(i, "s", i) for i in range(40)])
     apply(ev, 0)
     jobs.flush_windows(spark, ev, out, suppress_seconds=1000, **options)
-    shown = jobs.read_state(spark, f"{out}/shown", "event_id string, shown_at timestamp", 2)
+    shown = jobs.read_changes(spark, f"{out}/shown", "event_id string, shown_at timestamp", 2)
     assert shown.count() == 40
     later = jobs.still_shown(shown, F.lit(int(at(20).timestamp() * 1e6)))
     assert later.count() == 22  # those of the window that ends at 20, and later
 
 
+def serial_windows(batches, k, size, delay, suppress):
+    """The windowed digest job as a plain loop; (event number, second) rows, the last batch closes all."""
+    waiting, shown, newest, made = [], {}, None, []
+    for b, rows in enumerate(batches):
+        before, newest = newest, max([t for _, t in rows] + ([] if newest is None else [newest]), default=newest)
+        end = lambda r: r[1] // size * size + size
+        waiting += [r for r in rows if before is None or end(r) > before - delay]
+        closed = [r for r in waiting if b == len(batches) - 1 or end(r) <= newest - delay]
+        waiting = [r for r in waiting if r not in closed]
+        hidden = {i for i, t in shown.items() if t >= before - suppress - delay}
+        for w in sorted({end(r) for r in closed}):
+            picked = sorted((r for r in closed if end(r) == w and r[0] not in hidden), key=lambda r: (-r[1], r[0]))[:k]
+            made.append((w, sorted(f"e{i:05d}" for i, _ in picked)))
+            shown |= {i: max(w, shown.get(i, w)) for i, _ in picked}
+    return sorted(made)
+
+
+@pytest.mark.parametrize("every", [1, 2, 100])
+def test_state_as_changes_equals_a_serial_loop(spark, tmp_path, every):
+    """Whatever the compaction, and with reruns; ids come back in later windows; rows without a time are kept apart."""
+    rng = random.Random(11)
+    out, options = str(tmp_path / "d"), dict(strategy=C.LATEST, k=3, window="10 seconds", delay_seconds=15, suppress_seconds=25)
+    apply = jobs.curate_batch(out, compact_every=every, **options)
+    batches = [[(b * 6 + i, b * 12 + i * 2) for i in range(6)] for b in range(6)]
+    for b, old in ((2, 0), (3, 1), (4, 17), (5, 3)):
+        batches[b].append((old, b * 12 + 5))
+    for b, rows in enumerate(batches):
+        part = make_events(spark, [event(i, "s", t) for i, t in rows])
+        for _ in range(1 + (rng.random() < 0.5)):
+            apply(part, b)
+    jobs.flush_windows(spark, part, out, **options)
+    got = spark.read.parquet(f"{out}/digests").select("window_end", "selected_events.event_id").collect()
+    start = at(0).replace(tzinfo=None)
+    assert sorted((int((r[0] - start).total_seconds()), sorted(r[1])) for r in got) == serial_windows([*batches, []], 3, 10, 15, 25)
+    if every == 100:
+        assert jobs.written_batches(spark, f"{out}/waiting/whole") == [6] and len(jobs.written_batches(spark, f"{out}/shown/added")) == 7
+    untimed = make_events(spark, [event(90, "s", 0)]).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    jobs.curate_batch(str(tmp_path / "n"), **options)(untimed, 0)
+    assert [(r["event_id"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "n/late")).collect()] == [("e00090", "no time")]
+
+
+def test_throttle_over_batches_equals_the_serial_walk(spark, tmp_path):
+    """One rule with nearly all alerts over four batches, a batch that runs twice, and alerts without a key or time."""
+    rng = random.Random(8)
+    times = sorted(rng.sample(range(20_000), 600))
+    rule = lambda i: "busy" if i % 20 else "calm"
+    out = str(tmp_path / "t")
+    apply = jobs.throttle_batch(out, 45, F.col("rule_id"), few=10, block_rows=16)
+    alerts = lambda part: A.alerts_from_events(make_events(spark, [event(i, "s", t, "error") for i, t in part])).withColumn(
+        "rule_id", F.when(F.substring(F.element_at("ref", F.lit("event_id")), 2, 5).cast("int") % 20 > 0, "busy").otherwise("calm"))
+    for b in (0, 1, 1, 2, 3):
+        part = alerts(list(enumerate(times))[b * 150:(b + 1) * 150])
+        if b == 3:
+            bare = alerts([(1000, 0), (1001, 0)]).withColumn("created_at", F.lit(None).cast("timestamp"))
+            part = part.unionByName(bare).unionByName(alerts([(1002, 0)]).withColumn("rule_id", F.lit(None).cast("string")))
+        apply(part, b)
+    want, last = [], {}
+    for i, t in enumerate(times):
+        if t - last.get(rule(i), -100) >= 45:
+            want.append((rule(i), t))
+            last[rule(i)] = t
+    kept = spark.read.schema(S.ALERT).parquet(f"{out}/alerts").select("rule_id", F.unix_micros("created_at").alias("us")).collect()
+    zero = int(at(0).timestamp())
+    whole = sorted((r["rule_id"], r["us"] // 1_000_000 - zero) for r in kept if r["rule_id"] and r["us"] is not None)
+    assert whole == sorted(want) and len(kept) - len(whole) == 3
+    assert spark.read.parquet(f"{out}/throttle/batch_id=3").count() <= 2
+
+
+def test_rows_are_retried_until_they_are_dead(spark, tmp_path):
+    """Counts survive a restart; a row that becomes valid leaves; the last failure lands once; columns of any name."""
+    out, tries = str(tmp_path / "r"), []
+
+    def check(rows, batch_id):
+        tries.append(sorted(r["id"] for r in rows.collect()))
+        return rows.withColumn("reason", F.when(F.coalesce(F.col("good_at"), F.lit(99)) > batch_id, "not yet"))
+
+    part = lambda rows: spark.createDataFrame(rows, "id long, good_at long, outcome string, attempts string, row string")
+    first = part([(1, 0, "x", None, ""), (2, 1, "x", "y", ""), (3, None, None, None, None), (3, None, None, None, None)])
+    for b, rows in ((0, first), (1, part([(4, 3, "", "", "")])), (1, part([(4, 3, "", "", "")])), (2, part([])), (4, part([]))):
+        jobs.retry_batch(out, check, 3)(rows, b)  # a new function each time, as after a restart
+    assert tries == [[1, 2, 3, 3], [2, 3, 3, 4], [2, 3, 3, 4], [3, 3, 4], [4]]
+    got = sorted((r["row"]["id"], r["row"]["outcome"], r["outcome"], r["attempts"]) for r in jobs.read_tried(spark, out).where("row.id <> 3").collect())
+    assert got == [(1, "x", "accepted", 1), (2, "x", "accepted", 2), (4, "", "accepted", 3)]
+    dead = jobs.read_tried(spark, out).where("row.id = 3").select("outcome", "attempts", "reason").collect()
+    assert [tuple(r) for r in dead] == [("dead", 3, "not yet")] * 2
+
+
+@pytest.mark.parametrize("every", [2, 50])
+def test_stored_precedents_equal_the_whole_log(spark, tmp_path, every):
+    """Actions before, with and long after their decision; two actions on one; a batch run twice and an empty one."""
+    rng = random.Random(4)
+    log = []
+    for i in range(60):
+        body = {"event_id": f"e{i}", "event_type": "Tick" if i % 2 else "tick", "source_id": f"s{rng.randrange(2)}", "severity": "warn",
+                "tenant": "t", "guardrails_status": "pass" if i % 5 else "rejected_output", "response": {"classification": "c", "suggestion": "x"}}
+        log.append(("t", 3 * i, at(i), "decision", json.dumps(body), "", f"d{i}"))
+        for j in range(rng.randrange(3)):
+            act = {"decision_id": f"d{i}", "action": "accept", "annotation": "", "operator_id": "o"}
+            log.append(("t", 3 * i + j + 1, at(i), "operator_action", json.dumps(act), "", f"a{i}-{j}"))
+    rng.shuffle(log)
+    frame = lambda rows: spark.createDataFrame(rows, S.AUDIT)
+    out = str(tmp_path / "p")
+    apply = jobs.precedents_batch(out, 4, every)
+    for b in (0, 1, 1, 2, 3, 4):
+        apply(frame(log[b * 40:(b + 1) * 40] if b < 4 else log[160:]), b)
+    listed = lambda lists: sorted((tuple(r[c] for c in lists.columns[:-1]), [tuple(p) for p in r["precedents"]]) for r in lists.collect())
+    want = listed(P.newest_precedents(frame(log), 4))
+    assert listed(jobs.read_precedents(spark, out, 4)) == want and len(want) == 2
+
+
 def test_states_that_do_not_fit_are_refused(spark, tmp_path):
     out = str(tmp_path / "a")
     apply = jobs.audit_batch(out)
