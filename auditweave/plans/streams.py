@@ -41,11 +41,8 @@ def landed(spark, rows, out, n, kind="parquet"):
 
 
 def batched_stream(spark, sf, out, batch, n):
-    """The event table as a stream of ``n`` batches (``landed``); ``batch`` is the number of each row's batch."""
-    raw = table(spark, sf, "events")
-    numbered = map_events(raw).select(F.col("n").alias("event_id"), batch.alias("_batch"))
-    rows = raw.join(numbered, "event_id").select(*raw.columns, "_batch")
-    return map(map_events, landed(spark, rows, out, n))
+    """The mapped events as a stream of ``n`` batches (``landed``); ``batch`` is the number of each row's batch."""
+    return landed(spark, map_events(table(spark, sf, "events")).withColumn("_batch", batch), out, n)
 
 
 def slices(column, n):
