@@ -9,8 +9,10 @@ from auditweave.operators import precedents as P
 from auditweave.operators import reports as R
 from auditweave.operators.decide import ColumnProvider, Guardrails
 from auditweave.plans.base import events, query, rfc_sql, stored, table, us, with_ev
+from auditweave.session import shared_folder
 from auditweave.sources import events as E
 from auditweave.sources import sinks
+from auditweave.sources.layout import write_clustered
 
 # --- A provider whose answers are expressions, so SQL can follow ---------------------------
 
@@ -264,14 +266,29 @@ def _(spark, sf):
     return R.audit_kind_counts(stored_log(spark, sf))
 
 
-@query("scan_audit", with_ev(DEC, ACTS, LOG, """SELECT tenant, sequence, kind FROM log WHERE us >= 1704844800000000 AND us < 1705536000000000
-    AND kind IN ('operator_action', 'decision_rejected_input')"""))
-def _(spark, sf):
-    out = E.scan_audit(stored_log(spark, sf), F.timestamp_seconds(F.lit(1704844800)), F.timestamp_seconds(F.lit(1705536000)),
+SCANNED = with_ev(DEC, ACTS, LOG, """SELECT tenant, sequence, kind FROM log WHERE us >= 1704844800000000 AND us < 1705536000000000
+    AND kind IN ('operator_action', 'decision_rejected_input')""")
+
+
+def scanned(log):
+    out = E.scan_audit(log, F.timestamp_seconds(F.lit(1704844800)), F.timestamp_seconds(F.lit(1705536000)),
                        ["operator_action", "decision_rejected_input"])
     return out.select("tenant", "sequence", "kind")
 
 
+@query("scan_audit", SCANNED)
+def _(spark, sf):
+    return scanned(stored_log(spark, sf))
+
+
+@query("scan_audit_clustered", SCANNED)
+def _(spark, sf):
+    """The same scan over a log laid out by time, kind and tenant."""
+    out = shared_folder(spark, "clustered")
+    write_clustered(stored_log(spark, sf), out, ["timestamp", "kind", "tenant"])
+    return scanned(sinks.read_audit_table(spark, out))
+
+
 @query("read_audit", with_ev(DEC, ACTS, LOG, "SELECT sequence, kind, hash FROM log WHERE tenant = 'tenant-2'"))
 def _(spark, sf):
     return E.read_audit(stored_log(spark, sf), "tenant-2").select("sequence", "kind", "hash")

@@ -14,6 +14,7 @@ from auditweave.sources import events as E
 from auditweave.session import shared_folder
 from auditweave.sources import packs, sinks, webhooks
 from auditweave.sources.connector import decode_changes, read_change_log
+from auditweave.sources.layout import write_clustered
 
 # --- Events with one planted fault per residue ----------------------------------------
 
@@ -389,15 +390,30 @@ def _(spark, sf):
     return V.default_severity(ev, packs.pack_event_types(nation_packs(spark, sf))).select("c_custkey", "severity")
 
 
-@query("scan_events", with_ev("""SELECT event_id, us FROM ev WHERE us >= 1704844800000000 AND us < 1705536000000000
-    AND source_id IN ('user-1', 'user-2', 'user-3', 'user-5', 'user-8') AND severity IN ('info', 'error') AND tenant IN ('tenant-1', 'tenant-3')"""))
-def _(spark, sf):
+SCANNED = with_ev("""SELECT event_id, us FROM ev WHERE us >= 1704844800000000 AND us < 1705536000000000
+    AND source_id IN ('user-1', 'user-2', 'user-3', 'user-5', 'user-8') AND severity IN ('info', 'error') AND tenant IN ('tenant-1', 'tenant-3')""")
+
+
+def scanned(ev):
     out = E.scan_events(
-        events(spark, sf), F.timestamp_seconds(F.lit(1704844800)), F.timestamp_seconds(F.lit(1705536000)),
+        ev, F.timestamp_seconds(F.lit(1704844800)), F.timestamp_seconds(F.lit(1705536000)),
         sources=["user-1", "user-2", "user-3", "user-5", "user-8"], severities=["info", "error"], tenants=["tenant-1", "tenant-3"])
     return out.select("event_id", us("timestamp"))
 
 
+@query("scan_events", SCANNED)
+def _(spark, sf):
+    return scanned(events(spark, sf))
+
+
+@query("scan_events_clustered", SCANNED)
+def _(spark, sf):
+    """The same scan over a table laid out by time, source and type."""
+    out = shared_folder(spark, "clustered")
+    write_clustered(events(spark, sf).select(*EVENT_COLUMNS), out, ["timestamp", "source_id", "event_type"])
+    return scanned(spark.read.schema(S.EVENT).parquet(out))
+
+
 @query("dedup_events", with_ev("SELECT event_id, ingested_us FROM ev"))
 def _(spark, sf):
     ev = events(spark, sf)

@@ -18,7 +18,7 @@ from auditweave.plans.ingest import BAD_EV, REASON, daily_digests, faulty_events
 from auditweave.session import shared_folder
 from auditweave.sources import sinks
 from auditweave.sources.events import read_audit_inputs, read_decisions, read_digests, read_messages
-from auditweave.streaming import jobs
+from auditweave.streaming import jobs, seen
 
 
 def event_stream(spark, sf):
@@ -83,6 +83,23 @@ def _(spark, sf):
     return spark.read.parquet(f"{out}/data")
 
 
+AGAIN = """part AS (SELECT *, greatest(0, least(3, CAST(floor((us - 1704067200000000) * 4 / (31 * 86400000000.0)) AS INTEGER))) AS b FROM ev),
+    edge AS (SELECT CAST(make_timestamp(max(ingested_us)) AS DATE) - 10 AS from_day FROM part WHERE b < 3)"""
+
+
+@query("stream_first_deliveries", with_ev(AGAIN, """SELECT event_id,
+    CASE WHEN b < 3 AND CAST(make_timestamp(ingested_us) AS DATE) < from_day THEN 2 ELSE 1 END AS deliveries FROM part, edge"""))
+def _(spark, sf):
+    """Four batches of a week each; the last also delivers every event again. Those of the ten days before are known."""
+    out = shared_folder(spark, "first")
+    rows = map_events(table(spark, sf, "events")).withColumn("_batch", slices("timestamp", 4))
+    rows = rows.unionByName(rows.withColumn("_batch", F.lit(3)))
+    for ev in landed(spark, rows, f"{out}/in", 4):
+        finish(seen.stream_first_deliveries(ev.select(*EVENT_COLUMNS), f"{out}/data", f"{out}/checkpoint", retain_days=10, segment_every=2))
+    let_through = spark.read.schema("event_id string").parquet(f"{out}/data/events")
+    return let_through.groupBy("event_id").agg(F.count(F.lit(1)).cast("int").alias("deliveries"))
+
+
 @query("stream_alerts", with_ev(
     "a AS MATERIALIZED (SELECT source_id AS key, ingested_us AS us FROM ev WHERE severity <> 'info')",
     greedy_sql(172_800_000_000), "SELECT key, us FROM kept", recursive=True))

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The older type of stored times has no statistics, so no filter on a time could skip files.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # A generated method above 8000 bytes is never compiled by the JVM and runs interpreted; such a
     # stage is better run operator by operator, whose methods are split.
     "spark.sql.codegen.hugeMethodLimit": "8000",

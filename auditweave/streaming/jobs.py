@@ -62,13 +62,13 @@ def read_state(spark: SparkSession, path: str, schema: str | StructType, batch_i
     start: later batches under ``path`` mean that a new or older checkpoint writes over an existing output, and none
     before a batch other than the first means that the state was lost.
     """
-    before = _before(path, written_batches(spark, path), batch_id)
+    before = batches_before(path, written_batches(spark, path), batch_id)
     if not before:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(batch_dir(path, before[-1]))
 
 
-def _before(path: str, known: list[int], batch_id: int) -> list[int]:
+def batches_before(path: str, known: list[int], batch_id: int) -> list[int]:
     """The batches before this one; an error where they do not fit it."""
     if known and known[-1] > batch_id:
         raise ValueError(f"{path} already holds batch {known[-1]}, yet batch {batch_id} is run: use the checkpoint that wrote it, or a new folder")
@@ -85,7 +85,7 @@ def read_changes(spark: SparkSession, path: str, schema: str, batch_id: int) ->
     rank). Errors as in ``read_state``.
     """
     whole, added = written_batches(spark, f"{path}/whole"), written_batches(spark, f"{path}/added")
-    before = _before(path, sorted({*whole, *added}), batch_id)
+    before = batches_before(path, sorted({*whole, *added}), batch_id)
     if not before:
         return spark.createDataFrame([], schema)
     start = max((b for b in whole if b < batch_id), default=None)
@@ -201,7 +201,7 @@ def curate_batch(
         timed = batch.where(F.col("timestamp").isNotNull())
         windowed = timed.withColumn("window_end", F.window("timestamp", window)["end"])
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windowed.schema)
-        before, now = _advance(spark, out, batch, batch_id)
+        before, now = newest_time(spark, out, batch, batch_id)
         end = micros(F.col("window_end"))
         # null before the first row: nothing is late or closed then
         past = F.coalesce(end <= before - span(delay_seconds), F.lit(False))
@@ -229,10 +229,10 @@ def curate_batch(
     return apply
 
 
-def _advance(spark: SparkSession, out: str, batch: DataFrame, batch_id: int) -> tuple[Column, Column]:
-    """Newest event time (microseconds) before and with this batch, kept under ``{out}/newest``."""
+def newest_time(spark: SparkSession, out: str, batch: DataFrame, batch_id: int, column: str = "timestamp") -> tuple[Column, Column]:
+    """Newest time (microseconds) before and with this batch, kept under ``{out}/newest``."""
     seen = read_state(spark, f"{out}/newest", "newest_us long", batch_id)
-    top = batch.select(micros(F.col("timestamp")).alias("newest_us")).unionByName(seen).agg(F.max("newest_us").alias("newest_us"))
+    top = batch.select(micros(F.col(column)).alias("newest_us")).unionByName(seen).agg(F.max("newest_us").alias("newest_us"))
     write_batch(top, f"{out}/newest", batch_id)
     read = lambda df: F.lit(df.agg(F.max("newest_us")).first()[0]).cast("long")
     return read(seen), read(spark.read.schema("newest_us long").parquet(batch_dir(f"{out}/newest", batch_id)))
@@ -273,7 +273,7 @@ def late_split_batch(out: str, delay_seconds: float = 30.0) -> Callable[[DataFra
         spark = batch.sparkSession
         claim(spark, out, batch_id)
         batch = batch.persist()
-        before, _ = _advance(spark, out, batch, batch_id)
+        before, _ = newest_time(spark, out, batch, batch_id)
         on_time, late = split_late(batch, before, delay_seconds)
         write_batch(on_time, f"{out}/events", batch_id)
         write_batch(late, f"{out}/late", batch_id)
