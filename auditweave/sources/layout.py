@@ -28,18 +28,25 @@ def range_cuts(df: DataFrame, columns: Sequence[str], bits: int, rows: int = SAM
 
 
 def range_number(column: str, cuts: list) -> Column:
-    """How many cuts are not above the value; 0 for null."""
+    """How many cuts are not above the value; 0 for null. A binary search over the ordered cuts."""
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(column)))
+    ordered = F.array(*[F.lit(c) for c in cuts])
+    steps = F.array(*[F.lit(2**b) for b in reversed(range(len(cuts).bit_length()))])
+    passed = lambda n, step: F.get(ordered, n + step - 1) <= F.col(column)
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(passed(n, step), n + step).otherwise(n))
 
 
 def interleaved(numbers: Sequence[Column], bits: int) -> Column:
-    """The bits of all numbers in turn, highest first, as one long."""
+    """The bits of all numbers in turn, highest first, as one long.
+
+    The bits of a number are looked up spread out, all at once, so that each number is computed once.
+    """
     key = F.lit(0).cast("long")
-    for bit in reversed(range(bits)):
-        for n in numbers:
-            key = key * 2 + F.shiftright(n, bit).bitwiseAND(F.lit(1))
+    for i, n in enumerate(numbers):
+        place = lambda bit: bit * len(numbers) + len(numbers) - 1 - i
+        spread = [sum((v >> bit & 1) << place(bit) for bit in range(bits)) for v in range(2**bits)]
+        key = key + F.get(F.array(*[F.lit(v).cast("long") for v in spread]), n.bitwiseAND(F.lit(2**bits - 1)))
     return key
 
 
@@ -54,7 +61,11 @@ def write_clustered(
     if not columns or len(columns) * bits > 63:
         raise ValueError(f"{len(columns)} columns of {bits} bits do not fit a key")
     cuts = range_cuts(df, columns, bits)
-    cell = interleaved([range_number(c, cuts[c]) for c in columns], bits)
-    order = [cell, *[F.col(c) for c in columns], F.xxhash64(*df.columns)]
-    laid = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
-    laid.sortWithinPartitions(cell, *columns).write.mode(mode).parquet(path)
+    # columns of their own: a sort computes expressions again with every comparison
+    cell, spread = "_cell", "_spread"
+    while {cell, spread} & {c.lower() for c in df.columns}:
+        cell, spread = cell + "_", spread + "_"
+    keyed = df.select("*", interleaved([range_number(c, cuts[c]) for c in columns], bits).alias(cell), F.xxhash64(*df.columns).alias(spread))
+    order = [cell, *columns, spread]
+    laid = keyed.repartitionByRange(files, *order) if files else keyed.repartitionByRange(*order)
+    laid.sortWithinPartitions(cell, *columns).drop(cell, spread).write.mode(mode).parquet(path)

@@ -78,3 +78,23 @@ def test_times_have_statistics(spark, tmp_path):
     make_events(spark, [event(1, "s", 7)]).coalesce(1).write.parquet(str(tmp_path / "t"))
     assert files_for(str(tmp_path / "t"), "timestamp", at(0), at(6)) == (0, 1)
     assert files_for(str(tmp_path / "t"), "timestamp", at(7), at(7) + dt.timedelta(seconds=1)) == (1, 1)
+
+
+def test_range_number_counts_cuts_not_above_the_value(spark):
+    for cuts in ([5], [1, 1, 4], [2, 2, 2, 3, 9, 9, 11], list(range(0, 126, 2))):
+        rows = spark.createDataFrame([(v,) for v in [None, *range(-1, 130)]], "x int").select("x", range_number("x", cuts))
+        assert [n for _, n in rows.collect()] == [0 if x is None else sum(c <= x for c in cuts) for x, _ in rows.collect()]
+
+
+def test_key_is_computed_once_per_row(spark, tmp_path):
+    """Nothing is computed while rows are compared: the sort and the ranges are over plain columns."""
+    ev = make_events(spark, [event(i, f"s{i}", i) for i in range(300)])
+    plans = []
+    layout_sort = ev.__class__.sortWithinPartitions
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ev.__class__, "sortWithinPartitions", lambda df, *by, **k: plans.append(out := layout_sort(df, *by, **k)) or out)
+        write_clustered(ev.withColumn("_cell", F.lit(1)), str(tmp_path / "t"), ["timestamp", "source_id"], files=4)
+    ordered = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in ordered.splitlines() if "Sort [" in x or "RepartitionByExpression" in x]
+    assert len(lines) == 2 and not any("lambda" in x or "aggregate(" in x or "filter(" in x for x in lines)
+    assert spark.read.parquet(str(tmp_path / "t")).columns == [*S.EVENT.fieldNames(), "_cell"]
