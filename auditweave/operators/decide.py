@@ -4,8 +4,10 @@ Status of an event: ``rejected_input`` (text refused, the model is not called),
 ``rejected_output`` (answer refused) or ``pass``. Anything but a pass forces operator review.
 """
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,32 @@ from auditweave.operators.validate import event_failure
 Validator = tuple[str, Callable[[Column], Column]]
 
 
+def literal_start(pattern: str) -> str:
+    """Letters, digits and spaces that every match of ``pattern`` begins with, in lower case; empty where none are certain."""
+    plain = re.match(r"[A-Za-z0-9 ]*", pattern)[0]
+    outside, groups = re.sub(r"\[[A-Za-z0-9-]+\]", "c", pattern), 1
+    while groups:
+        outside, groups = re.subn(r"\([^()]*\)", "g", outside)
+    if re.search(r"[|\\\[\]()]", outside) or re.search(r"[\\#]", pattern):  # another start may follow, or cannot be told
+        return ""
+    return (plain[:-1] if pattern[len(plain):len(plain) + 1] in ("?", "*", "+", "{") else plain).lower()
+
+
+def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
+    """Whether any pattern occurs in ``text``, whatever the case.
+
+    A text of ASCII characters without the start of any pattern is not searched: a regular expression is tried at every
+    character. Other texts always are, as characters beyond ASCII may be the other case of a letter in ASCII.
+    """
+    found = text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
+    starts = [literal_start(p) for p in patterns]
+    if not all(starts):
+        return found
+    begins = lambda t: reduce(Column.__or__, [F.contains(t, F.lit(s)) for s in dict.fromkeys(starts)])
+    seen = F.exists(F.array(F.lower(text)), begins)  # an array of one text, so that it is lowered once
+    return F.when((F.octet_length(text) > F.char_length(text)) | seen, found).when(text.isNotNull(), False)
+
+
 @dataclass
 class Guardrails:
     """Limits and extra validators. A validator is (reason, column -> true when acceptable)."""
@@ -33,7 +61,7 @@ class Guardrails:
 
     def input_failure(self, text: Column) -> Column:
         """Reason the text may not be sent to a model, null when it may."""
-        patterns = [(~text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in self.patterns)), "prompt-injection pattern detected")]
+        patterns = [(~any_pattern(text, self.patterns), "prompt-injection pattern detected")]
         return first_failure([
             (F.octet_length(text) <= self.max_input_bytes, "input exceeds max bytes"),
             *(patterns if self.patterns else []),
