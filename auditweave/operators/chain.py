@@ -161,18 +161,23 @@ def fold_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fold(rows: DataFrame, chain: Column, start: Column) -> DataFrame:
-    """Add prev_hash and hash to sequenced rows; one ordered stream per chain key."""
+    """Add prev_hash and hash to sequenced rows; one ordered stream per chain key. A column ``_head`` is left out.
+
+    Bodies, which hold the payload again, are built from the sorted rows, so that no sort holds them.
+    """
     body = record_prefix(F.col("sequence"), F.col("timestamp"), F.col("kind"), F.col("payload")).cast("binary")
-    keyed = rows.select("*", chain.alias("_chain"), start.alias("_start"), body.alias("_body"))
+    kept = [f for f in rows.schema.fields if f.name != "_head"]
+    keyed = rows.select(*[f.name for f in kept], chain.alias("_chain"), start.alias("_start"))
     ordered = keyed.repartition("_chain").sortWithinPartitions("_chain", "sequence")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return ordered.mapInArrow(fold_hashes, f"{out}, prev_hash string, hash string")
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return ordered.select("*", body.alias("_body")).mapInArrow(fold_hashes, f"{out}, prev_hash string, hash string")
 
 
 def assign_sequence(rows: DataFrame, heads: DataFrame | None = None, cell_micros: int = 1_000_000) -> DataFrame:
     """Number (tenant, timestamp, kind, payload, row_id) rows per tenant by (timestamp, row_id).
 
-    Continues after ``heads`` (tenant, next_sequence, head_hash). Tenant and timestamp must not be null (``check_rows``).
+    Continues after ``heads`` (tenant, next_sequence, head_hash); only a tenant's first row bears the head it follows, in
+    ``_head``. Tenant and timestamp must not be null (``check_rows``).
     """
     cells = rows.withColumn("_cell", time_cell(micros(F.col("timestamp")), cell_micros))
     order = [F.col("timestamp").asc(), F.col("row_id").asc()]
@@ -183,7 +188,8 @@ def assign_sequence(rows: DataFrame, heads: DataFrame | None = None, cell_micros
     if heads is None:
         numbered = numbered.withColumn("_next", F.lit(0)).withColumn("_head", F.lit(""))
     sequence = (F.col("_pos") + F.coalesce("_next", F.lit(0))).cast("long")
-    return numbered.withColumn("sequence", sequence).withColumn("_head", F.coalesce("_head", F.lit(""))).drop("_pos", "_next")
+    head = F.when(F.col("_pos") == 0, F.coalesce("_head", F.lit("")))
+    return numbered.withColumn("sequence", sequence).withColumn("_head", head).drop("_pos", "_next")
 
 
 def check_rows(rows: DataFrame) -> DataFrame:

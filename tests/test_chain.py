@@ -200,3 +200,17 @@ def test_tampering_with_segments_is_found(spark):
     assert {(r["tenant"], r["level"], r["at"]) for r in gone} == {("a", "segment", 2)}
     gone = H.verify_segments(records, heads.where("not (tenant = 'b' and sequence = 1)"), 4).collect()
     assert {(r["tenant"], r["level"], r["at"]) for r in gone} == {("b", "segment", 1), ("b", "head", 2)}
+
+
+def test_sort_before_the_fold_holds_neither_bodies_nor_heads(spark):
+    new = spark.createDataFrame([("t", at(i), "k", "{}", f"r{i:02d}") for i in range(40)], ROWS)
+    heads = spark.createDataFrame([("t", 7, "f" * 64)], "tenant string, next_sequence long, head_hash string")
+    assert [r["_head"] for r in H.assign_sequence(new, heads).orderBy("sequence").collect()] == ["f" * 64] + [None] * 39
+    for out in (H.append_chain(new, heads), H.append_segments(new, spark.createDataFrame([("t", 7, "f" * 64, None, "")], H.SEGMENT_STATE), 16)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        sort = next(i for i, x in enumerate(plan) if "Sort [_chain" in x)
+        assert any("_body" in x for x in plan[:sort]) and not any("_body" in x for x in plan[sort:])
+        records = out.orderBy("sequence").collect()
+        assert records[0]["prev_hash"] == "f" * 64 and [r["sequence"] for r in records] == list(range(7, 47))
+    chained = H.append_chain(new, heads).orderBy("sequence").collect()
+    assert [r["prev_hash"] for r in chained[1:]] == [r["hash"] for r in chained[:-1]]
