@@ -352,3 +352,18 @@ def test_a_silent_stream_reports_its_sources(spark, tmp_path):
         assert wait_for(8) == sorted([*first, ("a", "alive", 3), ("a", "stalled", 3)])
     finally:
         q.stop()
+
+
+def test_folded_records_are_written_without_a_second_sort(spark, tmp_path, monkeypatch):
+    """Also with more tenants in a task than files are open at once; the setting holds for this write only."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    rows = spark.range(600).selectExpr(
+        "concat('t', id % 9) AS tenant", "timestamp_seconds(id) AS timestamp", "'k' AS kind", "'{}' AS payload", "format_string('r%03d', id) AS row_id")
+    seen, write = [], jobs.write_batch
+    monkeypatch.setattr(jobs, "write_batch", lambda df, path, *more: (seen.append((path, df.sparkSession.conf.get(name))), write(df, path, *more)))
+    before = spark.conf.get(name)
+    jobs.audit_batch(str(tmp_path))(rows, 0)
+    assert [(p, n) for p, n in seen if n != before] == [(f"{tmp_path}/records", str(jobs.OPEN_FILES))] and spark.conf.get(name) == before
+    records = jobs.read_chain(spark, str(tmp_path))
+    assert records.count() == 600
+    assert all(r["valid"] and r["length"] in (66, 67) for r in H.verify_chain(records).collect())
