@@ -4,11 +4,11 @@ The throttle is greedy: an alert is kept when at least ``seconds`` passed since
 its key. Keys with few alerts are folded in one array expression. A key with many alerts (a rule that
 fires all the time may hold a third of all rows) is cut into blocks of equally many times: each block reports, for every
 state it could be entered with, the time of its last kept alert; a walk over these few block summaries
-gives the true entry state of every block; then all blocks are resolved in parallel. The result equals
+gives the true entry state of every block that keeps an alert; then all these are resolved in parallel. The result equals
 the serial walk.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -140,47 +140,73 @@ def _kept_path(times: np.ndarray, start: int, gap: int) -> np.ndarray:
     return times[np.array(kept, dtype=np.int64)]
 
 
-def _block_summary(gap: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def summarize(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(pdf["us"].to_numpy())
-        nxt = np.searchsorted(times, times + gap, side="left")
-        # the last alert kept before the block is older than its first time, so its gap ends less than one gap after it
-        reach = np.searchsorted(times, times[0] + gap, side="left")
-        last = np.arange(min(reach + 1, len(times)))
-        entries = times[last]
-        while True:
-            step = nxt[last]
-            more = step < len(times)
-            if not more.any():
-                break
-            last = np.where(more, step, last)
-        exits = times[last]
-        ends = np.append(exits[1:] != exits[:-1], True)  # entries that lead to the same exit form one piece
-        return pd.DataFrame({"key": [key[0]], "block": [key[1]], "upto": [entries[ends]], "exits": [exits[ends]]})
+def _by_block(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[str, int, pd.DataFrame]]]:
+    """(key, block, rows) of the whole blocks of rows sorted by key, block and time; a list per batch.
+
+    The last block of a batch may go on in the next one, so it waits for that.
+    """
+    rest = None
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        keys, blocks = pdf["key"].to_numpy(), pdf["block"].to_numpy()
+        edges = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (keys[1:] != keys[:-1])) + 1).tolist()]
+        if len(edges) > 1:
+            yield [(keys[i], blocks[i], pdf.iloc[i:j]) for i, j in zip(edges, edges[1:])]
+        rest = pdf.iloc[edges[-1]:]
+    if rest is not None and len(rest):
+        yield [(rest["key"].iloc[0], rest["block"].iloc[0], rest)]
+
+
+def _pieces(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a block of sorted times does with its entry state: (last entry, last kept time) of each piece."""
+    nxt = np.searchsorted(times, times + gap, side="left")
+    # the last alert kept before the block is older than its first time, so its gap ends less than one gap after it
+    reach = np.searchsorted(times, times[0] + gap, side="left")
+    last = np.arange(min(reach + 1, len(times)))
+    entries = times[last]
+    while True:
+        step = nxt[last]
+        more = step < len(times)
+        if not more.any():
+            break
+        last = np.where(more, step, last)
+    exits = times[last]
+    ends = np.append(exits[1:] != exits[:-1], True)  # entries that lead to the same exit form one piece
+    return entries[ends], exits[ends]
+
+
+def _block_summaries(gap: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for blocks in _by_block(batches):
+            found = [(key, block, *_pieces(rows["us"].to_numpy(), gap)) for key, block, rows in blocks]
+            yield pd.DataFrame(found, columns=["key", "block", "upto", "exits"])
 
     return summarize
 
 
 def _entry_states(gap: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Walk over a key's block summaries: the entry state of every block that keeps an alert."""
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         earliest, states = np.iinfo(np.int64).min, []
-        for upto, exits in zip(pdf["upto"], pdf["exits"]):
-            states.append(earliest)
+        for key, block, upto, exits in zip(pdf["key"], pdf["block"], pdf["upto"], pdf["exits"]):
             piece = np.searchsorted(upto, earliest, side="left")
             if piece < len(upto):
+                states.append((key, block, earliest))
                 earliest = int(exits[piece]) + gap
-        return pd.DataFrame({"key": pdf["key"], "block": pdf["block"], "earliest": states})
+        return pd.DataFrame(states, columns=["key", "block", "earliest"])
 
     return walk
 
 
-def _resolve_block(gap: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def resolve(key: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(rows["us"].to_numpy())
-        first = int(np.searchsorted(times, entry["earliest"].iloc[0], side="left"))
-        kept = _kept_path(times, first, gap)
-        return pd.DataFrame({"key": key[0], "us": kept})
+def _resolve_blocks(gap: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for blocks in _by_block(batches):
+            for key, _block, rows in blocks:
+                times = rows["us"].to_numpy()
+                first = int(np.searchsorted(times, rows["earliest"].iloc[0], side="left"))
+                yield pd.DataFrame({"key": key, "us": _kept_path(times, first, gap)})
 
     return resolve
 
@@ -199,19 +225,16 @@ def _throttle_few(rows: DataFrame, gap: int) -> DataFrame:
 def _throttle_many(rows: DataFrame, gap: int, block_rows: int) -> DataFrame:
     """Block-wise exact throttle for keys with many alerts; returns kept (key, us).
 
-    Blocks hold ``block_rows`` different times, however dense a key is.
+    Blocks hold ``block_rows`` different times, however dense a key is. A task takes its blocks one after the other out of
+    its sorted rows, so small blocks cost no call of their own; only blocks that keep an alert are resolved.
     """
     times = rows.select("key", "us").distinct().withColumn("_cell", time_cell(F.col("us")))
     placed = positions(times, ["key"], "_cell", [F.col("us").asc()], "_at")
     cut = placed.select("key", "us", F.floor(F.col("_at") / block_rows).cast("long").alias("block"))
-    summary = cut.groupBy("key", "block").applyInPandas(
-        _block_summary(gap), "key string, block long, upto array<bigint>, exits array<bigint>"
-    )
+    by_block = lambda df: df.repartition("key", "block").sortWithinPartitions("key", "block", "us")
+    summary = by_block(cut).mapInPandas(_block_summaries(gap), "key string, block long, upto array<bigint>, exits array<bigint>")
     entry = summary.groupBy("key").applyInPandas(_entry_states(gap), "key string, block long, earliest long")
-    return (
-        cut.groupBy("key", "block").cogroup(entry.groupBy("key", "block"))
-        .applyInPandas(_resolve_block(gap), "key string, us long")
-    )
+    return by_block(cut.join(entry, ["key", "block"])).mapInPandas(_resolve_blocks(gap), "key string, us long")
 
 
 def throttle_alerts(

@@ -571,10 +571,15 @@ def _throttled(
     gap = int(seconds * 1_000_000)
     key = A.throttle_key() if key is None else key
     state = read_state(spark, f"{out}/throttle", "key string, last_us long", batch_id)
-    keyed = alerts.withColumn("_key", key).withColumn("_us", micros(F.col("created_at")))
-    within = F.coalesce(F.col("_us") < F.col("last_us") + gap, F.lit(False))
-    open_ = keyed.join(state.withColumnRenamed("key", "_key"), "_key", "left").where(~within).select(alerts.columns)
+    open_ = alerts
+    if batch_id:  # the first batch has no state to meet
+        keyed = alerts.withColumn("_key", key).withColumn("_us", micros(F.col("created_at")))
+        within = F.coalesce(F.col("_us") < F.col("last_us") + gap, F.lit(False))
+        open_ = keyed.join(state.withColumnRenamed("key", "_key"), "_key", "left").where(~within).select(alerts.columns)
+    # the throttle reads them many times, and their columns are costly
+    open_ = open_.persist()
     write_batch(A.throttle_alerts(open_, seconds, key, **options), f"{out}/alerts", batch_id)
+    open_.unpersist()
     kept = spark.read.schema(alerts.schema).parquet(batch_dir(f"{out}/alerts", batch_id))
     seen = state.unionByName(kept.select(key.alias("key"), micros(F.col("created_at")).alias("last_us")).dropna())
     last = seen.groupBy("key").agg(F.max("last_us").alias("last_us"))

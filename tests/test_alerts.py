@@ -2,10 +2,12 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from auditweave.operators import alerts as A
+from auditweave.streaming import jobs
 from tests.event_rows import at, event, make_events
 
 
@@ -93,3 +95,34 @@ def test_alerts_without_time_or_key_are_kept(spark):
     a = alert_table(spark, rows).withColumn("created_at", F.when(F.col("id") != "a00002", F.col("created_at")))
     a = a.withColumn("rule_id", F.when(F.col("id") != "a00003", F.col("rule_id")))
     assert sorted(r["id"] for r in A.throttle_alerts(a, 45).collect()) == ["a00000", "a00002", "a00003"]
+
+
+def test_blocks_go_on_over_batches():
+    times = [0, 3, 7, 20, 21, 22, 40, 5, 6]
+    rows = pd.DataFrame({"key": ["a"] * 7 + ["b"] * 2, "block": [0, 0, 0, 1, 1, 1, 2, 0, 0], "us": times})
+    for size in (1, 2, 4, 100):
+        batches = [rows.iloc[i:i + size].reset_index(drop=True) for i in range(0, len(rows), size)]
+        got = [(k, b, r["us"].tolist()) for blocks in A._by_block(iter(batches)) for k, b, r in blocks]
+        assert got == [("a", 0, [0, 3, 7]), ("a", 1, [20, 21, 22]), ("a", 2, [40]), ("b", 0, [5, 6])], size
+
+
+def test_small_blocks_cost_no_call_each(spark):
+    times = alert_table(spark, [("r", s, {}) for s in range(300)]).select(F.col("rule_id").alias("key"), F.unix_micros("created_at").alias("us"))
+    kept = A._throttle_many(times, 60_000_000, 2)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "FlatMapCoGroups" not in plan  # the walk over a key's summaries alone
+    assert sorted(r["us"] - int(at(0).timestamp()) * 1_000_000 for r in kept.collect()) == [s * 60_000_000 for s in range(5)]
+
+
+def test_throttle_job_makes_its_alerts_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    df = alert_table(spark, [("r", s, {}) for s in range(50)])
+    jobs.throttle_batch(str(tmp_path), 10, few=5, block_rows=4)(df.mapInPandas(count, df.schema), 0)
+    assert spark.read.parquet(f"{tmp_path}/alerts").count() == 5
+    assert made.value == 50
