@@ -566,7 +566,7 @@ def _throttled(
     """Alerts of a batch kept by the greedy throttle over all batches; the last kept time per key is the state.
 
     The walk goes on from a key's last kept time, so alerts within its gap fall before the batch is throttled as a table
-    of its own. Alerts without a key or time are kept and leave no state.
+    of its own; what is left of them lies under ``{out}/raised``. Alerts without a key or time are kept and leave no state.
     """
     gap = int(seconds * 1_000_000)
     key = A.throttle_key() if key is None else key
@@ -576,10 +576,10 @@ def _throttled(
         keyed = alerts.withColumn("_key", key).withColumn("_us", micros(F.col("created_at")))
         within = F.coalesce(F.col("_us") < F.col("last_us") + gap, F.lit(False))
         open_ = keyed.join(state.withColumnRenamed("key", "_key"), "_key", "left").where(~within).select(alerts.columns)
-    # the throttle reads them many times, and their columns are costly
-    open_ = open_.persist()
-    write_batch(A.throttle_alerts(open_, seconds, key, **options), f"{out}/alerts", batch_id)
-    open_.unpersist()
+    # written once and read back: the throttle reads them many times, and their columns and sources are costly
+    write_batch(open_, f"{out}/raised", batch_id)
+    raised = spark.read.schema(alerts.schema).parquet(batch_dir(f"{out}/raised", batch_id))
+    write_batch(A.throttle_alerts(raised, seconds, key, **options), f"{out}/alerts", batch_id)
     kept = spark.read.schema(alerts.schema).parquet(batch_dir(f"{out}/alerts", batch_id))
     seen = state.unionByName(kept.select(key.alias("key"), micros(F.col("created_at")).alias("last_us")).dropna())
     last = seen.groupBy("key").agg(F.max("last_us").alias("last_us"))

@@ -126,3 +126,12 @@ def test_throttle_job_makes_its_alerts_once(spark, tmp_path):
     jobs.throttle_batch(str(tmp_path), 10, few=5, block_rows=4)(df.mapInPandas(count, df.schema), 0)
     assert spark.read.parquet(f"{tmp_path}/alerts").count() == 5
     assert made.value == 50
+
+
+def test_throttle_job_stores_what_earlier_batches_leave_open(spark, tmp_path):
+    run = jobs.throttle_batch(str(tmp_path), 10)
+    run(alert_table(spark, [("r", s, {}) for s in range(3)]), 0)
+    run(alert_table(spark, [("r", s, {}) for s in (5, 10, 12)]), 1)
+    at_of = lambda path: sorted(r["us"] - int(at(0).timestamp()) * 1_000_000 for r in spark.read.parquet(path).select(F.unix_micros("created_at").alias("us")).collect())
+    assert at_of(f"{tmp_path}/raised/batch_id=1") == [10_000_000, 12_000_000]
+    assert at_of(f"{tmp_path}/alerts/batch_id=1") == [10_000_000]
