@@ -200,13 +200,11 @@ def _entry_states(gap: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return walk
 
 
-def _resolve_blocks(gap: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for blocks in _by_block(batches):
-            for key, _block, rows in blocks:
-                times = rows["us"].to_numpy()
-                first = int(np.searchsorted(times, rows["earliest"].iloc[0], side="left"))
-                yield pd.DataFrame({"key": key, "us": _kept_path(times, first, gap)})
+def _resolve_block(gap: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def resolve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(rows["us"].to_numpy())
+        first = int(np.searchsorted(times, rows["earliest"].iloc[0], side="left"))
+        return pd.DataFrame({"key": key[0], "us": _kept_path(times, first, gap)})
 
     return resolve
 
@@ -231,10 +229,11 @@ def _throttle_many(rows: DataFrame, gap: int, block_rows: int) -> DataFrame:
     times = rows.select("key", "us").distinct().withColumn("_cell", time_cell(F.col("us")))
     placed = positions(times, ["key"], "_cell", [F.col("us").asc()], "_at")
     cut = placed.select("key", "us", F.floor(F.col("_at") / block_rows).cast("long").alias("block"))
-    by_block = lambda df: df.repartition("key", "block").sortWithinPartitions("key", "block", "us")
-    summary = by_block(cut).mapInPandas(_block_summaries(gap), "key string, block long, upto array<bigint>, exits array<bigint>")
+    by_block = cut.repartition("key", "block").sortWithinPartitions("key", "block", "us")
+    summary = by_block.mapInPandas(_block_summaries(gap), "key string, block long, upto array<bigint>, exits array<bigint>")
     entry = summary.groupBy("key").applyInPandas(_entry_states(gap), "key string, block long, earliest long")
-    return by_block(cut.join(entry, ["key", "block"])).mapInPandas(_resolve_blocks(gap), "key string, us long")
+    # grouped: AQE may turn this join into a broadcast, and would then leave out a mere repartition by its keys
+    return cut.join(entry, ["key", "block"]).groupBy("key", "block").applyInPandas(_resolve_block(gap), "key string, us long")
 
 
 def throttle_alerts(
