@@ -1,6 +1,8 @@
 """Past operator resolutions that match an event."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave import schema as S
@@ -47,11 +49,18 @@ def operator_actions(audit: DataFrame) -> DataFrame:
     )
 
 
+def paired(decisions: DataFrame, actions: DataFrame) -> DataFrame:
+    """Decisions with their actions; those without a partner drop out.
+
+    The hash is the first key: rows are sorted by it, and chains have few different names.
+    """
+    rest = [c for c in actions.columns if c not in decisions.columns]
+    return decisions.join(actions, ["decision_hash", "chain"]).select(*decisions.columns, *rest)
+
+
 def resolved_precedents(audit: DataFrame) -> DataFrame:
     """Passing decisions with their operator actions; decisions or actions without a partner drop out."""
-    return passed_decisions(audit).join(
-        operator_actions(audit).drop("operator_id", "acted_at"), ["chain", "decision_hash"]
-    )
+    return paired(passed_decisions(audit), operator_actions(audit).drop("operator_id", "acted_at"))
 
 
 def orphan_actions(audit: DataFrame) -> DataFrame:
@@ -85,12 +94,14 @@ def find_precedents(
 
 
 def _match_keys(df: DataFrame, tenant: str) -> DataFrame:
-    return df.withColumn("_type", F.lower("event_type")).withColumn("_sev", F.lower("severity")).withColumn(
+    keyed = df.withColumn("_type", F.lower("event_type")).withColumn("_sev", F.lower("severity")).withColumn(
         "_tenant", normalize_tenant(F.col(tenant))
     )
+    return keyed.withColumn("_match", F.xxhash64(*_KEYS[1:]))
 
 
-_KEYS = ["_type", "source_id", "_sev", "_tenant"]
+#: A hash of the key comes first: sorts compare it and seldom the texts, of which types, severities and tenants are few.
+_KEYS = ["_match", "_type", "source_id", "_sev", "_tenant"]
 
 
 #: A decoded decision with one of its actions, as jobs store it.
@@ -114,11 +125,16 @@ def newest_rows(pairs: DataFrame, max_n: int = S.DEFAULT_MAX_PRECEDENTS) -> Data
     return _ranked(pairs, max_n).select(*[c.split()[0] for c in STORED.split(", ")])
 
 
-def as_lists(pairs: DataFrame, max_n: int = S.DEFAULT_MAX_PRECEDENTS) -> DataFrame:
-    """At most ``max_n`` precedents per match key, as one array per key, newest first."""
-    entry = F.struct("precedent_rank", F.struct(*PRECEDENT_FIELDS).alias("p"))
-    arrays = _ranked(pairs, max_n).groupBy(*_KEYS).agg(F.sort_array(F.collect_list(entry)).alias("_sorted"))
-    return arrays.select(*_KEYS, F.transform("_sorted", lambda x: x["p"]).alias("precedents"))
+def as_lists(
+    pairs: DataFrame, max_n: int = S.DEFAULT_MAX_PRECEDENTS, fields: Sequence[str] = PRECEDENT_FIELDS,
+) -> DataFrame:
+    """At most ``max_n`` precedents per match key, as one array per key, newest first; of each only ``fields``.
+
+    The array is collected over the window that ranked the rows, so that they are neither sorted nor grouped again.
+    """
+    whole = Window.partitionBy(*_KEYS).orderBy(*_newest()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    arrays = _ranked(pairs, max_n).withColumn("precedents", F.collect_list(F.struct(*fields)).over(whole))
+    return arrays.where("precedent_rank = 1").select(*_KEYS, "precedents")
 
 
 def newest_precedents(audit: DataFrame, max_n: int = S.DEFAULT_MAX_PRECEDENTS) -> DataFrame:
@@ -135,7 +151,7 @@ def with_lists(events: DataFrame, lists: DataFrame) -> DataFrame:
     One row per event goes in and out: the join is many-to-one, so a key shared by very many events
     is left to AQE's skew split and never multiplies rows.
     """
-    joined = _match_keys(events, "tenant").join(lists, _KEYS, "left").drop("_type", "_sev", "_tenant")
+    joined = _match_keys(events, "tenant").join(lists, _KEYS, "left").drop("_match", "_type", "_sev", "_tenant")
     empty = F.array().cast(lists.schema["precedents"].dataType)
     return joined.withColumn("precedents", F.coalesce("precedents", empty))
 

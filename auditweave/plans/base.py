@@ -34,9 +34,14 @@ def query(name: str, sql: str | None = None):
 _STORED: dict[tuple, str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table written once per session to the shared folder, as audit logs are stored in practice."""
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], write: bool = True) -> DataFrame:
+    """A derived table written once per session to the shared folder, as audit logs are stored in practice.
+
+    Without ``write`` a table that is not there yet is only computed, for a caller that goes over it once and writes it.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED and not write:
+        return build()
     if key not in _STORED:
         path = shared_folder(spark, name)
         build().write.parquet(path)

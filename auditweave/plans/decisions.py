@@ -240,8 +240,8 @@ def operator_acts(spark, sf):
         F.timestamp_micros(F.unix_micros("ingested_at") + 30_000_000).alias("acted_at"))
 
 
-def stored_log(spark, sf):
-    return stored(spark, sf, "decision_log", lambda: build_log(spark, sf))
+def stored_log(spark, sf, write=True):
+    return stored(spark, sf, "decision_log", lambda: build_log(spark, sf), write)
 
 
 def build_log(spark, sf):

@@ -32,12 +32,16 @@ def event_stream(spark, sf):
 def landed(spark, rows, out, n, kind="parquet"):
     """``rows`` as a stream of ``n`` batches: for each the files of its rows (``_batch``) land, then the stream is given.
 
-    Every run of the same query over it (until the input is drained) takes the files that are new as one batch.
+    Every run of the same query over it (until the input is drained) takes the files that are new as one batch. Rows are
+    computed and written once, a folder per batch, which lands by being moved. A batch without rows is an empty file.
     """
-    given = rows.drop("_batch")
+    given, staged = rows.drop("_batch"), f"{out}-staged"
+    with jobs.open_files(spark, n + 1):  # with as many open as may be, Spark begins to sort
+        rows.write.partitionBy("_batch").format(kind).save(staged)
     for i in range(n):
-        rows.where(F.col("_batch") == i).drop("_batch").write.mode("append").format(kind).save(out)
-        yield spark.readStream.format(kind).schema(given.schema).load(out)
+        if not jobs.move_folder(spark, f"{staged}/_batch={i}", f"{out}/{i}"):
+            given.limit(0).write.format(kind).save(f"{out}/{i}")
+        yield spark.readStream.format(kind).schema(given.schema).option("recursiveFileLookup", True).load(out)
 
 
 def batched_stream(spark, sf, out, batch, n):
@@ -154,11 +158,12 @@ def _(spark, sf):
 def _(spark, sf):
     """Decisions and actions in four batches in no order: each finds its partner of an earlier batch; lists are kept up."""
     out = shared_folder(spark, "precedents")
-    log = stored_log(spark, sf).withColumn("_batch", F.pmod(F.xxhash64("hash"), F.lit(4)))
+    log = stored_log(spark, sf, write=False).withColumn("_batch", F.pmod(F.xxhash64("hash"), F.lit(4)))
     for audit in landed(spark, log, f"{out}/in", 4):
         finish(jobs.stream_precedents(audit, f"{out}/data", f"{out}/checkpoint", compact_every=3))
     ev = map_events(table(spark, sf, "events"))
-    rows = precedents.listed_rows(ev, jobs.read_precedents(spark, f"{out}/data"))
+    lists = jobs.read_precedents(spark, f"{out}/data", fields=["decision_hash", "operator_action"])
+    rows = precedents.listed_rows(ev, lists)
     return rows.select("event_id", "precedent_rank", "precedent.decision_hash", "precedent.operator_action")
 
 

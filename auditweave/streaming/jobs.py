@@ -6,6 +6,7 @@ so every batch takes effect once.
 """
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
@@ -48,19 +49,26 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: Sequence[
 OPEN_FILES = 4
 
 
+@contextmanager
+def open_files(spark: SparkSession, n: int = OPEN_FILES) -> Iterator[None]:
+    """Tasks write up to ``n`` folders at once; only rows of further ones are sorted by folder."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_folded(df: DataFrame, path: str, batch_id: int) -> None:
     """Write one batch's chained records by tenant, without a second sort beside the one before the fold.
 
     Folded rows come tenant by tenant; Spark, which does not know, would sort them again by folder. A task with more
     tenants than ``OPEN_FILES`` still does so for the others.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
-    before = conf.get(name)
-    conf.set(name, str(OPEN_FILES))
-    try:
+    with open_files(df.sparkSession):
         write_batch(df, path, batch_id, ["tenant"])
-    finally:
-        conf.set(name, before)
 
 
 def written_batches(spark: SparkSession, path: str) -> list[int]:
@@ -149,6 +157,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def move_folder(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a folder another path; false if there is no such folder."""
+    if not path_exists(spark, source):
+        return False
+    old, new = spark._jvm.org.apache.hadoop.fs.Path(source), spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"{source} could not be moved to {target}")
+    return True
+
+
 def batch_time(spark: SparkSession, out: str, batch_id: int) -> Column:
     """The time of a batch: taken once and stored, so that a rerun and all its outputs agree."""
     path = batch_dir(f"{out}/times", batch_id)
@@ -773,10 +793,10 @@ def precedents_batch(out: str, max_n: int = S.DEFAULT_MAX_PRECEDENTS, compact_ev
             new[name] = spark.read.schema(rows.schema).parquet(batch_dir(f"{out}/{name}", batch_id))
             known = [batch_dir(f"{out}/{name}", b) for b in written_batches(spark, f"{out}/{name}") if b < batch_id]
             old[name] = spark.read.schema(rows.schema).parquet(*known) if known else spark.createDataFrame([], rows.schema)
-        key = ["chain", "decision_hash"]
-        pairs = new["decisions"].join(new["actions"].unionByName(old["actions"]), key).unionByName(old["decisions"].join(new["actions"], key))
-        added = precedents.newest_rows(pairs, max_n)
-        write_changes(added, precedents.newest_rows(newest.unionByName(added), max_n), f"{out}/newest", batch_id, compact_every)
+        pairs = precedents.paired(new["decisions"], new["actions"].unionByName(old["actions"])).unionByName(
+            precedents.paired(old["decisions"], new["actions"]))
+        ranked = lambda rows: precedents.newest_rows(rows, max_n)
+        write_changes(ranked(pairs), ranked(newest.unionByName(pairs)), f"{out}/newest", batch_id, compact_every)
 
     return apply
 
@@ -785,7 +805,9 @@ def stream_precedents(audit: DataFrame, out: str, checkpoint: str, every: str |
     return run(audit, precedents_batch(out, **options), checkpoint, every)
 
 
-def read_precedents(spark: SparkSession, out: str, max_n: int = S.DEFAULT_MAX_PRECEDENTS) -> DataFrame:
-    """The stored precedents as ``operators.precedents.newest_precedents`` gives them; ``max_n`` at most that of the job."""
+def read_precedents(
+    spark: SparkSession, out: str, max_n: int = S.DEFAULT_MAX_PRECEDENTS, fields: Sequence[str] = precedents.PRECEDENT_FIELDS,
+) -> DataFrame:
+    """The stored precedents as ``operators.precedents.as_lists`` gives them; ``max_n`` at most that of the job."""
     last = max(written_batches(spark, f"{out}/newest/whole") + written_batches(spark, f"{out}/newest/added"), default=-1)
-    return precedents.as_lists(read_changes(spark, f"{out}/newest", precedents.STORED, last + 1), max_n)
+    return precedents.as_lists(read_changes(spark, f"{out}/newest", precedents.STORED, last + 1), max_n, fields)

@@ -13,6 +13,7 @@ from auditweave.operators import alerts as A
 from auditweave.operators import chain as H
 from auditweave.operators import curate as C
 from auditweave.operators import precedents as P
+from auditweave.plans.streams import landed
 from auditweave.sources import sinks
 from auditweave.streaming import jobs
 from tests.event_rows import at, event, ids, make_events
@@ -175,6 +176,36 @@ def test_stored_precedents_equal_the_whole_log(spark, tmp_path, every):
     assert listed(jobs.read_precedents(spark, out, 4)) == want and len(want) == 2
 
 
+def test_precedents_are_listed_without_another_grouping(spark):
+    """The rows ranked are the rows listed; of each precedent only the fields asked for."""
+    row = lambda i, source, type_: ("t", f"d{i}", i, f"e{i}", type_, source, "warn", "t", "c", "s", "accept", "", f"a{i}", i)
+    pairs = spark.createDataFrame([row(i, f"s{i % 2}", "Tick" if i % 4 < 2 else "tick") for i in range(9)], P.STORED)
+    lists = P.as_lists(pairs, 3)
+    assert "Aggregate" not in lists._jdf.queryExecution().executedPlan().toString()
+    ids = lambda df: sorted((r["source_id"], [p["event_id"] for p in r["precedents"]]) for r in df.collect())
+    assert ids(lists) == [("s0", ["e8", "e6", "e4"]), ("s1", ["e7", "e5", "e3"])]
+    few = P.as_lists(pairs, 3, ["event_id"])
+    assert ids(few) == ids(lists) and few.schema["precedents"].dataType.elementType.fieldNames() == ["event_id"]
+
+
+def test_rows_land_once_in_their_batches(spark, tmp_path):
+    """Rows are computed once for all batches; one without rows still lands, rows without a batch never do."""
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def batch(i):
+        computed.add(1)
+        return {0: 0, 1: 2, 2: None}[i % 3]
+
+    rows = spark.range(0, 12, 1, 3).withColumn("_batch", batch("id"))
+    seen = []
+    for ids in landed(spark, rows, str(tmp_path / "in"), 3):
+        note = lambda df, b: seen.append((b, sorted(r["id"] for r in df.collect()), df.columns))
+        jobs.run(ids, note, str(tmp_path / "cp")).awaitTermination()
+    assert seen == [(0, [0, 3, 6, 9], ["id"]), (1, [], ["id"]), (2, [1, 4, 7, 10], ["id"])]
+    assert computed.value == 12
+
+
 def test_states_that_do_not_fit_are_refused(spark, tmp_path):
     out = str(tmp_path / "a")
     apply = jobs.audit_batch(out)
